@@ -48,11 +48,11 @@ def remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Cut the lineage: write df as Parquet in the shared folder and read it back. A lost executor then costs no recomputation of what came before."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
