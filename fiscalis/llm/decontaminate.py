@@ -26,15 +26,20 @@ APART = r"[^\p{L}\p{N}]+"
 
 
 def words(text: Column) -> Column:
-    """The lower-cased runs of letters and digits."""
-    return F.filter(F.split(F.regexp_replace(F.lower(text), APART, " "), " "), lambda w: w != "")
+    """The lower-cased runs of letters and digits; one empty word if there is none."""
+    return F.split(F.trim(F.regexp_replace(F.lower(text), APART, " ")), " ")
 
 
-def _hashes(width: int) -> Column:
-    """The hash of each shingle of `width` words, from the words' own hashes in column h."""
-    at = F.sequence(F.lit(0), F.size("h") - width)
-    shingle = F.transform(at, lambda i: F.xxhash64(*(F.get("h", i + k) for k in range(width))))
-    return F.when(F.size("h") >= width, shingle).otherwise(F.array().cast("array<bigint>"))
+def _hashed(d: DataFrame, widths: list[int]) -> DataFrame:
+    """(id, sub, hash) of each shingle of each width. Words are laid beside those that follow by shifted copies of the array, so rows and hashes are made in generated code."""
+    columns = [f"w{k}" for k in range(max(widths))]
+    w = F.col("w")
+    shifted = [w.alias("w0"), *(F.slice(w, F.lit(k + 1), F.size(w)).alias(c) for k, c in enumerate(columns) if k)]
+    rows = d.select("id", "sub", F.inline(F.arrays_zip(*shifted))).toDF("id", "sub", *columns)
+    if len(widths) == 1:
+        return rows.where(F.col(columns[-1]).isNotNull()).select("id", "sub", F.xxhash64(*columns).alias("hash"))
+    each = F.array(*(F.when(F.col(f"w{k - 1}").isNotNull(), F.xxhash64(*columns[:k])) for k in widths))
+    return rows.select("id", "sub", F.explode(each).alias("hash")).where("hash is not null")
 
 
 def _texts(width: int) -> Column:
@@ -45,13 +50,13 @@ def _texts(width: int) -> Column:
 
 def item_shingles(items: DataFrame, width: int) -> DataFrame:
     """(item, shingle, hash, q, width): the distinct shingles of each item, q their number; an item of fewer words is one shingle of all its words."""
-    w = items.select("item", words(text_of("text")).alias("w")).where(F.size("w") > 0).select("item", "w", F.least(F.size("w"), F.lit(width)).alias("width"))
+    w = items.select("item", words(text_of("text")).alias("w")).where(F.get("w", F.lit(0)) != "").select("item", "w", F.least(F.size("w"), F.lit(width)).alias("width"))
     shingle = F.transform(F.sequence(F.lit(1), F.size("w") - F.col("width") + 1), lambda i: F.slice("w", i, F.col("width")))
     each = w.select("item", "width", F.explode(F.array_distinct(shingle)).alias("s")).distinct()
     q = each.groupBy("item").agg(F.count_distinct("s").alias("q"))
     hashed = F.lit(0).cast("long")
     for k in range(1, width + 1):
-        hashed = F.when(F.col("width") == k, F.xxhash64(*(F.xxhash64(F.get("s", F.lit(i))) for i in range(k)))).otherwise(hashed)
+        hashed = F.when(F.col("width") == k, F.xxhash64(*(F.get("s", F.lit(i)) for i in range(k)))).otherwise(hashed)
     return each.join(q, "item").select("item", "width", F.array_join("s", " ").alias("shingle"), hashed.alias("hash"), "q")
 
 
@@ -85,8 +90,7 @@ def contained(
     if not widths:
         return empty.selectExpr("id", "cast(null as bigint) item", "cast(null as double) containment", "cast(null as bigint) n_shingles", "cast(null as bigint) n_found")
 
-    w = d.select("id", F.xxhash64("text").alias("sub"), F.transform(words(F.col("text")), lambda x: F.xxhash64(x)).alias("h"))
-    each = w.select("id", "sub", F.explode(F.flatten(F.array(*(_hashes(k) for k in widths)))).alias("hash"))
+    each = _hashed(d.select("id", F.xxhash64("text").alias("sub"), words(F.col("text")).alias("w")), widths)
     hits = each.join(broadcast_if(sketch.select("hash").distinct(), n_sketch, BROADCAST_ROWS), "hash", "left_semi").select("id", "sub").distinct()
     hits = materialize(hits, "candidates")
 

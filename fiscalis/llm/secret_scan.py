@@ -31,6 +31,8 @@ HINTS = {
 }
 METHOD = "markov"
 CANDIDATE = r"([A-Za-z0-9+/_-]+)"
+#: The same where a run that is too short can be passed over at once, as no other match begins inside it.
+SEARCH = {"access": r"(AKIA[A-Z0-9]{16,})", "hex": r"([0-9a-f]{24,})", "markov": r"([A-Za-z0-9+/_-]{20,})"}
 SHORTEST = 20
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 #: Thousandths of a nat per character that a candidate needs.
@@ -108,20 +110,24 @@ def ratio(text: Column, table_: tuple[int, ...] | list[int]) -> Column:
     return F.aggregate(places, start, step, lambda s: s["sum"])
 
 
+_EMPTY = "array<struct<start:int,kind:int,end:int,value:string>>"
+
+
 def _spans(text: Column, kind: str, rank: int, pattern: str, group: int, least: int) -> Column:
-    """The spans of the leftmost non-overlapping matches; each match is found with the gap before it, so lengths add up to places."""
-    whole = F.regexp_extract_all(text, F.lit(rf"([\s\S]*?)({pattern})"), F.lit(0))
-    match = F.regexp_extract_all(text, F.lit(rf"({pattern})"), F.lit(1))
-    value = F.regexp_extract_all(text, F.lit(rf"({pattern})"), F.lit(group + 1))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>").alias("out"))
+    """The spans of the leftmost non-overlapping matches. The text between matches and the matches themselves take turns, so their lengths add up to places."""
+    gaps = F.split(text, pattern, -1)
+    match = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
+    value = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(group + 1))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(_EMPTY).alias("out"))
 
     def step(s: Column, x: Column) -> Column:
-        end = s["at"] + F.length(x["whole"])
-        span = F.struct((end - F.length(x["match"])).alias("start"), F.lit(rank).alias("kind"), end.alias("end"), x["value"].alias("value"))
+        begin = s["at"] + F.length(x["gap"])
+        end = begin + F.length(x["match"])
+        span = F.struct(begin.alias("start"), F.lit(rank).alias("kind"), end.alias("end"), x["value"].alias("value"))
         return F.struct(end.alias("at"), F.when(F.length(x["value"]) >= least, F.concat(s["out"], F.array(span))).otherwise(s["out"]).alias("out"))
 
-    found = F.aggregate(F.arrays_zip(whole.alias("whole"), match.alias("match"), value.alias("value")), start, step, lambda s: s["out"])
-    return F.when(text.rlike(HINTS[kind]), found).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>"))
+    found = F.aggregate(F.arrays_zip(gaps.alias("gap"), match.alias("match"), value.alias("value")), start, step, lambda s: s["out"])
+    return F.when(text.rlike(HINTS[kind]), found).otherwise(F.array().cast(_EMPTY))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table_: tuple[int, ...] | None = None, least_ratio: int = LEAST_RATIO) -> DataFrame:
@@ -132,8 +138,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table_
     own; null ids stay null.
     """
     d = pick(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), text_of("text").alias("text"))
-    each = [_spans(F.col("text"), kind, k, *rule).alias(kind) for k, (kind, rule) in enumerate(KINDS.items())]
-    maybe = _spans(F.col("text"), METHOD, len(KINDS), CANDIDATE, 1, SHORTEST).alias("maybe")
+    each = [_spans(F.col("text"), kind, k, SEARCH.get(kind, rule[0]), *rule[1:]).alias(kind) for k, (kind, rule) in enumerate(KINDS.items())]
+    maybe = _spans(F.col("text"), METHOD, len(KINDS), SEARCH[METHOD], 1, SHORTEST).alias("maybe")
     d = d.select("id", "text", *each, maybe)
     d = d.withColumn(METHOD, F.filter("maybe", lambda s: ratio(s["value"], table_ or default_table()) >= least_ratio * F.length(s["value"])))
     ordered = lambda *names: F.array_sort(F.concat(*(F.transform(n, lambda s: F.struct(s["start"], s["kind"], s["end"])) for n in names)))
