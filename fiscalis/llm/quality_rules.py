@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fiscalis.llm.common import pick, table, text_of
+from fiscalis.llm.common import table
 from fiscalis.llm.suffixes import repeats
 
 #: Fixed values of the rules.
@@ -63,18 +63,20 @@ def _batches(shortest: int):
             pairs = pa.StructArray.from_arrays([pa.array(np.concatenate([*x, np.zeros(0)]).astype(np.int32)) for x in (starts, ends)], fields=list(_SPANS.value_type))
             spans = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs)
             names = ["id", *(x.split()[0] for x in SCHEMA.split(", ")[1:9]), "spans"]
-            yield pa.RecordBatch.from_arrays([b.column("id"), *map(pa.array, measures), spans], names)
+            yield pa.RecordBatch.from_arrays([b.column("id"), *map(pa.array, measures), spans, *b.columns[2:]], [*names, *b.schema.names[2:]])
 
     return run
 
 
-def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shortest: int = SHORTEST_REPEAT) -> DataFrame:
-    """One row per row of docs with its counts, the code points covered by repeats, the longest repeat and the covered spans.
+def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shortest: int = SHORTEST_REPEAT, whole_rows: bool = False) -> DataFrame:
+    """One row per row of docs with its counts, the code points covered by repeats, the longest repeat and the covered spans; with whole_rows also a struct `row` of all columns of docs.
 
     Null texts count as empty: all measures 0, no spans. Repeated rows and ids stay rows of their own; null ids stay null.
     """
-    kept = pick(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), text_of("text").alias("text"))
-    return kept.mapInArrow(_batches(shortest), SCHEMA)
+    row = [F.struct("*").alias("row")] if whole_rows else []
+    kept = docs.select(docs[f"`{id_col}`"].cast("long").alias("id"), F.coalesce(docs[f"`{text_col}`"], F.lit("")).alias("text"), *row)
+    more = f", row {kept.schema['row'].dataType.simpleString()}" if whole_rows else ""
+    return kept.mapInArrow(_batches(shortest), SCHEMA + more)
 
 
 def verdicts(found: DataFrame, most_covered: float = MOST_COVERED, longest_repeat: int = LONGEST_REPEAT, longest_part: float = LONGEST_PART) -> DataFrame:

@@ -14,7 +14,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fiscalis.llm.common import pick, table, text_of
+from fiscalis.llm.common import table
 
 #: The kinds, in the order in which equal starts are listed, with pattern, group that is measured and its least length.
 KINDS = {
@@ -130,20 +130,22 @@ def _spans(text: Column, kind: str, rank: int, pattern: str, group: int, least:
     return F.when(text.rlike(HINTS[kind]), found).otherwise(F.array().cast(_EMPTY))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table_: tuple[int, ...] | None = None, least_ratio: int = LEAST_RATIO) -> DataFrame:
-    """One row (id, text, base, found) per row of docs: the spans of the known kinds, and all spans, in the order of starts, then kinds; offsets in code points, ends exclusive.
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table_: tuple[int, ...] | None = None, least_ratio: int = LEAST_RATIO, whole_rows: bool = False) -> DataFrame:
+    """One row (id, text, base, found), with whole_rows also a struct `row` of all columns, per row of docs: the spans of the known kinds, and all spans, in the order of starts, then kinds; offsets in code points, ends exclusive.
 
     A candidate of 20 or more characters is a secret if its log-likelihood ratio is at least least_ratio per character; it
     may cover a span of a known kind too. Null texts count as empty: no spans. Repeated rows and ids stay rows of their
     own; null ids stay null.
     """
-    d = pick(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), text_of("text").alias("text"))
+    row = [F.struct("*").alias("row")] if whole_rows else []
+    d = docs.select(docs[f"`{id_col}`"].cast("long").alias("id"), F.coalesce(docs[f"`{text_col}`"], F.lit("")).alias("text"), *row)
+    row = ["row"] if whole_rows else []
     each = [_spans(F.col("text"), kind, k, SEARCH.get(kind, rule[0]), *rule[1:]).alias(kind) for k, (kind, rule) in enumerate(KINDS.items())]
     maybe = _spans(F.col("text"), METHOD, len(KINDS), SEARCH[METHOD], 1, SHORTEST).alias("maybe")
-    d = d.select("id", "text", *each, maybe)
+    d = d.select("id", "text", *row, *each, maybe)
     d = d.withColumn(METHOD, F.filter("maybe", lambda s: ratio(s["value"], table_ or default_table()) >= least_ratio * F.length(s["value"])))
     ordered = lambda *names: F.array_sort(F.concat(*(F.transform(n, lambda s: F.struct(s["start"], s["kind"], s["end"])) for n in names)))
-    return d.select("id", "text", ordered(*KINDS).alias("base"), ordered(*KINDS, METHOD).alias("found"))
+    return d.select("id", "text", ordered(*KINDS).alias("base"), ordered(*KINDS, METHOD).alias("found"), *row)
 
 
 def listed(spans: str) -> Column:

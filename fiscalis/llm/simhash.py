@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fiscalis.llm.common import materialize, pick, text_of
+from fiscalis.llm.common import broadcast_if, materialize, pick, table, text_of
 from fiscalis.llm.components import connected_components
 
 SHINGLE = 3
@@ -29,6 +29,8 @@ SEED = 42
 DISTANCE = 2
 #: A key with more fingerprints than this is linked through midpoints.
 LARGEST_BLOCK = 256
+#: Kept ids (16 bytes each) that are broadcast at most.
+BROADCAST_ROWS = 1_000_000
 
 
 def fingerprint(text: bytes) -> int:
@@ -52,13 +54,13 @@ def fingerprint(text: bytes) -> int:
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         values = [fingerprint(t.as_buffer().to_pybytes()) if t.is_valid else 0 for t in b.column("text").cast(pa.large_binary())]
-        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(np.array(values, np.uint64).view(np.int64))], ["id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("sub"), pa.array(np.array(values, np.uint64).view(np.int64))], ["id", "sub", "fp"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row (id, fp) per row of docs; fp is the fingerprint's bits as a signed long. Null and empty texts have 0."""
-    kept = pick(docs, id=id_col, text=text_col).select(F.col("id").cast("long"), text_of("text").alias("text"))
-    return kept.mapInArrow(_batches, "id long, fp long")
+    """One row (id, sub, fp) per row of docs; sub is a hash of the text, fp the fingerprint's bits as a signed long. Null and empty texts have 0."""
+    kept = pick(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), text_of("text").alias("text"))
+    return kept.withColumn("sub", F.xxhash64("text")).mapInArrow(_batches, "id long, sub long, fp long")
 
 
 def block_keys(m: int, d: int = DISTANCE) -> list[list[tuple[int, int]]]:
@@ -101,7 +103,7 @@ def links(distinct: DataFrame, m: int, largest_block: int = LARGEST_BLOCK) -> Da
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", largest_block: int = LARGEST_BLOCK) -> DataFrame:
-    """One row (id, fp, component) per row of docs; component is the smallest id that is reachable over links of at most 2 bits.
+    """One row (id, sub, fp, component) per row of docs; component is the smallest id that is reachable over links of at most 2 bits.
 
     Lower-cases A-Z, takes words between ASCII white space and shingles of 3 words, repeats included (fewer words: the
     whole sequence). Texts without a word, null ones included, share the fingerprint 0 and so link to each other.
@@ -115,18 +117,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     group = distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = group.groupBy("root").agg(F.min("least").alias("component"))
     of_fp = group.join(named, "root").select(F.col("fp").alias("f"), "component")
-    return every.join(of_fp, F.col("fp") == F.col("f")).select("id", "fp", "component")
+    return every.join(of_fp, F.col("fp") == F.col("f")).select("id", "sub", "fp", "component")
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id names their component: one of each group of near-duplicates (all rows that repeat that id with the same fingerprint count as one text and are kept)."""
+    """One row of docs for each group of near-duplicates: the one that names its component; of several rows with that id, the one whose text has the smallest hash, once."""
     found = near_duplicates(docs, id_col, text_col)
-    kept = found.where("id = component").select(F.col("id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs[f"`{id_col}`"].cast("long") == F.col("_kept_id"), "left_semi")
+    named = found.where(F.col("id").eqNullSafe(F.col("component"))).groupBy("component").agg(F.min("sub").alias("_sub")).withColumnRenamed("component", "_id")
+    kept = materialize(named, "simhash-kept")
+    own_id, own_sub = docs[f"`{id_col}`"].cast("long"), F.xxhash64(F.coalesce(docs[f"`{text_col}`"], F.lit("")))
+    out = docs.join(broadcast_if(kept, n := kept.count(), BROADCAST_ROWS), own_id.eqNullSafe(F.col("_id")) & (own_sub == F.col("_sub")), "left_semi")
+    rows, ids = docs.agg(F.count("*"), F.count_distinct(own_id)).first()
+    return out if rows == ids or not n else out.dropDuplicates([id_col])
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
-    from fiscalis.llm.common import table
-
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
