@@ -53,6 +53,7 @@ def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", compression).parquet(path)
+    spark.sparkContext._jvm.System.gc()  # shuffle files that nothing needs now go at once, not when the driver's heap fills
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -31,18 +31,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fiscalis.llm.common import broadcast_if, materialize, pick, table
+from fiscalis.llm.common import materialize, pick, table
 from fiscalis.llm.induced import END, permuted_lcp, suffix_array
 
 LENGTH = 100
 GRAM = 24
 CHUNK = 8
 #: Strips that a task combines at once, bytes of a shard, and different strips of a core that still go into one shard.
-COMBINED = 1_500_000
-SHARD_BYTES = 4 << 20
+COMBINED = 500_000
+SHARD_BYTES = 1 << 20
 LARGEST_CORE = 20_000
-#: Most rows (of about 40 bytes) that are broadcast.
-BROADCAST_ROWS = 1_000_000
 
 #: Hash of what all equal strips have in common, hash of the whole strip, document, first and last window, place of the anchor.
 _STRIPS = "h long, v long, id long, sub long, a int, b int, p int"
@@ -305,10 +303,10 @@ def _windows(length: int):
     return run
 
 
-def _with_text(d: DataFrame, strips: DataFrame, rows: int) -> DataFrame:
-    """The documents that have such strips, each with its own; a document has at most as many as windows."""
+def _with_text(d: DataFrame, strips: DataFrame) -> DataFrame:
+    """The documents that have such strips, each with its own; a document has at most as many as windows. Both sides are shuffled by document at any size, so disk grows as the input."""
     of_doc = strips.groupBy("id", "sub").agg(F.collect_list(F.struct("h", "a", "b", "p")).alias("parts"))
-    return d.join(broadcast_if(of_doc, rows, BROADCAST_ROWS), ["id", "sub"]).select("id", "sub", "text", "parts")
+    return d.join(of_doc, ["id", "sub"]).select("id", "sub", "text", "parts")
 
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, largest_core: int = LARGEST_CORE, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -317,21 +315,22 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, la
     found = materialize(_matched(d.mapInArrow(_strips(length, gram), _STRIPS)), "suffix-strips")
     runs = [found.where("v is null")]
     part = found.where("v is not null")
-    if n := part.count():
-        found = materialize(_matched(_with_text(d, part, n).mapInArrow(_short(length, CHUNK), _STRIPS)), "suffix-short")
+    if not part.isEmpty():
+        found = materialize(_matched(_with_text(d, part).mapInArrow(_short(length, CHUNK), _STRIPS)), "suffix-short")
         runs.append(found.where("v is null"))
         part = found.where("v is not null")
     per_core = part.groupBy("h").agg(F.count("*").alias("n"))
     n, n_hot = per_core.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > largest_core)).first()
     if n:
-        cut = _with_text(d, part, n).mapInArrow(_cut(length), "h long, id long, sub long, a int, strip binary")
+        cut = _with_text(d, part).mapInArrow(_cut(length), "h long, id long, sub long, a int, strip binary")
         usual = cut
         if n_hot:
             cut = materialize(cut, "suffix-cut")  # both ways read it
             hot = per_core.where(F.col("n") > largest_core).select("h")
             usual = cut.join(hot, "h", "left_anti")
             runs.append(_matched(cut.join(hot, "h", "left_semi").mapInArrow(_windows(length), _STRIPS)).where("v is null"))
-        dealt = usual.repartition("h").sortWithinPartitions("h", "id", "sub", "a")
+        shards = max(1, n * (length + CHUNK) // shard_bytes)
+        dealt = usual.repartition(shards, "h").sortWithinPartitions("h", "id", "sub", "a")
         runs.append(dealt.mapInArrow(_shards(length, shard_bytes), "id long, sub long, a int, b int"))
     return reduce(DataFrame.unionByName, [r.select("id", "sub", "a", "b") for r in runs])
 
@@ -370,7 +369,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     d = keyed(docs, id_col, text_col)
     runs = materialize(repeated_windows(d.dropDuplicates(["id", "sub"]) if _repeated(docs, id_col) else d, length, **sizes), "suffix-runs")
     of_doc = runs.groupBy("id", "sub").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
-    return d.join(broadcast_if(of_doc, runs.count(), BROADCAST_ROWS), ["id", "sub"], "left").select("oid", "text", "runs").mapInArrow(
+    return d.join(of_doc, ["id", "sub"], "left").select("oid", "text", "runs").mapInArrow(
         _kept(length), "id long, n_bytes long, kept binary, spans array<struct<start: int, end: int>>"
     )
 
