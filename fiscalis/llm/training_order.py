@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,14 +28,14 @@ from fiscalis.llm.tokenizers import END_OF_TEXT, byte_bpe, default_path
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Tokens of a sequence, sequences of a shard, bytes of an id, and the key of the permutation.
-LENGTH = 512
-PER_SHARD = 4096
+LENGTH = 2048
+PER_SHARD = 1024
 WIDTH = 2
 KEY = 42
 ROUNDS = 6
 BROADCAST_ROWS = 1_000_000
 
-_PIECES = "shard long, slot long, at int, id long, tokens binary"
+_PIECES = "slot long, at int, id long, tokens binary"
 _SEQUENCES = "slot long, shard long, byte_offset long, n_tokens int, doc_ids array<long>, sha256 string, path string"
 
 
@@ -95,10 +96,11 @@ def places(counts: DataFrame) -> tuple[DataFrame, int]:
     return run.join(F.broadcast(parts.select("part", "base")), "part").select("row", (F.col("before") + F.col("base")).alias("start")), total
 
 
-def _pieces(total: int, length: int, per_shard: int, key: int):
+def _pieces(total: int, length: int, key: int):
     n = -(-total // length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress  # what is shuffled; rows in random order leave little to the shuffle's own codec
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
@@ -110,11 +112,11 @@ def _pieces(total: int, length: int, per_shard: int, key: int):
                     out[0].append(permute(sequence, n, key))
                     out[1].append(np.maximum(start - sequence * length, 0))
                     out[2] += [doc] * len(sequence)
-                    out[3] += [tokens[x:y] for x, y in zip(cut[:-1].tolist(), cut[1:].tolist())]
+                    out[3] += [pack(tokens[x:y]) for x, y in zip(cut[:-1].tolist(), cut[1:].tolist())]
                 slot = np.concatenate(out[0])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(slot // per_shard), pa.array(slot), pa.array(np.concatenate(out[1]).astype(np.int32)), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary())],
-                    ["shard", "slot", "at", "id", "tokens"],
+                    [pa.array(slot), pa.array(np.concatenate(out[1]).astype(np.int32)), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary())],
+                    ["slot", "at", "id", "tokens"],
                 )
 
     return run
@@ -143,9 +145,11 @@ def _write(folder: str, length: int, per_shard: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
+        unpack = zstandard.ZstdDecompressor().decompress
         now, held = None, {}
         for b in batches:
-            for shard, slot, at, doc, tokens in zip(*(b.column(k).to_pylist() for k in range(5))):
+            for slot, at, doc, tokens in zip(*(b.column(k).to_pylist() for k in range(4))):
+                shard = slot // per_shard
                 if shard != now:
                     if held:
                         yield shard_rows(store, base, now, held)
@@ -154,7 +158,7 @@ def _write(folder: str, length: int, per_shard: int):
                 ids, data = held.setdefault(slot, ([], bytearray()))
                 if len(data) != at * WIDTH:
                     raise ValueError(f"slot {slot} has {len(data) // WIDTH} tokens before those at {at}")
-                data += tokens
+                data += unpack(tokens)
                 ids.append(doc)
         if held:
             yield shard_rows(store, base, now, held)
@@ -176,9 +180,9 @@ def write_shards(
     tokens = materialize(made.withColumn("row", F.monotonically_increasing_id()), "order-tokens")
     start, total = places(tokens.select("row", "id", "sub", "n"))
     placed = tokens.select("row", "id", "tokens").join(broadcast_if(start, tokens.count(), BROADCAST_ROWS), "row")
-    pieces = placed.select("id", "start", "tokens").mapInArrow(_pieces(total, length, per_shard, key), _PIECES)
+    pieces = placed.select("id", "start", "tokens").mapInArrow(_pieces(total, length, key), _PIECES)
     shards = max(1, -(-total // (length * per_shard)))
-    dealt = pieces.repartition(min(shards, 100_000), "shard").sortWithinPartitions("shard", "slot", "at")
+    dealt = pieces.repartition(min(shards, 100_000), F.floor(F.col("slot") / per_shard)).sortWithinPartitions("slot", "at")
     return materialize(dealt.mapInArrow(_write(folder, length, per_shard), _SEQUENCES), "order-sequences")
 
 
