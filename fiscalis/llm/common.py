@@ -48,11 +48,11 @@ def remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+def materialize(df: DataFrame, name: str, level: int = 3) -> DataFrame:
     """Cut the lineage: write df as Parquet in the shared folder and read it back. A lost executor then costs no recomputation of what came before."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", compression).parquet(path)
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level)).parquet(path)
     spark.sparkContext._jvm.System.gc()  # shuffle files that nothing needs now go at once, not when the driver's heap fills
     return spark.read.schema(df.schema).parquet(path)
 

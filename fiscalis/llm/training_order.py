@@ -36,7 +36,7 @@ ROUNDS = 6
 BROADCAST_ROWS = 1_000_000
 
 _PIECES = "slot long, at int, id long, tokens binary"
-_SEQUENCES = "slot long, shard long, byte_offset long, n_tokens int, doc_ids array<long>, sha256 string, path string"
+_SEQUENCES = "slot long, shard long, byte_offset long, n_tokens int, doc_ids array<long>, sha256 binary, path string"
 
 
 def _round_keys(key: int) -> np.ndarray:
@@ -100,7 +100,7 @@ def _pieces(total: int, length: int, key: int):
     n = -(-total // length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1).compress  # what is shuffled; rows in random order leave little to the shuffle's own codec
+        pack = zstandard.ZstdCompressor(level=6).compress  # what is shuffled; rows in random order leave little to the shuffle's own codec
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
@@ -137,10 +137,10 @@ def _write(folder: str, length: int, per_shard: int):
                 filled = len(data) // WIDTH
                 data += end * (length - filled)
                 out.write(bytes(data))
-                rows.append((slot, shard, (slot - shard * per_shard) * stride, filled, ids, hashlib.sha256(data).hexdigest(), f"{folder}/{name}"))
+                rows.append((slot, shard, (slot - shard * per_shard) * stride, filled, ids, hashlib.sha256(data).digest(), f"{folder}/{name}"))
         store.move(own, f"{base}/{name}")
         return pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.string(), pa.string()))], [x.split()[0] for x in _SEQUENCES.split(", ")]
+            [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.string()))], [x.split()[0] for x in _SEQUENCES.split(", ")]
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,13 +177,13 @@ def write_shards(
     spark = docs.sparkSession
     d = pick(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), text_of("text").alias("text")).withColumn("sub", F.xxhash64("text"))
     made = d.mapInArrow(_tokens(path or default_path(VOCABULARY)), "id long, sub long, n long, tokens binary")
-    tokens = materialize(made.withColumn("row", F.monotonically_increasing_id()), "order-tokens")
+    tokens = materialize(made.withColumn("row", F.monotonically_increasing_id()), "order-tokens", level=9)
     start, total = places(tokens.select("row", "id", "sub", "n"))
     placed = tokens.select("row", "id", "tokens").join(broadcast_if(start, tokens.count(), BROADCAST_ROWS), "row")
     pieces = placed.select("id", "start", "tokens").mapInArrow(_pieces(total, length, key), _PIECES)
     shards = max(1, -(-total // (length * per_shard)))
     dealt = pieces.repartition(min(shards, 100_000), F.floor(F.col("slot") / per_shard)).sortWithinPartitions("slot", "at")
-    return materialize(dealt.mapInArrow(_write(folder, length, per_shard), _SEQUENCES), "order-sequences")
+    return materialize(dealt.mapInArrow(_write(folder, length, per_shard), _SEQUENCES), "order-sequences").withColumn("sha256", F.lower(F.hex("sha256")))
 
 
 def read_shard(path: str, first: int = 0, length: int = LENGTH) -> Iterator[np.ndarray]:
