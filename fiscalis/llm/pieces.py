@@ -177,12 +177,12 @@ def encode(text: bytes, path: str) -> tuple[list[int], np.ndarray, np.ndarray]:
     return ids, starts[until - of], ends[until - 1]
 
 
-def _batches(path: str):
+def _batches(path: str, spans: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = sentencepiece(path)
         for b in batches:
-            for at in range(0, b.num_rows, 500):  # a piece takes 12 bytes here, so few texts at a time
-                part = b.slice(at, 500)
+            for at in range(0, b.num_rows, 250):  # a piece takes 12 bytes here, so few texts at a time
+                part = b.slice(at, 250)
                 ids, starts, ends, decoded, offsets = [], [], [], [], [0]
                 for cell in part.column("text").cast(pa.large_binary()):
                     i, s, e = encode(cell.as_buffer().to_pybytes(), path)
@@ -192,20 +192,21 @@ def _batches(path: str):
                     decoded.append(library.decode(i))
                     offsets.append(offsets[-1] + len(i))
                 to = pa.array(offsets, pa.int32())
-                lists = [pa.ListArray.from_arrays(to, pa.array(np.concatenate([*x, np.zeros(0)]).astype(np.int32))) for x in (ids, starts, ends)]
-                yield pa.RecordBatch.from_arrays([part.column("id"), *lists, pa.array(decoded, pa.string())], ["id", "ids", "starts", "ends", "decoded"])
+                lists = {"ids": ids, "starts": starts, "ends": ends} if spans else {"ids": ids}
+                arrays = [pa.ListArray.from_arrays(to, pa.array(np.concatenate([*x, np.zeros(0)]).astype(np.int32))) for x in lists.values()]
+                yield pa.RecordBatch.from_arrays([part.column("id"), *arrays, pa.array(decoded, pa.string())], ["id", *lists, "decoded"])
 
     return run
 
 
-def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """One row (id, ids, starts, ends, decoded) per row of docs, as the library encodes the whole text without begin or end ids.
+def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, spans: bool = True) -> DataFrame:
+    """One row (id, ids, starts, ends, decoded), without starts and ends if no spans are asked for, per row of docs, as the library encodes the whole text without begin or end ids.
 
     starts and ends are byte offsets in the original text; the blank put in front has an empty span at 0. Null texts count
     as empty: no pieces, decoded empty. Repeated rows and ids stay rows of their own; null ids stay null.
     """
     kept = pick(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), text_of("text").alias("text"))
-    return kept.mapInArrow(_batches(path or default_path(MODEL)), SCHEMA)
+    return kept.mapInArrow(_batches(path or default_path(MODEL), spans), SCHEMA if spans else SCHEMA.replace("starts array<int>, ends array<int>, ", ""))
 
 
 def digests(found: DataFrame) -> DataFrame:
