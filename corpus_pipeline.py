@@ -37,10 +37,10 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of each document with the byte spans of its pieces, and digests of the ids and of the decoded text."""
-    found = pieces.encode_pieces(docs)
+    """The ids of each document, and digests of the ids and of the decoded text; the spans of the pieces aren't kept."""
+    found = pieces.encode_pieces(docs, spans=False)
     return found.select(
-        F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), "ids", "starts", "ends",
+        F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), "ids",
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
 
