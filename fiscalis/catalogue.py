@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from fiscalis.plans import money, pages, registry  # noqa: F401  the modules register their queries
+
 
 def queries() -> dict:
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.SQL)
