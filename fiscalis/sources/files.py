@@ -39,7 +39,7 @@ def finance_list(spark: SparkSession, path: str, section: str) -> DataFrame:
 
 def reports(spark: SparkSession, path: str) -> DataFrame:
     """Markdown reports, whole: file and text."""
-    d = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").option("ignoreMissingFiles", True).text(path)
+    d = spark.read.option("ignoreMissingFiles", True).text(path, wholetext=True, pathGlobFilter="*.md")
     return d.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), F.col("value").alias("text"))
 
 
