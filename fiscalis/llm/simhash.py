@@ -123,10 +123,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of docs for each group of near-duplicates: the one that names its component; of several rows with that id, the one whose text has the smallest hash, once."""
     found = near_duplicates(docs, id_col, text_col)
-    named = found.where(F.col("id").eqNullSafe(F.col("component"))).groupBy("component").agg(F.min("sub").alias("_sub")).withColumnRenamed("component", "_id")
+    named = found.where(F.col("id").eqNullSafe(F.col("component"))).groupBy("component").agg(F.min("sub").alias("__kept_sub")).withColumnRenamed("component", "__kept_id")
     kept = materialize(named, "simhash-kept")
     own_id, own_sub = docs[f"`{id_col}`"].cast("long"), F.xxhash64(F.coalesce(docs[f"`{text_col}`"], F.lit("")))
-    out = docs.join(broadcast_if(kept, n := kept.count(), BROADCAST_ROWS), own_id.eqNullSafe(F.col("_id")) & (own_sub == F.col("_sub")), "left_semi")
+    out = docs.join(broadcast_if(kept, n := kept.count(), BROADCAST_ROWS), own_id.eqNullSafe(F.col("__kept_id")) & (own_sub == F.col("__kept_sub")), "left_semi")
     rows, ids = docs.agg(F.count("*"), F.count_distinct(own_id)).first()
     return out if rows == ids or not n else out.dropDuplicates([id_col])
 
