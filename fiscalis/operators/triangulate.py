@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,16 +16,27 @@ LEAST = 65.0
 SEVERE = ("FLAGGED_BY_MODEL",)
 
 
+def _places(a: str) -> dict[str, int]:
+    """For each character the places at which it stands, as bits."""
+    out: dict[str, int] = {}
+    for i, x in enumerate(a):
+        out[x] = out.get(x, 0) | 1 << i
+    return out
+
+
+def _common(places: dict[str, int], size: int, b: str) -> int:
+    """The length of the longest common subsequence, all places of the first text at a time as the bits of a whole number."""
+    full = (1 << size) - 1
+    row = full
+    for x in b:
+        hit = row & places.get(x, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return size - row.bit_count()
+
+
 def likeness(a: str, b: str) -> float:
     """100 times twice the longest common subsequence over both lengths."""
-    if not a and not b:
-        return 100.0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        left = 0
-        for j, y in enumerate(b):
-            row[j + 1], left = (left + 1 if x == y else max(row[j + 1], row[j])), row[j + 1]
-    return 200.0 * row[-1] / (len(a) + len(b))
+    return 200.0 * _common(_places(a), len(a), b) / (len(a) + len(b)) if a or b else 100.0
 
 
 def sorted_likeness(a: str, b: str) -> float:
@@ -33,12 +46,15 @@ def sorted_likeness(a: str, b: str) -> float:
 def part_likeness(a: str, b: str) -> float:
     """The best likeness of the shorter to any stretch of the longer that is as long, those cut off by the edges included."""
     short, long_ = sorted((a, b), key=len)
-    if not short:
-        return 100.0 if not long_ else 0.0
     m = len(short)
-    return max(likeness(short, long_[max(0, i) : i + m]) for i in range(1 - m, len(long_)))
+    if not m:
+        return 100.0 if not long_ else 0.0
+    places = _places(short)
+    stretches = {long_[max(0, i) : i + m] for i in range(1 - m, len(long_))}
+    return max(200.0 * _common(places, m, x) / (m + len(x)) for x in stretches)
 
 
+@lru_cache(1 << 17)
 def score(project: str, finding: str, sentence: str) -> float:
     """Of names if the finding has one, else of the project's first 60 characters and the sentence."""
     if finding:
@@ -49,8 +65,8 @@ def score(project: str, finding: str, sentence: str) -> float:
 
 @F.pandas_udf(DoubleType())
 def _scores(project: pd.Series, finding: pd.Series, sentence: pd.Series) -> pd.Series:
-    known: dict[tuple, float] = {}
-    return pd.Series([known.setdefault(k, score(*k)) if k not in known else known[k] for k in zip(project.fillna(""), finding.fillna(""), sentence.fillna(""))])
+    # a named finding is scored by its name alone, so its sentence is no part of what is looked up
+    return pd.Series([score(p, f, "" if f else s) for p, f, s in zip(project.fillna(""), finding.fillna(""), sentence.fillna(""))], dtype=float)
 
 
 def links(projects: DataFrame, findings: DataFrame, key: str = "county", least: float = LEAST) -> DataFrame:
