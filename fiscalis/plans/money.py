@@ -205,7 +205,7 @@ def narration(t):
     return top.join(n, "county").select("county", said.alias("narration"))
 
 
-@query("SELECT user_id, count(*) AS n_events, s AS session FROM (SELECT user_id, sum(g) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS g FROM events)) GROUP BY ALL")
+@query("SELECT user_id, count(*) AS n_events, s::BIGINT AS session FROM (SELECT user_id, sum(g) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS g FROM events)) GROUP BY ALL")
 def ext_event_sessions(t):
     from pyspark.sql import Window
 

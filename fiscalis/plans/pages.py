@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fiscalis.functions import geometry as G
 from fiscalis.functions import text as T
 from fiscalis.operators import documents as D
-from fiscalis.operators import scoring, tables, triangulate
+from fiscalis.operators import citizen, quality, scoring, tables, triangulate
 from fiscalis.operators.mart import absorption
 from fiscalis.plans.registry import query
 
@@ -320,3 +320,67 @@ def tri_oag_only(t):
 @query("SELECT p_partkey, CASE WHEN p_size = 0 THEN 'UNKNOWN' WHEN p_size < 30 THEN 'LOW' ELSE 'NORMAL' END AS status FROM part")
 def part_status(t):
     return t("part").select("p_partkey", absorption(F.col("p_size")).alias("status"))
+
+
+@query(f"""WITH {_sql_boxes('a', 'l_orderkey % 5 = 0')}, s AS (SELECT *, (x2 - x1) * (y2 - y1) AS area FROM a)
+ SELECT page, count(*) AS n, round(0.8::DOUBLE * max(score) + 0.2::DOUBLE * (sum(area)::DOUBLE / (count(*) * 480000)) + least(0.2::DOUBLE, 0.03::DOUBLE * count(*)), 4) AS quality, max(area) >= 4800 AS plausible FROM s GROUP BY 1""")
+def det_stabilise(t):
+    return quality.detection_quality(_boxes(t, "l_orderkey % 5 = 0"), ["page"], 480000)
+
+
+@query(f"""WITH {_sql_boxes('a', 'l_orderkey % 5 = 0')} SELECT page, count(*) AS n_tables, sum(score)::BIGINT AS confidence_sum, round(12 * count(*) + 8 * sum(score) + 30 * (sum((x2 - x1) * (y2 - y1))::DOUBLE / 480000), 8) AS model_score FROM a GROUP BY 1""")
+def page_quality(t):
+    return quality.page_quality(_boxes(t, "l_orderkey % 5 = 0"), ["page"], 480000).drop("share_sum")
+
+
+def _texts(t) -> DataFrame:
+    p, n = F.col("l_partkey"), F.col("l_linenumber")
+    text = F.when(p % 7 == 0, "").when(p % 7 == 1, "A. Roads").when(p % 7 == 2, F.concat((p % 50).cast("string"), F.lit("%"))).when(p % 7 == 3, "Roads").otherwise(F.concat((p + 1000).cast("string"), F.lit(",000")))
+    d = t("lineitem").where("l_orderkey % 3 = 0").select(F.col("l_orderkey").alias("table_id"), (F.col("l_suppkey") % 2).cast("int").alias("row_idx"), (n - 1).cast("int").alias("col_idx"), (1 + p % 2).cast("int").alias("col_span"), text.alias("text"))
+    first = F.row_number().over(Window.partitionBy("table_id", "row_idx", "col_idx").orderBy("text", "col_span"))
+    return d.withColumn("k", first).where("k = 1").drop("k")
+
+
+TEXTS = """x AS (SELECT l_orderkey AS table_id, (l_suppkey % 2)::INT AS row_idx, (l_linenumber - 1)::INT AS col_idx, (1 + l_partkey % 2)::INT AS col_span,
+   CASE l_partkey % 7 WHEN 0 THEN '' WHEN 1 THEN 'A. Roads' WHEN 2 THEN (l_partkey % 50) || '%' WHEN 3 THEN 'Roads' ELSE (l_partkey + 1000) || ',000' END AS text FROM lineitem WHERE l_orderkey % 3 = 0
+   QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_suppkey % 2, l_linenumber ORDER BY text, col_span) = 1)"""
+
+
+@query(rf"""WITH {TEXTS}, f AS (SELECT * FROM x WHERE trim(text) <> '' QUALIFY row_number() OVER (PARTITION BY table_id, row_idx ORDER BY col_idx) = 1)
+ SELECT table_id, row_idx, CASE WHEN regexp_matches(text, '^(?:[A-Z]|[IVXLC]+|\d+)[.)]\s+') THEN 1 WHEN col_idx = 0 AND col_span > 1 THEN 1 WHEN col_idx <= 1 THEN 2 ELSE 3 END AS level FROM f""")
+def text_hierarchy(t):
+    return quality.row_levels(_texts(t), ["table_id"])
+
+
+@query(f"""WITH {TEXTS}, n AS (SELECT *, ends_with(text, '%') AS p, try_cast(nullif(regexp_extract(replace(text, ',', ''), '-?\\d+(?:\\.\\d+)?'), '') AS DOUBLE) AS v FROM x),
+ r AS (SELECT table_id, row_idx, list(v ORDER BY col_idx) FILTER (v IS NOT NULL AND NOT p) AS plain, max_by(v, col_idx) FILTER (p AND v IS NOT NULL) AS stated, bool_or(trim(text) <> '') AS filled FROM n GROUP BY 1, 2),
+ g AS (SELECT *, coalesce(len(plain) >= 2 AND stated IS NOT NULL AND plain[1] <> 0, false) AS fit, coalesce(abs(plain[2] * 100 / plain[1] - stated) > 2, false) AS off FROM r),
+ h AS (SELECT *, fit AND row_number() OVER (PARTITION BY table_id ORDER BY fit DESC, row_idx) = 1 AS first FROM g),
+ e AS (SELECT table_id, NOT bool_or(filled) AS empty, bool_or(first AND off) AS ratio_off FROM h GROUP BY 1) SELECT *, NOT empty AND NOT ratio_off AS is_valid FROM e""")
+def validate_cells(t):
+    return quality.checked(_texts(t), ["table_id"])
+
+
+@query("""WITH o AS (SELECT c_nationkey AS n, o_orderstatus AS status, o_orderkey AS seq FROM orders JOIN customer ON o_custkey = c_custkey), l AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY n ORDER BY seq DESC) = 1)
+ SELECT string_agg('NATION_' || n || '=' || status, ';' ORDER BY 'NATION_' || n) AS counties, count(*) AS total_counties FROM l""")
+def citizen_rekey(t):
+    o = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.concat(F.lit("NATION_"), F.col("c_nationkey").cast("string")).alias("county"), F.col("o_orderstatus").alias("status"), F.col("o_orderkey").alias("seq"))
+    d = citizen.by_county(o, "seq")
+    return d.select(F.array_join(F.transform(F.map_entries("counties"), lambda e: F.concat(e["key"], F.lit("="), e["value"]["status"])), ";").alias("counties"), "total_counties")
+
+
+@query(f"""WITH {TEXTS} SELECT table_id, string_agg(row_idx || ',' || col_idx || ',' || text, ';' ORDER BY row_idx, col_idx) AS cells FROM x WHERE trim(text) <> '' GROUP BY 1""")
+def citizen_strip(t):
+    cell = F.struct("row_idx", "col_idx", F.col("text").alias("raw_text"), F.lit(0.5).alias("confidence"), F.lit("x").alias("image_raw"))
+    tables_ = _texts(t).groupBy("table_id").agg(F.sort_array(F.collect_list(cell)).alias("cells")).select(F.col("table_id").alias("doc"), F.array(F.struct("table_id", F.lit(1).alias("page_number"), "cells")).alias("tables"))
+    d = citizen.text_only(citizen.without_keys(tables_, lambda name: name.endswith("_raw"))).select(F.explode("tables").alias("t"))
+    return d.select("t.table_id", F.array_join(F.transform("t.cells", lambda c: F.concat_ws(",", c["row_idx"].cast("string"), c["col_idx"].cast("string"), c["raw_text"])), ";").alias("cells"))
+
+
+@query("""SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)""")
+def name_contains(t):
+    """Items inside documents: joined on the item's first word and verified, so that no pair without a common word is formed."""
+    first = lambda c: F.get(F.filter(F.split(c, " "), lambda w: w != ""), F.lit(0))
+    b = t("benchmark").select("item_id", F.col("text").alias("inner"), first("text").alias("word"))
+    d = t("documents").select("doc_id", "text", F.explode(F.array_distinct(F.split("text", r"[ \n]"))).alias("word"))
+    return d.join(b, "word").where(F.contains("text", "inner")).select("item_id", "doc_id").distinct()
