@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,7 +52,6 @@ def part_likeness(a: str, b: str) -> float:
     return max(200.0 * _common(places, m, x) / (m + len(x)) for x in stretches)
 
 
-@lru_cache(1 << 17)
 def score(project: str, finding: str, sentence: str) -> float:
     """Of names if the finding has one, else of the project's first 60 characters and the sentence."""
     if finding:
@@ -65,14 +62,17 @@ def score(project: str, finding: str, sentence: str) -> float:
 
 @F.pandas_udf(DoubleType())
 def _scores(project: pd.Series, finding: pd.Series, sentence: pd.Series) -> pd.Series:
-    # a named finding is scored by its name alone, so its sentence is no part of what is looked up
-    return pd.Series([score(p, f, "" if f else s) for p, f, s in zip(project.fillna(""), finding.fillna(""), sentence.fillna(""))], dtype=float)
+    return pd.Series([score(*names) for names in zip(project, finding, sentence)], dtype=float)
 
 
 def links(projects: DataFrame, findings: DataFrame, key: str = "county", least: float = LEAST) -> DataFrame:
-    """All pairs of one county whose names are alike enough. projects: key, project_idx, project_name; findings: key, finding_idx, finding_name, sentence, kind."""
-    both = projects.join(findings, key)
-    return both.withColumn("score", F.round(_scores("project_name", "finding_name", "sentence"), 4)).where(F.col("score") >= least)
+    """All pairs of one county whose names are alike enough; each pair of names is scored once, wherever it occurs. projects: key, project_idx, project_name; findings: key, finding_idx, finding_name, sentence, kind."""
+    empty = lambda c: F.coalesce(c, F.lit(""))
+    both = projects.join(findings, key).withColumn("_p", empty("project_name")).withColumn("_f", empty("finding_name"))
+    both = both.withColumn("_s", F.when(F.col("_f") != "", "").otherwise(empty("sentence")))  # a named finding is scored by its name alone
+    tasks = int(projects.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but much work: not to be coalesced
+    scored = both.select("_p", "_f", "_s").distinct().repartition(tasks, "_p", "_f", "_s").withColumn("score", F.round(_scores("_p", "_f", "_s"), 4)).where(F.col("score") >= least)
+    return both.join(scored, ["_p", "_f", "_s"]).drop("_p", "_f", "_s")
 
 
 def triangulated(projects: DataFrame, findings: DataFrame, key: str = "county", least: float = LEAST) -> DataFrame:
