@@ -5,16 +5,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words are runs of characters other than ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
-#: ASCII white space, as \s would match more in some engines.
-SPACE = r"[\x20\x09-\x0D]+"
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -24,6 +18,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: spark.checkpoint.dir of the session, else (as in local tests) a new one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
+        if not spark.sparkContext.getCheckpointDir():
+            spark.sparkContext.setCheckpointDir(found)
         return found.rstrip("/")
     now = spark.sparkContext.getCheckpointDir()
     if not now:
@@ -70,7 +66,3 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
 def broadcast_if(df: DataFrame, rows: int, most: int) -> DataFrame:
     """A broadcast hint, given only where the counted rows stay within the bound; otherwise Spark shuffles both sides."""
     return F.broadcast(df) if rows <= most else df
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)

@@ -286,7 +286,6 @@ def test_op1(spark, data, texts):
     for r in queries()["op1_token_counts"](spark, data).collect():
         got.setdefault(r.doc_id, []).append((r.section, r.char_start, r.char_end, r.n_tokens))
     for i, t in list(texts.items())[:40]:
-        lines = t.splitlines(keepends=True) if "\r" not in t else None
         raw, at, where = t.encode(), 0, []
         for x in encoding.encode_ordinary(t):
             where.append(len(raw[:at].decode(errors="ignore")))
@@ -296,7 +295,6 @@ def test_op1(spark, data, texts):
             want = sum(begin <= w < begin + len(line) for w in where)
             assert sorted(got[i])[k] == (k, begin, begin + len(line), want)
             begin += len(line)
-        assert lines is None or len(lines) >= 0
 
 
 def test_long_documents_hold_short_items(spark):
