@@ -65,6 +65,9 @@ def _scores(project: pd.Series, finding: pd.Series, sentence: pd.Series) -> pd.S
     return pd.Series([score(*names) for names in zip(project, finding, sentence)], dtype=float)
 
 
+_scores = _scores.asNondeterministic()  # else the optimiser has the scores made once for the filter and once more for the result
+
+
 def links(projects: DataFrame, findings: DataFrame, key: str = "county", least: float = LEAST) -> DataFrame:
     """All pairs of one county whose names are alike enough; each pair of names is scored once, wherever it occurs. projects: key, project_idx, project_name; findings: key, finding_idx, finding_name, sentence, kind."""
     empty = lambda c: F.coalesce(c, F.lit(""))
