@@ -58,3 +58,12 @@ def test_every_part_is_linked(spark, data):
     assert got == {k: round(v, 4) for k, v in scored.items() if round(v, 4) >= triangulate.LEAST}
     verdicts = catalogue.queries()["tri_verdicts"](spark, data).collect()
     assert sorted(r.project_idx for r in verdicts if r.project_idx is not None) == sorted(r.project_idx for r in p)
+
+
+def test_names_wherever_they_begin(spark, tmp_path):
+    items = ["Thing.\nErlyeash of the old road", "open road to the sea side", "word", "two words", "", None, " a  b  c ", "a b c d e"]
+    texts = ["x Thing.\nErlyeash of the old road y", "(open road to the sea side)", "\topen road to the sea sides", "sword", "two words two words", "", None, "x a  b  c  y", "a b c d e a b c d e", "a b c d", "a b c d e a b c d e"]
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.item_id, r.doc_id) for r in catalogue.queries()["name_contains"](spark, str(tmp_path)).collect())
+    assert got == [(i, k) for i, x in enumerate(items) for k, y in enumerate(texts) if x is not None and y is not None and x in y]
