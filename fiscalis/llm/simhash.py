@@ -103,7 +103,7 @@ def links(distinct: DataFrame, m: int, largest_block: int = LARGEST_BLOCK) -> Da
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", largest_block: int = LARGEST_BLOCK) -> DataFrame:
-    """One row (id, sub, fp, component) per row of docs; component is the smallest id that is reachable over links of at most 2 bits.
+    """One row (id, sub, fp, component, root) per row of docs; component is the smallest id that is reachable over links of at most 2 bits, root the smallest fingerprint, which no other component has.
 
     Lower-cases A-Z, takes words between ASCII white space and shingles of 3 words, repeats included (fewer words: the
     whole sequence). Texts without a word, null ones included, share the fingerprint 0 and so link to each other.
@@ -116,19 +116,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = connected_components(links(distinct.select("fp"), m, largest_block)).select(F.col("node").alias("fp"), "root")
     group = distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = group.groupBy("root").agg(F.min("least").alias("component"))
-    of_fp = group.join(named, "root").select(F.col("fp").alias("f"), "component")
-    return every.join(of_fp, F.col("fp") == F.col("f")).select("id", "sub", "fp", "component")
+    of_fp = group.join(named, "root").select(F.col("fp").alias("f"), "component", "root")
+    return every.join(of_fp, F.col("fp") == F.col("f")).select("id", "sub", "fp", "component", "root")
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of docs for each group of near-duplicates: the one that names its component; of several rows with that id, the one whose text has the smallest hash, once."""
-    found = near_duplicates(docs, id_col, text_col)
-    named = found.where(F.col("id").eqNullSafe(F.col("component"))).groupBy("component").agg(F.min("sub").alias("__kept_sub")).withColumnRenamed("component", "__kept_id")
-    kept = materialize(named, "simhash-kept")
+    """One row of docs for each group of near-duplicates: the one with the smallest id (null ids last), of several rows with that id the one whose text has the smallest hash, once."""
+    each = near_duplicates(docs, id_col, text_col).groupBy("root", "id", "sub").agg(F.count("*").alias("n"))
+    first = each.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "sub", "n")).alias("k"))
+    kept = materialize(first.select(F.col("k.id").alias("__kept_id"), F.col("k.sub").alias("__kept_sub"), F.col("k.n").alias("__kept_n")), "simhash-kept")
+    n, most = kept.agg(F.count("*"), F.max("__kept_n")).first()
     own_id, own_sub = docs[f"`{id_col}`"].cast("long"), F.xxhash64(F.coalesce(docs[f"`{text_col}`"], F.lit("")))
-    out = docs.join(broadcast_if(kept, n := kept.count(), BROADCAST_ROWS), own_id.eqNullSafe(F.col("__kept_id")) & (own_sub == F.col("__kept_sub")), "left_semi")
-    rows, ids = docs.agg(F.count("*"), F.count_distinct(own_id)).first()
-    return out if rows == ids or not n else out.dropDuplicates([id_col])
+    out = docs.join(broadcast_if(kept, n, BROADCAST_ROWS), own_id.eqNullSafe(F.col("__kept_id")) & (own_sub == F.col("__kept_sub")))
+    if (most or 0) > 1:  # rows equal in id and text: only these are shuffled
+        out = out.where("__kept_n = 1").unionByName(out.where("__kept_n > 1").dropDuplicates(["__kept_id", "__kept_sub"]))
+    return out.drop("__kept_id", "__kept_sub", "__kept_n")
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:

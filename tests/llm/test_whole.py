@@ -1,0 +1,22 @@
+"""That the stages keep all they should: unrelated documents with null or repeated ids, items without an id, the spans of pieces."""
+
+import xxhash
+from pyspark.sql import functions as F
+from test_brute_force import plain_components, plain_fingerprint
+from test_messy import ROWS, SCHEMA
+
+from fiscalis.llm import simhash
+
+
+def test_one_row_of_each_group(spark):
+    rows = [*ROWS, (None, "quite another text that has no id", "en", "s", 1), (None, "a third text with words of its own", "en", "s", 2), (1, "yet another text with an id seen before", "en", "s", 3)]
+    groups: dict = {}
+    for k, root in plain_components({k: plain_fingerprint(r[1] or "") for k, r in enumerate(rows)}).items():
+        groups.setdefault(root, []).append(rows[k])
+    signed = lambda t: int.from_bytes(xxhash.xxh64(t.encode(), 42).digest(), "big", signed=True)
+    want = [min(g, key=lambda r: (r[0] is None, r[0] or 0, signed(r[1] or "")))[:2] for g in groups.values()]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for d in (docs, docs.withColumn("root", F.lit(1)).withColumn("component", F.lit(2))):
+        out = simhash.representatives(d)
+        assert out.columns == d.columns
+        assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted(want, key=str)
