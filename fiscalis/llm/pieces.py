@@ -14,6 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,8 @@ from fiscalis.llm.tokenizers import default_path, sentencepiece
 
 MODEL = "piece_bpe_32k.model"
 BLANK = "▁".encode()
+#: Text that is encoded into one Arrow batch; a piece takes 12 bytes there.
+PART_BYTES = 128 * 1024
 #: Kinds of pieces and numbers of fields in the model's file format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
 SCHEMA = "id long, ids array<int>, starts array<int>, ends array<int>, decoded string"
@@ -177,23 +180,31 @@ def encode(text: bytes, path: str) -> tuple[list[int], np.ndarray, np.ndarray]:
     return ids, starts[until - of], ends[until - 1]
 
 
+def _parts(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in parts of about PART_BYTES of text, at least one row each."""
+    size = pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = (np.cumsum(size) - size) // PART_BYTES
+    cut = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows]
+    for low, high in zip(cut[:-1], cut[1:]):
+        yield b.slice(low, high - low)
+
+
 def _batches(path: str, spans: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = sentencepiece(path)
         for b in batches:
-            for at in range(0, b.num_rows, 250):  # a piece takes 12 bytes here, so few texts at a time
-                part = b.slice(at, 250)
+            for part in _parts(b):
                 ids, starts, ends, decoded, offsets = [], [], [], [], [0]
                 for cell in part.column("text").cast(pa.large_binary()):
                     i, s, e = encode(cell.as_buffer().to_pybytes(), path)
                     ids.append(np.array(i, np.int32))
-                    starts.append(s)
-                    ends.append(e)
+                    starts.append(s.astype(np.int32))
+                    ends.append(e.astype(np.int32))
                     decoded.append(library.decode(i))
                     offsets.append(offsets[-1] + len(i))
                 to = pa.array(offsets, pa.int32())
                 lists = {"ids": ids, "starts": starts, "ends": ends} if spans else {"ids": ids}
-                arrays = [pa.ListArray.from_arrays(to, pa.array(np.concatenate([*x, np.zeros(0)]).astype(np.int32))) for x in lists.values()]
+                arrays = [pa.ListArray.from_arrays(to, pa.array(np.concatenate([*x, np.zeros(0, np.int32)]))) for x in lists.values()]
                 yield pa.RecordBatch.from_arrays([part.column("id"), *arrays, pa.array(decoded, pa.string())], ["id", *lists, "decoded"])
 
     return run

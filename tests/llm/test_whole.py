@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from test_brute_force import plain_components, plain_fingerprint
 from test_messy import ROWS, SCHEMA
 
-from fiscalis.llm import simhash
+import corpus_pipeline
+from fiscalis.llm import pieces, simhash
 
 
 def test_one_row_of_each_group(spark):
@@ -20,3 +21,15 @@ def test_one_row_of_each_group(spark):
         out = simhash.representatives(d)
         assert out.columns == d.columns
         assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted(want, key=str)
+
+
+def test_spans_leave_the_pipeline(spark, data):
+    texts = [(1, "  two  blanks é\U0001f600あx"), (2, ""), (3, None), (4, "word " * 100000), (5, "the end")]
+    out = corpus_pipeline.encode(spark, spark.createDataFrame(texts, "doc_id long, text string").coalesce(1), data)
+    rows = {r.doc_id: r for r in out.collect()}
+    for i, t in texts:
+        raw = (t or "").encode()
+        ids, starts, ends = pieces.encode(raw, pieces.default_path(pieces.MODEL))
+        r = rows[i]
+        assert (list(r.ids), list(r.starts), list(r.ends), r.n_tokens) == (ids, starts.tolist(), ends.tolist(), len(ids))
+        assert b"".join(raw[a:b] for a, b in zip(r.starts, r.ends)) == raw
