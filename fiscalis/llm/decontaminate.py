@@ -53,11 +53,11 @@ def item_shingles(items: DataFrame, width: int) -> DataFrame:
     w = items.select("item", words(text_of("text")).alias("w")).where(F.get("w", F.lit(0)) != "").select("item", "w", F.least(F.size("w"), F.lit(width)).alias("width"))
     shingle = F.transform(F.sequence(F.lit(1), F.size("w") - F.col("width") + 1), lambda i: F.slice("w", i, F.col("width")))
     each = w.select("item", "width", F.explode(F.array_distinct(shingle)).alias("s")).distinct()
-    q = each.groupBy("item").agg(F.count_distinct("s").alias("q"))
+    q = each.groupBy(F.col("item").alias("of")).agg(F.count_distinct("s").alias("q"))
     hashed = F.lit(0).cast("long")
     for k in range(1, width + 1):
         hashed = F.when(F.col("width") == k, F.xxhash64(*(F.get("s", F.lit(i)) for i in range(k)))).otherwise(hashed)
-    return each.join(q, "item").select("item", "width", F.array_join("s", " ").alias("shingle"), hashed.alias("hash"), "q")
+    return each.join(q, F.col("item").eqNullSafe(F.col("of"))).select("item", "width", F.array_join("s", " ").alias("shingle"), hashed.alias("hash"), "q")
 
 
 def sketches(shingles: DataFrame, containment: float) -> DataFrame:

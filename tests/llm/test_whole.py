@@ -6,7 +6,7 @@ from test_brute_force import plain_components, plain_fingerprint
 from test_messy import ROWS, SCHEMA
 
 import corpus_pipeline
-from fiscalis.llm import pieces, simhash
+from fiscalis.llm import decontaminate, pieces, simhash
 
 
 def test_one_row_of_each_group(spark):
@@ -23,6 +23,13 @@ def test_one_row_of_each_group(spark):
         assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted(want, key=str)
 
 
+def test_items_without_an_id(spark):
+    docs = spark.createDataFrame([(1, "we have alpha beta gamma delta epsilon zeta here"), (2, "nothing of it")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "alpha beta gamma delta epsilon zeta")], "item_id long, text string")
+    assert [tuple(r) for r in decontaminate.contained(docs, items).collect()] == [(1, None, 1.0, 2, 2)]
+    assert [r.doc_id for r in decontaminate.clean(docs, items).collect()] == [2]
+
+
 def test_spans_leave_the_pipeline(spark, data):
     texts = [(1, "  two  blanks é\U0001f600あx"), (2, ""), (3, None), (4, "word " * 100000), (5, "the end")]
     out = corpus_pipeline.encode(spark, spark.createDataFrame(texts, "doc_id long, text string").coalesce(1), data)
