@@ -28,8 +28,8 @@ from fiscalis.llm.tokenizers import END_OF_TEXT, byte_bpe, default_path
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Tokens of a sequence, sequences of a shard, bytes of an id, and the key of the permutation.
-LENGTH = 2048
-PER_SHARD = 1024
+LENGTH = 512
+PER_SHARD = 4096
 WIDTH = 2
 KEY = 42
 ROUNDS = 6
