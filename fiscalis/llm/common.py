@@ -15,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir of the session, else (as in local tests) a new one."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir of the session; where it is unset, a new one in local mode, and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         if not spark.sparkContext.getCheckpointDir():
@@ -23,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
         return found.rstrip("/")
     now = spark.sparkContext.getCheckpointDir()
     if not now:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
         now = spark.sparkContext.getCheckpointDir()
     return now.rstrip("/")
@@ -35,6 +37,18 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme that Spark itself would take for it, so that every executor means the same place."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    full = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    return f"file://{full[5:]}" if full.startswith("file:/") and not full.startswith("file://") else full
+
+
+def release(df: DataFrame) -> None:
+    """Deletes what materialize() wrote for df, once its last reader is done."""
+    remove(df.sparkSession, df._shared_path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
@@ -50,7 +64,9 @@ def materialize(df: DataFrame, name: str, level: int = 3) -> DataFrame:
     path = new_path(spark, name)
     df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level)).parquet(path)
     spark.sparkContext._jvm.System.gc()  # shuffle files that nothing needs now go at once, not when the driver's heap fills
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._shared_path = path
+    return out
 
 
 def text_of(col: str) -> Column:

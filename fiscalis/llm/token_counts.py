@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fiscalis.llm.common import pick, table, text_of
-from fiscalis.llm.tokenizers import byte_bpe, default_path
+from fiscalis.llm.tokenizers import byte_bpe, byte_ids, default_path
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 SCHEMA = "id long, n_tokens long, sections array<struct<section: int, start: int, end: int, n_tokens: double, n_crossing: int>>"
@@ -25,8 +25,8 @@ RULES = ("first", "largest", "share")
 
 def token_spans(text: str, path: str) -> tuple[np.ndarray, np.ndarray]:
     """The characters (start, end) of each token. A token that holds only some bytes of a character has the whole character."""
-    encoding, sizes = byte_bpe(path)
-    until = np.cumsum(sizes[np.array(encoding.encode_ordinary(text), np.int64)])
+    _, sizes = byte_bpe(path)
+    until = np.cumsum(sizes[np.array(byte_ids(text, path), np.int64)])
     data = np.frombuffer(text.encode(), np.uint8)
     char = np.cumsum((data & 0xC0) != 0x80) - 1
     begin = np.concatenate([[0], until[:-1]]) if len(until) else until

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import base64
+import re
 from functools import lru_cache
 
 import numpy as np
 
-#: The free id of the byte-level vocabulary, which ends a document in token streams.
-END_OF_TEXT = 50256
+#: What the vocabularies' pattern takes for white space; runs from this length on are cut out before the pattern sees them, as it backtracks over each whole run.
+LONG_BLANKS = re.compile("[\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{10000,}")
 
 
 def default_path(name: str) -> str:
@@ -31,6 +32,30 @@ def byte_bpe(path: str):
     return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), sizes
 
 
+def byte_ids(text: str, path: str) -> list[int]:
+    """The ids of a text of any length under a byte-level vocabulary.
+
+    The pattern makes one part of a run of blanks but its last one, which goes with what follows; a run at the end is one
+    part. Long runs are therefore encoded as such parts, and the texts between them by the pattern.
+    """
+    encoding, _ = byte_bpe(path)
+    if len(text) < 10000:
+        return encoding.encode_ordinary(text)
+    out, at = [], 0
+    for m in LONG_BLANKS.finditer(text):
+        stop = m.end() if m.end() == len(text) else m.end() - 1
+        out += encoding.encode_ordinary(text[at : m.start()])
+        out += encoding._encode_single_piece(text[m.start() : stop].encode())
+        at = stop
+    return out + encoding.encode_ordinary(text[at:])
+
+
+def end_mark(path: str) -> tuple[int, int]:
+    """The first id that a byte-level vocabulary leaves free, which ends a document in token streams, and the bytes that an id takes there."""
+    free = len(byte_bpe(path)[1])
+    return free, 2 if free < 1 << 16 else 4
+
+
 @lru_cache(2)
 def sentencepiece(path: str):
     import sentencepiece

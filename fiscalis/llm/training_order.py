@@ -5,9 +5,10 @@ into sequences of a fixed length, and a keyed Feistel permutation assigns every
 range of slots; a sequence lies at slot * stride of its shard, so training reads shards from front to back and resumes
 from a slot by one division.
 
-The tokens are made once and written to the shared folder. Only the counts are ordered by id (small rows); each document
-then knows its place in the stream, so its tokens go straight to the shards that they belong to, in one shuffle by range
-of slots. Equal sequences get different slots and hot sources are spread by the permutation, so shards have one size.
+The tokens are made once and written to the shared folder, then dealt by ranges of ids and counted; each document then
+knows its place in the stream, and its tokens go to the shards that they belong to, one task per shard. The plan is the
+same at any size. Equal sequences get different slots and hot sources are spread by the permutation, so shards have one
+size.
 """
 
 from __future__ import annotations
@@ -18,22 +19,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fiscalis.llm.common import broadcast_if, materialize, new_path, pick, table, text_of
-from fiscalis.llm.tokenizers import END_OF_TEXT, byte_bpe, default_path
+from fiscalis.llm.common import materialize, new_path, pick, qualified, release, table, text_of
+from fiscalis.llm.tokenizers import byte_ids, default_path, end_mark
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Tokens of a sequence, sequences of a shard, bytes of an id, and the key of the permutation.
+#: Tokens of a sequence, sequences of a shard, and the key of the permutation.
 LENGTH = 512
 PER_SHARD = 4096
-WIDTH = 2
 KEY = 42
 ROUNDS = 6
-BROADCAST_ROWS = 1_000_000
 
 _PIECES = "slot long, at int, id long, tokens binary"
 _SEQUENCES = "slot long, shard long, byte_offset long, n_tokens int, doc_ids array<long>, sha256 binary, path string"
@@ -66,37 +66,47 @@ def permute(index: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
 
 def _tokens(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding, _ = byte_bpe(path)
+        end, width = end_mark(path)
         for b in batches:
-            found = [np.array([*encoding.encode_ordinary(t or ""), END_OF_TEXT], f"<u{WIDTH}") for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("id"), b.column("sub"), pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["id", "sub", "n", "tokens"]
-            )
+            found = [np.array([*byte_ids(t or "", path), end], f"<u{width}").tobytes() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("sub"), pa.array(found, pa.binary())], ["id", "sub", "tokens"])
 
     return run
 
 
-def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = 0
-    for b in batches:
-        n = b.column("n").to_numpy()
-        until = total + np.cumsum(n)
-        yield pa.RecordBatch.from_arrays([b.column("row"), b.column("part"), b.column("n"), pa.array(until - n)], ["row", "part", "n", "before"])
-        total = int(until[-1]) if len(n) else total
+def _running(width: int):
+    """The tokens before each row in its task."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0
+        for b in batches:
+            n = pc.binary_length(b.column("tokens")).to_numpy().astype(np.int64) // width
+            until = total + np.cumsum(n)
+            yield pa.RecordBatch.from_arrays([b.column("part"), b.column("id"), pa.array(n), pa.array(until - n), b.column("tokens")], ["part", "id", "n", "before", "tokens"])
+            total = int(until[-1]) if len(n) else total
+
+    return run
 
-def places(counts: DataFrame) -> tuple[DataFrame, int]:
-    """(row, start): the tokens before each row of counts(row, id, sub, n) in the order of ids (null ids last); and all tokens."""
-    ordered = counts.repartitionByRange(F.col("id").asc_nulls_last(), "sub", "row").sortWithinPartitions(F.col("id").asc_nulls_last(), "sub", "row")
-    run = ordered.select("row", F.spark_partition_id().alias("part"), "n").mapInArrow(_running, "row long, part int, n long, before long")
-    run = materialize(run, "order-places")
-    # one row per task of the step before: small, whatever the input
+
+def placed(docs: DataFrame, path: str) -> tuple[DataFrame, int]:
+    """(id, start, tokens): the tokens of each document and how many come before them in the order of ids (null ids last); and all tokens.
+
+    The tokens are dealt by ranges of ids once. Inside a range places are counted by its task; only the sums of the
+    ranges, one row each, are told to all.
+    """
+    made = materialize(docs.mapInArrow(_tokens(path), "id long, sub long, tokens binary").withColumn("row", F.monotonically_increasing_id()), "order-tokens")
+    order = F.col("id").asc_nulls_last(), F.col("sub"), F.col("row")  # row: so that equal rows can be dealt to several tasks
+    dealt = made.repartitionByRange(*order).sortWithinPartitions(*order).select(F.spark_partition_id().alias("part"), "id", "tokens")
+    run = materialize(dealt.mapInArrow(_running(end_mark(path)[1]), "part int, id long, n long, before long, tokens binary"), "order-places")
+    release(made)
     parts = run.groupBy("part").agg(F.sum("n").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     total = parts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    return run.join(F.broadcast(parts.select("part", "base")), "part").select("row", (F.col("before") + F.col("base")).alias("start")), total
+    out = run.join(F.broadcast(parts.select("part", "base")), "part").select("id", (F.col("before") + F.col("base")).alias("start"), "tokens")
+    out._shared_path = run._shared_path
+    return out, total
 
 
-def _pieces(total: int, length: int, key: int):
+def _pieces(total: int, length: int, key: int, width: int):
     n = -(-total // length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,9 +116,9 @@ def _pieces(total: int, length: int, key: int):
                 part = b.slice(at, 1000)
                 out: list[list] = [[], [], [], []]
                 for start, doc, tokens in zip(part.column("start").to_pylist(), part.column("id").to_pylist(), part.column("tokens").to_pylist()):
-                    size = len(tokens) // WIDTH
+                    size = len(tokens) // width
                     sequence = np.arange(start // length, (start + size - 1) // length + 1)
-                    cut = np.clip(np.append(sequence * length, (sequence[-1] + 1) * length) - start, 0, size) * WIDTH
+                    cut = np.clip(np.append(sequence * length, (sequence[-1] + 1) * length) - start, 0, size) * width
                     out[0].append(permute(sequence, n, key))
                     out[1].append(np.maximum(start - sequence * length, 0))
                     out[2] += [doc] * len(sequence)
@@ -122,10 +132,10 @@ def _pieces(total: int, length: int, key: int):
     return run
 
 
-def _write(folder: str, length: int, per_shard: int):
+def _write(folder: str, length: int, per_shard: int, end_id: int, width: int):
     """Writes each shard whole, under a name of the attempt's own that becomes the shard's name at the end, so that repeated and parallel attempts do no harm."""
-    stride = length * WIDTH
-    end = np.array(END_OF_TEXT, f"<u{WIDTH}").tobytes()
+    stride = length * width
+    end = np.array(end_id, f"<u{width}").tobytes()
 
     def shard_rows(store, base: str, shard: int, held: dict[int, tuple[list, bytearray]]) -> pa.RecordBatch:
         name = f"shard-{shard:08d}.bin"
@@ -134,7 +144,7 @@ def _write(folder: str, length: int, per_shard: int):
         with store.open_output_stream(own) as out:
             for slot in sorted(held):
                 ids, data = held[slot]
-                filled = len(data) // WIDTH
+                filled = len(data) // width
                 data += end * (length - filled)
                 out.write(bytes(data))
                 rows.append((slot, shard, (slot - shard * per_shard) * stride, filled, ids, hashlib.sha256(data).digest(), f"{folder}/{name}"))
@@ -144,7 +154,7 @@ def _write(folder: str, length: int, per_shard: int):
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = fs.FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
+        store, base = fs.FileSystem.from_uri(folder)
         unpack = zstandard.ZstdDecompressor().decompress
         now, held = None, {}
         for b in batches:
@@ -156,8 +166,8 @@ def _write(folder: str, length: int, per_shard: int):
                     now, held = shard, {}
                     store.create_dir(base, recursive=True)
                 ids, data = held.setdefault(slot, ([], bytearray()))
-                if len(data) != at * WIDTH:
-                    raise ValueError(f"slot {slot} has {len(data) // WIDTH} tokens before those at {at}")
+                if len(data) != at * width:
+                    raise ValueError(f"slot {slot} has {len(data) // width} tokens before those at {at}")
                 data += unpack(tokens)
                 ids.append(doc)
         if held:
@@ -169,30 +179,30 @@ def _write(folder: str, length: int, per_shard: int):
 def write_shards(
     docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, path: str | None = None
 ) -> DataFrame:
-    """Writes the shards into folder (a URI that every executor reaches) and returns one row per sequence: slot, shard, byte_offset, n_tokens without padding, doc_ids in order, sha256 of its bytes, path.
+    """Writes the shards into folder (which every executor reaches; a path without scheme is on Spark's default file system) and returns one row per sequence: slot, shard, byte_offset, n_tokens without padding, doc_ids in order, sha256 of its bytes, path.
 
     Null texts count as empty: an end mark alone. Rows that share an id are ordered by a hash of their text; rows equal in
     both are each written. Null ids come last. The last sequence is filled with end marks. An empty table writes nothing.
     """
-    spark = docs.sparkSession
+    folder, path = qualified(docs.sparkSession, folder), path or default_path(VOCABULARY)
+    end, width = end_mark(path)
     d = pick(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), text_of("text").alias("text")).withColumn("sub", F.xxhash64("text"))
-    made = d.mapInArrow(_tokens(path or default_path(VOCABULARY)), "id long, sub long, n long, tokens binary")
-    tokens = materialize(made.withColumn("row", F.monotonically_increasing_id()), "order-tokens", level=9)
-    start, total = places(tokens.select("row", "id", "sub", "n"))
-    placed = tokens.select("row", "id", "tokens").join(broadcast_if(start, tokens.count(), BROADCAST_ROWS), "row")
-    pieces = placed.select("id", "start", "tokens").mapInArrow(_pieces(total, length, key), _PIECES)
+    tokens, total = placed(d, path)
+    pieces = tokens.mapInArrow(_pieces(total, length, key, width), _PIECES)
     shards = max(1, -(-total // (length * per_shard)))
-    dealt = pieces.repartition(min(shards, 100_000), F.floor(F.col("slot") / per_shard)).sortWithinPartitions("slot", "at")
-    return materialize(dealt.mapInArrow(_write(folder, length, per_shard), _SEQUENCES), "order-sequences").withColumn("sha256", F.lower(F.hex("sha256")))
+    dealt = pieces.repartitionById(min(shards, 100_000), F.floor(F.col("slot") / per_shard).cast("int")).sortWithinPartitions("slot", "at")
+    found = materialize(dealt.mapInArrow(_write(folder, length, per_shard, end, width), _SEQUENCES), "order-sequences")
+    release(tokens)
+    return found.withColumn("sha256", F.lower(F.hex("sha256")))
 
 
-def read_shard(path: str, first: int = 0, length: int = LENGTH) -> Iterator[np.ndarray]:
-    """The sequences of a shard in order, from the first-th on."""
+def read_shard(path: str, first: int = 0, length: int = LENGTH, width: int = 2) -> Iterator[np.ndarray]:
+    """The sequences of a shard in order, from the first-th on; width is the bytes of an id."""
     store, base = fs.FileSystem.from_uri(path if ":" in path else f"file://{path}")
     with store.open_input_file(base) as f:
-        f.seek(first * length * WIDTH)
-        while data := f.read(length * WIDTH):
-            yield np.frombuffer(data, f"<u{WIDTH}")
+        f.seek(first * length * width)
+        while data := f.read(length * width):
+            yield np.frombuffer(data, f"<u{width}")
 
 
 def op9_training_order(spark, sf_dir: str) -> DataFrame:
