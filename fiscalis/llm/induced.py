@@ -36,50 +36,52 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     return _induce_bytes(s, small, lms_sorted)[1:]
 
 
-def permuted_lcp(text: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
-    """For each suffix, in text order, the bytes that it shares with the suffix before it in the suffix array, at most `most`.
+def permuted_lcp(symbols: np.ndarray, sa: np.ndarray) -> np.ndarray:
+    """For each suffix, in text order, the symbols that it shares with the suffix before it in the suffix array.
 
-    Only whether these reach a length matters to the caller, so prefixes are compared in steps that double, up to `most`.
+    A suffix whose left neighbour equals that of its predecessor in the array shares one symbol less than the suffix to
+    its left, so place plus prefix carries over from left to right. Only the other suffixes are compared; what they
+    share adds up to n log n at most.
     """
-    n = len(text)
+    n = len(symbols)
     before = np.full(n, -1, np.int64)
     before[sa[1:]] = sa[:-1]
-    at = np.nonzero(before >= 0)[0]
-    other = before[at]
-    padded = np.concatenate([text, np.zeros(most + 8, np.uint8)])
-    got = np.zeros(n, np.int64)
-    eight = _eights(padded)
-    depth = 0
-    while len(at) and depth < most:
-        a, b = at + depth, other + depth
-        inside = (a < n) & (b < n)
-        at, other, a, b = at[inside], other[inside], a[inside], b[inside]
-        unlike = eight[a] ^ eight[b]
-        shared = np.minimum(8, _low_zero_bytes(unlike))
-        shared = np.minimum(shared, n - np.maximum(a, b))
-        got[at] += shared
-        on = shared == 8
-        at, other = at[on], other[on]
-        depth += 8
-    return np.minimum(got, most)
-
-
-def _eights(b: np.ndarray) -> np.ndarray:
-    w = b.astype(np.uint64)
-    for k in (1, 2, 4):
-        nxt = np.zeros_like(w)
-        nxt[:-k] = w[k:]
-        w = w | (nxt << np.uint64(8 * k))
-    return w
-
-
-def _low_zero_bytes(x: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(x), np.int64)
-    alive = np.ones(len(x), bool)
-    for k in range(8):
-        alive &= ((x >> np.uint64(8 * k)) & np.uint64(0xFF)) == 0
-        out += alive
-    return out
+    carried = np.zeros(n, bool)
+    at = np.nonzero(before[1:] > 0)[0] + 1
+    carried[at] = symbols[at - 1] == symbols[before[at] - 1]
+    at = np.nonzero(~carried & (before >= 0))[0]
+    until = np.arange(n)
+    until[at] += _shared(symbols, at, before[at])
+    until[carried] = 0
+    return np.maximum.accumulate(until) - np.arange(n) if n else until
+
+
+def _shared(symbols: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The symbols that each pair of suffixes shares: 8 at a time for many pairs, in growing blocks for the last few."""
+    n = len(symbols)
+    got = np.zeros(len(left), np.int64)
+    alive = np.arange(len(left))
+    padded = np.concatenate([symbols, np.zeros(8, symbols.dtype)])
+    step = np.arange(8)
+    while len(alive) > 64:
+        a, b = left[alive] + got[alive], right[alive] + got[alive]
+        same = padded[np.minimum(a, n)[:, None] + step] == padded[np.minimum(b, n)[:, None] + step]
+        run = np.where(same.all(axis=1), 8, same.argmin(axis=1))
+        run = np.minimum(run, n - np.maximum(a, b))
+        got[alive] += run
+        alive = alive[run == 8]
+    for k in alive.tolist():
+        a, b, size = int(left[k] + got[k]), int(right[k] + got[k]), 64
+        while max(a, b) < n:
+            size = min(size * 2, 1 << 20)
+            m = min(size, n - max(a, b))
+            unlike = symbols[a : a + m] != symbols[b : b + m]
+            run = int(unlike.argmax()) if unlike.any() else m
+            got[k] += run
+            a, b = a + run, b + run
+            if run < m:
+                break
+    return got
 
 
 def _flag(at: np.ndarray, n: int) -> np.ndarray:

@@ -23,11 +23,10 @@ BLANKS = " \t\n\x0b\x0c\r"
 FEWEST_WORDS = 50
 REPEAT_PERCENT = 50
 WINDOW = 3
-#: Limits of the repetition verdict: a repeat counts from so many code points on; a text is rejected if repeats cover more than this part of it, or if one repeat is longer than this part of the text and than so many code points.
+#: Limits of the repetition verdict: a repeat counts from so many code points on; a text is rejected if repeats cover more than this part of it, or if one repeat has more code points than the longest one allowed.
 SHORTEST_REPEAT = 40
-MOST_COVERED = 0.5
-LONGEST_REPEAT = 400
-LONGEST_PART = 0.25
+MOST_COVERED = 0.4
+LONGEST_REPEAT = 200
 
 SCHEMA = "id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_chars_seen long, covered_chars long, longest_repeat long, spans array<struct<start: int, end: int>>"
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -79,11 +78,11 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     return kept.mapInArrow(_batches(shortest), SCHEMA + more)
 
 
-def verdicts(found: DataFrame, most_covered: float = MOST_COVERED, longest_repeat: int = LONGEST_REPEAT, longest_part: float = LONGEST_PART) -> DataFrame:
+def verdicts(found: DataFrame, most_covered: float = MOST_COVERED, longest_repeat: int = LONGEST_REPEAT) -> DataFrame:
     """Adds covered_fraction, base_failed and kept; the verdict is defined for empty texts too (too few words)."""
     n = F.greatest(F.col("n_chars_seen"), F.lit(1))
     failed = (F.col("n_words") < FEWEST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    too_long = (F.col("longest_repeat") > longest_repeat) & (F.col("longest_repeat") > longest_part * n)
+    too_long = F.col("longest_repeat") > longest_repeat
     return (
         found.withColumn("covered_fraction", F.col("covered_chars") / n)
         .withColumn("base_failed", failed)

@@ -1,29 +1,30 @@
 """Removal of repeated byte strings: shards of strips of text, each sorted by induced sorting.
 
 A window is any string of LENGTH bytes inside one document. Two equal windows must meet in a shard, so each window is
-assigned to the smallest hash among the grams in it (its anchor): equal windows have equal anchors. Consecutive windows
-with one anchor form a strip, about one strip per 40 bytes of text.
-
-1. One pass makes the strips of each document. Equal strips are combined in the task, again after a shuffle by anchor:
-   all but the first are wholly repeated. What is left are the anchors whose strips differ in part (edges of shared
-   passages, places where near copies differ), a small part of the text.
-2. These strips are split into short ones of at most CHUNK windows, at places that lie evenly about the anchor. The
-   windows of a short strip have a core in common; step 1 is repeated with the core in the place of the anchor.
-3. The short strips left, with equal cores but unlike as a whole, are cut from the documents and dealt by core into
-   shards. Each shard gets its suffix array by induced sorting and its permuted common prefixes; suffixes that share
-   LENGTH bytes with a neighbour are equal windows, and all but the first in document order are repeated.
-4. A core with very many different strips isn't put into one shard: its windows are compared by two 64-bit hashes
-   instead, combined in each task before the shuffle.
+routed by the smallest hash among the grams in it (its anchor): equal windows have equal anchors. Consecutive windows
+with one anchor form a strip, about one strip per 40 bytes of text. Hashes only route; bytes decide.
+
+1. One pass lists the strips of each document by anchor and place. A strip whose anchor no other strip has holds no
+   repeated window and goes no further. Strips are counted per anchor in each task first, so a hot anchor reaches the
+   shuffle once per task.
+2. The strips left are cut from the documents. Strips of equal bytes are combined in the task: only the first goes on,
+   the others are repeated as a whole.
+3. An anchor with more than LARGEST strips would make too large a shard. Its strips are split into short ones of at most
+   CHUNK windows, at places that lie evenly about the anchor, and routed by the core that these windows share; the short
+   strips of a core with too many are split once more into single windows, routed by their own bytes.
+4. Strips are dealt by route and sorted by bytes; equal ones enter the shard once, as their first occurrence. Each shard
+   gets its suffix array by induced sorting and its permuted common prefixes; suffixes that share LENGTH bytes with a
+   neighbour are equal windows, and all but the first in document order are repeated.
 5. Repeated windows are united per document.
 
-Everything between the steps is written to the shared folder, so a lost executor repeats no earlier step.
+Which routes are hot is told to the tasks as a bit map of ROUTES bits, of one size for any input: a route that shares its
+bit with a hot one is split too, which changes no result. Everything between the steps is written to the shared folder,
+so a lost executor repeats no earlier step.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,31 +32,34 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fiscalis.llm.common import materialize, pick, table
+from fiscalis.llm.common import materialize, pick, release, table
 from fiscalis.llm.induced import END, permuted_lcp, suffix_array
 
 LENGTH = 100
 GRAM = 24
 CHUNK = 8
-#: Strips that a task combines at once, bytes of a shard, and different strips of a core that still go into one shard.
-COMBINED = 500_000
+#: Strips that a task counts at once, bytes that it combines at once, bytes of a shard and of a task's shards, strips of a route that still go into one shard, bits that tell which routes have more.
+COUNTED = 500_000
+COMBINED_BYTES = 48 << 20
 SHARD_BYTES = 1 << 20
-LARGEST_CORE = 20_000
+TASK_BYTES = 16 << 20
+LARGEST = 8_000
+ROUTES = 1 << 20
 
-#: Hash of what all equal strips have in common, hash of the whole strip, document, first and last window, place of the anchor.
-_STRIPS = "h long, v long, id long, sub long, a int, b int, p int"
-_NAMES = [x.split()[0] for x in _STRIPS.split(", ")]
-_TYPES = [np.int64] * 4 + [np.int32] * 3
-Strips = tuple[np.ndarray, ...]
+#: Hash of the anchor, document, first window, further windows, distance to the anchor; whether the task has more strips of this anchor, and how many in all, told once.
+_STRIPS = "h long, id long, sub long, a int, more byte, p byte, known boolean, n int"
+#: Route, document, first and last window, whether the route came from a hot one, and the bytes; none for strips that are known as repeated.
+_CUT = "h long, id long, sub long, a int, b int, hot boolean, strip binary"
+_RUNS = "id long, sub long, a int, b int"
+Runs = tuple[np.ndarray, ...]
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, sub, oid, text): id and sub order the documents. sub is 0 for unique ids; rows that share an id (or have none: they come last) are told apart by a hash of their text."""
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
+    """(id, sub, oid, text), where id and sub order the documents, and whether ids are distinct. sub is 0 for distinct ids; rows that share an id (or have none: they come last) are told apart by a hash of their text."""
     d = pick(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("oid"), F.coalesce("text", F.lit("")).alias("text"))
-    n, ids = docs.agg(F.count("*"), F.count_distinct(F.col(f"`{id_col}`"))).first()
+    n, ids = d.agg(F.count("*"), F.count_distinct("oid")).first()
     sub = F.lit(0).cast("long") if n == ids else F.xxhash64("text")
-    d = d.select(F.coalesce("oid", F.lit((1 << 63) - 1)).alias("id"), sub.alias("sub"), "oid", "text")
-    return d
+    return d.select(F.coalesce("oid", F.lit((1 << 63) - 1)).alias("id"), sub.alias("sub"), "oid", "text"), n == ids
 
 
 def anchors(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -86,18 +90,7 @@ def anchors(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
     return h[place[first]].view(np.int64), first, last, place[first]
 
 
-def _combined(rows: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Strips sorted by (h, v, document), and which of them are not the first of their equals."""
-    h, v, doc, sub, a = rows[:5]
-    by = np.lexsort((a, sub, doc, v, h))
-    rows = [x[by] for x in rows]
-    h, v = rows[:2]
-    again = np.zeros(len(h), bool)
-    again[1:] = (h[1:] == h[:-1]) & (v[1:] == v[:-1])
-    return rows, again
-
-
-def _united(doc: np.ndarray, sub: np.ndarray, a: np.ndarray, b: np.ndarray) -> Strips:
+def _united(doc: np.ndarray, sub: np.ndarray, a: np.ndarray, b: np.ndarray) -> Runs:
     """Runs of windows of one document that follow on each other, as one."""
     by = np.lexsort((a, sub, doc))
     doc, sub, a, b = doc[by], sub[by], a[by], b[by]
@@ -108,19 +101,23 @@ def _united(doc: np.ndarray, sub: np.ndarray, a: np.ndarray, b: np.ndarray) -> S
     return doc[at], sub[at], a[at], np.maximum.reduceat(b, at)
 
 
-def _out(parts: list[Strips]) -> Iterator[pa.RecordBatch]:
-    """Strips as batches; wholly repeated ones have a null v and, as h, something that spreads them."""
-    if not parts:
-        return
-    rows, again = _combined([np.concatenate([p[i] for p in parts]) for i in range(7)])
-    doc, sub, a, b = _united(*(x[again] for x in rows[2:6]))
-    zero = np.zeros(len(doc), np.int64)
-    spread = (doc * np.int64(0x5851F42D4C957F2D)) ^ a
-    columns = [np.concatenate([x[~again], y]) for x, y in zip(rows, (spread, zero, doc, sub, a, b, zero))]
-    null = np.concatenate([np.zeros((~again).sum(), bool), np.ones(len(doc), bool)])
-    for i in range(0, len(null), 100_000):
-        to = slice(i, i + 100_000)
-        yield pa.RecordBatch.from_arrays([pa.array(c[to].astype(t), mask=null[to] if k == 1 else None) for k, (c, t) in enumerate(zip(columns, _TYPES))], _NAMES)
+def _batch(columns: list, schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "byte": pa.int8(), "boolean": pa.bool_(), "binary": pa.binary()}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(columns, fields)], [n for n, _ in fields])
+
+
+def _counted(parts: list[Runs]) -> Iterator[pa.RecordBatch]:
+    rows = [np.concatenate([p[i] for p in parts]) for i in range(6)]
+    by = np.argsort(rows[0], kind="stable")
+    rows = [x[by] for x in rows]
+    head = np.nonzero(np.concatenate([[True], rows[0][1:] != rows[0][:-1]]))[0]
+    size = np.diff(np.append(head, len(by)))
+    n = np.zeros(len(by), np.int32)
+    n[head] = size
+    known = np.repeat(size > 1, size)
+    for i in range(0, len(by), 100_000):
+        yield _batch([c[i : i + 100_000] for c in (*rows, known, n)], _STRIPS)
 
 
 def _strips(length: int, gram: int):
@@ -133,112 +130,113 @@ def _strips(length: int, gram: int):
                 if len(text) < length:
                     continue
                 h, a, b, p = anchors(np.frombuffer(text, np.uint8), length, gram)
-                view = memoryview(text)
-                v = np.fromiter((xxhash.xxh3_64_intdigest(view[x : y + length]) for x, y in zip(a.tolist(), b.tolist())), np.uint64, len(a)).view(np.int64)
-                parts.append((h, v, np.full(len(h), ids[i]), np.full(len(h), subs[i]), a, b, p))
+                parts.append((h, np.full(len(h), ids[i]), np.full(len(h), subs[i]), a, b - a, p - a))
                 held += len(h)
-                if held >= COMBINED:
-                    yield from _out(parts)
+                if held >= COUNTED:
+                    yield from _counted(parts)
                     parts, held = [], 0
-        yield from _out(parts)
+        if parts:
+            yield from _counted(parts)
 
     return run
 
 
-def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From strips sorted by (h, v, document): repeated ones get a null v; first ones stay only if their anchor has others that differ."""
-    before = None  # the last strip that came first among its equals, and whether it was given out
-    for batch in batches:
-        null = batch.column(1).is_null().to_numpy(zero_copy_only=False)
-        rows = [batch.column(i).fill_null(0).to_numpy() for i in range(7)]
-        if before is not None:
-            rows = [np.concatenate([[x], y]) for x, y in zip(before[0], rows)]
-            null = np.concatenate([[False], null])
-        h, v = rows[:2]
-        alone = np.nonzero(~null)[0]
-        again = np.zeros(len(h), bool)
-        hh, vv = h[alone], v[alone]
-        same_h = np.zeros(len(alone), bool)
-        same_h[1:] = hh[1:] == hh[:-1]
-        again[alone[1:]] = same_h[1:] & (vv[1:] == vv[:-1])
-        heads = alone[~again[alone]]
-        with_before = np.zeros(len(heads), bool)
-        with_before[1:] = h[heads[1:]] == h[heads[:-1]]
-        with_next = np.zeros(len(heads), bool)
-        with_next[:-1] = with_before[1:]
-        if before is not None and len(heads) and before[1]:
-            give = (with_before | with_next)
-            give[0] = False  # it was given out
-            with_before[0] = True
-        else:
-            give = with_before | with_next
-        keep = heads[give]
-        if len(heads):
-            last = heads[-1]
-            before = [x[last] for x in rows], bool(give[-1] or with_before[-1])
-        done = null | again
-        at = np.concatenate([np.nonzero(done)[0], keep])
-        if len(at):
-            mask = np.concatenate([np.ones(done.sum(), bool), np.zeros(len(keep), bool)])
-            yield pa.RecordBatch.from_arrays([pa.array(x[at].astype(t), mask=mask if k == 1 else None) for k, (x, t) in enumerate(zip(rows, _TYPES))], _NAMES)
+def _bits(route: np.ndarray) -> np.ndarray:
+    return route & np.int64(ROUTES - 1)
 
 
-def _matched(strips: DataFrame) -> DataFrame:
-    return strips.repartition("h").sortWithinPartitions("h", "v", "id", "sub", "a").mapInArrow(_sorted_groups, _STRIPS)
+def _hot_map(hot: DataFrame) -> np.ndarray:
+    """The bit map of the routes h of hot; what is collected has ROUTES values at most."""
+    found = hot.select(F.col("h").bitwiseAND(F.lit(ROUTES - 1)).alias("bit")).distinct().toArrow()
+    out = np.zeros(ROUTES, bool)
+    out[found.column("bit").to_numpy()] = True
+    return np.packbits(out)
 
 
-def _short(length: int, chunk: int):
-    """The strips in `parts`, split into short ones."""
+def _is_hot(packed: np.ndarray, route: np.ndarray) -> np.ndarray:
+    bit = _bits(route)
+    return packed[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1 == 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, held = [], 0
+
+def _combined(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """Rows (route, id, sub, first window, last window, hot, bytes): of equal bytes the first in document order as it is, the others as runs of windows that are known as repeated."""
+    first: dict[bytes, tuple] = {}
+    again = []
+    for row in rows:
+        had = first.get(row[6])
+        if had is None:
+            first[row[6]] = row
+        elif row[1:4] < had[1:4]:
+            first[row[6]] = row
+            again.append(had)
+        else:
+            again.append(row)
+    for at in range(0, len(kept := list(first.values())), 20_000):
+        yield _batch(list(zip(*kept[at : at + 20_000])), _CUT)
+    if again:
+        doc, sub, a, b = _united(*(np.array(x, np.int64) for x in zip(*(r[1:5] for r in again))))
+        spread = (doc * np.int64(0x5851F42D4C957F2D)) ^ a
+        for at in range(0, len(doc), 100_000):
+            to = slice(at, at + 100_000)
+            m = len(doc[to])
+            yield _batch([spread[to], doc[to], sub[to], a[to], b[to], np.zeros(m, bool), [None] * m], _CUT)
+
+
+def _gathered(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[6])
+        if size >= COMBINED_BYTES:
+            yield from _combined(held)
+            held, size = [], 0
+    if held:
+        yield from _combined(held)
+
+
+def _cut(length: int, chunk: int, packed: np.ndarray):
+    """The strips in `parts` with their bytes; those of hot anchors split into short ones."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
+            lists = batch.column("parts")
+            offsets, strips = lists.offsets.to_numpy(), lists.values
+            h, a, more, p = (strips.field(k).to_numpy() for k in ("h", "a", "more", "p"))
+            hot = _is_hot(packed, h)
+            ids, subs = batch.column("id").to_pylist(), batch.column("sub").to_pylist()
             for i, cell in enumerate(batch.column("text").cast(pa.large_binary())):
-                view = memoryview(cell.as_buffer())
-                rows = []
-                for s in batch.column("parts")[i].as_py():
-                    a, b, p = s["a"], s["b"], s["p"]
-                    for j in range((p - b) // chunk, (p - a) // chunk + 1):
-                        low = p - j * chunk - chunk + 1  # the windows from low to low + chunk - 1 are at these places about the anchor
-                        rows.append((digest(view[low + chunk - 1 : low + length]), j, max(low, a), min(low + chunk - 1, b), p))
-                if not rows:
-                    continue
-                h, j, a, b, p = (np.array(x, t) for x, t in zip(zip(*rows), (np.uint64, *[np.int64] * 4)))
-                v = np.fromiter((digest(view[x : y + length]) for x, y in zip(a.tolist(), b.tolist())), np.uint64, len(a))
-                v ^= (b - a).astype(np.uint64) << np.uint64(56)
-                v += (p - a).astype(np.uint64) << np.uint64(48)  # equal strips have equal windows at equal places
-                h += j.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                n = len(a)
-                out.append((h.view(np.int64), v.view(np.int64), np.full(n, batch.column("id")[i].as_py()), np.full(n, batch.column("sub")[i].as_py()), a, b, p))
-                held += n
-                if held >= COMBINED:
-                    yield from _out(out)
-                    out, held = [], 0
-        yield from _out(out)
-
-    return run
+                text = cell.as_buffer().to_pybytes()
+                to = slice(offsets[i], offsets[i + 1])
+                for route, x, m, at, split in zip(h[to].tolist(), a[to].tolist(), more[to].tolist(), p[to].tolist(), hot[to].tolist()):
+                    if not split:
+                        yield route, ids[i], subs[i], x, x + m, False, text[x : x + m + length]
+                        continue
+                    at += x
+                    for j in range((at - x - m) // chunk, (at - x) // chunk + 1):
+                        low = at - j * chunk - chunk + 1  # the windows from low to low + chunk - 1 are at these places about the anchor
+                        core = digest(text[low + chunk - 1 : low + length], j) - (1 << 63)
+                        y, z = max(low, x), min(low + chunk - 1, x + m)
+                        yield core, ids[i], subs[i], y, z, True, text[y : z + length]
+
+    return lambda batches: _gathered(rows(batches))
 
 
-def _cut(length: int):
-    """Strips of text, for the shards."""
+def _windows(length: int):
+    """Each window of the strips as a strip of its own, routed by its bytes."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for i, cell in enumerate(batch.column("text").cast(pa.large_binary())):
-                text = cell.as_buffer()
-                for p in batch.column("parts")[i].as_py():
-                    row = p["h"], batch.column("id")[i].as_py(), batch.column("sub")[i].as_py(), p["a"], text[p["a"] : p["b"] + length].to_pybytes()
-                    for column, x in zip(out, row):
-                        column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["h", "id", "sub", "a", "strip"])
+            for _, doc, sub, a, b, _, strip in zip(*(batch.column(i).to_pylist() for i in range(7))):
+                for x in range(b - a + 1):
+                    window = strip[x : x + length]
+                    yield xxhash.xxh3_64_intdigest(window, 1) - (1 << 63), doc, sub, a + x, a + x, True, window
 
-    return run
+    return lambda batches: _gathered(rows(batches))
 
 
-def _shard(ids: np.ndarray, subs: np.ndarray, starts: np.ndarray, strips: list[bytes], length: int) -> Strips:
-    """The repeated windows of one shard, as runs."""
+def _shard(ids: np.ndarray, subs: np.ndarray, starts: np.ndarray, strips: list[bytes], length: int) -> Runs:
+    """The repeated windows of one shard of different strips, as runs."""
     end = bytes([END])
     text = np.frombuffer(end.join(strips) + end, np.uint8)
     sizes = np.array([len(x) for x in strips], np.int64)
@@ -247,7 +245,7 @@ def _shard(ids: np.ndarray, subs: np.ndarray, starts: np.ndarray, strips: list[b
     inside = np.arange(len(text)) - offset[of]
     whole = inside <= sizes[of] - length
     order = suffix_array(text)
-    shared = permuted_lcp(text, order, length)[order] >= length
+    shared = permuted_lcp(text, order)[order] >= length
     cluster = np.cumsum(~shared)
     at = whole[order]
     order, cluster = order[at], cluster[at]
@@ -260,79 +258,73 @@ def _shard(ids: np.ndarray, subs: np.ndarray, starts: np.ndarray, strips: list[b
 
 
 def _shards(length: int, shard_bytes: int):
-    """From strips sorted by anchor: whole anchors are gathered up to the size of a shard."""
-
-    def result(held: list) -> Iterator[pa.RecordBatch]:
-        doc, sub, a, b = _shard(*(np.array(x, np.int64) for x in zip(*((h[1], h[2], h[3]) for h in held))), [h[4] for h in held], length)
-        if len(doc):
-            yield pa.RecordBatch.from_arrays([pa.array(x.astype(t)) for x, t in zip((doc, sub, a, b), (np.int64, np.int64, np.int32, np.int32))], ["id", "sub", "a", "b"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, last = [], 0, None
-        for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                if size >= shard_bytes and row[0] != last:
-                    yield from result(held)
-                    held, size = [], 0
-                last = row[0]
-                held.append(row)
-                size += len(row[4])
-        if held:
-            yield from result(held)
-
-    return run
+    """From strips sorted by route and bytes: whole routes are gathered up to the size of a shard."""
 
-
-def _windows(length: int):
-    """Each window of each strip as a strip of its own, under two hashes of its bytes."""
+    def result(first: list[tuple], again: list[tuple]) -> Iterator[pa.RecordBatch]:
+        runs = [_shard(*(np.array(x, np.int64) for x in zip(*(r[1:4] for r in first))), [r[6] for r in first], length)] if first else []
+        if again:
+            runs.append(tuple(np.array(x, np.int64) for x in zip(*(r[1:5] for r in again))))
+        out = _united(*map(np.concatenate, zip(*runs)))
+        if len(out[0]):
+            yield _batch(list(out), _RUNS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held = [], 0
+        first, again, size = [], [], 0
+        last = route = None
         for batch in batches:
-            for _, doc, sub, a, strip in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                view, n = memoryview(strip), len(strip) - length + 1
-                h, v = (np.fromiter((f(view[i : i + length]) for i in range(n)), np.uint64, n).view(np.int64) for f in (xxhash.xxh64_intdigest, xxhash.xxh3_64_intdigest))
-                at = np.arange(a, a + n)
-                parts.append((h, v, np.full(n, doc), np.full(n, sub), at, at, at))
-                held += n
-            if held >= COMBINED:
-                yield from _out(parts)
-                parts, held = [], 0
-        yield from _out(parts)
+            for row in zip(*(batch.column(i).to_pylist() for i in range(7))):
+                strip = row[6]
+                if strip is None or (row[0] == route and strip == last):
+                    again.append(row)
+                    continue
+                if row[0] != route and (size >= shard_bytes or len(again) >= COUNTED):
+                    yield from result(first, again)
+                    first, again, size = [], [], 0
+                route, last = row[0], strip
+                first.append(row)
+                size += len(strip)
+            if len(again) >= COUNTED:  # the repeated strips of one route may be very many
+                yield from result([], again)
+                again = []
+        if first or again:
+            yield from result(first, again)
 
     return run
 
 
-def _with_text(d: DataFrame, strips: DataFrame) -> DataFrame:
-    """The documents that have such strips, each with its own; a document has at most as many as windows. Both sides are shuffled by document at any size, so disk grows as the input."""
-    of_doc = strips.groupBy("id", "sub").agg(F.collect_list(F.struct("h", "a", "b", "p")).alias("parts"))
-    return d.join(of_doc, ["id", "sub"]).select("id", "sub", "text", "parts")
-
-
-def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, largest_core: int = LARGEST_CORE, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, largest: int = LARGEST, shard_bytes: int = SHARD_BYTES, chunk: int = CHUNK) -> DataFrame:
     """Runs (id, sub, a, b) of windows, by their first bytes, whose bytes start earlier too. docs is keyed(), its (id, sub) distinct."""
     d = docs.select("id", "sub", "text")
-    found = materialize(_matched(d.mapInArrow(_strips(length, gram), _STRIPS)), "suffix-strips")
-    runs = [found.where("v is null")]
-    part = found.where("v is not null")
-    if not part.isEmpty():
-        found = materialize(_matched(_with_text(d, part).mapInArrow(_short(length, CHUNK), _STRIPS)), "suffix-short")
-        runs.append(found.where("v is null"))
-        part = found.where("v is not null")
-    per_core = part.groupBy("h").agg(F.count("*").alias("n"))
-    n, n_hot = per_core.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > largest_core)).first()
-    if n:
-        cut = _with_text(d, part).mapInArrow(_cut(length), "h long, id long, sub long, a int, strip binary")
-        usual = cut
-        if n_hot:
-            cut = materialize(cut, "suffix-cut")  # both ways read it
-            hot = per_core.where(F.col("n") > largest_core).select("h")
-            usual = cut.join(hot, "h", "left_anti")
-            runs.append(_matched(cut.join(hot, "h", "left_semi").mapInArrow(_windows(length), _STRIPS)).where("v is null"))
-        shards = max(1, n * (length + CHUNK) // shard_bytes)
-        dealt = usual.repartition(shards, "h").sortWithinPartitions("h", "id", "sub", "a")
-        runs.append(dealt.mapInArrow(_shards(length, shard_bytes), "id long, sub long, a int, b int"))
-    return reduce(DataFrame.unionByName, [r.select("id", "sub", "a", "b") for r in runs])
+    strips = materialize(d.mapInArrow(_strips(length, gram), _STRIPS), "suffix-strips")
+    counts = materialize(strips.where("n > 0").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1"), "suffix-anchors")
+    n = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = _hot_map(counts.where(F.col("n") > largest))
+
+    place = F.struct("h", "a", "more", "p").alias("part")
+    shared = strips.where("known").select("id", "sub", place)
+    # of an anchor, each task has at most one strip here
+    shared = shared.unionByName(strips.where("not known").join(counts.select("h"), "h", "left_semi").select("id", "sub", place))
+    of_doc = shared.groupBy("id", "sub").agg(F.collect_list("part").alias("parts"))
+    cut = d.join(of_doc, ["id", "sub"]).select("id", "sub", "text", "parts").mapInArrow(_cut(length, chunk, hot), _CUT)
+    held = [strips, counts]
+    if hot.any():
+        cut = materialize(cut, "suffix-cut")
+        held.append(cut)
+        split = cut.where("hot and strip is not null")
+        cores = split.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > largest)
+        often = _hot_map(cores)
+        if often.any():
+            bit = F.broadcast(cores.select(F.col("h").bitwiseAND(F.lit(ROUTES - 1)).alias("bit")).distinct())  # ROUTES rows at most
+            own = F.col("h").bitwiseAND(F.lit(ROUTES - 1))
+            single = split.join(bit, own == F.col("bit"), "left_semi").mapInArrow(_windows(length), _CUT)
+            rest = split.join(bit, own == F.col("bit"), "left_anti")
+            cut = cut.where("not hot or strip is null").unionByName(rest).unionByName(single)
+    tasks = max(1, n * (length + 40) // TASK_BYTES)
+    dealt = cut.repartition(tasks, "h").sortWithinPartitions("h", "strip", "id", "sub", "a")
+    runs = materialize(dealt.mapInArrow(_shards(length, shard_bytes), _RUNS), "suffix-runs")
+    for done in held:
+        release(done)
+    return runs
 
 
 def _kept(length: int):
@@ -366,19 +358,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     empty. Rows that share an id are ordered by a hash of their text; rows equal in both count as one document, and each
     reports it. Null ids come after all others. An empty table gives an empty result.
     """
-    d = keyed(docs, id_col, text_col)
-    runs = materialize(repeated_windows(d.dropDuplicates(["id", "sub"]) if _repeated(docs, id_col) else d, length, **sizes), "suffix-runs")
+    d, distinct = keyed(docs, id_col, text_col)
+    runs = repeated_windows(d if distinct else d.dropDuplicates(["id", "sub"]), length, **sizes)
     of_doc = runs.groupBy("id", "sub").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
     return d.join(of_doc, ["id", "sub"], "left").select("oid", "text", "runs").mapInArrow(
         _kept(length), "id long, n_bytes long, kept binary, spans array<struct<start: int, end: int>>"
     )
 
 
-def _repeated(docs: DataFrame, id_col: str) -> bool:
-    n, ids = docs.agg(F.count("*"), F.count_distinct(F.col(f"`{id_col}`"))).first()
-    return n != ids
-
-
 def op7_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     found = remove_repeats(table(spark, sf_dir, "documents"))
     return found.select(

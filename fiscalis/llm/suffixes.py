@@ -4,27 +4,30 @@ from __future__ import annotations
 
 import numpy as np
 
+from fiscalis.llm.induced import permuted_lcp
+
 
 def repeats(symbols: np.ndarray, shortest: int) -> tuple[np.ndarray, int]:
     """The union of the spans of all maximal repeated substrings of at least `shortest` symbols, as rows (start, end), and the length of the longest repeat (0 if none).
 
     Ranks by the first 1, 2, 4, ... symbols are sorted until every suffix has its place; suffixes whose place is settled
-    are not sorted again. The ranks of all steps give the common prefix of neighbours in the suffix array. A suffix is in
-    an interval of prefixes of l symbols exactly if a neighbour shares l symbols with it, so the spans of the deepest
-    interval of each suffix cover what all maximal repeats cover. Occurrences may overlap.
+    are not sorted again. Permuted common prefixes then need the final places alone, so memory is a few arrays of the
+    text's length, whatever its repeats. A suffix is in an interval of prefixes of l symbols exactly if a neighbour shares
+    l symbols with it, so the spans of the deepest interval of each suffix cover what all maximal repeats cover.
+    Occurrences may overlap.
     """
     n = len(symbols)
     none = np.zeros((0, 2), np.int64), 0
     if n <= shortest:
         return none
-    level, bits = _ranked(symbols)
-    steps = [level]  # steps[k]: equal values exactly where the first 2**k symbols are equal
+    key, bits = _ranked(symbols)
     width = 1
     while width * 2 * bits <= 62:
-        steps.append(_joined(steps[-1], width, width * bits))
+        key = _joined(key, width, width * bits)
         width *= 2
-    order = np.argsort(steps[-1])
-    rank, tied = _ranks(steps[-1], order)
+    order = np.argsort(key)
+    rank, tied = _ranks(key, order)
+    del key
     while width < n and len(tied):
         # tied: the slots of the suffix array whose suffixes share their first `width` symbols with a neighbour
         at = order[tied]
@@ -32,21 +35,17 @@ def repeats(symbols: np.ndarray, shortest: int) -> tuple[np.ndarray, int]:
         key = rank[at] * np.int64(n + 1) + after
         inner = np.argsort(key)
         order[tied] = at[inner]
-        rank, tied = _refined(rank, order, tied, key[inner])
+        tied = _refined(rank, order, tied, key[inner])
         width *= 2
-        steps.append(rank)
-    least = shortest.bit_length() - 1
-    if len(steps) <= least:  # no two suffixes share that much
-        return none
-    left, right = order[:-1], order[1:]
-    at = np.nonzero(steps[least][left] == steps[least][right])[0]
-    common = _common(steps, left[at], right[at], n)
-    at, common = at[common >= shortest], common[common >= shortest]
+    shared = permuted_lcp(symbols, order)  # with the suffix before it in the array
+    at = np.nonzero(shared >= shortest)[0]
     if not len(at):
         return none
+    common = shared[at]
     deepest = np.zeros(n, np.int64)
-    deepest[left[at]] = common
-    deepest[right[at]] = np.maximum(deepest[right[at]], common)
+    deepest[at] = common
+    before = order[rank[at] - 1]
+    deepest[before] = np.maximum(deepest[before], common)  # a suffix comes before one other only
     start = np.nonzero(deepest)[0]
     edge = np.bincount(start, minlength=n + 1) - np.bincount(start + deepest[start], minlength=n + 1)
     inside = np.cumsum(edge[:-1]) > 0
@@ -87,28 +86,13 @@ def _ranks(key: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rank, np.nonzero(~(new & last))[0]
 
 
-def _refined(rank: np.ndarray, order: np.ndarray, tied: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _refined(rank: np.ndarray, order: np.ndarray, tied: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Ranks the tied suffixes by their new key, in place; returns the slots that are still tied."""
     m = len(tied)
     new = np.ones(m, bool)
     new[1:] = key[1:] != key[:-1]
     head = np.maximum.accumulate(np.where(new, tied, 0))
-    rank = rank.copy()
     rank[order[tied]] = head
     last = np.ones(m, bool)
     last[:-1] = new[1:]
-    return rank, tied[~(new & last)]
-
-
-def _common(steps: list[np.ndarray], left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
-    """The symbols that each pair of suffixes shares: from the widest step down, each pair moves on where the step agrees."""
-    x, y = left.copy(), right.copy()
-    got = np.zeros(len(left), np.int64)
-    for k in range(len(steps) - 1, -1, -1):
-        inside = (x < n) & (y < n)
-        same = np.zeros(len(x), bool)
-        same[inside] = steps[k][x[inside]] == steps[k][y[inside]]
-        move = np.where(same, 1 << k, 0)
-        got += move
-        x += move
-        y += move
-    return got
+    return tied[~(new & last)]
