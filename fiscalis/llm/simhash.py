@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fiscalis.llm.common import broadcast_if, materialize, pick, table, text_of
+from fiscalis.llm.common import materialize, pick, table, text_of
 from fiscalis.llm.components import connected_components
 
 SHINGLE = 3
@@ -29,8 +29,6 @@ SEED = 42
 DISTANCE = 2
 #: A key with more fingerprints than this is linked through midpoints.
 LARGEST_BLOCK = 256
-#: Kept ids (16 bytes each) that are broadcast at most.
-BROADCAST_ROWS = 1_000_000
 
 
 def fingerprint(text: bytes) -> int:
@@ -121,13 +119,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of docs for each group of near-duplicates: the one with the smallest id (null ids last), of several rows with that id the one whose text has the smallest hash, once."""
+    """One row of docs for each group of near-duplicates: the one with the smallest id (null ids last), of several rows with that id the one whose text has the smallest hash, once.
+
+    The kept keys grow with the input, so both sides are shuffled by id and text hash at any size.
+    """
     each = near_duplicates(docs, id_col, text_col).groupBy("root", "id", "sub").agg(F.count("*").alias("n"))
     first = each.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "sub", "n")).alias("k"))
     kept = materialize(first.select(F.col("k.id").alias("__kept_id"), F.col("k.sub").alias("__kept_sub"), F.col("k.n").alias("__kept_n")), "simhash-kept")
-    n, most = kept.agg(F.count("*"), F.max("__kept_n")).first()
+    most = kept.agg(F.max("__kept_n")).first()[0]
     own_id, own_sub = docs[f"`{id_col}`"].cast("long"), F.xxhash64(F.coalesce(docs[f"`{text_col}`"], F.lit("")))
-    out = docs.join(broadcast_if(kept, n, BROADCAST_ROWS), own_id.eqNullSafe(F.col("__kept_id")) & (own_sub == F.col("__kept_sub")))
+    out = docs.join(kept.hint("merge"), own_id.eqNullSafe(F.col("__kept_id")) & (own_sub == F.col("__kept_sub")))
     if (most or 0) > 1:  # rows equal in id and text: only these are shuffled
         out = out.where("__kept_n = 1").unionByName(out.where("__kept_n > 1").dropDuplicates(["__kept_id", "__kept_sub"]))
     return out.drop("__kept_id", "__kept_sub", "__kept_n")
