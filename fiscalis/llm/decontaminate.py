@@ -1,13 +1,16 @@
 """Benchmark decontamination: short test items inside long documents, by MinHash containment search partitioned by size.
 
 All by DataFrame functions. Items are put into partitions by their number of shingles (powers of two), and each keeps its
-smallest shingle hashes as a MinHash sketch. If an item's containment in a document is at least t, the document has
-ceil(t * q) of its q shingles, so it must have one of any q - ceil(t * q) + 1; the sketch of a partition is as long as
-that number is for its largest size, hence no document is missed, however long it is. Only documents that hold a
-sketched hash go on to the check, where the shingles themselves, not hashes, are compared and counted.
+smallest shingle hashes, those that few items have first, as a MinHash sketch whose length the partition sets. The part
+of the sketch that a document has estimates the item's containment in it, and does so for short items in long documents,
+since the document's side is all its shingles, not a sample of them.
+
+If the containment is at least t, the document lacks at most q - ceil(t * q) of the item's q shingles, so of a sketch of
+k hashes it has at least k less that number. Sketches are MORE longer than it, hence pairs of document and item with
+enough hashes miss none and are few. For these pairs the shingles themselves, not hashes, are compared and counted.
 
 A document's shingles leave it only as far as the join with the sketches; these are broadcast while their counted number
-is small, else both sides are shuffled by hash, which spreads a common passage by its many shingles.
+is small (they grow with the benchmark, not with the documents), else both sides are shuffled by hash.
 """
 
 from __future__ import annotations
@@ -19,8 +22,11 @@ from fiscalis.llm.common import broadcast_if, materialize, pick, table, text_of
 
 WIDTH = 5
 CONTAINMENT = 0.8
-#: Rows of sketches and of items' shingles (under 200 bytes each) that are broadcast at most.
-BROADCAST_ROWS = 200_000
+#: Hashes that a document with an item must share with its sketch, where the item has so many.
+MORE = 4
+#: Rows of sketches (40 bytes each) and bytes of items' shingles that are broadcast at most.
+BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 << 20
 #: What separates words here: anything but letters and digits, so that case and punctuation don't hide a passage.
 APART = r"[^\p{L}\p{N}]+"
 
@@ -61,13 +67,22 @@ def item_shingles(items: DataFrame, width: int) -> DataFrame:
 
 
 def sketches(shingles: DataFrame, containment: float) -> DataFrame:
-    """(hash, width) of the items' sketches."""
-    d = shingles.withColumn("size_class", F.floor(F.log2("q")))
+    """(item, hash, width, size, least): the sketch of each item, its size, and how many of its hashes a document that contains the item has at least."""
+    lacking = lambda n: F.col(n) - F.ceil(F.col(n) * containment - 1e-9)
+    rare = shingles.groupBy(F.col("hash").alias("of")).agg(F.floor(F.log2(F.count("*"))).alias("common"))
+    d = shingles.join(rare, F.col("hash") == F.col("of")).withColumn("size_class", F.floor(F.log2("q")))
     largest = d.groupBy("size_class").agg(F.max("q").alias("u"))
-    keep = F.least("q", F.col("u") - F.ceil(F.col("u") * containment - 1e-9) + 1)
-    of_item = d.groupBy("item", "size_class", "q").agg(F.sort_array(F.collect_list(F.struct("hash", "width"))).alias("all"))
-    cut = of_item.join(largest, "size_class").select(F.explode(F.slice("all", F.lit(1), keep.cast("int"))).alias("x"))
-    return cut.select("x.*").distinct()
+    of_item = d.groupBy("item", "size_class", "q").agg(F.sort_array(F.collect_list(F.struct("common", "hash", "width"))).alias("all"))
+    size = F.least("q", lacking("u") + MORE).cast("int")
+    cut = of_item.join(largest, "size_class").withColumn("size", size).select("item", "size", (F.col("size") - lacking("q")).alias("least"), F.explode(F.slice("all", F.lit(1), F.col("size"))).alias("x"))
+    return cut.select("item", "x.hash", "x.width", "size", "least").distinct()
+
+
+def candidates(hashes: DataFrame, sketch: DataFrame, rows: int) -> DataFrame:
+    """(id, sub, item, estimate) of the documents with enough of an item's sketch; the estimate of the containment is the part of the sketch that is there."""
+    hits = hashes.join(broadcast_if(sketch.select("hash", "item", "size", "least"), rows, BROADCAST_ROWS), "hash")
+    counted = hits.groupBy("id", "sub", "item", "size", "least").agg(F.count_distinct("hash").alias("n")).where("n >= least")
+    return counted.select("id", "sub", "item", (F.col("n") / F.col("size")).alias("estimate"))
 
 
 def contained(
@@ -84,33 +99,30 @@ def contained(
     shingles = materialize(item_shingles(pick(items, item=item_col, text=item_text_col), width), "items")
     sketch = materialize(sketches(shingles, containment), "sketches")
     widths = sorted(r[0] for r in sketch.select("width").distinct().collect())  # at most `width` values
-    n_sketch, n_shingles = sketch.count(), shingles.count()
     d = pick(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), text_of("text").alias("text"))
-    empty = d.select("id").where(F.lit(False))
     if not widths:
-        return empty.selectExpr("id", "cast(null as bigint) item", "cast(null as double) containment", "cast(null as bigint) n_shingles", "cast(null as bigint) n_found")
-
-    each = _hashed(d.select("id", F.xxhash64("text").alias("sub"), words(F.col("text")).alias("w")), widths)
-    hits = each.join(broadcast_if(sketch.select("hash").distinct(), n_sketch, BROADCAST_ROWS), "hash", "left_semi").select("id", "sub").distinct()
-    hits = materialize(hits, "candidates")
-
-    n_hits = hits.count()
-    found = d.withColumn("sub", F.xxhash64("text")).join(
-        broadcast_if(hits.select(F.col("id").alias("i"), F.col("sub").alias("s")), n_hits, BROADCAST_ROWS), F.col("id").eqNullSafe(F.col("i")) & (F.col("sub") == F.col("s")), "left_semi"
-    )
-    found = found.dropDuplicates(["id", "sub"]).select("id", "sub", words(F.col("text")).alias("w"))
-    own = found.select("id", "sub", F.explode(F.array_distinct(F.flatten(F.array(*(_texts(k) for k in widths))))).alias("shingle"))
-    pairs = own.join(broadcast_if(shingles.select("item", "shingle", "q"), n_shingles, BROADCAST_ROWS), "shingle")
-    counted = pairs.groupBy("id", "sub", "item", "q").agg(F.count("*").alias("n_found")).where(F.col("n_found") >= F.col("q") * containment - 1e-9)
+        return d.select("id").where(F.lit(False)).selectExpr("id", "cast(null as bigint) item", "cast(null as double) containment", "cast(null as bigint) n_shingles", "cast(null as bigint) n_found")
+
+    d = d.withColumn("sub", F.xxhash64("text"))
+    each = _hashed(d.select("id", "sub", words(F.col("text")).alias("w")), widths)
+    pairs = materialize(candidates(each, sketch, sketch.count()), "candidates")
+
+    # the candidates grow with the documents: both sides are shuffled by document at any size
+    of_pair = pairs.select(F.col("id").alias("i"), F.col("sub").alias("s"), F.col("item").alias("of"))
+    one = F.col("id").eqNullSafe(F.col("i")) & (F.col("sub") == F.col("s"))
+    found = d.join(of_pair.select("i", "s").distinct().hint("merge"), one, "left_semi").dropDuplicates(["id", "sub"]).select("id", "sub", words(F.col("text")).alias("w"))
+    own = found.select("id", "sub", F.explode(F.array_distinct(F.flatten(F.array(*(_texts(k) for k in widths))))).alias("own"))
+    n_bytes = shingles.agg(F.coalesce(F.sum(F.octet_length("shingle") + 64), F.lit(0))).first()[0]
+    want = of_pair.join(broadcast_if(shingles.select("item", "shingle", "q"), n_bytes, BROADCAST_BYTES), F.col("of").eqNullSafe(F.col("item"))).select("i", "s", "item", "q", "shingle")
+    counted = own.join(want, one & (F.col("own") == F.col("shingle"))).groupBy("id", "sub", "item", "q").agg(F.count("*").alias("n_found")).where(F.col("n_found") >= F.col("q") * containment - 1e-9)
     best = counted.groupBy("id", "item").agg(F.max("n_found").alias("n_found"), F.max("q").alias("n_shingles"))
     return best.select("id", "item", (F.col("n_found") / F.col("n_shingles")).alias("containment"), "n_shingles", "n_found")
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
     """The rows of docs whose id is not that of a document with an item in it."""
-    leaked = materialize(contained(docs, items, id_col, text_col, **more).select(F.col("id").alias("_leaked")).distinct(), "leaked")
-    leaked = broadcast_if(leaked, leaked.count(), BROADCAST_ROWS)
-    return docs.join(leaked, docs[f"`{id_col}`"].cast("long").eqNullSafe(F.col("_leaked")), "left_anti")
+    leaked = contained(docs, items, id_col, text_col, **more).select(F.col("id").alias("_leaked")).distinct()
+    return docs.join(leaked.hint("merge"), docs[f"`{id_col}`"].cast("long").eqNullSafe(F.col("_leaked")), "left_anti")
 
 
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:
@@ -129,4 +141,4 @@ def oracle() -> str:
     d AS (SELECT doc_id, {words_} AS w FROM documents),
     ds AS (SELECT DISTINCT doc_id, k, array_to_string(w[i:i + k - 1], ' ') AS s FROM d, (SELECT DISTINCT k FROM bs) AS ks, unnest(range(1, len(w) - k + 2)) AS u(i)),
     n AS (SELECT doc_id, item_id, count(*) AS n FROM ds JOIN bs USING (k, s) GROUP BY doc_id, item_id)
-    SELECT doc_id, item_id, n / q AS containment, q AS n_shingles, n AS n_found FROM n JOIN q USING (item_id) WHERE n >= q * {CONTAINMENT} - 1e-9"""
+    SELECT doc_id, n.item_id, n / q AS containment, q AS n_shingles, n AS n_found FROM n JOIN q ON n.item_id IS NOT DISTINCT FROM q.item_id WHERE n >= q * {CONTAINMENT} - 1e-9"""
