@@ -37,7 +37,7 @@ SHORTEST = 20
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 #: Thousandths of a nat per character that a candidate needs.
 LEAST_RATIO = 500
-#: Words of the ordinary samples.
+#: Words of the ordinary samples: of code, and of other languages than English.
 WORDS = (
     "account action address amount array asset audit balance base batch block buffer build cache call category channel check child class client code column commit config connection content "
     "context control convert count create current data date default delete detail device document domain element email engine entry error event example export factory field file filter "
@@ -50,29 +50,47 @@ WORDS = (
 ).split()
 
 
-def labelled_samples(n: int = 4000, seed: int = 7) -> list[tuple[str, bool]]:
-    """Samples of both kinds, made by rule: (string, whether it is random)."""
+OTHER_WORDS = (
+    "abteilung aufgabe ausgabe beispiel bericht bestellung daten eingabe ergebnis fehler gemeinde geschichte gesellschaft haushalt jahr kunde land leistung menge rechnung stadt steuer strasse vertrag verwaltung "
+    "adresse bureau chemin commande compte conseil demande depense document donnees entreprise exemple facture gouvernement histoire ligne liste marche modele nombre page pays projet region reponse service ville "
+    "archivo ayuda calidad ciudad cliente codigo comercio consulta cuenta departamento desarrollo ejemplo empresa entrada fecha gobierno historia linea mensaje nombre palabra pedido precio presupuesto registro salida"
+).split()
+KEYBOARD = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890", "abcdefghijklmnopqrstuvwxyz", "qwertzuiop", "azertyuiop")
+_HEX, _UPPER = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+
+
+def _drawn(letters: str, least: int = 20, most: int = 44):
+    return lambda r, w: "".join(r.choice(letters) for _ in range(r.randint(least, most)))
+
+
+#: How samples of each kind are made from a random generator and some words.
+RANDOM = {
+    "letters and digits": _drawn(ALPHABET[:62]), "hexadecimal": _drawn(_HEX), "base64": _drawn(ALPHABET[:64]), "capitals and digits": _drawn(_UPPER),
+    "small letters and digits": _drawn("abcdefghijklmnopqrstuvwxyz0123456789"), "base64 for addresses": _drawn(ALPHABET[:62] + "-_"),
+    "uuid": lambda r, w: "-".join(_drawn(_HEX, n, n)(r, w) for n in (8, 4, 4, 4, 12)),
+    "pieces with a name": lambda r, w: f"{w[0]}_{_drawn(ALPHABET[:62], 24, 40)(r, w)}",
+}
+ORDINARY = {
+    "snake": lambda r, w: "_".join(w), "camel": lambda r, w: "".join(x.title() for x in w), "kebab": lambda r, w: "-".join(w) + (f"-{r.randint(0, 99)}" if r.random() < 0.3 else ""),
+    "path": lambda r, w: "/" + "/".join(w), "constant": lambda r, w: "_".join(w).upper() + (f"_{r.randint(0, 2030)}" if r.random() < 0.3 else ""), "compound": lambda r, w: "".join(w),
+    "rule line": lambda r, w: (r.choice("-_+/") if r.random() < 0.7 else r.choice(("-+", "-_", "+/", "_/", "--+--"))) * r.randint(20, 60),
+    "date": lambda r, w: f"{r.randint(1950, 2035)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}" + r.choice(("/", "_", "-", "T")) + w[0] + r.choice(("", f"-{r.randint(1, 99):02d}")),
+    "keys in a row": lambda r, w: "".join(r.choice(KEYBOARD) for _ in range(r.randint(2, 4))),
+    "dated path": lambda r, w: "/".join((w[0], str(r.randint(1990, 2035)), f"{r.randint(1, 12):02d}", "-".join(w[1:]))),
+    "doubled": lambda r, w: (w[0] + r.choice(("", "-", "_"))) * r.randint(3, 8),
+    "number": lambda r, w: r.choice("0123456789") * r.randint(4, 30) + str(r.randint(0, 9999)),
+}
+
+
+def labelled_samples(n: int = 9600, seed: int = 7, left_out: str | None = None) -> list[tuple[str, bool]]:
+    """Samples of both kinds, made by rule: (string, whether it is random). A style can be left out, to test on it what the others teach."""
     r = random.Random(seed)
-    hexadecimal, upper = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
     out = []
-    for i in range(n):
-        letters = (ALPHABET[:62], hexadecimal, ALPHABET[:64], upper)[i % 4]
-        out.append(("".join(r.choice(letters) for _ in range(r.randint(20, 44))), True))
-        words = [r.choice(WORDS) for _ in range(r.randint(2, 5))]
-        style = i % 6
-        if style == 0:
-            text = "_".join(words)
-        elif style == 1:
-            text = "".join(w.title() for w in words)
-        elif style == 2:
-            text = "-".join(words) + (f"-{r.randint(0, 99)}" if r.random() < 0.3 else "")
-        elif style == 3:
-            text = "/".join(words)
-        elif style == 4:
-            text = "_".join(words).upper() + (f"_{r.randint(0, 2030)}" if r.random() < 0.3 else "")
-        else:
-            text = "".join(words)
-        out.append((text, False))
+    for label, styles in ((True, RANDOM), (False, ORDINARY)):
+        names = [k for k in styles if k != left_out]
+        for i in range(n):
+            pool = OTHER_WORDS if r.random() < 0.4 else WORDS
+            out.append((styles[names[i % len(names)]](r, [r.choice(pool) for _ in range(r.randint(2, 5))]), label))
     return out
 
 
