@@ -175,11 +175,17 @@ def encode(text: bytes, path: str) -> tuple[list[int], np.ndarray, np.ndarray]:
     if unknown in ids:
         of = np.array([len(p.encode()) if i == unknown else n for i, p, n in zip(ids, library.encode(text.decode(), out_type=str), of)])
     until = np.cumsum(of)
-    if until[-1] != len(normal):
-        raise ValueError(f"pieces cover {until[-1]} of {len(normal)} normalised bytes")
+    if until[-1] != len(normal):  # the model normalises by a rule that this module doesn't know
+        return ids, *library_spans(text, path)
     return ids, starts[until - of], ends[until - 1]
 
 
+def library_spans(text: bytes, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The byte spans of the pieces by the library's own alignment."""
+    pieces = sentencepiece(path).encode(text.decode(), return_type="proto").pieces
+    return np.array([p.begin for p in pieces], np.int64), np.array([p.end for p in pieces], np.int64)
+
+
 def _parts(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """The rows of a batch in parts of about PART_BYTES of text, at least one row each."""
     size = pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -221,10 +227,11 @@ def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def digests(found: DataFrame) -> DataFrame:
-    """n_tokens, ids_sha256 and decoded_sha256 of encoded rows."""
+    """n_tokens, ids_sha256, decoded_sha256, the bytes up to the end of the last span, and spans_sha256 (of all starts, a semicolon, all ends) of encoded rows."""
     return found.select(
         "id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), F.coalesce(F.get("ends", F.size("ends") - 1), F.lit(0)).cast("long").alias("n_bytes_spanned"),
+        F.sha2(F.concat_ws(";", *(F.array_join(F.col(c).cast("array<string>"), ",") for c in ("starts", "ends"))).cast("binary"), 256).alias("spans_sha256"),
     )
 
 
