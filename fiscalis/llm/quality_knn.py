@@ -105,12 +105,15 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = MOST_LABELLED) -> Model:
-    """Fits on at most `most` labelled rows, those whose id has the smallest hash; rows without an id or a label are left out."""
-    given = pick(labels, id=id_col, label=label_col).where("id is not null and label is not null").dropDuplicates(["id"])
+    """Fits on at most `most` labelled rows, those whose id has the smallest hash; rows without an id or a label are left out.
+
+    Of several labels of one id the smallest counts, of several texts of one id the one with the smallest hash.
+    """
+    given = pick(labels, id=id_col, label=label_col).where("id is not null and label is not null").groupBy("id").agg(F.min("label").alias("label"))
     sample = given.orderBy(F.xxhash64("id"), "id").limit(most).select(F.col("id").alias("_id"), F.col("label").cast("double").alias("label"))
     d = pick(docs, id=id_col, text=text_col).select("id", text_of("text").alias("text"))
-    rows = d.join(F.broadcast(sample), F.col("id") == F.col("_id")).select("id", "label", "text")
-    found = rows.select("label", "text").mapInArrow(_terms, "label double, counts binary").limit(2 * most).toArrow()
+    rows = d.join(F.broadcast(sample), F.col("id") == F.col("_id")).groupBy("id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    found = rows.select("label", "text").mapInArrow(_terms, "label double, counts binary").toArrow()  # `most` rows
     if not found.num_rows:
         return fit(np.zeros((0, TERMS + 8), np.float32), np.zeros(0))
     counts = np.frombuffer(b"".join(found.column("counts").to_pylist()), np.float32).reshape(found.num_rows, -1)
