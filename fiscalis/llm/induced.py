@@ -5,8 +5,8 @@ suffixes are sorted by inducing, named, and, where names repeat, sorted by a rec
 sorted leftmost S suffixes then induce the L suffixes in one scan upwards and the S suffixes in one scan downwards.
 
 Bytes (level 0) are scanned a bucket at a time in numpy: what a bucket induces goes to its buckets in one stable step,
-and a bucket feeds itself in as many steps as its longest run is long. The strings of names have large alphabets and
-are scanned element by element.
+and a bucket feeds itself in as many steps as its longest run is long. The strings of names have too many buckets for
+that: there each run of L (or S) suffixes is ordered by its symbols up to the sorted suffix that it runs into.
 """
 
 from __future__ import annotations
@@ -31,8 +31,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     lms_sorted = order[_flag(lms, n + 1)[order]]
     names, distinct = _named(s, small, lms, lms_sorted)
     if distinct < len(lms):
-        ranks = names[lms]  # the string of names; its last one, the end, is the smallest
-        lms_sorted = lms[np.array(_sais(ranks.tolist(), distinct), np.int64)]
+        lms_sorted = lms[_names_sorted(names[lms])]  # the last name, the end, is the smallest
     return _induce_bytes(s, small, lms_sorted)[1:]
 
 
@@ -180,54 +179,64 @@ def _named(s: np.ndarray, small: np.ndarray, lms: np.ndarray, lms_sorted: np.nda
     return names, int(unlike.sum()) + 1
 
 
-def _sais(s: list[int], top: int) -> list[int]:
-    """Induced sorting of a list whose last element is its only smallest."""
+def _names_sorted(s: np.ndarray) -> np.ndarray:
+    """The suffix array of a string of names, whose last one is its only smallest, by the same steps."""
     n = len(s)
     if n == 1:
-        return [0]
-    small = [True] * n
-    for i in range(n - 2, -1, -1):
-        small[i] = s[i] < s[i + 1] or (s[i] == s[i + 1] and small[i + 1])
-    starts, total = [0] * (top + 1), 0
-    for x in s:
-        starts[x + 1] += 1
-    for i in range(top):
-        total += starts[i + 1]
-        starts[i + 1] = total
-    lms = [i for i in range(1, n) if small[i] and not small[i - 1]]
-
-    def induce(order: list[int]) -> list[int]:
-        sa = [-1] * n
-        tail = starts[1:]
-        for i in reversed(order):
-            tail[s[i]] -= 1
-            sa[tail[s[i]]] = i
-        head = starts[:-1]
-        for k in range(n):
-            i = sa[k] - 1
-            if i >= 0 and not small[i]:
-                sa[head[s[i]]] = i
-                head[s[i]] += 1
-        tail = starts[1:]
-        for k in range(n - 1, -1, -1):
-            i = sa[k] - 1
-            if i >= 0 and small[i]:
-                tail[s[i]] -= 1
-                sa[tail[s[i]]] = i
-        return sa
-
-    is_lms = bytearray(n)
-    for i in lms:
-        is_lms[i] = 1
-    ordered = [i for i in induce(lms) if is_lms[i]]
-    until = dict(zip(lms, [*lms[1:], n - 1]))
-    names, name, last = {}, -1, None
-    for i in ordered:
-        part = s[i : until[i] + 1]
-        if part != last:
-            name += 1
-            last = part
-        names[i] = name
-    if name + 1 < len(lms):
-        ordered = [lms[k] for k in _sais([names[i] for i in lms], name + 1)]
-    return induce(ordered)
+        return np.zeros(1, np.int64)
+    small = _classify(s)
+    lms = np.nonzero(small[1:] & ~small[:-1])[0] + 1
+    order = _induce_names(s, small, _by_bucket(s, lms))
+    lms_sorted = order[_flag(lms, n)[order]]
+    names, distinct = _named(s, small, lms, lms_sorted)
+    if distinct < len(lms):
+        lms_sorted = lms[_names_sorted(names[lms])]
+    return _induce_names(s, small, lms_sorted)
+
+
+def _induce_names(s: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """The suffix array that the given order of the leftmost S suffixes induces: first on the L suffixes, then by these on all S suffixes."""
+    n = len(s)
+    symbol = 2 * s + small  # of suffixes with one first symbol, L come before S
+    place = np.zeros(n, np.int64)
+    larges = _follow(symbol, np.nonzero(~small)[0], lms, _next(small), place)
+    _follow(symbol, np.nonzero(small[:-1])[0], larges, _next(~small), place)
+    sa = np.empty(n, np.int64)
+    sa[0] = n - 1
+    sa[place[:-1] + 1] = np.arange(n - 1)
+    return sa
+
+
+def _next(wanted: np.ndarray) -> np.ndarray:
+    """For each position the first wanted one at or behind it."""
+    at = np.where(wanted, np.arange(len(wanted)), len(wanted))
+    return np.minimum.accumulate(at[::-1])[::-1]
+
+
+def _follow(symbol: np.ndarray, members: np.ndarray, given: np.ndarray, end: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The members in order, where the given suffixes are in order and each member runs over members up to a given one, at `end`.
+
+    Sets place to the places of all these suffixes among each other. Members are told apart by their first symbol, then
+    by the places of what follows them at distances that double, so a run costs the logarithm of its length.
+    """
+    order = members[np.argsort(symbol[members], kind="stable")]
+    first, theirs = symbol[order], symbol[given]
+    slot = np.arange(len(order)) + np.searchsorted(theirs, first)
+    place[given] = np.arange(len(given)) + np.searchsorted(first, theirs)
+    new = np.ones(len(order) + 1, bool)
+    new[1:-1] = first[1:] != first[:-1]
+    place[order] = slot[np.maximum.accumulate(np.where(new[:-1], np.arange(len(order)), 0))]
+    tied = np.nonzero(~(new[:-1] & new[1:]))[0]
+    most, width = len(symbol) + 1, 1
+    while len(tied):
+        at = order[tied]
+        key = place[at] * np.int64(most) + place[np.minimum(at + width, end[at])]
+        by = np.argsort(key, kind="stable")
+        at, key = at[by], key[by]
+        order[tied] = at
+        new = np.ones(len(tied) + 1, bool)
+        new[1:-1] = key[1:] != key[:-1]
+        place[at] = slot[tied[np.maximum.accumulate(np.where(new[:-1], np.arange(len(tied)), 0))]]
+        tied = tied[~(new[:-1] & new[1:])]
+        width *= 2
+    return order

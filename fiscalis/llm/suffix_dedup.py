@@ -12,7 +12,8 @@ with one anchor form a strip, about one strip per 40 bytes of text. Hashes only
 3. An anchor with more than LARGEST strips would make too large a shard. Its strips are split into short ones of at most
    CHUNK windows, at places that lie evenly about the anchor, and routed by the core that these windows share; the short
    strips of a core with too many are split once more into single windows, routed by their own bytes.
-4. Strips are dealt by route and sorted by bytes; equal ones enter the shard once, as their first occurrence. Each shard
+4. Strips are dealt by route and sorted by bytes; equal ones enter the shard once, as their first occurrence, and the
+   others are repeated. A route with one kind of strip needs no more; all others are gathered into shards. Each shard
    gets its suffix array by induced sorting and its permuted common prefixes; suffixes that share LENGTH bytes with a
    neighbour are equal windows, and all but the first in document order are repeated.
 5. Repeated windows are united per document.
@@ -258,7 +259,7 @@ def _shard(ids: np.ndarray, subs: np.ndarray, starts: np.ndarray, strips: list[b
 
 
 def _shards(length: int, shard_bytes: int):
-    """From strips sorted by route and bytes: whole routes are gathered up to the size of a shard."""
+    """From strips sorted by route and bytes: whole routes are gathered up to the size of a shard. A route with strips of one kind only has no neighbours to compare: a window has one place about its anchor, so no strip holds it twice."""
 
     def result(first: list[tuple], again: list[tuple]) -> Iterator[pa.RecordBatch]:
         runs = [_shard(*(np.array(x, np.int64) for x in zip(*(r[1:4] for r in first))), [r[6] for r in first], length)] if first else []
@@ -269,7 +270,7 @@ def _shards(length: int, shard_bytes: int):
             yield _batch(list(out), _RUNS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, again, size = [], [], 0
+        first, again, size, kinds = [], [], 0, 0
         last = route = None
         for batch in batches:
             for row in zip(*(batch.column(i).to_pylist() for i in range(7))):
@@ -277,15 +278,21 @@ def _shards(length: int, shard_bytes: int):
                 if strip is None or (row[0] == route and strip == last):
                     again.append(row)
                     continue
-                if row[0] != route and (size >= shard_bytes or len(again) >= COUNTED):
-                    yield from result(first, again)
-                    first, again, size = [], [], 0
-                route, last = row[0], strip
+                if row[0] != route:
+                    if kinds == 1:
+                        size -= len(first.pop()[6])
+                    if size >= shard_bytes or len(again) >= COUNTED:
+                        yield from result(first, again)
+                        first, again, size = [], [], 0
+                    kinds = 0
+                route, last, kinds = row[0], strip, kinds + 1
                 first.append(row)
                 size += len(strip)
             if len(again) >= COUNTED:  # the repeated strips of one route may be very many
                 yield from result([], again)
                 again = []
+        if kinds == 1:
+            first.pop()
         if first or again:
             yield from result(first, again)
 
