@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -62,8 +65,15 @@ def materialize(df: DataFrame, name: str, level: int = 3) -> DataFrame:
     """Cut the lineage: write df as Parquet in the shared folder and read it back. A lost executor then costs no recomputation of what came before."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level)).parquet(path)
-    spark.sparkContext._jvm.System.gc()  # shuffle files that nothing needs now go at once, not when the driver's heap fills
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")  # nothing needs the write's shuffle files once it is done
+    try:
+        df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level)).parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._shared_path = path
     return out

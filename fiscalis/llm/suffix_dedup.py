@@ -111,12 +111,12 @@ def _batch(columns: list, schema: str) -> pa.RecordBatch:
 def _counted(parts: list[Runs]) -> Iterator[pa.RecordBatch]:
     rows = [np.concatenate([p[i] for p in parts]) for i in range(6)]
     by = np.argsort(rows[0], kind="stable")
-    rows = [x[by] for x in rows]
-    head = np.nonzero(np.concatenate([[True], rows[0][1:] != rows[0][:-1]]))[0]
+    route = rows[0][by]
+    head = np.nonzero(np.concatenate([[True], route[1:] != route[:-1]]))[0]
     size = np.diff(np.append(head, len(by)))
-    n = np.zeros(len(by), np.int32)
-    n[head] = size
-    known = np.repeat(size > 1, size)
+    n, known = np.zeros(len(by), np.int32), np.zeros(len(by), bool)
+    n[by[head]] = size
+    known[by] = np.repeat(size > 1, size)  # rows stay in the order of the text, which packs well
     for i in range(0, len(by), 100_000):
         yield _batch([c[i : i + 100_000] for c in (*rows, known, n)], _STRIPS)
 
@@ -313,10 +313,10 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, la
     shared = shared.unionByName(strips.where("not known").join(counts.select("h"), "h", "left_semi").select("id", "sub", place))
     of_doc = shared.groupBy("id", "sub").agg(F.collect_list("part").alias("parts"))
     cut = d.join(of_doc, ["id", "sub"]).select("id", "sub", "text", "parts").mapInArrow(_cut(length, chunk, hot), _CUT)
-    held = [strips, counts]
+    whole = cut = materialize(cut, "suffix-cut")
+    release(strips)
+    release(counts)
     if hot.any():
-        cut = materialize(cut, "suffix-cut")
-        held.append(cut)
         split = cut.where("hot and strip is not null")
         cores = split.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > largest)
         often = _hot_map(cores)
@@ -329,8 +329,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, la
     tasks = max(1, n * (length + 40) // TASK_BYTES)
     dealt = cut.repartition(tasks, "h").sortWithinPartitions("h", "strip", "id", "sub", "a")
     runs = materialize(dealt.mapInArrow(_shards(length, shard_bytes), _RUNS), "suffix-runs")
-    for done in held:
-        release(done)
+    release(whole)
     return runs
 
 
