@@ -6,8 +6,8 @@ range of slots; a sequence lies at slot * stride of its shard, so training reads
 from a slot by one division.
 
 The tokens are made once and written to the shared folder, then dealt by ranges of ids and counted; each document then
-knows its place in the stream, and its tokens go to the shards that they belong to, one task per shard. The plan is the
-same at any size. Equal sequences get different slots and hot sources are spread by the permutation, so shards have one
+knows its place in the stream, and its tokens go to the shards that they belong to, one task per shard, and are written
+once more before the shards are, so that a shard can be made again from its own file. The plan is the same at any size. Equal sequences get different slots and hot sources are spread by the permutation, so shards have one
 size.
 """
 
@@ -16,13 +16,13 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyarrow import fs
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fiscalis.llm.common import materialize, new_path, pick, qualified, release, table, text_of
@@ -33,6 +33,9 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 LENGTH = 512
 PER_SHARD = 4096
 KEY = 42
+#: Documents whose heads teach the packing of pieces, and bytes of a head.
+SAMPLES = 1000
+SAMPLE_BYTES = 4096
 ROUNDS = 6
 
 _PIECES = "slot long, at int, id long, tokens binary"
@@ -74,65 +77,74 @@ def _tokens(path: str):
     return run
 
 
-def _running(width: int):
-    """The tokens before each row in its task."""
+@contextmanager
+def _file_by_file(spark: SparkSession) -> Iterator[None]:
+    """While it holds, each file of a table that is read is one task, whole and in its order."""
+    names = "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"
+    before = {k: spark.conf.get(k) for k in names}
+    for k in names:
+        spark.conf.set(k, str(1 << 36))
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = 0
-        for b in batches:
-            n = pc.binary_length(b.column("tokens")).to_numpy().astype(np.int64) // width
-            until = total + np.cumsum(n)
-            yield pa.RecordBatch.from_arrays([b.column("part"), b.column("id"), pa.array(n), pa.array(until - n), b.column("tokens")], ["part", "id", "n", "before", "tokens"])
-            total = int(until[-1]) if len(n) else total
-
-    return run
 
+def placed(docs: DataFrame, path: str) -> tuple[DataFrame, DataFrame, int]:
+    """The tokens of all documents in the order of ids (null ids last), a file for each range of ids, as (part, id, n, tokens); the tokens before each part, as (part, base); and all tokens.
 
-def placed(docs: DataFrame, path: str) -> tuple[DataFrame, int]:
-    """(id, start, tokens): the tokens of each document and how many come before them in the order of ids (null ids last); and all tokens.
-
-    The tokens are dealt by ranges of ids once. Inside a range places are counted by its task; only the sums of the
-    ranges, one row each, are told to all.
+    The tokens are dealt by ranges of ids once. Only the sums of the ranges, one row each, are told to all; a task that
+    reads a range counts on from there.
     """
+    width = end_mark(path)[1]
     made = materialize(docs.mapInArrow(_tokens(path), "id long, sub long, tokens binary").withColumn("row", F.monotonically_increasing_id()), "order-tokens")
     order = F.col("id").asc_nulls_last(), F.col("sub"), F.col("row")  # row: so that equal rows can be dealt to several tasks
-    dealt = made.repartitionByRange(*order).sortWithinPartitions(*order).select(F.spark_partition_id().alias("part"), "id", "tokens")
-    run = materialize(dealt.mapInArrow(_running(end_mark(path)[1]), "part int, id long, n long, before long, tokens binary"), "order-places")
+    dealt = made.repartitionByRange(*order).sortWithinPartitions(*order)
+    run = materialize(dealt.select(F.spark_partition_id().alias("part"), "id", (F.octet_length("tokens") / width).cast("long").alias("n"), "tokens"), "order-places", level=6)
     release(made)
     parts = run.groupBy("part").agg(F.sum("n").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     total = parts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    out = run.join(F.broadcast(parts.select("part", "base")), "part").select("id", (F.col("before") + F.col("base")).alias("start"), "tokens")
-    out._shared_path = run._shared_path
-    return out, total
+    return run, parts.select("part", "base"), total
+
+
+def _dictionary(tokens: DataFrame) -> bytes:
+    """What short pieces are packed by, from the heads of some documents; empty where there are few. It changes no result."""
+    found = tokens.select(F.substring("tokens", 1, SAMPLE_BYTES).alias("x")).limit(SAMPLES).toArrow().column("x").to_pylist()
+    samples = [x[i : i + 1024] for x in found for i in range(0, len(x), 1024)]
+    return zstandard.train_dictionary(1 << 16, samples).as_bytes() if len(samples) > 500 else b""
 
 
-def _pieces(total: int, length: int, key: int, width: int):
+def _pieces(total: int, length: int, key: int, width: int, packing: bytes):
     n = -(-total // length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=6).compress  # what is shuffled; rows in random order leave little to the shuffle's own codec
+        pack = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(packing) if packing else None).compress
+        part, before = None, 0
         for b in batches:
             for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
-                out: list[list] = [[], [], [], []]
-                for start, doc, tokens in zip(part.column("start").to_pylist(), part.column("id").to_pylist(), part.column("tokens").to_pylist()):
-                    size = len(tokens) // width
-                    sequence = np.arange(start // length, (start + size - 1) // length + 1)
-                    cut = np.clip(np.append(sequence * length, (sequence[-1] + 1) * length) - start, 0, size) * width
-                    out[0].append(permute(sequence, n, key))
-                    out[1].append(np.maximum(start - sequence * length, 0))
-                    out[2] += [doc] * len(sequence)
-                    out[3] += [pack(tokens[x:y]) for x, y in zip(cut[:-1].tolist(), cut[1:].tolist())]
-                slot = np.concatenate(out[0])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(slot), pa.array(np.concatenate(out[1]).astype(np.int32)), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary())],
-                    ["slot", "at", "id", "tokens"],
-                )
+                rows = b.slice(at, 1000)
+                ids, tokens = rows.column("id").to_pylist(), rows.column("tokens").to_pylist()
+                size, parts, base = (rows.column(k).to_numpy() for k in ("n", "part", "base"))
+                start = np.cumsum(size) - size
+                for x in np.nonzero(np.concatenate([[True], parts[1:] != parts[:-1]]))[0].tolist():
+                    start[x:] += (before if parts[x] == part else int(base[x])) - start[x]
+                    part = parts[x]
+                before = int(start[-1] + size[-1])
+                first, last = start // length, (start + size - 1) // length
+                count = last - first + 1
+                row = np.repeat(np.arange(len(ids)), count)
+                sequence = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + first[row]
+                low = np.maximum(sequence * length - start[row], 0)
+                high = np.minimum((sequence + 1) * length - start[row], size[row])
+                cut = [pack(tokens[r][x:y]) for r, x, y in zip(row.tolist(), (low * width).tolist(), (high * width).tolist())]
+                where = np.maximum(start[row] - sequence * length, 0).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(permute(sequence, n, key)), pa.array(where), pa.array([ids[r] for r in row.tolist()], pa.int64()), pa.array(cut, pa.binary())], ["slot", "at", "id", "tokens"])
 
     return run
 
 
-def _write(folder: str, length: int, per_shard: int, end_id: int, width: int):
+def _write(folder: str, length: int, per_shard: int, end_id: int, width: int, packing: bytes):
     """Writes each shard whole, under a name of the attempt's own that becomes the shard's name at the end, so that repeated and parallel attempts do no harm."""
     stride = length * width
     end = np.array(end_id, f"<u{width}").tobytes()
@@ -155,7 +167,7 @@ def _write(folder: str, length: int, per_shard: int, end_id: int, width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(folder)
-        unpack = zstandard.ZstdDecompressor().decompress
+        unpack = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(packing) if packing else None).decompress
         now, held = None, {}
         for b in batches:
             for slot, at, doc, tokens in zip(*(b.column(k).to_pylist() for k in range(4))):
@@ -184,15 +196,20 @@ def write_shards(
     Null texts count as empty: an end mark alone. Rows that share an id are ordered by a hash of their text; rows equal in
     both are each written. Null ids come last. The last sequence is filled with end marks. An empty table writes nothing.
     """
-    folder, path = qualified(docs.sparkSession, folder), path or default_path(VOCABULARY)
+    spark = docs.sparkSession
+    folder, path = qualified(spark, folder), path or default_path(VOCABULARY)
     end, width = end_mark(path)
     d = pick(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), text_of("text").alias("text")).withColumn("sub", F.xxhash64("text"))
-    tokens, total = placed(d, path)
-    pieces = tokens.mapInArrow(_pieces(total, length, key, width), _PIECES)
+    tokens, bases, total = placed(d, path)
+    packing = _dictionary(tokens)
+    pieces = tokens.join(F.broadcast(bases), "part").mapInArrow(_pieces(total, length, key, width, packing), _PIECES)
     shards = max(1, -(-total // (length * per_shard)))
     dealt = pieces.repartitionById(min(shards, 100_000), F.floor(F.col("slot") / per_shard).cast("int")).sortWithinPartitions("slot", "at")
-    found = materialize(dealt.mapInArrow(_write(folder, length, per_shard, end, width), _SEQUENCES), "order-sequences")
-    release(tokens)
+    with _file_by_file(spark):
+        dealt = materialize(dealt, "order-pieces", level=1)
+        release(tokens)
+        found = materialize(dealt.mapInArrow(_write(folder, length, per_shard, end, width, packing), _SEQUENCES), "order-sequences")
+    release(dealt)
     return found.withColumn("sha256", F.lower(F.hex("sha256")))
 
 
