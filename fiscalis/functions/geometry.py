@@ -43,9 +43,52 @@ def clamped(b: Box, width: Column, height: Column) -> Box:
 
 
 def plausible(b: Box, width: Column, height: Column) -> Column:
-    """Whether a raw box can be a table: valid, not over 5 units off the page, 1 % of it or more, 15 % of its width or more, not over 10 times as high as wide."""
-    w, h = b[2] - b[0], b[3] - b[1]
-    return (w > 0) & (h > 0) & (b[0] >= -5) & (b[1] >= -5) & (b[2] <= width + 5) & (b[3] <= height + 5) & (w * h >= 0.01 * width * height) & (w >= 0.15 * width) & (h <= 10 * w)
+    """Whether a raw box can be a table: valid, not over 5 units off the left or upper edge, and, cut to the page, 1 % of it or more, 15 % of its width or more, not over 10 times as high as wide."""
+    wide = F.least(b[2], width) - F.greatest(b[0], F.lit(0))
+    high = F.least(b[3], height) - F.greatest(b[1], F.lit(0))
+    valid = (b[2] > b[0]) & (b[3] > b[1]) & (b[0] >= -5) & (b[1] >= -5) & (wide > 0) & (high > 0)
+    return valid & (wide * high >= 0.01 * width * height) & (wide >= 0.15 * width) & (high <= 10 * wide)
+
+
+def tiny(b: Box, width: Column, height: Column) -> Column:
+    """Whether a box is too small to be trusted: under 100 units on one side, or under 0.2 % of the page."""
+    wide, high = b[2] - b[0], b[3] - b[1]
+    return (wide < 100) | (high < 100) | (wide * high < 0.002 * width * height)
+
+
+def centre_distance(a: Box, b: Box) -> Column:
+    """How far the centres are apart, across plus down."""
+    return F.abs((a[0] + a[2]) / 2 - (b[0] + b[2]) / 2) + F.abs((a[1] + a[3]) / 2 - (b[1] + b[3]) / 2)
+
+
+def holds_centre(outer: Box, inner: Box) -> Column:
+    """Whether the centre of the inner box is in the outer one, edges included."""
+    x, y = (inner[0] + inner[2]) / 2, (inner[1] + inner[3]) / 2
+    return x.between(outer[0], outer[2]) & y.between(outer[1], outer[3])
+
+
+def pixels(points: Column, dpi: int = 300) -> Column:
+    return points * dpi / 72
+
+
+def points(pixels_: Column, dpi: int = 300) -> Column:
+    return pixels_ * 72 / dpi
+
+
+def of_percent(x: Column, y: Column, w: Column, h: Column, width: Column, height: Column) -> Box:
+    """A box in whole pixels, cut to the image, from percentages of it."""
+    at = lambda part, size: F.greatest(F.lit(0), F.least((part / 100.0 * size).cast("int"), size))
+    return at(x, width), at(y, height), at(x + w, width), at(y + h, height)
+
+
+def on_map(lat: Column, lon: Column) -> Column:
+    """Whether a place lies within the bounds of the map."""
+    return lat.between(-4.9, 5.5) & lon.between(33.8, 41.9)
+
+
+def mercator(lat: Column, lon: Column) -> tuple[Column, Column]:
+    """Places of a Mercator projection on the unit sphere, x to the east and y to the north."""
+    return F.radians(lon), F.ln(F.tan(F.lit(0.7853981633974483) + F.radians(lat) / 2))
 
 
 def padded(b: Box, pad: int, width: Column, height: Column) -> Box:

@@ -65,16 +65,100 @@ def short_stem(stem: Column) -> Column:
 
 
 def base_name(url: Column) -> Column:
-    """The file name in an address: behind ?d= if there, decoded, either slash."""
-    path = F.when(F.instr(url, F.lit("?d=")) > 0, F.element_at(F.split(url, r"\?d="), -1)).otherwise(url)
-    return F.element_at(F.split(F.replace(F.coalesce(F.try_url_decode(path), path), F.lit("\\"), F.lit("/")), "/"), -1)
+    """The file name in an address: behind the first ?d= if there, decoded (a plus stays one), either slash."""
+    path = F.when(F.instr(url, F.lit("?d=")) > 0, F.element_at(F.split(url, r"\?d=", 2), -1)).otherwise(url)
+    decoded = F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    return F.element_at(F.split(F.replace(F.coalesce(decoded, path), F.lit("\\"), F.lit("/")), "/"), -1)
 
 
 def report_class(name: Column) -> Column:
-    """Audit, Budget or Unknown by words in a file name."""
+    """Audit, Budget or Report by words in a file name."""
+    return F.when(_has(name, AUDIT_WORDS), "Audit").when(_has(name, BUDGET_WORDS), "Budget").otherwise("Report")
+
+
+def _has(name: Column, words: tuple[str, ...]) -> Column:
+    return F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(F.lower(name), w))
+
+
+def report_info(name: Column) -> Column:
+    """Institution, family and context of a report by words in its file name; other reports have no context."""
+    kind = report_class(name)
+    pick = lambda audit, budget, other: F.when(kind == "Audit", audit).when(kind == "Budget", budget).otherwise(F.lit(other))
+    return F.struct(
+        pick("Office of the Auditor General (OAG)", "Controller of Budget (COB)", "Unknown").alias("institution"), kind.alias("report_family"),
+        pick("Financial integrity, project status, and audit opinions", "County budget allocations and actual expenditure", None).alias("data_context"),
+    )
+
+
+def relevant_report(name: Column, fiscal_year: str) -> Column:
+    """Whether a file name has a word of either kind and the year, or one of the years 2023 and 2024."""
     low = F.lower(name)
-    has = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w))
-    return F.when(has(AUDIT_WORDS), "Audit").when(has(BUDGET_WORDS), "Budget").otherwise("Unknown")
+    return _has(name, AUDIT_WORDS + BUDGET_WORDS) & (F.contains(low, F.lit(fiscal_year)) | F.contains(low, F.lit("2023")) | F.contains(low, F.lit("2024")))
+
+
+def clean_name(name: Column) -> Column:
+    """A project's name without the numbers behind it; no name gives one of its own."""
+    return F.when(F.coalesce(name, F.lit("")) == "", "Unknown Project").otherwise(F.regexp_replace(name, r"(?:\s+[\d.,]+)+\s*$", ""))
+
+
+def risk_label(risks: Column, verdict: Column, status: Column) -> Column:
+    """The first risk, else the verdict, else the status, else FLAGGED, with blanks for underscores."""
+    return F.translate(F.coalesce(F.get(risks, F.lit(0)), verdict, status, F.lit("FLAGGED")), "_", " ")
+
+
+def cell_id(page: Column, table: Column, row: Column | None = None, col: Column | None = None) -> Column:
+    """page_001_table_00, and of a cell with _r0_c0 behind it."""
+    pad = lambda x, n: F.when(F.length(x.cast("string")) < n, F.lpad(x.cast("string"), n, "0")).otherwise(x.cast("string"))
+    own = F.concat(F.lit("page_"), pad(page, 3), F.lit("_table_"), pad(table, 2))
+    return own if row is None else F.concat(own, F.lit("_r"), row.cast("string"), F.lit("_c"), col.cast("string"))
+
+
+def joined_pieces(word: Column, amount: bool = False) -> Column:
+    """A word put together from a tagger's pieces: marks of inner pieces go, and in amounts all blanks."""
+    whole = F.replace(F.replace(word, F.lit(" ##"), F.lit("")), F.lit("##"), F.lit(""))
+    return F.trim(F.replace(whole, F.lit(" "), F.lit("")) if amount else whole)
+
+
+#: The names of a tagger's numbered labels.
+TAGS = {"0": "O", "1": "B-COUNTY", "2": "I-COUNTY", "3": "B-AMOUNT", "4": "I-AMOUNT"}
+
+
+def tag_name(label: Column) -> Column:
+    """The name of a label, looked up by its number, without B- or I-; one that isn't there stays as it is; null for the label 0, which is left out."""
+    number = F.replace(label, F.lit("LABEL_"), F.lit(""))
+    name = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in TAGS.items() for x in pair]), number), number)
+    return F.when(number != "0", F.replace(F.replace(name, F.lit("B-"), F.lit("")), F.lit("I-"), F.lit("")))
+
+
+def percent_text(share: Column) -> Column:
+    """97.1% for 0.971: two decimals at most."""
+    return F.concat(F.round(share * 100, 2).cast("string"), F.lit("%"))
+
+
+def full_money(x: Column) -> Column:
+    """KES and the whole amount with commas; no amount is 0, commas in a text are left out."""
+    return F.concat(F.lit("KES "), F.format_number(F.coalesce(F.replace(x.cast("string"), F.lit(","), F.lit("")).try_cast("decimal(20,2)"), F.lit(0)), 0))
+
+
+def spoken_money(text: Column) -> Column:
+    """An amount as it is read out."""
+    for mark in ("Ksh", "KES"):
+        text = F.replace(text, F.lit(mark), F.lit("Kenyan Shillings"))
+    return text
+
+
+def page_heading(number: Column, text: Column) -> Column:
+    return F.concat(F.lit("## PAGE "), number.cast("string"), F.lit("\n\n"), text)
+
+
+def joined_blocks(blocks: Column) -> Column:
+    """Blocks of text, trimmed, one to a line, blank ones left out."""
+    return F.array_join(F.filter(F.transform(blocks, lambda b: F.trim(b)), lambda b: b != ""), "\n")
+
+
+def sentences(text: Column) -> Column:
+    """Stretches of text that end with a full stop, an exclamation or a question mark before white space."""
+    return F.filter(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.trim(s) != "")
 
 
 def compact_money(x: Column) -> Column:

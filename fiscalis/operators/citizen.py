@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, StructType
+from pyspark.sql.types import ArrayType, DataType, StructField, StructType
 
+from fiscalis.functions.text import spoken_money
 from fiscalis.operators.finance import last_of
 
 
@@ -21,16 +22,22 @@ def text_only(docs: DataFrame) -> DataFrame:
 
 
 def without_keys(df: DataFrame, unwanted: Callable[[str], bool]) -> DataFrame:
-    """df without the fields, at any depth, whose names are unwanted; the schema is walked on the driver."""
-    return df.select(*(_kept(F.col(f"`{f.name}`"), f.dataType, unwanted).alias(f.name) for f in df.schema if not unwanted(f.name)))
+    """df without the fields, at any depth, whose names are unwanted; a structure of which nothing is left goes too. The schema is walked on the driver."""
+    return df.select(*(_kept(F.col(f"`{f.name}`"), f.dataType, unwanted).alias(f.name) for f in df.schema if _stays(f, unwanted)))
+
+
+def _stays(field: StructField, unwanted: Callable[[str], bool]) -> bool:
+    kind = field.dataType
+    while isinstance(kind, ArrayType):
+        kind = kind.elementType
+    return not unwanted(field.name) and (not isinstance(kind, StructType) or any(_stays(f, unwanted) for f in kind))
 
 
 def _kept(value: Column, kind: DataType, unwanted: Callable[[str], bool]) -> Column:
     if isinstance(kind, ArrayType):
         return F.transform(value, lambda x: _kept(x, kind.elementType, unwanted))
     if isinstance(kind, StructType):
-        fields = [_kept(value[f.name], f.dataType, unwanted).alias(f.name) for f in kind if not unwanted(f.name)]
-        return F.when(value.isNotNull(), F.struct(*fields)) if fields else value
+        return F.when(value.isNotNull(), F.struct(*(_kept(value[f.name], f.dataType, unwanted).alias(f.name) for f in kind if _stays(f, unwanted))))
     return value
 
 
@@ -40,3 +47,37 @@ def by_county(rows: DataFrame, order: str, key: str = "county") -> DataFrame:
     rest = [c for c in found.columns if c not in (key, order)]
     entries = F.sort_array(F.collect_list(F.struct(F.col(key).alias("key"), F.struct(*rest).alias("value"))))
     return found.agg(F.map_from_entries(entries).alias("counties"), F.count("*").alias("total_counties"))
+
+
+#: What is said of a flagged project without a note of its own.
+NO_NOTE = "Stalled completion due to substandard materials used."
+
+
+def narrated(projects: DataFrame, key: str = "county") -> DataFrame:
+    """What is read out about each county's projects, in the order of idx. projects: key, idx, title, contract_sum (as shown), progress, oag_status, oag_detail; missing sums and progress are not mentioned."""
+    line = F.concat(
+        F.lit("Item "), F.col("place").cast("string"), F.lit(": "), F.col("title"), F.lit(". "),
+        F.when(F.coalesce("contract_sum", F.lit("")) != "", F.concat(F.lit("The designated contract sum is "), spoken_money(F.col("contract_sum")), F.lit(". "))).otherwise(""),
+        F.when(F.col("progress").isNotNull(), F.concat(F.lit("Current execution implementation is at "), F.col("progress").cast("string"), F.lit(" percent. "))).otherwise(""),
+        F.when(
+            F.col("oag_status") == "FLAGGED",
+            F.concat(
+                F.lit("Warning. This project profile reflects a verified project risk indicator from the Office of the Auditor General. Observation note indicates: "),
+                F.coalesce(F.nullif("oag_detail", F.lit("")), F.lit(NO_NOTE)), F.lit(" "),
+            ),
+        ).otherwise(""),
+        F.lit(" "),
+    )
+    placed = projects.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("idx")))
+    d = placed.groupBy(key).agg(F.count("*").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", line.alias("line")))), lambda x: x["line"]), "").alias("lines"))
+    head = F.concat(F.lit("Displaying telemetry summary for "), F.col(key), F.lit(" County, containing "), F.col("n").cast("string"), F.lit(" project records. "))
+    return d.select(key, F.concat(head, F.col("lines")).alias("narration"))
+
+
+def no_projects(county: Column) -> Column:
+    return F.concat(F.lit("There are currently no active project metrics recorded for "), county, F.lit(" County."))
+
+
+def bundle_total(first: Column, second: Column) -> Column:
+    """The counties of a bundle of two maps: the larger number, 1 at least."""
+    return F.greatest(F.coalesce(F.size(F.map_keys(first)), F.lit(0)), F.coalesce(F.size(F.map_keys(second)), F.lit(0)), F.lit(1))

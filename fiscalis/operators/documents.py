@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WINDOW, STRIDE = 512, 461
 NATIVE = 150
-NUMBER = r"\d[\d,]*(?:\.\d+)?"
+#: What counts as a number of a financial table, and the words of one.
+NUMBER = r"\b\d{1,3}(?:,\d{3})+(?:\.\d+)?\b|\b\d+\.\d+\b|\b\d+%\b"
+KEYWORDS = "budget|actual|variance|total|expenditure|revenue|county|ksh|audit|statement|summary|amount|approved|collection"
 SPLIT_THOUSANDS = r"(?<=\d),\s+(?=\d)"
 AMOUNT = r"[\d,]{5,}(?:\.\d+)?"
 HEADER = r"(?i)^(Sector|Project|Location|Contract|Amount|No\.|S/N|Budget)"
@@ -36,17 +38,32 @@ def sections(docs: DataFrame, heading: str, id_col: str = "doc_id", text_col: st
     return docs.select(id_col, pieces.alias("piece", "section")).where(F.col("section").rlike(f"^{heading}"))
 
 
-def page_features(pages: DataFrame, keywords: list[str], id_cols: list[str], text_col: str = "text") -> DataFrame:
+def page_features(pages: DataFrame, id_cols: list[str], text_col: str = "text") -> DataFrame:
     """Counts per page and their weighted score: 1.2 numbers, 0.8 keywords, 5 lines of three or more numbers, 0.2 lines over 80 characters."""
-    d = pages.select(*id_cols, F.filter(F.split(F.coalesce(text_col, F.lit("")), "\n"), lambda x: F.trim(x) != "").alias("l"), F.coalesce(text_col, F.lit("")).alias("t"))
-    words = sum((F.regexp_count(F.lower("t"), F.lit(k)) for k in keywords), F.lit(0))
+    lines_ = F.filter(F.transform(F.split(F.coalesce(text_col, F.lit("")), "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    each = F.transform(lines_, lambda x: F.struct(F.regexp_count(x, F.lit(NUMBER)).alias("n"), F.length(x).alias("size")))  # no number goes over a line's end
+    d = pages.select(*id_cols, each.alias("l"), F.regexp_count(F.coalesce(text_col, F.lit("")), F.lit(f"(?i){KEYWORDS}")).alias("keyword_hits"))
     d = d.select(
-        *id_cols, F.size("l").alias("line_count"), F.regexp_count("t", F.lit(NUMBER)).alias("num_hits"), words.alias("keyword_hits"),
-        F.size(F.filter("l", lambda x: F.regexp_count(x, F.lit(NUMBER)) >= 3)).alias("dense_lines"), F.size(F.filter("l", lambda x: F.length(x) > 80)).alias("long_lines"),
+        *id_cols, F.size("l").alias("line_count"), F.aggregate("l", F.lit(0), lambda s, x: s + x["n"]).alias("num_hits"), "keyword_hits",
+        F.size(F.filter("l", lambda x: x["n"] >= 3)).alias("dense_lines"), F.size(F.filter("l", lambda x: x["size"] > 80)).alias("long_lines"),
     )
     return d.withColumn("score", F.round(1.2 * F.col("num_hits") + 0.8 * F.col("keyword_hits") + 5 * F.col("dense_lines") + 0.2 * F.col("long_lines"), 3))
 
 
+def top_pages(scored: DataFrame, group: str, key: str, most: int, score: str = "score") -> DataFrame:
+    """The best pages of each group with their rank; equals go by key."""
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc(score), key))
+    return scored.withColumn("rank", rank.cast("long")).where(F.col("rank") <= most)
+
+
+def cascade(pages: DataFrame, group: str, key: str, few: int = 40, most: int = 18) -> DataFrame:
+    """The pages to label: all of a file of few pages, else its best by text score; of these the best by model score, and then those with a table. pages: group, key, score, model_score, n_tables."""
+    n = F.count("*").over(Window.partitionBy(group))
+    first = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("score"), key))
+    candidates = pages.withColumn("_n", n).withColumn("_first", first).where((F.col("_n") <= few) | (F.col("_first") <= few)).drop("_n", "_first")
+    return top_pages(candidates, group, key, most, "model_score").where("n_tables > 0")
+
+
 def project_row(line: Column) -> Column:
     """The project that a line of a table states, as a struct; null for headers and for lines of fewer than two amounts."""
     joined = F.regexp_replace(F.trim(line), SPLIT_THOUSANDS, ",")
@@ -68,15 +85,17 @@ def native_text(pages: DataFrame, placeholder: str, text_col: str = "text") -> D
     return pages.withColumn("is_native", native).withColumn("page_text", F.when(native, F.trim(text_col)).otherwise(F.lit(placeholder)))
 
 
-def findings(entities: DataFrame, keys: list[str]) -> DataFrame:
-    """One finding per sentence with a project or a risk: the last project, the amounts in order, and the kind. entities: keys, ent_idx, entity_group, word."""
-    amount = F.nullif(F.regexp_replace("word", r"[^\d.]", ""), F.lit("")).try_cast("double")
-    found = entities.groupBy(*keys).agg(
-        F.max_by(F.when(F.col("entity_group") == "PROJECT_NAME", F.col("word")), F.when(F.col("entity_group") == "PROJECT_NAME", F.col("ent_idx"))).alias("project_name"),
+def findings(entities: DataFrame, keys: list[str], shortest: int = 40) -> DataFrame:
+    """One finding per sentence of 40 characters or more with a project or a risk: the last project, the amounts in order, and the kind. entities: keys, sentence, ent_idx, entity_group, word."""
+    word = F.trim("word")
+    amount = F.nullif(F.regexp_replace(word, r"[^\d.]", ""), F.lit("")).try_cast("double")
+    project = F.col("entity_group") == "PROJECT_NAME"
+    found = entities.where(F.length("sentence") >= shortest).groupBy(*keys).agg(
+        F.max_by(F.when(project, word), F.when(project, F.col("ent_idx"))).alias("project_name"),
         F.sort_array(F.collect_list(F.when(F.col("entity_group") == "KSH_AMOUNT", F.struct("ent_idx", amount.alias("amount"))))).alias("a"),
-        F.bool_or(F.col("entity_group") == "RISK_FINDING").alias("risk"),
+        F.bool_or(F.col("entity_group") == "RISK_FINDING").alias("risk"), F.trim(F.max("sentence")).alias("sentence"),
     )
     amounts = F.filter(F.transform("a", lambda x: x["amount"]), lambda x: x.isNotNull())
     return found.where("project_name is not null or risk").select(
-        *keys, "project_name", amounts.alias("amounts"), F.when(F.col("risk"), "FLAGGED_BY_MODEL").otherwise("GENERAL_FINDING").alias("kind")
+        *keys, "project_name", amounts.alias("amounts"), F.when(F.col("risk"), "FLAGGED_BY_MODEL").otherwise("GENERAL_FINDING").alias("kind"), "sentence"
     )

@@ -2,25 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fiscalis.functions.text import leading_int
 
 
 def last_of(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """Of rows with equal keys, the last in the given order."""
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order]))
-    return rows.withColumn("_place", place).where("_place = 1").drop("_place")
+    """Of rows with equal keys, the last in the given order; found before the shuffle in each task, then among these."""
+    return rows.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max_by(F.struct("*"), F.struct(*order)).alias("_row")).select("_row.*")
 
 
 def first_of(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return rows.withColumn("_place", place).where("_place = 1").drop("_place")
+    return rows.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.min_by(F.struct("*"), F.struct(*order)).alias("_row")).select("_row.*")
 
 
-def merge(budget: DataFrame, revenue: DataFrame, expenditure: DataFrame, key: str = "county") -> DataFrame:
-    """One row per county of any list; a list without it leaves its columns null. Each list has a county once."""
+def merge(budget: DataFrame, revenue: DataFrame, expenditure: DataFrame, key: str = "county", order: str | None = None) -> DataFrame:
+    """One row per county of any list; a list without it leaves its columns null. Of several rows of a county in one list the last by the column `order` counts; without such a column each list has a county once."""
+    if order:
+        budget, revenue, expenditure = (last_of(d, [key], [order]).drop(order) for d in (budget, revenue, expenditure))
     return budget.join(revenue, key, "full_outer").join(expenditure, key, "full_outer")
 
 

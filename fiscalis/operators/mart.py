@@ -96,3 +96,26 @@ def county_stats(projects: DataFrame) -> DataFrame:
     return projects.groupBy("county").agg(
         F.count_if("source_cob").alias("cob_projects"), F.count_if("source_oag").alias("oag_findings"), F.count("*").alias("total_records")
     )
+
+
+def append_run(runs: DataFrame, new: DataFrame, key: str = "run_id") -> DataFrame:
+    """The log with one more run behind it, numbered on from the last."""
+    last = runs.agg(F.coalesce(F.max(key), F.lit(0)).cast("long").alias("_last"))
+    return runs.unionByName(new.join(last).withColumn(key, F.col("_last") + 1).select(runs.columns))  # one row each
+
+
+def list_runs(runs: DataFrame, skip: int = 0, limit: int = 100, key: str = "run_id") -> DataFrame:
+    return page(runs, key, skip, limit)
+
+
+def list_finances(finances: DataFrame, county: str | None = None, skip: int = 0, limit: int = 100) -> DataFrame:
+    """Finances of one county, or of all, by county and year."""
+    if county:
+        finances = finances.where(F.col("county") == county)
+    keys = [k for k in ("county", "fiscal_year") if k in finances.columns]
+    return finances.orderBy(*keys).offset(skip).limit(limit)
+
+
+def capped(rows: DataFrame, key: str, most: int = 1000) -> DataFrame:
+    """What a client sees that asks for so many rows at most."""
+    return page(rows, key, 0, most)

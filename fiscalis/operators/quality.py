@@ -12,17 +12,25 @@ ENUMERATED = r"^(?:[A-Z]|[IVXLC]+|\d+)[.)]\s+"
 TOLERANCE = 2.0
 
 
-def detection_quality(found: DataFrame, keys: list[str], page_area: int) -> DataFrame:
-    """Per page: detections, 0.8 of the best score and 0.2 of the mean share of the page, plus 0.03 for each up to 0.2; and whether the largest has 1 % of the page."""
-    d = found.groupBy(*keys).agg(F.count("*").alias("n"), F.max("score").alias("best"), F.sum(area(box())).alias("covered"), F.max(area(box())).alias("largest"))
-    value = 0.8 * F.col("best") + 0.2 * (F.col("covered") / (F.col("n") * page_area)) + F.least(F.lit(0.2), 0.03 * F.col("n"))
-    return d.select(*keys, "n", F.round(value, 4).alias("quality"), (F.col("largest") >= 0.01 * page_area).alias("plausible"))
+def detection_quality(found: DataFrame, keys: list[str], page_area: int, pages: DataFrame | None = None) -> DataFrame:
+    """Per page: detections, 0.8 of the largest and 0.2 of the mean share of the page, plus 0.03 for each up to 0.2; and whether the largest has 1 % of the page.
+
+    With pages (keys), also those without a detection: quality 0, implausible.
+    """
+    d = found.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(area(box())).alias("covered"), F.max(area(box())).alias("largest"))
+    value = 0.8 * (F.col("largest") / page_area) + 0.2 * (F.col("covered") / (F.col("n") * page_area)) + F.least(F.lit(0.2), 0.03 * F.col("n"))
+    d = d.select(*keys, "n", value.alias("quality"), (F.col("largest") >= 0.01 * page_area).alias("plausible"))
+    if pages is None:
+        return d
+    known = {"n": F.lit(0), "quality": F.lit(0.0), "plausible": F.lit(False)}
+    return pages.select(*keys).distinct().join(d, keys, "left").select(*keys, *(F.coalesce(c, v).alias(c) for c, v in known.items()))
 
 
 def backup(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
-    """Which detector to take per page: the second only where the first is implausible and the second's quality is higher."""
+    """Which detector to take per page of first (all pages): the second only where the first is implausible and the second's quality is higher."""
     b = second.select(*keys, F.col("quality").alias("b_quality"))
-    return first.join(b, keys, "left").select(*keys, (~F.col("plausible") & F.coalesce(F.col("b_quality") > F.col("quality"), F.lit(False))).alias("use_backup"))
+    better = F.coalesce("b_quality", F.lit(0.0)) > F.col("quality")
+    return first.join(b, keys, "left").select(*keys, (~F.col("plausible") & better).alias("use_backup"))
 
 
 def page_quality(found: DataFrame, keys: list[str], page_area: int) -> DataFrame:
@@ -45,16 +53,51 @@ def row_levels(cells: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def checked(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Warnings per table: no text at all; or, in the first row with two numbers and a percentage, a percentage that is over two points off second / first."""
+    """Checks and warnings per table, in a fixed order, joined by commas; a table without warnings is valid.
+
+    cells: keys, row_idx, col_idx, row_span, col_span, text, text_source, level, inside (whether the cell's box meets the
+    table's). The ratio is taken from the first row that has two plain numbers and a percentage: second to first number
+    against the last percentage, two points apart at most; a first number of 0 can't be checked.
+    """
     number, percent = numeric_cell(F.col("text"))
-    d = cells.select(*keys, "row_idx", "col_idx", number.alias("number"), percent.alias("percent"), (F.trim(F.coalesce("text", F.lit(""))) != "").alias("filled"))
+    filled = F.trim(F.coalesce("text", F.lit(""))) != ""
+    d = cells.select(*keys, "row_idx", "col_idx", number.alias("number"), percent.alias("percent"), filled.alias("filled"), "text_source", ((F.col("row_span") > 1) | (F.col("col_span") > 1)).alias("merged"), "level", "inside")
     plain = F.transform(F.sort_array(F.collect_list(F.when(F.col("number").isNotNull() & ~F.col("percent"), F.struct("col_idx", "number")))), lambda x: x["number"])
     stated = F.max_by(F.when(F.col("percent"), F.col("number")), F.when(F.col("percent") & F.col("number").isNotNull(), F.col("col_idx")))
-    rows = d.groupBy(*keys, "row_idx").agg(plain.alias("plain"), stated.alias("stated"), F.bool_or("filled").alias("filled"))
-    fit = (F.size("plain") >= 2) & F.col("stated").isNotNull() & (F.get("plain", F.lit(0)) != 0)
-    off = F.abs(F.get("plain", F.lit(1)) * 100 / F.nullif(F.get("plain", F.lit(0)), F.lit(0.0)) - F.col("stated")) > TOLERANCE
-    rows = rows.withColumn("fit", F.coalesce(fit, F.lit(False))).withColumn("off", F.coalesce(off, F.lit(False)))
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("fit"), "row_idx"))
-    rows = rows.withColumn("first", (place == 1) & F.col("fit"))
-    found = rows.groupBy(*keys).agg((~F.bool_or("filled")).alias("empty"), F.bool_or(F.col("first") & F.col("off")).alias("ratio_off"))
-    return found.withColumn("is_valid", ~F.col("empty") & ~F.col("ratio_off"))
+    rows = d.groupBy(*keys, "row_idx").agg(
+        plain.alias("plain"), stated.alias("stated"), F.bool_or("filled").alias("filled"), F.bool_or(F.col("text_source") == "pdf_text").alias("native"), F.bool_or(F.col("text_source") == "ocr").alias("ocr"),
+        F.bool_or("merged").alias("merged"), F.bool_or(F.col("level").isNotNull()).alias("levels"), F.count_if(~F.col("inside")).alias("outside"),
+    )
+    fit = (F.size("plain") >= 2) & F.col("stated").isNotNull()
+    approved, actual = F.get("plain", F.lit(0)), F.get("plain", F.lit(1))
+    expected = actual * 100 / F.nullif(approved, F.lit(0.0))
+    ratio = F.when(fit, F.struct("row_idx", expected.alias("expected"), F.col("stated")))
+    t = rows.groupBy(*keys).agg(
+        *(F.coalesce(F.bool_or(c), F.lit(False)).alias(c) for c in ("filled", "native", "ocr", "merged", "levels")), F.sum("outside").alias("outside"), F.min(ratio).alias("r")
+    )
+    taken = F.coalesce(F.col("r.expected").isNotNull(), F.lit(False))
+    off = taken & (F.abs(F.col("r.expected") - F.col("r.stated")) > TOLERANCE)
+    checks = [
+        (F.lit(True), F.lit("grid_reconstruction")), (F.col("filled") & F.col("native"), F.lit("pdf_text_fill")), (F.col("filled") & F.col("ocr"), F.lit("ocr_fallback")), (F.lit(True), F.lit("merged_cell_postprocessing")),
+        (F.col("levels"), F.lit("hierarchy_assignment")), (F.lit(True), F.lit("continuation_linking")), (taken, F.lit("numeric_ratio_check")), (F.col("outside") == 0, F.lit("bounded_boxes")),
+    ]
+    one = lambda x: F.format_string("%.1f", F.bround(x, 1))
+    mismatch = F.concat(F.lit("numeric_ratio_mismatch_row_"), F.col("r.row_idx").cast("string"), F.lit(": expected "), one(F.col("r.expected")), F.lit(" vs reported "), one(F.col("r.stated")))
+    warnings = [
+        (~F.col("filled"), F.lit("no_cell_text_extracted")), (~F.col("merged"), F.lit("no_merged_cells_detected")), (~F.col("levels"), F.lit("no_header_hierarchy_detected")), (off, mismatch),
+        (F.col("outside") > 0, F.concat(F.col("outside").cast("string"), F.lit("_cell_boxes_outside_table"))),
+    ]
+    listed = lambda rules: F.concat_ws(",", *(F.when(c, x) for c, x in rules))
+    return t.select(*keys, listed(checks).alias("checks"), listed(warnings).alias("warnings")).withColumn("is_valid", F.col("warnings") == "")
+
+
+def cell_levels(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds hierarchy_level: below the first row, the row's level goes to its first cell with text if that is a header, not in the first column, or enumerated; a merged cell over several rows with text is 1. cells: keys, row_idx, col_idx, row_span, col_span, cell_type, text."""
+    found = row_levels(cells, keys).withColumnRenamed("level", "_level")
+    text = F.trim(F.coalesce("text", F.lit("")))
+    first = F.min(F.when(text != "", F.col("col_idx"))).over(Window.partitionBy(*keys, "row_idx"))
+    d = cells.withColumn("_first", first).join(found, [*keys, "row_idx"], "left")
+    low = F.col("row_idx") > 0
+    own = low & (F.col("col_idx") == F.col("_first")) & (text != "") & ((F.col("cell_type") == "header") | (F.col("_first") > 0) | text.rlike(ENUMERATED))
+    value = F.when(low & (F.col("row_span") > 1) & (text != ""), 1).when(own, F.col("_level"))
+    return d.withColumn("hierarchy_level", value.cast("int")).drop("_first", "_level")

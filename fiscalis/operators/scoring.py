@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fiscalis.functions.geometry import iou
+from fiscalis.functions.text import plain
 from fiscalis.operators.tables import pairs
 
 
@@ -68,29 +70,110 @@ def greedy_pairs(candidates: DataFrame, keys: list[str]) -> DataFrame:
     return candidates.groupBy(*keys).applyInPandas(take, candidates.schema)
 
 
+def _span(name: str) -> Column:
+    return F.greatest(F.coalesce(name, F.lit(1)), F.lit(1))
+
+
+def cell_key(row: str = "row_idx", col: str = "col_idx") -> Column:
+    """A cell's place and spans as text, which two grids can share."""
+    return F.format_string("r%d_c%d_rs%d_cs%d", F.coalesce(row, F.lit(0)), F.coalesce(col, F.lit(0)), _span("row_span"), _span("col_span"))
+
+
 def slots(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """The grid positions that cells cover, each owned by the first cell that claims it. cells: keys, cell_idx, row_idx, col_idx, row_span, col_span, text."""
-    reach = lambda at, span: F.sequence(F.col(at), F.col(at) + F.greatest(F.coalesce(span, F.lit(1)), F.lit(1)) - 1)
-    key = F.format_string("r%d_c%d_rs%d_cs%d", "row_idx", "col_idx", F.greatest(F.coalesce("row_span", F.lit(1)), F.lit(1)), F.greatest(F.coalesce("col_span", F.lit(1)), F.lit(1)))
-    d = cells.select(*keys, "cell_idx", key.alias("owner"), "text", reach("row_idx", "row_span").alias("rs"), reach("col_idx", "col_span").alias("cs"))
-    d = d.select(*keys, "cell_idx", "owner", "text", F.explode("rs").alias("r"), "cs").select(*keys, "cell_idx", "owner", "text", "r", F.explode("cs").alias("c"))
-    return d.groupBy(*keys, "r", "c").agg(F.min_by("owner", "cell_idx").alias("owner"), F.min_by("text", "cell_idx").alias("text"))
-
-
-def structure(truth: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
-    """Strict scores per table: topology as F1 of equal owners, content as F1 of equal texts, over slots of two grids laid on each other."""
-    from fiscalis.functions.text import plain
-
-    a = slots(truth, keys).select(*keys, "r", "c", F.col("owner").alias("ao"), plain(F.col("text")).alias("at"))
-    b = slots(found, keys).select(*keys, "r", "c", F.col("owner").alias("bo"), plain(F.col("text")).alias("bt"))
-    both = a.join(b, [*keys, "r", "c"], "full_outer").groupBy(*keys).agg(
-        F.count("ao").alias("na"), F.count("bo").alias("nb"), F.count_if(F.col("ao") == F.col("bo")).alias("top"),
-        F.count_if(F.col("ao").isNotNull() & F.col("bo").isNotNull() & (F.col("at") == F.col("bt"))).alias("con"),
+    """The grid positions that cells cover: the owner is the first cell that claims one, the box that of the last one with a box, the text that of the owner's last cell. cells: keys, cell_idx, row_idx, col_idx, row_span, col_span, text and, for boxes, x1 to y2."""
+    reach = lambda at, span: F.sequence(F.coalesce(at, F.lit(0)), F.coalesce(at, F.lit(0)) + _span(span) - 1)
+    boxed = [c for c in ("x1", "y1", "x2", "y2") if c in cells.columns]
+    d = cells.select(*keys, "cell_idx", cell_key().alias("owner"), "text", *boxed, reach("row_idx", "row_span").alias("rs"), reach("col_idx", "col_span").alias("cs"))
+    texts = d.groupBy(*keys, "owner").agg(F.max_by(plain(F.col("text")), "cell_idx").alias("text"))
+    last = [F.max_by(F.struct(*boxed), F.when(F.col("x1").isNotNull(), F.col("cell_idx"))).alias("box")] if boxed else []
+    d = d.withColumn("r", F.explode("rs")).withColumn("c", F.explode("cs")).groupBy(*keys, "r", "c").agg(F.min_by("owner", "cell_idx").alias("owner"), *last)
+    return d.join(texts, [*keys, "owner"]).select(*keys, "r", "c", "owner", "text", *(["box"] if boxed else []))
+
+
+def shape(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows and columns of each grid: as declared (n_rows, n_cols, where given), at least as far as cells reach."""
+    reach = lambda at, span: F.max(F.coalesce(at, F.lit(0)) + _span(span))
+    told = lambda c: F.max(c) if c in cells.columns else F.lit(0)
+    return cells.groupBy(*keys).agg(F.greatest(reach("row_idx", "row_span"), told("n_rows")).alias("rows"), F.greatest(reach("col_idx", "col_span"), told("n_cols")).alias("cols"))
+
+
+def edges(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """The borders inside each grid, (way, r, c) for the one behind that slot: where two neighbouring slots have different owners, or only one has any."""
+    d = slots(cells, keys).join(shape(cells, keys), keys)
+    side = lambda way, r, c: F.struct(F.lit(way).alias("way"), r.alias("r"), c.alias("c"))
+    r, c = F.col("r"), F.col("c")
+    near = F.array(
+        F.when(c < F.col("cols") - 1, side("v", r, c)), F.when(c > 0, side("v", r, c - 1)), F.when(r < F.col("rows") - 1, side("h", r, c)), F.when(r > 0, side("h", r - 1, c))
     )
-    return both.select(*keys, *(F.round(edge_f1(F.col(k), F.col("na"), F.col("nb")), 4).alias(k) for k in ("top", "con")))
+    each = d.select(*keys, "owner", F.explode(F.filter(near, lambda x: x.isNotNull())).alias("e")).select(*keys, "e.*", "owner")
+    return each.groupBy(*keys, "way", "r", "c").agg(F.count("*").alias("n"), F.min("owner").alias("a"), F.max("owner").alias("b")).where("n = 1 or a <> b").select(*keys, "way", "r", "c")
+
+
+def border_f1(truth: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """F1 of the borders of two grids of one table; 1 if neither has any. Tables of both sides only."""
+    a, b = (edges(d, keys).withColumn(side, F.lit(1)) for d, side in ((truth, "a"), (found, "b")))
+    n = a.join(b, [*keys, "way", "r", "c"], "full_outer").groupBy(*keys).agg(F.count("a").alias("na"), F.count("b").alias("nb"), F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("both"))
+    d = truth.select(*keys).distinct().join(found.select(*keys).distinct(), keys, "left_semi").join(n, keys, "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return d.select(*keys, edge_f1(zero("both"), zero("na"), zero("nb")).alias("top"))
 
 
-def weighted(per_table: DataFrame, columns: list[str], weight: str) -> DataFrame:
+def structure(truth: DataFrame, found: DataFrame, keys: list[str], strict: bool = True) -> DataFrame:
+    """Topology, content, location, their mean and the weight (slots of the truth) of each table that both sides have; cells as in slots(), with boxes.
+
+    Strict: topology is F1 of equal owners over slots, location the mean IoU over the truth's slots. Else: topology is F1 of
+    borders, location the sum of greedily matched IoUs over the larger number of boxes. Content is F1 of equal texts over
+    slots in both; slots that are empty on both sides don't count.
+    """
+    both = truth.select(*keys).distinct().join(found.select(*keys).distinct(), keys, "left_semi")
+    truth, found = (d.join(both, keys, "left_semi") for d in (truth, found))
+    a, b = (slots(d, keys).select(*keys, "r", "c", *(F.col(x).alias(f"{side}_{x}") for x in ("owner", "text", "box"))) for d, side in ((truth, "a"), (found, "b")))
+    part = lambda side: tuple(F.col(f"{side}_box")[x] for x in ("x1", "y1", "x2", "y2"))
+    filled = lambda side: F.count_if(F.col(f"{side}_text") != "")
+    n = a.join(b, [*keys, "r", "c"], "full_outer").groupBy(*keys).agg(
+        F.count("a_owner").alias("na"), F.count("b_owner").alias("nb"), F.count_if(F.col("a_owner") == F.col("b_owner")).alias("same"), filled("a").alias("ta"), filled("b").alias("tb"),
+        F.count_if((F.col("a_text") == F.col("b_text")) & (F.col("a_text") != "")).alias("texts"),
+        F.sum(F.when(F.col("a_box").isNotNull() & F.col("b_box").isNotNull(), iou(part("a"), part("b"))).otherwise(0.0)).alias("overlap"),
+    )
+    n = n.withColumn("con", edge_f1(F.col("texts"), F.col("ta"), F.col("tb")))
+    if strict:
+        d = n.withColumn("top", edge_f1(F.col("same"), F.col("na"), F.col("nb"))).withColumn("loc", F.when(F.col("na") > 0, F.col("overlap") / F.col("na")).otherwise(1.0))
+    else:
+        boxes = lambda d: d.where("x1 is not null").select(*keys, F.col("cell_idx").alias("idx"), "x1", "y1", "x2", "y2")
+        touching = pairs(boxes(truth), boxes(found), keys, 1e-12).select(*keys, F.col("idx").cast("long").alias("a"), F.col("b_idx").cast("long").alias("b"), F.col("iou").cast("double").alias("iou"))
+        total = greedy_pairs(touching, keys).groupBy(*keys).agg(F.sum("iou").alias("total"))
+        count = lambda d, name: boxes(d).groupBy(*keys).agg(F.count("*").alias(name))
+        most = F.greatest(F.coalesce("ba", F.lit(0)), F.coalesce("bb", F.lit(0)))
+        loc = F.when(most > 0, F.coalesce("total", F.lit(0.0)) / most).otherwise(1.0)
+        d = n.join(border_f1(truth, found, keys), keys).join(count(truth, "ba"), keys, "left").join(count(found, "bb"), keys, "left").join(total, keys, "left").withColumn("loc", loc)
+    d = d.join(shape(truth, keys), keys).withColumn("total", (F.col("top") + F.col("con") + F.col("loc")) / 3)
+    return d.select(*keys, *(F.round(c, 4).alias(c) for c in ("top", "con", "loc", "total")), F.greatest(F.lit(1), F.col("rows") * F.col("cols")).alias("weight"))
+
+
+def same_tables(truth: DataFrame, found: DataFrame, least: float | None = None) -> DataFrame:
+    """Pairs (a, b, score, method) of tables: by their id, or, given a least IoU, by boxes on one page, best first. Tables: table_id, idx, page_number and x1 to y2; of found tables that share an id the last counts."""
+    if least is None:
+        last = found.where("coalesce(table_id, '') <> ''").groupBy("table_id").agg(F.max("idx").alias("b"))
+        d = truth.where("coalesce(table_id, '') <> ''").select("table_id", F.col("idx").alias("a")).join(last, "table_id")
+        return d.select("a", "b", F.lit(1.0).alias("score"), F.lit("table_id").alias("method"))
+    near = pairs(truth, found, ["page_number"], least).select("page_number", F.col("idx").cast("long").alias("a"), F.col("b_idx").cast("long").alias("b"), F.col("iou").cast("double").alias("iou"))
+    return greedy_pairs(near, ["page_number"]).select("a", "b", F.col("iou").alias("score"), F.lit("bbox").alias("method"))
+
+
+def unmatched(tables: DataFrame, matched: DataFrame, side: str) -> DataFrame:
+    """The tables whose index is on no pair's side a or b."""
+    return tables.join(matched.select(F.col(side).alias("idx")).distinct(), "idx", "left_anti")
+
+
+def weighted(per_table: DataFrame, columns: list[str], weight: str, digits: int = 4) -> DataFrame:
     """Means over tables, weighted by cells (1 at least); 0 without tables."""
     w = F.greatest(F.col(weight), F.lit(1))
-    return per_table.agg(*(F.coalesce(F.round(F.sum(F.col(c) * w) / F.sum(w), 4), F.lit(0.0)).alias(c) for c in columns))
+    return per_table.agg(*(F.coalesce(F.round(F.sum(F.col(c) * w) / F.sum(w), digits), F.lit(0.0)).alias(c) for c in columns))
+
+
+def label_scores(truth: Column, found: Column, rows: DataFrame, *keys: str) -> DataFrame:
+    """TP, FP, FN, precision, recall and F1 of a yes-or-no label per key; a missing label is no. 0 where undefined."""
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    d = rows.groupBy(*keys).agg(F.count_if(yes(truth) & yes(found)).alias("tp"), F.count_if(~yes(truth) & yes(found)).alias("fp"), F.count_if(yes(truth) & ~yes(found)).alias("fn"))
+    d = d.withColumn("precision", ratio(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", ratio(F.col("tp"), F.col("tp") + F.col("fn")))
+    return d.withColumn("f1", f1(F.col("precision"), F.col("recall")))

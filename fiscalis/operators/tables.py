@@ -20,9 +20,9 @@ def pairs(a: DataFrame, b: DataFrame, keys: list[str], least: float) -> DataFram
 
 
 def words_in_cells(words: DataFrame, cells: DataFrame, keys: list[str], cell_id: str, least: float = 0.2) -> DataFrame:
-    """The text of each cell: the words that lie in it by at least that part of the smaller area, in rows from top to bottom, then from the left."""
+    """The text of each cell: the words that lie in it by at least that part of the smaller area, in rows from top to bottom, then from the left; blank words are left out."""
     right = cells.select(*keys, cell_id, *[F.col(c).alias(f"c_{c}") for c in ("x1", "y1", "x2", "y2")])
-    hit = words.join(right, keys).where(overlap(box(), box("c_")) >= least)
+    hit = words.where(F.trim(F.coalesce("text", F.lit(""))) != "").join(right, keys).where(overlap(box(), box("c_")) >= least)
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.round("y1", 1).alias("y"), "x1", "word_idx", "text"))), lambda w: w["text"]), " ")
     return hit.groupBy(*keys, cell_id).agg(F.count("*").alias("n_words"), text.alias("text"))
 
@@ -74,19 +74,18 @@ def kept_boxes(boxes: DataFrame, keys: list[str], centre: str, order: str, most:
     return each.select(*keys, F.inline(F.aggregate("b", empty, step))).withColumnsRenamed({"c": centre, "o": order})
 
 
-def resampled(v: Column, n: int) -> Column:
+def resampled(v: Column, n: Column | int) -> Column:
     """A vector of n values by linear interpolation; zeros for an empty one, the first value for n = 1."""
-    if n == 1:
-        return F.array(F.coalesce(F.get(v, F.lit(0)).cast("double"), F.lit(0.0)))
+    n = F.lit(n) if isinstance(n, int) else n
 
     def at(i: Column) -> Column:
-        x = i * (F.size(v) - 1) / F.lit(n - 1)
+        x = F.when(n > 1, i * (F.size(v) - 1) / (n - 1)).otherwise(F.lit(0.0))
         low = F.floor(x).cast("int")
         high = F.least(low + 1, F.size(v) - 1)
         part = x - low
         return F.coalesce(F.get(v, low).cast("double") * (1 - part) + F.get(v, high).cast("double") * part, F.lit(0.0))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), at)
+    return F.transform(F.sequence(F.lit(0), n - 1), at)
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -99,27 +98,58 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def continuation_score(profile: Column, other: Column, width: Column, other_width: Column, x: Column, other_x: Column) -> Column:
-    """0.7 likeness of columns, 0.2 of widths, 0.1 of left edges; profiles have one length here."""
+    """0.7 likeness of columns, brought to the shorter profile's length (3 at least), 0.2 of widths, 0.1 of left edges."""
+    n = F.greatest(F.lit(3), F.least(F.size(profile), F.size(other)))
+    same = lambda v: F.when(F.size(v) == n, F.transform(v, lambda y: y.cast("double"))).otherwise(resampled(v, n))
     widest = F.greatest(width, other_width)
     wide = F.greatest(F.lit(0.0), 1 - F.abs(width - other_width) / widest)
     shift = F.greatest(F.lit(0.0), 1 - F.abs(x - other_x) / widest)
-    return 0.7 * cosine(profile, other) + 0.2 * wide + 0.1 * shift
+    return 0.7 * cosine(same(profile), same(other)) + 0.2 * wide + 0.1 * shift
 
 
 def continuations(tables: DataFrame, keys: list[str], least: float = LINK) -> DataFrame:
-    """For each table the best one on the page before, if its score reaches `least`; equals go to the lower index. tables: keys, page, idx, profile, width, x."""
-    before = tables.select(*keys, (F.col("page") + 1).alias("page"), *[F.col(c).alias(f"p_{c}") for c in ("idx", "profile", "width", "x")])
-    scored = tables.join(before, [*keys, "page"]).withColumn(
-        "score", F.round(continuation_score(F.col("profile"), F.col("p_profile"), F.col("width"), F.col("p_width"), F.col("x"), F.col("p_x")), 4)
-    )
-    best = F.row_number().over(Window.partitionBy(*keys, "page", "idx").orderBy(F.desc("score"), "p_idx"))
-    return scored.where(F.col("score") >= least).withColumn("_n", best).where("_n = 1").select(*keys, "page", "idx", F.col("p_idx").alias("continues_from"), "score")
+    """Each table with its links: continues_from is the best one on the page before if its score reaches `least` (equals go to the lower index); linked is the last table of the next page that continues this one; match_score is that one's score, else its own.
+
+    Tables without a profile are not linked. tables: keys, page, idx, profile, width, x.
+    """
+    own = tables.withColumn("width", F.greatest("width", F.lit(1)))
+    before = own.select(*keys, (F.col("page") + 1).alias("page"), *[F.col(c).alias(f"p_{c}") for c in ("idx", "profile", "width", "x")])
+    score = continuation_score(F.col("profile"), F.col("p_profile"), F.col("width"), F.col("p_width"), F.col("x"), F.col("p_x"))
+    scored = own.join(before, [*keys, "page"]).where((F.size("profile") > 0) & (F.size("p_profile") > 0)).withColumn("score", score)
+    best = scored.groupBy(*keys, "page", "idx").agg(F.max(F.struct("score", (-F.col("p_idx")).alias("back"))).alias("b")).where(F.col("b.score") >= least)
+    best = best.select(*keys, "page", "idx", (-F.col("b.back")).alias("continues_from"), F.col("b.score").alias("score"))
+    claimed = best.groupBy(*keys, (F.col("page") - 1).alias("page"), F.col("continues_from").alias("idx")).agg(F.max(F.struct(F.col("idx").alias("linked"), "score")).alias("c"))
+    d = tables.select(*keys, "page", "idx").join(best, [*keys, "page", "idx"], "left").join(claimed, [*keys, "page", "idx"], "left")
+    return d.select(*keys, "page", "idx", "continues_from", F.col("c.linked").alias("linked"), F.round(F.coalesce("c.score", "score"), 4).alias("match_score"))
+
+
+def profile(starts: Column, ends: Column) -> Column:
+    """Each column's part of the width of all, a column one unit wide at least."""
+    wide = F.zip_with(starts, ends, lambda a, b: F.greatest(b - a, F.lit(1)).cast("double"))
+    total = F.aggregate(wide, F.lit(0.0), lambda s, x: s + x)
+    return F.transform(wide, lambda x: F.round(x / total, 6))
+
+
+#: The fields that a hand-off document and each of its tables have.
+ROOT_FIELDS = ("document_id", "source_file", "page_count", "processed_at", "model_version", "tables")
+TABLE_FIELDS = ("table_id", "page_number", "bbox", "grid", "continuation", "cells", "validation")
+
+
+def missing_fields(json: Column, required: tuple[str, ...] = ROOT_FIELDS) -> Column:
+    """The required keys that a JSON object lacks, in their order."""
+    return F.array_except(F.array(*map(F.lit, required)), F.coalesce(F.json_object_keys(json), F.array().cast("array<string>")))
 
 
-def quality_totals(cells: DataFrame) -> DataFrame:
-    """Counts over all cells and whether too many are empty (over 40 %) or uncertain (over 30 % under 0.5; a missing confidence is 1)."""
+def quality_totals(cells: DataFrame, tables: DataFrame | None = None, errors: int = 0) -> DataFrame:
+    """Counts over all cells and whether too many are empty (over 40 %) or uncertain (over 30 % under 0.5; a missing confidence is 1). cells: table_id, raw_text, text_source, row_span, col_span, confidence; tables: table_id, is_continuation, continues_on_next_page."""
     found = cells.agg(
-        F.count_distinct("table_id").alias("tables"), F.count("*").alias("cells"), F.count_if(F.trim(F.coalesce("raw_text", F.lit(""))) == "").alias("empty_text"),
+        F.count_distinct("table_id").alias("tables"), F.count("*").alias("cells"), F.count_if(F.trim(F.coalesce("raw_text", F.lit(""))) == "").alias("empty_text"), F.count_if(F.col("text_source") == "ocr").alias("ocr"),
         F.count_if((F.col("row_span") > 1) | (F.col("col_span") > 1)).alias("merged"), F.count_if(F.coalesce("confidence", F.lit(1.0)) < 0.5).alias("low_confidence"),
     )
-    return found.withColumn("empty_warning", F.col("empty_text") > 0.4 * F.col("cells")).withColumn("confidence_warning", F.col("low_confidence") > 0.3 * F.col("cells"))
+    if tables is not None:
+        linked = F.coalesce("is_continuation", F.lit(False)) | F.coalesce("continues_on_next_page", F.lit(False))
+        found = found.drop("tables").join(tables.agg(F.count("*").alias("tables"), F.count_if(linked).alias("continuations")))  # one row each
+    low = F.col("cells") > 0
+    return (
+        found.withColumn("empty_warning", F.col("empty_text") > 0.4 * F.col("cells")).withColumn("confidence_warning", F.col("low_confidence") > 0.3 * F.col("cells")).withColumn("ready", low & F.lit(errors == 0))
+    )

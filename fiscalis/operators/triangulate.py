@@ -10,8 +10,10 @@ from pyspark.sql.types import DoubleType
 from fiscalis.operators.mart import absorption, verdict
 
 LEAST = 65.0
-#: Risks that make a match severe.
-SEVERE = ("FLAGGED_BY_MODEL",)
+#: Parts into which the names of a county's projects are dealt.
+SALTS = 8
+#: Risks that make a match severe.
+SEVERE = ("FLAGGED_BY_MODEL", "INCOMPLETE_PROJECT", "UNSUPPORTED_PAYMENT", "PROCUREMENT_BREACH", "DUPLICATE_PAYMENT")
 
 
 def _places(a: str) -> dict[str, int]:
@@ -71,11 +73,16 @@ _scores = _scores.asNondeterministic()  # else the optimiser has the scores made
 def links(projects: DataFrame, findings: DataFrame, key: str = "county", least: float = LEAST) -> DataFrame:
     """All pairs of one county whose names are alike enough; each pair of names is scored once, wherever it occurs. projects: key, project_idx, project_name; findings: key, finding_idx, finding_name, sentence, kind."""
     empty = lambda c: F.coalesce(c, F.lit(""))
-    both = projects.join(findings, key).withColumn("_p", empty("project_name")).withColumn("_f", empty("finding_name"))
-    both = both.withColumn("_s", F.when(F.col("_f") != "", "").otherwise(empty("sentence")))  # a named finding is scored by its name alone
+    p = projects.withColumn("_p", empty("project_name"))
+    f = findings.withColumn("_f", empty("finding_name")).withColumn("_s", F.when(F.col("_f") != "", "").otherwise(empty("sentence")))  # a named finding is scored by its name alone
     tasks = int(projects.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but much work: not to be coalesced
-    scored = both.select("_p", "_f", "_s").distinct().repartition(tasks, "_p", "_f", "_s").withColumn("score", F.round(_scores("_p", "_f", "_s"), 4)).where(F.col("score") >= least)
-    return both.join(scored, ["_p", "_f", "_s"]).drop("_p", "_f", "_s")
+    # different names meet once per county; a county's names are dealt to many tasks by the project's name
+    salt = F.pmod(F.xxhash64("_p"), F.lit(SALTS)).cast("int")
+    right = f.select(key, "_f", "_s").distinct().withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    names = p.select(key, "_p").distinct().withColumn("_salt", salt).join(right, [key, "_salt"]).drop("_salt")
+    scored = names.select("_p", "_f", "_s").distinct().repartition(tasks, "_p", "_f", "_s").withColumn("score", F.round(_scores("_p", "_f", "_s"), 4)).where(F.col("score") >= least)
+    alike = names.join(scored, ["_p", "_f", "_s"])
+    return p.join(alike, [key, "_p"]).join(f, [key, "_f", "_s"]).drop("_p", "_f", "_s")
 
 
 def triangulated(projects: DataFrame, findings: DataFrame, key: str = "county", least: float = LEAST) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fiscalis.functions import text as T
 from fiscalis.operators import finance, mart
-from fiscalis.plans.registry import query, whole
+from fiscalis.plans.registry import query
 
 MONEY = "decimal(18,2)"
 
@@ -174,18 +174,15 @@ def run_summary(t):
     return s.agg(F.count("*").alias("counties"), F.nullif(listed, F.lit("")).alias("breached"))
 
 
-@query("""WITH o AS (SELECT c_nationkey, o_orderkey, o_orderstatus FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 50 = 0)
+@query("""WITH o AS (SELECT c_nationkey, o_orderkey, o_orderstatus FROM orders JOIN customer ON o_custkey = c_custkey)
  SELECT n_name AS county, coalesce(string_agg(o_orderkey || ':' || o_orderstatus, ';' ORDER BY o_orderkey), '') AS projects, count(o_orderkey) AS n FROM nation LEFT JOIN o ON c_nationkey = n_nationkey GROUP BY 1""")
-def county_projects_nested(t, keep="o_orderkey % 50 = 0"):
-    o = t("orders").where(keep).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("n_nationkey"), "o_orderkey", "o_orderstatus")
+def county_projects_nested(t):
+    o = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("n_nationkey"), "o_orderkey", "o_orderstatus")
     d = mart.nested(t("nation"), o, "n_nationkey", ["o_orderkey", "o_orderstatus"])
     text = F.array_join(F.transform("projects", lambda p: F.concat_ws(":", p["o_orderkey"].cast("string"), p["o_orderstatus"])), ";")
     return d.select(F.col("n_name").alias("county"), text.alias("projects"), F.size("projects").cast("long").alias("n"))
 
 
-whole(county_projects_nested, keep="true")
-
-
 @query("""SELECT o_orderkey AS project_id, coalesce('[' || string_agg('"' || l_returnflag || '"', ',' ORDER BY l_linenumber, l_partkey, l_returnflag) || ']', '[]') AS oag_risk_types FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""")
 def project_flat(t):
     flags = t("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_returnflag"))), lambda x: x["l_returnflag"]).alias("a"))

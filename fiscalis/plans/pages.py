@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from fiscalis.functions import geometry as G
 from fiscalis.functions import text as T
 from fiscalis.operators import documents as D
-from fiscalis.operators import citizen, quality, scoring, tables, triangulate
+from fiscalis.operators import annotation, citizen, detections, quality, scoring, tables, triangulate
 from fiscalis.operators.mart import absorption
-from fiscalis.plans.registry import query, whole
+from fiscalis.plans.registry import query
 
 WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '')"
 
@@ -27,27 +27,29 @@ def text_lines(t):
     return D.lines(t("documents")).select("doc_id", "line_no", F.length("line").alias("n_chars"))
 
 
-FEATURES = r"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> '') AS l FROM documents),
- f AS (SELECT doc_id, source, len(l)::INT AS line_count, len(regexp_extract_all(t, '\d[\d,]*(?:\.\d+)?'))::INT AS num_hits, (len(regexp_extract_all(lower(t), 'budget')) + len(regexp_extract_all(lower(t), 'the')))::INT AS keyword_hits,
-   len(list_filter(l, lambda x: len(regexp_extract_all(x, '\d[\d,]*(?:\.\d+)?')) >= 3))::INT AS dense_lines, len(list_filter(l, lambda x: length(x) > 80))::INT AS long_lines FROM d),
+NUMBER = r"\b\d{1,3}(?:,\d{3})+(?:\.\d+)?\b|\b\d+\.\d+\b|\b\d+%\b"
+FEATURES = rf"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS l FROM documents),
+ f AS (SELECT doc_id, source, len(l)::INT AS line_count, len(regexp_extract_all(t, '{NUMBER}'))::INT AS num_hits,
+   len(regexp_extract_all(t, '(?i)budget|actual|variance|total|expenditure|revenue|county|ksh|audit|statement|summary|amount|approved|collection'))::INT AS keyword_hits,
+   len(list_filter(l, lambda x: len(regexp_extract_all(x, '{NUMBER}')) >= 3))::INT AS dense_lines, len(list_filter(l, lambda x: length(x) > 80))::INT AS long_lines FROM d),
  s AS (SELECT *, round(1.2::DOUBLE * num_hits + 0.8::DOUBLE * keyword_hits + 5 * dense_lines + 0.2::DOUBLE * long_lines, 3) AS score FROM f)"""
 
 
 @query(FEATURES + " SELECT * FROM s")
 def text_page_features(t):
-    return D.page_features(t("documents"), ["budget", "the"], ["doc_id", "source"])
+    return D.page_features(t("documents"), ["doc_id", "source"])
 
 
 @query(FEATURES + " SELECT source, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 18")
 def text_page_topk(t):
-    rank = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("score"), "doc_id"))
-    return D.page_features(t("documents"), ["budget", "the"], ["doc_id", "source"]).withColumn("rank", rank.cast("long")).where("rank <= 18").select("source", "doc_id", "score", "rank")
+    return D.top_pages(D.page_features(t("documents"), ["doc_id", "source"]), "source", "doc_id", 18).select("source", "doc_id", "score", "rank")
 
 
-@query(r"""WITH x AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '(The|Le|Die) ', chr(1) || '\1 ', 'g') AS t FROM documents),
- y AS (SELECT doc_id, unnest(string_split(t, chr(1))) AS section FROM x) SELECT doc_id, count(*) AS n_sections, sum(length(section))::BIGINT AS n_chars FROM y WHERE regexp_matches(section, '^(The|Le|Die) ') GROUP BY 1""")
-def text_sections(t):
-    return D.sections(t("documents"), "(?:The|Le|Die) ").groupBy("doc_id").agg(F.count("*").alias("n_sections"), F.sum(F.length("section")).alias("n_chars"))
+@query(FEATURES + """, m AS (SELECT *, doc_id % 5 AS n_tables, (doc_id * 37) % 101 AS model_score, count(*) OVER (PARTITION BY source) AS n, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS k FROM s)
+ SELECT source, doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY model_score DESC, doc_id) AS rank FROM m WHERE n <= 40 OR k <= 40) WHERE rank <= 18 AND n_tables > 0""")
+def page_cascade(t):
+    d = D.page_features(t("documents"), ["doc_id", "source"]).withColumn("n_tables", F.col("doc_id") % 5).withColumn("model_score", (F.col("doc_id") * 37) % 101)
+    return D.cascade(d, "source", "doc_id").select("source", "doc_id", "rank")
 
 
 @query("""SELECT p_partkey, lower(regexp_replace(trim(p_name), '[\\s''\\-/]+', ' ', 'g')) AS words, regexp_replace(p_brand || ' County', '(?i)\\s+County\\s*$', '') AS brand FROM part""".replace("\\\\", "\\"))
@@ -64,25 +66,34 @@ def text_numeric_cells(t):
     return t("events").select("event_id", number.alias("number"), percent.alias("is_percent"))
 
 
-@query(r"""WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 'Roads  Item ' || l_partkey || '  ' || (l_orderkey + 10000) || ',000  ' || (l_suppkey + 1000) || ',500  ' || (l_partkey % 300) AS line FROM lineitem WHERE l_orderkey % 10 = 0)
+@query(r"""WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 'Roads  Item ' || l_partkey || '  ' || (l_orderkey + 10000) || ',000  ' || (l_suppkey + 1000) || ',500  ' || (l_partkey % 300) AS line FROM lineitem)
  SELECT l_orderkey, l_linenumber, l_partkey, trim(regexp_replace(line, '[\d,]{5,}(?:\.\d+)?', '', 'g')) AS name, ((l_orderkey + 10000) * 1000)::DOUBLE AS contract_sum, ((l_suppkey + 1000) * 1000 + 500)::DOUBLE AS amount_paid,
   CASE WHEN l_partkey % 300 <= 250 THEN (l_partkey % 300)::DOUBLE END AS implementation_pct,
   CASE WHEN l_partkey % 300 > 250 OR l_partkey % 300 = 0 THEN 'UNKNOWN' WHEN l_partkey % 300 < 30 THEN 'LOW' ELSE 'NORMAL' END AS absorption FROM l""")
-def text_row_parser(t, keep="l_orderkey % 10 = 0"):
+def text_row_parser(t):
     s = lambda c: F.col(c).cast("string")
     line = F.concat(F.lit("Roads  Item "), s("l_partkey"), F.lit("  "), (F.col("l_orderkey") + 10000).cast("string"), F.lit(",000  "), (F.col("l_suppkey") + 1000).cast("string"), F.lit(",500  "), (F.col("l_partkey") % 300).cast("string"))
-    d = t("lineitem").where(keep).select("l_orderkey", "l_linenumber", "l_partkey", D.project_row(line).alias("r"))
+    d = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", D.project_row(line).alias("r"))
     return d.select("l_orderkey", "l_linenumber", "l_partkey", "r.*")
 
 
-@query("SELECT page_id, CASE WHEN contains(lower(url), 'auditor') OR contains(lower(url), 'oag') THEN 'Audit' WHEN contains(lower(url), 'green-book') OR contains(lower(url), 'budget-implementation') OR contains(lower(url), 'cob') THEN 'Budget' ELSE 'Unknown' END AS class FROM pages")
+REPORT_NAMES = "(SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'The-Auditor-Generals-Report-' WHEN 1 THEN 'County-Budget-Implementation-Review-' WHEN 2 THEN 'green-book-' ELSE url END || (2020 + page_id % 6) AS name FROM pages)"
+
+
+@query(f"""WITH c AS (SELECT *, lower(name) AS low FROM {REPORT_NAMES}), k AS (SELECT *, CASE WHEN regexp_matches(low, 'auditor|oag') THEN 'Audit' WHEN regexp_matches(low, 'green-book|budget-implementation|cob') THEN 'Budget' ELSE 'Report' END AS class FROM c)
+ SELECT page_id, class, CASE class WHEN 'Audit' THEN 'Office of the Auditor General (OAG)' WHEN 'Budget' THEN 'Controller of Budget (COB)' ELSE 'Unknown' END AS institution,
+  class <> 'Report' AND regexp_matches(low, '2022|2023|2024') AS relevant FROM k""")
 def report_class(t):
-    return t("pages").select("page_id", T.report_class(F.col("url")).alias("class"))
+    p = F.col("page_id")
+    name = F.concat(F.when(p % 4 == 0, "The-Auditor-Generals-Report-").when(p % 4 == 1, "County-Budget-Implementation-Review-").when(p % 4 == 2, "green-book-").otherwise(F.col("url")), (2020 + p % 6).cast("string"))
+    info = T.report_info(name)
+    return t("pages").select("page_id", info["report_family"].alias("class"), info["institution"].alias("institution"), T.relevant_report(name, "2022").alias("relevant"))
 
 
-@query("SELECT page_id, list_last(string_split(CASE WHEN contains(url, '?d=') THEN list_last(string_split(url, '?d=')) ELSE url END, '/')) AS name FROM pages")
+@query(r"""SELECT page_id, list_last(string_split(url, '/')) AS name, 'a+b ' || page_id || '?d=c.png' AS image FROM pages""")
 def url_basename(t):
-    return t("pages").select("page_id", T.base_name(F.col("url")).alias("name"))
+    image = F.concat("url", F.lit("?d=dir%2Fsub%5Ca+b%20"), F.col("page_id").cast("string"), F.lit("?d=c.png"))
+    return t("pages").select("page_id", T.base_name(F.col("url")).alias("name"), T.base_name(image).alias("image"))
 
 
 @query("""WITH s AS (SELECT page_id, sha256(url || ':' || page_id) AS document_id, url AS stem FROM pages)
@@ -97,15 +108,17 @@ def triage_native_ocr(t):
     return D.native_text(t("documents"), "[no text]").select("doc_id", "is_native", F.length("page_text").alias("n_chars"))
 
 
-ENT = """WITH e AS (SELECT event_id // 4 AS sent, (event_id % 4)::INT AS i, CASE event_type WHEN 'error' THEN 'RISK_FINDING' WHEN 'purchase' THEN 'KSH_AMOUNT' ELSE 'PROJECT_NAME' END AS g, 'KES ' || value AS w FROM events)"""
+ENT = """WITH e AS (SELECT event_id // 4 AS sent, (event_id % 4)::INT AS i, CASE event_type WHEN 'error' THEN 'RISK_FINDING' WHEN 'purchase' THEN 'KSH_AMOUNT' ELSE 'PROJECT_NAME' END AS g, 'KES ' || value AS w, repeat('word ', ((event_id // 4) % 15)::INT) AS sentence FROM events)"""
 
 
 @query(ENT + r""" SELECT sent, max_by(w, i) FILTER (g = 'PROJECT_NAME') AS project_name, coalesce(string_agg(regexp_replace(w, '[^\d.]', '', 'g')::DOUBLE::VARCHAR, ';' ORDER BY i) FILTER (g = 'KSH_AMOUNT'), '') AS amounts,
- CASE WHEN bool_or(g = 'RISK_FINDING') THEN 'FLAGGED_BY_MODEL' ELSE 'GENERAL_FINDING' END AS kind FROM e GROUP BY sent HAVING bool_or(g = 'RISK_FINDING') OR bool_or(g = 'PROJECT_NAME')""")
+ CASE WHEN bool_or(g = 'RISK_FINDING') THEN 'FLAGGED_BY_MODEL' ELSE 'GENERAL_FINDING' END AS kind, length(trim(any_value(sentence)))::INT AS n_chars FROM e WHERE length(sentence) >= 40 GROUP BY sent HAVING bool_or(g = 'RISK_FINDING') OR bool_or(g = 'PROJECT_NAME')""")
 def text_entities(t):
     g = F.when(F.col("event_type") == "error", "RISK_FINDING").when(F.col("event_type") == "purchase", "KSH_AMOUNT").otherwise("PROJECT_NAME")
-    e = t("events").select(F.expr("event_id div 4").alias("sent"), (F.col("event_id") % 4).cast("int").alias("ent_idx"), g.alias("entity_group"), F.concat(F.lit("KES "), F.col("value").cast("string")).alias("word"))
-    return D.findings(e, ["sent"]).withColumn("amounts", F.array_join(F.transform("amounts", lambda x: x.cast("string")), ";"))
+    sent = F.expr("event_id div 4")
+    e = t("events").select(sent.alias("sent"), (F.col("event_id") % 4).cast("int").alias("ent_idx"), g.alias("entity_group"), F.concat(F.lit(" KES "), F.col("value").cast("string")).alias("word"), F.repeat(F.lit("word "), (sent % 15).cast("int")).alias("sentence"))
+    d = D.findings(e, ["sent"]).withColumn("amounts", F.array_join(F.transform("amounts", lambda x: x.cast("string")), ";"))
+    return d.select("sent", "project_name", "amounts", "kind", F.length("sentence").alias("n_chars"))
 
 
 @query("SELECT conv_id, turn, length(text)::INT AS likes FROM conversations WHERE role = 'user' ORDER BY length(text) DESC, conv_id DESC, turn DESC LIMIT 100")
@@ -113,39 +126,39 @@ def posts_feed(t):
     return t("conversations").where("role = 'user'").select("conv_id", "turn", F.length("text").alias("likes")).orderBy(F.desc("likes"), F.desc("conv_id"), F.desc("turn")).limit(100)
 
 
-def _boxes(t, keep: str) -> DataFrame:
+def _boxes(t, side: str = "true") -> DataFrame:
     """Boxes on pages, made of keys: page, idx, x1 to y2, score."""
-    d = t("lineitem").where(keep).select(
+    d = t("lineitem").where(side).select(
         F.col("l_orderkey").alias("page"), (F.col("l_linenumber").cast("long") * 1000000000 + F.col("l_partkey") * 1000 + F.col("l_suppkey")).alias("idx"), ((F.col("l_partkey") * 37) % 400).alias("x1"), ((F.col("l_suppkey") * 53) % 500).alias("y1"),
         (200 + (F.col("l_suppkey") * 13) % 300).alias("w"), (200 + (F.col("l_partkey") * 7) % 300).alias("h"), (F.col("l_suppkey") % 50).cast("int").alias("score"),
     )
     return d.distinct().select("page", "idx", "x1", "y1", (F.col("x1") + F.col("w")).alias("x2"), (F.col("y1") + F.col("h")).alias("y2"), "score")
 
 
-def _sql_boxes(name: str, keep: str) -> str:
+def _sql_boxes(name: str, side: str = "true") -> str:
     return f"""{name} AS (SELECT page, idx, x1, y1, x1 + w AS x2, y1 + h AS y2, score FROM (SELECT DISTINCT l_orderkey AS page, l_linenumber::BIGINT * 1000000000 + l_partkey * 1000 + l_suppkey AS idx, (l_partkey * 37) % 400 AS x1, (l_suppkey * 53) % 500 AS y1,
-   200 + (l_suppkey * 13) % 300 AS w, 200 + (l_partkey * 7) % 300 AS h, (l_suppkey % 50)::INT AS score FROM lineitem WHERE {keep}))"""
+   200 + (l_suppkey * 13) % 300 AS w, 200 + (l_partkey * 7) % 300 AS h, (l_suppkey % 50)::INT AS score FROM lineitem WHERE {side}))"""
 
 
-def _sides(t, keep: str) -> tuple[DataFrame, DataFrame]:
+def _sides(t) -> tuple[DataFrame, DataFrame]:
     """Detections and truth: each box is on one side."""
-    return _boxes(t, f"{keep} AND l_linenumber % 2 = 0"), _boxes(t, f"{keep} AND l_linenumber % 2 = 1")
+    return _boxes(t, "l_linenumber % 2 = 0"), _boxes(t, "l_linenumber % 2 = 1")
 
 
-SET, TRUTH = "l_orderkey % 20 = 0 AND l_linenumber % 2 = 0", "l_orderkey % 20 = 0 AND l_linenumber % 2 = 1"
+SET, TRUTH = "l_linenumber % 2 = 0", "l_linenumber % 2 = 1"
 BOTH = f"WITH {_sql_boxes('a', SET)}, {_sql_boxes('b', TRUTH)}"
 IOU = """p AS (SELECT *, CASE WHEN u > 0 THEN i / u ELSE 0.0::DOUBLE END AS iou FROM (SELECT *, (x2 - x1) * (y2 - y1) + (bx2 - bx1) * (by2 - by1) - i AS u FROM (SELECT a.page, a.idx, a.score, a.x1, a.x2, a.y1, a.y2, b.idx AS b_idx, b.x1 AS bx1, b.x2 AS bx2, b.y1 AS by1, b.y2 AS by2,
    greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0) AS i FROM a JOIN b ON a.page = b.page)))"""
 
 
 @query(f"{BOTH}, {IOU} SELECT page, idx, b_idx, round(iou, 6) AS iou FROM p WHERE iou >= 0.3")
-def geo_iou_pairs(t, keep="l_orderkey % 20 = 0"):
-    return tables.pairs(*_sides(t, keep), ["page"], 0.3).select("page", "idx", "b_idx", F.round("iou", 6).alias("iou"))
+def geo_iou_pairs(t):
+    return tables.pairs(*_sides(t), ["page"], 0.3).select("page", "idx", "b_idx", F.round("iou", 6).alias("iou"))
 
 
 @query()
 def geo_greedy_match(t):
-    found = tables.pairs(*_sides(t, "true"), ["page"], 0.3).select("page", F.col("idx").alias("a"), F.col("b_idx").alias("b"), "iou")
+    found = tables.pairs(*_sides(t), ["page"], 0.3).select("page", F.col("idx").alias("a"), F.col("b_idx").alias("b"), "iou")
     return scoring.greedy_pairs(found, ["page"])
 
 
@@ -156,143 +169,212 @@ EVAL = f"""{BOTH}, {IOU}, best AS (SELECT * FROM p QUALIFY row_number() OVER (PA
 
 
 @query(EVAL + " SELECT page, tp, fp, fn, round(precision, 6) AS precision, round(recall, 6) AS recall, round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END, 6) AS f1 FROM e")
-def det_eval(t, keep="l_orderkey % 20 = 0"):
-    d = scoring.detections(*_sides(t, keep), ["page"])
+def det_eval(t):
+    d = scoring.detections(*_sides(t), ["page"])
     return d.select("page", "tp", "fp", "fn", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")))
 
 
 @query(EVAL + " SELECT sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, round(sum(tp) / (sum(tp) + sum(fp)), 6) AS precision, round(sum(tp) / (sum(tp) + sum(fn)), 6) AS recall FROM e")
-def det_micro(t, keep="l_orderkey % 20 = 0"):
-    d = scoring.micro(scoring.detections(*_sides(t, keep), ["page"]))
+def det_micro(t):
+    d = scoring.micro(scoring.detections(*_sides(t), ["page"]))
     return d.select("tp", "fp", "fn", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
 
 
-@query(f"""WITH {_sql_boxes('a', 'l_orderkey % 5 = 0')}, s AS (SELECT *, x1 - 10 AS r1, y1 - 4 AS r2 FROM a), c AS (SELECT page, idx, x2, y2, r1, r2, least(greatest(r1, 0), 599) AS x1, least(greatest(r2, 0), 799) AS y1 FROM s)
- SELECT page, idx, x1, y1, least(greatest(x2, x1 + 1), 600) AS x2, least(greatest(y2, y1 + 1), 800) AS y2, (x2 - r1 > 0 AND y2 - r2 > 0 AND r1 >= -5 AND r2 >= -5 AND x2 <= 605 AND y2 <= 805 AND (x2 - r1) * (y2 - r2) >= 4800 AND x2 - r1 >= 90 AND y2 - r2 <= 10 * (x2 - r1)) AS plausible FROM c""")
-def geo_clamp_plausible(t, keep="l_orderkey % 5 = 0"):
-    d = _boxes(t, keep).withColumn("x1", F.col("x1") - 10).withColumn("y1", F.col("y1") - 4)
+@query(f"""WITH {_sql_boxes('a')}, s AS (SELECT *, x1 - 10 AS r1, y1 - 4 AS r2 FROM a), c AS (SELECT page, idx, x2, y2, r1, r2, least(greatest(r1, 0), 599) AS x1, least(greatest(r2, 0), 799) AS y1 FROM s)
+ SELECT page, idx, x1, y1, least(greatest(x2, x1 + 1), 600) AS x2, least(greatest(y2, y1 + 1), 800) AS y2, (x2 > r1 AND y2 > r2 AND r1 >= -5 AND r2 >= -5 AND least(x2, 600) > greatest(r1, 0) AND least(y2, 800) > greatest(r2, 0) AND (least(x2, 600) - greatest(r1, 0)) * (least(y2, 800) - greatest(r2, 0)) >= 4800
+   AND least(x2, 600) - greatest(r1, 0) >= 90 AND least(y2, 800) - greatest(r2, 0) <= 10 * (least(x2, 600) - greatest(r1, 0))) AS plausible FROM c""")
+def geo_clamp_plausible(t):
+    d = _boxes(t).withColumn("x1", F.col("x1") - 10).withColumn("y1", F.col("y1") - 4)
     w, h = F.lit(600), F.lit(800)
     return d.select("page", "idx", *(c.alias(n) for c, n in zip(G.clamped(G.box(), w, h), ("x1", "y1", "x2", "y2"))), G.plausible(G.box(), w, h).alias("plausible"))
 
 
-@query(f"""WITH {_sql_boxes('a', 'l_orderkey % 5 = 0')}, o AS (SELECT page, idx, (y1 + y2) / 2 AS c FROM a), g AS (SELECT *, coalesce((c - lag(c) OVER (PARTITION BY page ORDER BY c, idx) > 60)::INT, 0) AS new FROM o)
+@query(f"""WITH {_sql_boxes('a')}, o AS (SELECT page, idx, (y1 + y2) / 2 AS c FROM a), g AS (SELECT *, coalesce((c - lag(c) OVER (PARTITION BY page ORDER BY c, idx) > 60)::INT, 0) AS new FROM o)
  SELECT page, idx, sum(new) OVER (PARTITION BY page ORDER BY c, idx ROWS UNBOUNDED PRECEDING)::BIGINT AS cluster FROM g""")
-def geo_gap_cluster(t, keep="l_orderkey % 5 = 0"):
-    d = _boxes(t, keep).withColumn("c", (F.col("y1") + F.col("y2")) / 2)
+def geo_gap_cluster(t):
+    d = _boxes(t).withColumn("c", (F.col("y1") + F.col("y2")) / 2)
     return tables.gap_clusters(d, ["page"], "c", F.lit(60), "idx").select("page", "idx", F.col("cluster").cast("long").alias("cluster"))
 
 
-@query(f"""WITH {_sql_boxes('a', 'l_orderkey % 5 = 0')}, r AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY x2 - x1, idx) - 1 AS i, count(*) OVER (PARTITION BY page) AS n FROM a)
+@query(f"""WITH {_sql_boxes('a')}, r AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY x2 - x1, idx) - 1 AS i, count(*) OVER (PARTITION BY page) AS n FROM a)
  SELECT page, x2 - x1 AS median_width FROM r WHERE i = n // 2""")
-def geo_upper_median(t, keep="l_orderkey % 5 = 0"):
-    d = _boxes(t, keep).withColumn("w", F.col("x2") - F.col("x1"))
+def geo_upper_median(t):
+    d = _boxes(t).withColumn("w", F.col("x2") - F.col("x1"))
     return d.groupBy("page").agg(tables.upper_median("w").alias("median_width"))
 
 
 @query()
-def geo_box_dedupe(t, keep="l_orderkey % 5 = 0"):
-    return tables.kept_boxes(_boxes(t, keep).withColumn("c", (F.col("y1") + F.col("y2")) / 2), ["page"], "c", "idx", 0.7)
+def geo_box_dedupe(t):
+    return tables.kept_boxes(_boxes(t).withColumn("c", (F.col("y1") + F.col("y2")) / 2), ["page"], "c", "idx", 0.7)
 
 
 WORDS_IN = """w AS (SELECT o_orderkey AS page, (o_custkey * 31) % 700 AS x1, (o_custkey * 17) % 800 AS y1, o_orderkey AS word_idx, o_orderpriority AS text FROM orders)"""
 
 
-@query(f"""WITH {_sql_boxes('a', 'l_orderkey % 2 = 0')}, {WORDS_IN},
+@query(f"""WITH {_sql_boxes('a')}, {WORDS_IN},
  h AS (SELECT a.page, idx, w.x1, w.y1, word_idx, text, greatest(least(w.x1 + 40, a.x2) - greatest(w.x1, a.x1), 0) * greatest(least(w.y1 + 10, a.y2) - greatest(w.y1, a.y1), 0) AS i FROM w JOIN a ON a.page = w.page)
  SELECT page, idx, count(*) AS n_words, string_agg(text, ' ' ORDER BY y1, x1, word_idx) AS text FROM h WHERE i / 400 >= 0.2 GROUP BY 1, 2""")
-def geo_words_in_cell(t, keep="l_orderkey % 2 = 0"):
+def geo_words_in_cell(t):
     o = t("orders").select(F.col("o_orderkey").alias("page"), ((F.col("o_custkey") * 31) % 700).alias("x1"), ((F.col("o_custkey") * 17) % 800).alias("y1"), F.col("o_orderkey").alias("word_idx"), F.col("o_orderpriority").alias("text"))
     o = o.withColumn("x2", F.col("x1") + 40).withColumn("y2", F.col("y1") + 10)
-    return tables.words_in_cells(o, _boxes(t, keep), ["page"], "idx")
+    return tables.words_in_cells(o, _boxes(t), ["page"], "idx")
 
 
-@query("""WITH l AS (SELECT DISTINCT l_orderkey AS tid, l_linenumber AS n FROM lineitem WHERE l_orderkey % 10 = 0),
+@query("""WITH l AS (SELECT DISTINCT l_orderkey AS tid, l_linenumber AS n FROM lineitem),
  r AS (SELECT tid, (n - 1)::INT AS i, n * 40 AS a, n * 40 + 30 AS b FROM l), c AS (SELECT tid, (n - 1)::INT AS i, n * 100 AS a, n * 100 + (n % 5) * 20 AS b FROM l)
  SELECT r.tid, r.i AS row_idx, c.i AS col_idx, (c.b - c.a) * (r.b - r.a) AS area, CASE WHEN r.i = 0 THEN 'column_header' ELSE 'data' END AS cell_type FROM r JOIN c ON r.tid = c.tid WHERE c.b > c.a""")
-def geo_grid_cells(t, keep="l_orderkey % 10 = 0"):
+def geo_grid_cells(t):
     n = F.col("l_linenumber")
-    d = t("lineitem").where(keep).select(F.col("l_orderkey").alias("tid"), n).distinct()
+    d = t("lineitem").select(F.col("l_orderkey").alias("tid"), n).distinct()
     r = d.select("tid", (n - 1).alias("idx"), (n * 40).alias("y1"), (n * 40 + 30).alias("y2"), F.lit(0.9).alias("score"))
     c = d.select("tid", (n - 1).alias("idx"), (n * 100).alias("x1"), (n * 100 + (n % 5) * 20).alias("x2"), F.lit(0.8).alias("score"))
     g = tables.grid(r, c, ["tid"])
     return g.select("tid", "row_idx", "col_idx", ((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))).alias("area"), "cell_type")
 
 
-def _cells(t, salt: int, keep: str) -> DataFrame:
-    p = F.col("l_partkey") + salt
-    return t("lineitem").where(keep).select(
-        F.col("l_orderkey").alias("table_id"), (F.col("l_linenumber").cast("long") * 1000000000 + F.col("l_partkey") * 1000 + F.col("l_suppkey")).alias("cell_idx"), (F.col("l_linenumber") - 1).alias("row_idx"), (F.col("l_partkey") % 3).cast("int").alias("col_idx"),
-        F.when(p % 4 == 0, 2).otherwise(1).alias("row_span"), F.when(p % 5 == 0, 2).otherwise(1).alias("col_span"), F.when(p % 6 == 0, "").otherwise(F.char(65 + F.col("l_partkey") % 3)).alias("text"), (F.col("l_partkey") % 10 / 10).alias("confidence"),
+def _cells(t, salt: int) -> DataFrame:
+    p, n, c = F.col("l_partkey") + salt, F.col("l_linenumber"), (F.col("l_partkey") % 3).cast("int")
+    tall, wide = F.when(p % 4 == 0, 2).otherwise(1), F.when(p % 5 == 0, 2).otherwise(1)
+    return t("lineitem").select(
+        F.col("l_orderkey").alias("table_id"), (n.cast("long") * 1000000000 + F.col("l_partkey") * 1000 + F.col("l_suppkey")).alias("cell_idx"), (n - 1).alias("row_idx"), c.alias("col_idx"), tall.alias("row_span"), wide.alias("col_span"),
+        F.when(p % 6 == 0, "").otherwise(F.char(65 + F.col("l_partkey") % 3 + (p % 7 == 0).cast("int"))).alias("text"), (F.col("l_partkey") % 10 / 10).alias("confidence"), F.when(F.col("l_suppkey") % 3 == 0, "ocr").otherwise("pdf_text").alias("text_source"),
+        (c * 100 + salt * 7).alias("x1"), (n * 40 + salt * 3).alias("y1"), (c * 100 + salt * 7 + wide * 100 - 5).alias("x2"), (n * 40 + salt * 3 + tall * 40 - 4).alias("y2"),
     ).distinct()
 
 
 def _sql_slots(name: str, salt: int) -> str:
-    return f"""{name} AS (SELECT table_id, r, c, min_by(owner, cell_idx) AS owner, min_by(text, cell_idx) AS text FROM (SELECT *, unnest(range(c0, c0 + cs)) AS c FROM (SELECT *, unnest(range(r0, r0 + rs)) AS r FROM (SELECT *, 'r' || r0 || '_c' || c0 || '_rs' || rs || '_cs' || cs AS owner FROM
+    return f"""c{name} AS (SELECT *, 'r' || r0 || '_c' || c0 || '_rs' || rs || '_cs' || cs AS owner, c0 * 100 + {salt * 7} AS x1, (r0 + 1) * 40 + {salt * 3} AS y1, c0 * 100 + {salt * 7} + cs * 100 - 5 AS x2, (r0 + 1) * 40 + {salt * 3} + rs * 40 - 4 AS y2 FROM
    (SELECT DISTINCT l_orderkey AS table_id, l_linenumber::BIGINT * 1000000000 + l_partkey * 1000 + l_suppkey AS cell_idx, l_linenumber - 1 AS r0, l_partkey % 3 AS c0, CASE WHEN (l_partkey + {salt}) % 4 = 0 THEN 2 ELSE 1 END AS rs, CASE WHEN (l_partkey + {salt}) % 5 = 0 THEN 2 ELSE 1 END AS cs,
-   CASE WHEN (l_partkey + {salt}) % 6 = 0 THEN '' ELSE lower(chr((65 + l_partkey % 3)::INT)) END AS text FROM lineitem WHERE l_orderkey % 10 = 0)))) GROUP BY 1, 2, 3)"""
+   CASE WHEN (l_partkey + {salt}) % 6 = 0 THEN '' ELSE lower(chr((65 + l_partkey % 3 + CASE WHEN (l_partkey + {salt}) % 7 = 0 THEN 1 ELSE 0 END)::INT)) END AS text FROM lineitem)),
+ {name} AS (SELECT table_id, r, c, owner, text, x1, y1, x2, y2 FROM (SELECT table_id, r, c, min_by(owner, cell_idx) AS owner, max_by(x1, cell_idx) AS x1, max_by(y1, cell_idx) AS y1, max_by(x2, cell_idx) AS x2, max_by(y2, cell_idx) AS y2
+   FROM (SELECT *, unnest(range(c0, c0 + cs)) AS c FROM (SELECT *, unnest(range(r0, r0 + rs)) AS r FROM c{name})) GROUP BY 1, 2, 3) JOIN (SELECT table_id, owner, max_by(text, cell_idx) AS text FROM c{name} GROUP BY 1, 2) USING (table_id, owner)),
+ h{name} AS (SELECT table_id, max(r0 + rs) AS n_rows, max(c0 + cs) AS n_cols FROM c{name} GROUP BY 1)"""
+
+
+@query(f"WITH {_sql_slots('s', 0)} SELECT table_id, count(*) AS n_slots, count(DISTINCT owner) AS n_owners, min(n_rows)::INT AS n_rows, min(n_cols)::INT AS n_cols FROM s JOIN hs USING (table_id) GROUP BY 1")
+def slot_fill(t):
+    d = scoring.slots(_cells(t, 0), ["table_id"]).groupBy("table_id").agg(F.count("*").alias("n_slots"), F.count_distinct("owner").alias("n_owners"))
+    return d.join(scoring.shape(_cells(t, 0), ["table_id"]), "table_id").select("table_id", "n_slots", "n_owners", F.col("rows").cast("int").alias("n_rows"), F.col("cols").cast("int").alias("n_cols"))
+
 
+def _sql_edges(name: str) -> str:
+    one = lambda way, r, c, when: f"SELECT table_id, '{way}' AS way, {r} AS r, {c} AS c, owner FROM {name} JOIN h{name} USING (table_id) WHERE {when}"
+    near = " UNION ALL ".join((one("v", "r", "c", "c < n_cols - 1"), one("v", "r", "c - 1", "c > 0"), one("h", "r", "c", "r < n_rows - 1"), one("h", "r - 1", "c", "r > 0")))
+    return f"e{name} AS (SELECT table_id, way, r, c, 1 AS one FROM ({near}) GROUP BY 1, 2, 3, 4 HAVING count(*) = 1 OR min(owner) <> max(owner))"
 
-@query(f"WITH {_sql_slots('s', 0)} SELECT table_id, count(*) AS n_slots, count(DISTINCT owner) AS n_owners FROM s GROUP BY 1")
-def slot_fill(t, keep="l_orderkey % 10 = 0"):
-    return scoring.slots(_cells(t, 0, keep), ["table_id"]).groupBy("table_id").agg(F.count("*").alias("n_slots"), F.count_distinct("owner").alias("n_owners"))
 
+@query(f"""WITH {_sql_slots('a', 0)}, {_sql_slots('b', 1)}, {_sql_edges('a')}, {_sql_edges('b')},
+ n AS (SELECT table_id, count(ea.one) AS na, count(eb.one) AS nb, count(*) FILTER (ea.one IS NOT NULL AND eb.one IS NOT NULL) AS hits FROM ea FULL JOIN eb USING (table_id, way, r, c) GROUP BY 1)
+ SELECT ha.table_id, round(CASE WHEN coalesce(na + nb, 0) = 0 THEN 1 ELSE 2 * hits / (na + nb) END, 4) AS top FROM ha LEFT JOIN n USING (table_id)""")
+def edge_f1(t):
+    return scoring.border_f1(_cells(t, 0), _cells(t, 1), ["table_id"]).select("table_id", F.round("top", 4).alias("top"))
 
-@query(f"""WITH {_sql_slots('a', 0)}, {_sql_slots('b', 1)}, j AS (SELECT table_id, a.owner AS ao, b.owner AS bo, a.text AS t1, b.text AS t2 FROM a FULL JOIN b USING (table_id, r, c)),
- n AS (SELECT table_id, count(ao) AS na, count(bo) AS nb, count(*) FILTER (ao = bo) AS top, count(*) FILTER (ao IS NOT NULL AND bo IS NOT NULL AND t1 = t2) AS con FROM j GROUP BY 1)
- SELECT table_id, round(2 * top / (na + nb), 4) AS top, round(2 * con / (na + nb), 4) AS con FROM n""")
-def score_strict(t, keep="l_orderkey % 10 = 0"):
-    return scoring.structure(_cells(t, 0, keep), _cells(t, 1, keep), ["table_id"])
 
+STRICT = f"""WITH {_sql_slots('a', 0)}, {_sql_slots('b', 1)}, j AS (SELECT table_id, a.owner AS ao, b.owner AS bo, a.text AS t1, b.text AS t2, (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) AS areas,
+   greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0) AS i FROM a FULL JOIN b USING (table_id, r, c)),
+ n AS (SELECT table_id, count(ao) AS na, count(bo) AS nb, count(*) FILTER (ao = bo) AS same, count(*) FILTER (t1 <> '') AS ta, count(*) FILTER (t2 <> '') AS tb, count(*) FILTER (t1 = t2 AND t1 <> '') AS texts,
+   coalesce(sum(i / (areas - i)) FILTER (ao IS NOT NULL AND bo IS NOT NULL), 0) AS overlap FROM j GROUP BY 1),
+ m AS (SELECT table_id, 2 * same / (na + nb) AS top, CASE WHEN ta + tb = 0 THEN 1 ELSE 2 * texts / (ta + tb) END AS con, overlap / na AS loc, n_rows * n_cols AS weight FROM n JOIN ha USING (table_id))"""
 
-@query("""WITH c AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_partkey % 4 = 0 OR l_partkey % 5 = 0 AS m, l_partkey % 6 = 0 AS e, l_partkey % 10 < 5 AS low FROM lineitem WHERE l_orderkey % 10 = 0)
- SELECT count(DISTINCT l_orderkey) AS tables, count(*) AS cells, count(*) FILTER (e) AS empty_text, count(*) FILTER (m) AS merged, count(*) FILTER (low) AS low_confidence, count(*) FILTER (e) > 0.4 * count(*) AS empty_warning, count(*) FILTER (low) > 0.3 * count(*) AS confidence_warning FROM c""")
-def qa_totals(t, keep="l_orderkey % 10 = 0"):
-    return tables.quality_totals(_cells(t, 0, keep).withColumnRenamed("text", "raw_text"))
+
+@query(STRICT + " SELECT table_id, round(top, 4) AS top, round(con, 4) AS con, round(loc, 4) AS loc, round((top + con + loc) / 3, 4) AS total, weight::INT AS weight FROM m")
+def score_strict(t):
+    return scoring.structure(_cells(t, 0), _cells(t, 1), ["table_id"]).withColumn("weight", F.col("weight").cast("int"))
+
+
+@query()
+def score_default(t):
+    return scoring.structure(_cells(t, 0), _cells(t, 1), ["table_id"], strict=False)
 
 
-VEC = "v AS (SELECT vec_id, vec_id // 4 AS page, (vec_id % 4)::INT AS idx, list_transform(embedding[1:8], lambda x: x::DOUBLE) AS profile, 300 + vec_id % 90 AS width, vec_id % 70 AS x FROM embeddings)"
+@query(STRICT + """, r AS (SELECT round(top, 4) AS top, round(con, 4) AS con, round(loc, 4) AS loc, round((top + con + loc) / 3, 4) AS total, weight FROM m)
+ SELECT round(sum(top * weight) / sum(weight), 3) AS top, round(sum(con * weight) / sum(weight), 3) AS con, round(sum(loc * weight) / sum(weight), 3) AS loc, round(sum(total * weight) / sum(weight), 3) AS total FROM r""")
+def score_overall(t):
+    d = scoring.weighted(scoring.structure(_cells(t, 0), _cells(t, 1), ["table_id"]), ["top", "con", "loc", "total"], "weight", 3)
+    return d
 
 
-@query(f"""WITH {VEC}, s AS (SELECT a.page, a.idx, b.idx AS continues_from, round(0.7::DOUBLE * list_cosine_similarity(a.profile, b.profile) + 0.2::DOUBLE * greatest(0, 1 - abs(a.width - b.width) / greatest(a.width, b.width)) + 0.1::DOUBLE * greatest(0, 1 - abs(a.x - b.x) / greatest(a.width, b.width)), 4) AS score FROM v a JOIN v b ON a.page = b.page + 1)
- SELECT * FROM s WHERE score >= 0.5 QUALIFY row_number() OVER (PARTITION BY page, idx ORDER BY score DESC, continues_from) = 1""")
-def link_continuations(t, values=8):
+@query("""WITH c AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_partkey % 4 = 0 OR l_partkey % 5 = 0 AS m, l_partkey % 6 = 0 AS e, l_partkey % 10 < 5 AS low, l_suppkey % 3 = 0 AS o FROM lineitem), k AS (SELECT count(*) AS tables, count(*) FILTER (o_custkey % 3 = 0 OR o_custkey % 4 = 0) AS continuations FROM orders)
+ SELECT tables, continuations, cells, empty_text, ocr, merged, low_confidence, empty_text > 0.4 * cells AS empty_warning, low_confidence > 0.3 * cells AS confidence_warning, cells > 0 AS ready FROM k,
+ (SELECT count(*) AS cells, count(*) FILTER (e) AS empty_text, count(*) FILTER (o) AS ocr, count(*) FILTER (m) AS merged, count(*) FILTER (low) AS low_confidence FROM c)""")
+def qa_totals(t):
+    linked = t("orders").select(F.col("o_orderkey").alias("table_id"), (F.col("o_custkey") % 3 == 0).alias("is_continuation"), (F.col("o_custkey") % 4 == 0).alias("continues_on_next_page"))
+    return tables.quality_totals(_cells(t, 0).withColumnRenamed("text", "raw_text"), linked)
+
+
+@query("""WITH d AS (SELECT event_id, event_id % 3 AS a, event_id % 5 AS b FROM events)
+ SELECT event_id, array_to_string(list_filter(['document_id', CASE WHEN a = 0 THEN 'source_file' END, CASE WHEN b > 1 THEN 'page_count' END, 'processed_at', 'model_version', CASE WHEN a = 1 THEN 'tables' END], lambda x: x IN ('source_file', 'page_count', 'tables')), ',') AS missing FROM d""")
+def qa_missing_fields(t):
+    a, b = F.col("event_id") % 3, F.col("event_id") % 5
+    key = lambda name, there: F.when(there, F.lit(f'"{name}":1')).otherwise(F.lit(None))
+    text = F.concat(F.lit("{"), F.concat_ws(",", key("document_id", F.lit(True)), key("source_file", a != 0), key("page_count", b <= 1), key("processed_at", F.lit(True)), key("model_version", F.lit(True)), key("tables", a != 1)), F.lit("}"))
+    return t("events").select("event_id", F.array_join(tables.missing_fields(text), ",").alias("missing"))
+
+
+VEC = """v AS (SELECT vec_id, vec_id // 4 AS page, (vec_id % 4)::INT AS idx, CASE WHEN vec_id % 2 = 0 THEN list_transform(embedding, lambda x: abs(x::DOUBLE) + 0.05) ELSE list_transform(range(1, 33), lambda i: abs(embedding[2 * i - 1]::DOUBLE) + abs(embedding[2 * i]::DOUBLE) + 0.1) END AS p, 300 + vec_id % 90 AS width, vec_id % 70 AS x FROM embeddings)"""
+
+
+@query(f"""WITH {VEC}, w AS (SELECT *, CASE WHEN len(p) = 32 THEN p ELSE list_transform(range(32), lambda i: p[(floor(i * 63 / 31)::INT + 1)] * (1 - (i * 63 / 31 - floor(i * 63 / 31))) + p[least(floor(i * 63 / 31)::INT + 2, 64)] * (i * 63 / 31 - floor(i * 63 / 31))) END AS q FROM v),
+ s AS (SELECT a.page, a.idx, b.idx AS p_idx, 0.7::DOUBLE * CASE WHEN len(a.p) = len(b.p) THEN list_cosine_similarity(a.p, b.p) ELSE list_cosine_similarity(a.q, b.q) END
+   + 0.2::DOUBLE * greatest(0, 1 - abs(a.width - b.width) / greatest(a.width, b.width)) + 0.1::DOUBLE * greatest(0, 1 - abs(a.x - b.x) / greatest(a.width, b.width)) AS score FROM w a JOIN w b ON a.page = b.page + 1),
+ best AS (SELECT page, idx, p_idx, score FROM s QUALIFY row_number() OVER (PARTITION BY page, idx ORDER BY score DESC, p_idx) = 1), ok AS (SELECT * FROM best WHERE score >= 0.82),
+ claim AS (SELECT page - 1 AS page, p_idx AS idx, max(idx) AS linked, max_by(score, idx) AS c FROM ok GROUP BY 1, 2)
+ SELECT v.page, v.idx, ok.p_idx AS continues_from, linked, round(coalesce(c, ok.score), 4) AS match_score FROM v LEFT JOIN ok USING (page, idx) LEFT JOIN claim USING (page, idx)""")
+def link_continuations(t):
+    e = lambda i: F.abs(F.element_at("embedding", i).cast("double"))
+    paired = F.transform(F.sequence(F.lit(1), F.lit(32)), lambda i: e(2 * i - 1) + e(2 * i) + 0.1)
+    profile = F.when(F.col("vec_id") % 2 == 0, F.transform("embedding", lambda x: F.abs(x.cast("double")) + 0.05)).otherwise(paired)
     v = t("embeddings").select(
-        F.lit(0).alias("doc"), F.expr("vec_id div 4").alias("page"), (F.col("vec_id") % 4).cast("int").alias("idx"), tables.resampled(F.slice("embedding", 1, values), values).alias("profile"), (300 + F.col("vec_id") % 90).alias("width"), (F.col("vec_id") % 70).alias("x")
+        F.lit(0).alias("doc"), F.expr("vec_id div 4").alias("page"), (F.col("vec_id") % 4).cast("int").alias("idx"), profile.alias("profile"), (300 + F.col("vec_id") % 90).alias("width"), (F.col("vec_id") % 70).alias("x")
     )
-    return tables.continuations(v, ["doc"], 0.5).drop("doc")
+    return tables.continuations(v, ["doc"]).drop("doc")
+
+
+SIZES = "n AS (SELECT count(*) AS n FROM documents), z AS (SELECT floor(n * 0.7)::BIGINT AS train, floor(n * 0.15)::BIGINT AS val, n FROM n)"
 
 
-@query("""WITH q AS (SELECT count(*) AS n, count(*) FILTER (quality = 1) AS good FROM labels), d AS (SELECT count(*) AS docs FROM documents)
- SELECT docs, n AS labelled, docs >= 100 AS enough, abs(n / docs - 0.4) <= 0.03 AS share_ok, good FROM q, d""")
+@query(f"""WITH {SIZES}, r AS (SELECT n AS tasks, (SELECT count(DISTINCT doc_id) FROM labels) AS tasks_with_boxes, (SELECT count(*) FROM labels WHERE toxic = 1) AS boxes, train, val, n - train - val AS test FROM z),
+ c AS (SELECT *, tasks >= 100 AS pages_ok, boxes BETWEEN 150 AND 200 AS boxes_ok, abs(train / tasks - 0.7) <= 0.03 AND abs(val / tasks - 0.15) <= 0.03 AND abs(test / tasks - 0.15) <= 0.03 AS split_ok FROM r) SELECT *, pages_ok AND boxes_ok AND split_ok AS compliant FROM c""")
 def compliance_check(t):
-    q = t("labels").agg(F.count("*").alias("labelled"), F.count_if(F.col("quality") == 1).alias("good"))
-    d = t("documents").agg(F.count("*").alias("docs")).join(q)
-    return d.select("docs", "labelled", (F.col("docs") >= 100).alias("enough"), (F.abs(F.col("labelled") / F.col("docs") - 0.4) <= 0.03).alias("share_ok"), "good")
+    labelled = t("labels").select("doc_id").distinct().withColumn("has_boxes", F.lit(True))
+    tasks = t("documents").select("doc_id").join(labelled, "doc_id", "left").select("doc_id", F.coalesce("has_boxes", F.lit(False)).alias("has_boxes"))
+    return annotation.compliance(tasks, t("labels").where("toxic = 1"), annotation.split_parts(t("documents").select("doc_id"), "doc_id"))
 
 
-@query("SELECT part, count(*) AS n FROM (SELECT CASE WHEN i < floor(n * 0.7) THEN 'train' WHEN i < floor(n * 0.7) + floor(n * 0.15) THEN 'val' ELSE 'test' END AS part FROM (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM documents)) GROUP BY 1")
+@query(f"WITH {SIZES} SELECT unnest(['train', 'val', 'test']) AS part, unnest([train, val, n - train - val]) AS n FROM z")
 def split_sizes(t):
-    d = t("documents").select("doc_id")
-    n = d.count()
-    order = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.xxhash64("doc_id"), "doc_id")) - 1
-    train, val = int(n * 0.7), int(n * 0.15)
-    return d.withColumn("i", order).groupBy(F.when(F.col("i") < train, "train").when(F.col("i") < train + val, "val").otherwise("test").alias("part")).agg(F.count("*").alias("n"))
+    return annotation.split_parts(t("documents").select("doc_id"), "doc_id").groupBy("part").agg(F.count("*").alias("n"))
 
 
 @query("SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 0)")
 def split_semi(t):
-    return t("documents").join(t("labels").where("quality = 0").select("doc_id"), "doc_id", "left_semi").select("doc_id", "source")
+    return annotation.of_split(t("documents"), t("labels").where("quality = 0"), "doc_id").select("doc_id", "source")
 
 
 @query("SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) WHERE k <= 10")
 def used_anti(t):
-    d = t("documents").join(t("labels").select("doc_id"), "doc_id", "left_anti").select("source", "doc_id")
-    return d.withColumn("k", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).where("k <= 10").drop("k")
+    return annotation.next_tasks(t("documents").select("source", "doc_id"), t("labels"), "source", "doc_id")
+
+
+@query("""WITH b AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (l_partkey % 1000) / 10.0::DOUBLE AS x, (l_suppkey % 950) / 10.0::DOUBLE AS y, (l_partkey % 400) / 7.0::DOUBLE AS w, (l_suppkey % 300) / 7.0::DOUBLE AS h FROM lineitem WHERE l_partkey % 3 <> 2 AND l_suppkey % 4 <> 0)
+ SELECT 'img ' || l_orderkey || '.png' AS filename, CASE l_partkey % 3 WHEN 0 THEN 'table' ELSE 'table_rotated' END AS name, l_linenumber, l_partkey, l_suppkey, least(trunc(x / 100.0::DOUBLE * 1240)::INT, 1240) AS xmin, least(trunc(y / 100.0::DOUBLE * 1754)::INT, 1754) AS ymin,
+  least(trunc((x + w) / 100.0::DOUBLE * 1240)::INT, 1240) AS xmax, least(trunc((y + h) / 100.0::DOUBLE * 1754)::INT, 1754) AS ymax FROM b""")
+def annotation_boxes(t):
+    p, s = F.col("l_partkey"), F.col("l_suppkey")
+    d = t("lineitem").select(
+        F.concat(F.lit("/data/local-files/?d=images%2Fimg%20"), F.col("l_orderkey").cast("string"), F.lit(".png"), F.lit("#"), F.concat_ws("#", "l_linenumber", "l_partkey", "l_suppkey")).alias("image"), F.when(s % 4 == 0, "choices").otherwise("rectanglelabels").alias("type"),
+        F.when(p % 3 == 0, "table").when(p % 3 == 1, "table_rotated").otherwise("figure").alias("label"), ((p % 1000) / 10.0).alias("x"), ((s % 950) / 10.0).alias("y"), ((p % 400) / 7.0).alias("width"), ((s % 300) / 7.0).alias("height"),
+        F.lit(1240).alias("original_width"), F.lit(1754).alias("original_height"),
+    )
+    d, part = annotation.boxes(d), F.split("filename", "#")
+    return d.select(part[0].alias("filename"), "name", part[1].cast("int").alias("l_linenumber"), part[2].cast("long").alias("l_partkey"), part[3].cast("long").alias("l_suppkey"), "xmin", "ymin", "xmax", "ymax")
 
 
-@query("SELECT quality, toxic, count(*) AS n FROM labels GROUP BY ALL")
+@query("""WITH c AS (SELECT count(*) FILTER (quality = 0 AND toxic = 1) AS tp, count(*) FILTER (quality <> 0 AND toxic = 1) AS fp, count(*) FILTER (quality = 0 AND toxic <> 1) AS fn FROM labels), r AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS r FROM c)
+ SELECT tp, fp, fn, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM r""")
 def det_label_eval(t):
-    return t("labels").groupBy("quality", "toxic").agg(F.count("*").alias("n"))
+    d = scoring.label_scores(F.col("quality") == 0, F.col("toxic") == 1, t("labels"))
+    return d.select("tp", "fp", "fn", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")))
 
 
 def _named(t) -> tuple[DataFrame, DataFrame]:
@@ -328,43 +410,90 @@ def part_status(t):
     return t("part").select("p_partkey", absorption(F.col("p_size")).alias("status"))
 
 
-@query(f"""WITH {_sql_boxes('a', 'l_orderkey % 5 = 0')}, s AS (SELECT *, (x2 - x1) * (y2 - y1) AS area FROM a)
- SELECT page, count(*) AS n, round(0.8::DOUBLE * max(score) + 0.2::DOUBLE * (sum(area)::DOUBLE / (count(*) * 480000)) + least(0.2::DOUBLE, 0.03::DOUBLE * count(*)), 4) AS quality, max(area) >= 4800 AS plausible FROM s GROUP BY 1""")
-def det_stabilise(t, keep="l_orderkey % 5 = 0"):
-    return quality.detection_quality(_boxes(t, keep), ["page"], 480000)
+SMALL = f"""WITH {_sql_boxes('p', 'l_linenumber % 2 = 0')}, {_sql_boxes('b', 'l_linenumber % 2 = 1')}, a AS (SELECT page, idx, score, x1, y1, x1 + CASE WHEN score % 2 = 0 THEN 10 ELSE x2 - x1 END AS x2, y2 FROM p),
+ d AS (SELECT page, idx, score, x1 AS r1, y1 AS r2, x2 AS r3, y2 AS r4, least(greatest(x1, 0), 599) AS x1, least(greatest(y1, 0), 799) AS y1, least(x2, 600) AS x2, least(y2, 800) AS y2 FROM a), e AS (SELECT page, idx, score, x1 AS r1, y1 AS r2, x2 AS r3, y2 AS r4, x1, y1, least(x2, 600) AS x2, least(y2, 800) AS y2 FROM b)"""
+
+
+def _found(t) -> tuple[DataFrame, DataFrame]:
+    """Detections, every other one very narrow, and the page's own candidates."""
+    a, b = _sides(t)
+    a = a.withColumn("x2", F.when(F.col("score") % 2 == 0, F.col("x1") + 10).otherwise(F.col("x2")))
+    return a.withColumn("label", F.lit("table")), b.withColumn("label", F.lit("table"))
+
+
+@query(SMALL + """, m AS (SELECT d.page, d.idx, e.idx AS c_idx, e.x1, e.y1, e.x2, e.y2, (least(d.x2, e.x2) - greatest(d.x1, e.x1)) AS iw, (least(d.y2, e.y2) - greatest(d.y1, e.y1)) AS ih, (d.x2 - d.x1) * (d.y2 - d.y1) + (e.x2 - e.x1) * (e.y2 - e.y1) AS areas,
+   abs((d.x1 + d.x2) / 2 - (e.x1 + e.x2) / 2) + abs((d.y1 + d.y2) / 2 - (e.y1 + e.y2) / 2) AS far FROM d JOIN e ON d.page = e.page WHERE d.x2 - d.x1 < 100 OR d.y2 - d.y1 < 100 OR (d.x2 - d.x1) * (d.y2 - d.y1) < 960),
+ o AS (SELECT *, greatest(iw, 0) * greatest(ih, 0) AS i FROM m), best AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY page, idx ORDER BY i / (areas - i) DESC, CASE WHEN i > 0 THEN 0 ELSE far END, c_idx) = 1)
+ SELECT d.page, d.idx, d.score::DOUBLE AS score, coalesce(best.x1, d.x1)::DOUBLE AS x1, coalesce(best.y1, d.y1)::DOUBLE AS y1, coalesce(best.x2, d.x2)::DOUBLE AS x2, coalesce(best.y2, d.y2)::DOUBLE AS y2, false AS injected FROM d LEFT JOIN best USING (page, idx)
+ UNION ALL SELECT page, idx, 0.55, x1, y1, x2, y2, true FROM e WHERE page NOT IN (SELECT page FROM d)""")
+def det_stabilise(t):
+    d = detections.stabilised(*_found(t), ["page"], 600, 800)
+    return d.select("page", "idx", F.col("score").cast("double").alias("score"), "x1", "y1", "x2", "y2", "injected")
+
+
+QUALITY = """ (SELECT o_orderkey AS page, coalesce((0.8::DOUBLE * (max((x2 - x1) * (y2 - y1)) / 480000) + 0.2::DOUBLE * (sum((x2 - x1) * (y2 - y1)) / (count(page) * 480000)) + least(0.2::DOUBLE, 0.03::DOUBLE * count(page))), 0) AS quality, coalesce(max((x2 - x1) * (y2 - y1)) >= 4800, false) AS plausible, count(page) AS n
+   FROM orders LEFT JOIN {} ON page = o_orderkey GROUP BY 1)"""
+
 
+@query(SMALL + " SELECT page, n, round(quality, 8) AS quality, plausible FROM" + QUALITY.format("d"))
+def det_quality(t):
+    first = detections.stabilised(_found(t)[0], _found(t)[1].where(F.lit(False)), ["page"], 600, 800)
+    return quality.detection_quality(first, ["page"], 480000, t("orders").select(F.col("o_orderkey").alias("page"))).withColumn("n", F.col("n").cast("long")).withColumn("quality", F.round("quality", 8))
 
-@query(f"""WITH {_sql_boxes('a', 'l_orderkey % 5 = 0')} SELECT page, count(*) AS n_tables, sum(score)::BIGINT AS confidence_sum, round(12 * count(*) + 8 * sum(score) + 30 * (sum((x2 - x1) * (y2 - y1))::DOUBLE / 480000), 8) AS model_score FROM a GROUP BY 1""")
-def page_quality(t, keep="l_orderkey % 5 = 0"):
-    return quality.page_quality(_boxes(t, keep), ["page"], 480000).drop("share_sum")
 
+@query(SMALL + ", qa AS" + QUALITY.format("d") + ", qb AS" + QUALITY.format("e") + """, u AS (SELECT qa.page, NOT qa.plausible AND qb.quality > qa.quality AS second FROM qa JOIN qb USING (page)),
+ x AS (SELECT d.* FROM d JOIN u USING (page) WHERE NOT second UNION ALL SELECT e.* FROM e JOIN u USING (page) WHERE second)
+ SELECT page, idx FROM x WHERE (x2 - x1) * (y2 - y1) >= 480 AND r1 >= -5 AND r2 >= -5 AND (least(r3, 600) - r1) * (least(r4, 800) - r2) >= 4800 AND least(r3, 600) - r1 >= 90 AND least(r4, 800) - r2 <= 10 * (least(r3, 600) - r1)""")
+def det_final(t):
+    first, second = (detections.stabilised(d, d.where(F.lit(False)), ["page"], 600, 800) for d in _found(t))
+    return detections.final(t("orders").select(F.col("o_orderkey").alias("page")), first, second, ["page"], 600, 800).select("page", "idx")
 
-def _texts(t, keep: str) -> DataFrame:
+
+@query(f"""WITH {_sql_boxes('a')} SELECT page, count(*) AS n_tables, sum(score)::BIGINT AS confidence_sum, round(12 * count(*) + 8 * sum(score) + 30 * (sum((x2 - x1) * (y2 - y1))::DOUBLE / 480000), 8) AS model_score FROM a GROUP BY 1""")
+def page_quality(t):
+    return quality.page_quality(_boxes(t), ["page"], 480000).drop("share_sum")
+
+
+def _texts(t) -> DataFrame:
     p, n = F.col("l_partkey"), F.col("l_linenumber")
     text = F.when(p % 7 == 0, "").when(p % 7 == 1, "A. Roads").when(p % 7 == 2, F.concat((p % 50).cast("string"), F.lit("%"))).when(p % 7 == 3, "Roads").otherwise(F.concat((p + 1000).cast("string"), F.lit(",000")))
-    d = t("lineitem").where(keep).select(F.col("l_orderkey").alias("table_id"), (F.col("l_suppkey") % 2).cast("int").alias("row_idx"), (n - 1).cast("int").alias("col_idx"), (1 + p % 2).cast("int").alias("col_span"), text.alias("text"))
-    first = F.row_number().over(Window.partitionBy("table_id", "row_idx", "col_idx").orderBy("text", "col_span"))
-    return d.withColumn("k", first).where("k = 1").drop("k")
+    d = t("lineitem").select(
+        F.col("l_orderkey").alias("table_id"), (F.col("l_suppkey") % 2).cast("int").alias("row_idx"), (n - 1).cast("int").alias("col_idx"), (1 + p % 2).cast("int").alias("col_span"), (1 + (p % 9 == 0).cast("int")).alias("row_span"), text.alias("text"),
+        F.when(p % 3 == 0, "ocr").when(p % 3 == 1, "pdf_text").otherwise("none").alias("text_source"), F.when(p % 11 == 0, 1).alias("level"), (p % 13 != 0).alias("inside"), F.when(F.col("l_suppkey") % 2 == 0, "column_header").when(p % 5 == 0, "header").otherwise("data").alias("cell_type"), p.alias("l_partkey"), "l_suppkey",
+    )
+    first = F.row_number().over(Window.partitionBy("table_id", "row_idx", "col_idx").orderBy("text", "col_span", "l_partkey", "l_suppkey"))
+    return d.withColumn("k", first).where("k = 1").drop("k", "l_partkey", "l_suppkey")
 
 
-TEXTS = """x AS (SELECT l_orderkey AS table_id, (l_suppkey % 2)::INT AS row_idx, (l_linenumber - 1)::INT AS col_idx, (1 + l_partkey % 2)::INT AS col_span,
-   CASE l_partkey % 7 WHEN 0 THEN '' WHEN 1 THEN 'A. Roads' WHEN 2 THEN (l_partkey % 50) || '%' WHEN 3 THEN 'Roads' ELSE (l_partkey + 1000) || ',000' END AS text FROM lineitem WHERE l_orderkey % 3 = 0
-   QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_suppkey % 2, l_linenumber ORDER BY text, col_span) = 1)"""
+TEXTS = """x AS (SELECT *, 1 + (p % 9 = 0)::INT AS row_span, CASE p % 3 WHEN 0 THEN 'ocr' WHEN 1 THEN 'pdf_text' ELSE 'none' END AS text_source, CASE WHEN p % 11 = 0 THEN 1 END AS level, p % 13 <> 0 AS inside, CASE WHEN row_idx = 0 THEN 'column_header' WHEN p % 5 = 0 THEN 'header' ELSE 'data' END AS cell_type FROM
+  (SELECT l_orderkey AS table_id, (l_suppkey % 2)::INT AS row_idx, (l_linenumber - 1)::INT AS col_idx, (1 + l_partkey % 2)::INT AS col_span, l_partkey AS p,
+   CASE l_partkey % 7 WHEN 0 THEN '' WHEN 1 THEN 'A. Roads' WHEN 2 THEN (l_partkey % 50) || '%' WHEN 3 THEN 'Roads' ELSE (l_partkey + 1000) || ',000' END AS text FROM lineitem
+   QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_suppkey % 2, l_linenumber ORDER BY text, col_span, l_partkey, l_suppkey) = 1))"""
 
 
 @query(rf"""WITH {TEXTS}, f AS (SELECT * FROM x WHERE trim(text) <> '' QUALIFY row_number() OVER (PARTITION BY table_id, row_idx ORDER BY col_idx) = 1)
  SELECT table_id, row_idx, CASE WHEN regexp_matches(text, '^(?:[A-Z]|[IVXLC]+|\d+)[.)]\s+') THEN 1 WHEN col_idx = 0 AND col_span > 1 THEN 1 WHEN col_idx <= 1 THEN 2 ELSE 3 END AS level FROM f""")
-def text_hierarchy(t, keep="l_orderkey % 3 = 0"):
-    return quality.row_levels(_texts(t, keep), ["table_id"])
+def text_hierarchy(t):
+    return quality.row_levels(_texts(t), ["table_id"])
 
 
-@query(f"""WITH {TEXTS}, n AS (SELECT *, ends_with(text, '%') AS p, try_cast(nullif(regexp_extract(replace(text, ',', ''), '-?\\d+(?:\\.\\d+)?'), '') AS DOUBLE) AS v FROM x),
- r AS (SELECT table_id, row_idx, list(v ORDER BY col_idx) FILTER (v IS NOT NULL AND NOT p) AS plain, max_by(v, col_idx) FILTER (p AND v IS NOT NULL) AS stated, bool_or(trim(text) <> '') AS filled FROM n GROUP BY 1, 2),
- g AS (SELECT *, coalesce(len(plain) >= 2 AND stated IS NOT NULL AND plain[1] <> 0, false) AS fit, coalesce(abs(plain[2] * 100 / plain[1] - stated) > 2, false) AS off FROM r),
- h AS (SELECT *, fit AND row_number() OVER (PARTITION BY table_id ORDER BY fit DESC, row_idx) = 1 AS first FROM g),
- e AS (SELECT table_id, NOT bool_or(filled) AS empty, bool_or(first AND off) AS ratio_off FROM h GROUP BY 1) SELECT *, NOT empty AND NOT ratio_off AS is_valid FROM e""")
-def validate_cells(t, keep="l_orderkey % 3 = 0"):
-    return quality.checked(_texts(t, keep), ["table_id"])
+@query(rf"""WITH {TEXTS}, f AS (SELECT *, CASE WHEN trim(text) <> '' THEN row_number() OVER (PARTITION BY table_id, row_idx, trim(text) <> '' ORDER BY col_idx) END AS k FROM x), e AS (SELECT *, regexp_matches(text, '^(?:[A-Z]|[IVXLC]+|\d+)[.)]\s+') AS en FROM f),
+ l AS (SELECT table_id, row_idx, CASE WHEN en THEN 1 WHEN col_idx = 0 AND col_span > 1 THEN 1 WHEN col_idx <= 1 THEN 2 ELSE 3 END AS level, col_idx AS first FROM e WHERE k = 1)
+ SELECT table_id, row_idx, col_idx, CASE WHEN row_idx > 0 AND row_span > 1 AND text <> '' THEN 1 WHEN row_idx > 0 AND col_idx = first AND (cell_type = 'header' OR first > 0 OR en) THEN l.level END AS hierarchy_level FROM e LEFT JOIN l USING (table_id, row_idx)""")
+def cell_hierarchy(t):
+    return quality.cell_levels(_texts(t), ["table_id"]).select("table_id", "row_idx", "col_idx", "hierarchy_level")
+
+
+@query(f"""WITH {TEXTS}, n AS (SELECT *, ends_with(text, '%') AS pc, try_cast(nullif(regexp_extract(replace(text, ',', ''), '-?\\d+(?:\\.\\d+)?'), '') AS DOUBLE) AS v FROM x),
+ r AS (SELECT table_id, row_idx, list(v ORDER BY col_idx) FILTER (v IS NOT NULL AND NOT pc) AS plain, max_by(v, col_idx) FILTER (pc AND v IS NOT NULL) AS stated FROM n GROUP BY 1, 2),
+ g AS (SELECT table_id, row_idx, plain[2] * 100 / nullif(plain[1], 0) AS expected, stated FROM r WHERE len(plain) >= 2 AND stated IS NOT NULL QUALIFY row_number() OVER (PARTITION BY table_id ORDER BY row_idx) = 1),
+ a AS (SELECT table_id, bool_or(trim(text) <> '') AS filled, bool_or(text_source = 'pdf_text') AS native, bool_or(text_source = 'ocr') AS ocr, bool_or(row_span > 1 OR col_span > 1) AS merged, bool_or(level IS NOT NULL) AS levels, count(*) FILTER (NOT inside) AS outside FROM x GROUP BY 1),
+ w AS (SELECT *, expected IS NOT NULL AS taken, coalesce(abs(expected - stated) > 2, false) AS off FROM a LEFT JOIN g USING (table_id))
+ SELECT table_id, concat_ws(',', 'grid_reconstruction', CASE WHEN filled AND native THEN 'pdf_text_fill' END, CASE WHEN filled AND ocr THEN 'ocr_fallback' END, 'merged_cell_postprocessing', CASE WHEN levels THEN 'hierarchy_assignment' END, 'continuation_linking', CASE WHEN taken THEN 'numeric_ratio_check' END, CASE WHEN outside = 0 THEN 'bounded_boxes' END) AS checks,
+  concat_ws(',', CASE WHEN NOT filled THEN 'no_cell_text_extracted' END, CASE WHEN NOT merged THEN 'no_merged_cells_detected' END, CASE WHEN NOT levels THEN 'no_header_hierarchy_detected' END, CASE WHEN off THEN 'numeric_ratio_mismatch_row_' || row_idx END, CASE WHEN outside > 0 THEN outside || '_cell_boxes_outside_table' END) AS warnings,
+  filled AND merged AND levels AND NOT off AND outside = 0 AS is_valid FROM w""")
+def validate_cells(t):
+    return quality.checked(_texts(t), ["table_id"]).withColumn("warnings", F.regexp_replace("warnings", r": expected -?[\d.]+ vs reported -?[\d.]+", ""))
 
 
 @query("""WITH o AS (SELECT c_nationkey AS n, o_orderstatus AS status, o_orderkey AS seq FROM orders JOIN customer ON o_custkey = c_custkey), l AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY n ORDER BY seq DESC) = 1)
@@ -376,9 +505,9 @@ def citizen_rekey(t):
 
 
 @query(f"""WITH {TEXTS} SELECT table_id, string_agg(row_idx || ',' || col_idx || ',' || text, ';' ORDER BY row_idx, col_idx) AS cells FROM x WHERE trim(text) <> '' GROUP BY 1""")
-def citizen_strip(t, keep="l_orderkey % 3 = 0"):
+def citizen_strip(t):
     cell = F.struct("row_idx", "col_idx", F.col("text").alias("raw_text"), F.lit(0.5).alias("confidence"), F.lit("x").alias("image_raw"))
-    tables_ = _texts(t, keep).groupBy("table_id").agg(F.sort_array(F.collect_list(cell)).alias("cells")).select(F.col("table_id").alias("doc"), F.array(F.struct("table_id", F.lit(1).alias("page_number"), "cells")).alias("tables"))
+    tables_ = _texts(t).groupBy("table_id").agg(F.sort_array(F.collect_list(cell)).alias("cells")).select(F.col("table_id").alias("doc"), F.array(F.struct("table_id", F.lit(1).alias("page_number"), "cells")).alias("tables"))
     d = citizen.text_only(citizen.without_keys(tables_, lambda name: name.endswith("_raw"))).select(F.explode("tables").alias("t"))
     return d.select("t.table_id", F.array_join(F.transform("t.cells", lambda c: F.concat_ws(",", c["row_idx"].cast("string"), c["col_idx"].cast("string"), c["raw_text"])), ";").alias("cells"))
 
@@ -397,13 +526,3 @@ def name_contains(t):
     found = keys.join(keyed, "key").where(F.contains("text", "inner")).select("item_id", "doc_id")
     short = t("documents").join(F.broadcast(b.where("n < 5").select("item_id", "inner")), F.contains("text", "inner")).select("item_id", "doc_id")
     return found.unionByName(short)
-
-
-#: Queries whose SQL takes a part of the rows; each has one more over all of them, named NAME_all, which has no SQL.
-PARTIAL = (
-    text_row_parser, geo_iou_pairs, det_eval, det_micro, geo_clamp_plausible, geo_gap_cluster, geo_upper_median, geo_box_dedupe, geo_words_in_cell, geo_grid_cells, slot_fill,
-    score_strict, qa_totals, text_hierarchy, validate_cells, det_stabilise, page_quality, citizen_strip,
-)
-for f in PARTIAL:
-    whole(f, keep="true")
-whole(link_continuations, values=64)

@@ -23,13 +23,3 @@ def query(sql: str | None = None):
         return f
 
     return wrap
-
-
-def whole(f, **more) -> None:
-    """Registers f once more, as NAME_all, with the arguments that make it take all rows."""
-
-    def every(t):
-        return f(t, **more)
-
-    every.__name__ = f"{f.__name__}_all"
-    query()(every)

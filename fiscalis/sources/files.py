@@ -31,6 +31,70 @@ def cells(docs: DataFrame) -> DataFrame:
     return t.select("document_id", F.col("t.table_id").alias("table_id"), F.col("t.page_number").alias("page_number"), F.inline("t.cells"))
 
 
+AUDIT = (
+    "pipeline string, financial_year string, generated_at string, counties array<struct<county:string,oag_matched:boolean,"
+    "dev_signal:struct<status:string,dev_pct:double,metric:string>,stats:struct<cob_projects:bigint,oag_findings:bigint,total_records:bigint>,"
+    "projects:array<struct<project_id:string,county:string,financial_year:string,project_name:string,contract_sum_kshs:double,amount_paid_kshs:double,implementation_pct:double,"
+    "source_cob:boolean,source_oag:boolean,dev_threshold_breach:boolean,cob_signal:struct<status:string,dev_pct:double,metric:string>,"
+    "oag_forensics:struct<status:string,findings:array<string>,risk_types:array<string>,match_confidence:double>,triangulation_verdict:string>>>>"
+)
+
+
+def audits(spark: SparkSession, path: str) -> DataFrame:
+    """Audit documents; control characters inside their strings are let through."""
+    return spark.read.schema(AUDIT).option("multiLine", True).option("allowUnquotedControlChars", True).json(path)
+
+
+def audit_projects(docs: DataFrame) -> DataFrame:
+    """One flat row per project of audit documents, arrays as JSON; a missing part leaves its columns null, missing arrays give []."""
+    d = docs.select(F.explode("counties").alias("c")).select(F.col("c.county").alias("county"), F.explode("c.projects").alias("p"))
+    own = ("project_id", "financial_year", "project_name", "contract_sum_kshs", "amount_paid_kshs", "implementation_pct", "source_cob", "source_oag", "dev_threshold_breach")
+    json = lambda c: F.coalesce(F.to_json(c), F.lit("[]"))
+    return d.select(
+        "county", *(F.col(f"p.{c}").alias(c) for c in own), F.col("p.cob_signal.status").alias("cob_status"), F.col("p.cob_signal.dev_pct").alias("cob_dev_pct"),
+        F.col("p.cob_signal.metric").alias("cob_metric"), F.col("p.oag_forensics.status").alias("oag_status"), F.col("p.oag_forensics.match_confidence").alias("oag_match_confidence"),
+        F.col("p.triangulation_verdict").alias("triangulation_verdict"), json("p.oag_forensics.risk_types").alias("oag_risk_types"), json("p.oag_forensics.findings").alias("oag_findings"),
+    )
+
+
+EXPORT = (
+    "id bigint, data struct<image:string>, annotations array<struct<result:array<struct<type:string,original_width:int,original_height:int,"
+    "value:struct<x:double,y:double,width:double,height:double,rectanglelabels:array<string>>>>>>"
+)
+
+
+def annotation_export(spark: SparkSession, path: str) -> DataFrame:
+    """One row per label of an annotation export: task, image, type, label, percentages and size of the image. A task without results has one row of nulls."""
+    d = spark.read.schema(EXPORT).option("multiLine", True).json(path)
+    d = d.select("id", F.col("data.image").alias("image"), F.explode_outer("annotations").alias("a")).select("id", "image", F.explode_outer("a.result").alias("r"))
+    v = F.col("r.value")
+    return d.select(
+        "id", "image", F.col("r.type").alias("type"), F.explode_outer(v["rectanglelabels"]).alias("label"), *(v[c].alias(c) for c in ("x", "y", "width", "height")),
+        F.col("r.original_width").alias("original_width"), F.col("r.original_height").alias("original_height"),
+    )
+
+
+def split_file(spark: SparkSession, path: str, key: str = "stem") -> DataFrame:
+    """The trimmed lines of a split file that aren't blank, each once."""
+    return spark.read.text(path).select(F.trim("value").alias(key)).where(F.col(key) != "").distinct()
+
+
+def images(spark: SparkSession, path: str) -> DataFrame:
+    """The PNG and JPEG images of a folder: file, report and page, from the listing alone."""
+    from fiscalis.operators.annotation import page_of
+
+    d = spark.read.format("binaryFile").option("pathGlobFilter", "*.{png,jpg,jpeg}").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"))
+    report, page = page_of(F.regexp_replace("file", r"\.[^.]+$", ""))
+    return d.select("file", report.alias("report"), page.alias("page"))
+
+
+def map_features(spark: SparkSession, path: str, name: str = "NAME_1") -> DataFrame:
+    """One row per polygon feature: its name, its type and its rings as text."""
+    schema = f"features array<struct<properties:struct<{name}:string>,geometry:struct<type:string,coordinates:string>>>"
+    d = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("features").alias("f"))
+    return d.select(F.col(f"f.properties.{name}").alias("county"), F.col("f.geometry.type").alias("type"), F.col("f.geometry.coordinates").alias("coordinates"))
+
+
 def finance_list(spark: SparkSession, path: str, section: str) -> DataFrame:
     """One of the lists of a finance bundle, with its fiscal year; a missing list is empty."""
     d = spark.read.schema(FINANCE).option("multiLine", True).json(path)
@@ -54,13 +118,30 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_lines(df: DataFrame, column: str, path: str) -> None:
+    """Text files, one value to a line."""
+    df.select(F.col(column).cast("string")).write.mode("overwrite").text(path)
+
+
+def write_split(parts: DataFrame, key: str, path: str) -> None:
+    """The keys of each part (train, val, test) in a folder of its own."""
+    for part in ("train", "val", "test"):
+        write_lines(parts.where(F.col("part") == part).orderBy(key), key, f"{path}/{part}")
+
+
+def write_tasks(pages: DataFrame, path: str, url: str = "image") -> None:
+    """Labelling tasks, one JSON object each: the image's address and, beside it, all other columns."""
+    rest = [c for c in pages.columns if c != url]
+    pages.select(F.struct(F.col(url).alias("image"), *rest).alias("data")).write.mode("overwrite").json(path)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_annotations(boxes: DataFrame, path: str) -> None:
-    """One annotation element per file name."""
+    """One annotation element per file name, of the largest size that its rows state."""
     item = F.struct(F.col("name"), F.struct("xmin", "ymin", "xmax", "ymax").alias("bndbox"))
-    boxes.groupBy("filename").agg(F.first(F.struct("width", "height")).alias("size"), F.sort_array(F.collect_list(item)).alias("object")).write.mode("overwrite").option(
+    boxes.groupBy("filename").agg(F.max(F.struct("width", "height")).alias("size"), F.sort_array(F.collect_list(F.when(F.col("name").isNotNull(), item))).alias("object")).write.mode("overwrite").option(
         "rowTag", "annotation"
     ).option("rootTag", "annotations").xml(path)

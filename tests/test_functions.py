@@ -15,7 +15,7 @@ def one(spark, value, make):
     [
         (T.county_key, " Trans-Nzoia  County ", "trans nzoia"), (T.county_key, "Murang'a", "murang a"), (T.title_case, "O'BRIEN taita/taveta", "O'Brien Taita/Taveta"),
         (T.money, "44,966,936,833", 44966936833), (T.money, "n/a", None), (T.leading_int, "200%", 200), (T.leading_int, "x", None), (T.plain, None, ""), (T.plain, "  A \t b ", "a b"),
-        (T.base_name, "/data/?d=a%20b%5Cc.png", "c.png"), (T.report_class, "OAG-report.pdf", "Audit"), (T.report_class, "x-green-book.md", "Budget"), (T.report_class, "z", "Unknown"),
+        (T.base_name, "/data/?d=a%20b%5Cc.png", "c.png"), (T.report_class, "OAG-report.pdf", "Audit"), (T.report_class, "x-green-book.md", "Budget"), (T.report_class, "z", "Report"),
     ],
 )
 def test_text(spark, make, value, want):

@@ -18,31 +18,6 @@ def test_greedy_pairs_use_each_box_once(spark, data):
         assert len(used) == len(set(used))
 
 
-def test_kept_boxes_equal_the_loop(spark, data):
-    from fiscalis.functions.geometry import box  # noqa: F401
-    from fiscalis.plans.pages import _boxes
-
-    read = lambda name: spark.read.parquet(f"{data}/{name}.parquet")
-    pages: dict = {}
-    for r in _boxes(read, "l_orderkey % 5 = 0").collect():
-        pages.setdefault(r.page, []).append(((r.y1 + r.y2) / 2, r.idx, r.x1, r.y1, r.x2, r.y2, float(r.score)))
-    want = set()
-    for page, boxes in pages.items():
-        kept: list = []
-        for b in sorted(boxes):
-            if kept:
-                a = kept[-1]
-                both = max(0, min(a[4], b[4]) - max(a[2], b[2])) * max(0, min(a[5], b[5]) - max(a[3], b[3]))
-                if both / min((x[4] - x[2]) * (x[5] - x[3]) for x in (a, b)) >= 0.7:
-                    if b[6] > a[6]:
-                        kept[-1] = b
-                    continue
-            kept.append(b)
-        want |= {(page, k[1]) for k in kept}
-    got = {(r.page, r.idx) for r in catalogue.queries()["geo_box_dedupe"](spark, data).collect()}
-    assert got == want
-
-
 def test_entry_point(spark):
     import __spark_entry__ as e
 

@@ -1,29 +1,12 @@
-"""Queries over all rows: their SQL's own statement with the filter on ids taken out, or brute force."""
-
-import pytest
-from conftest import same
+"""Queries without SQL, over all rows, against brute force."""
 
 from fiscalis import catalogue
 from fiscalis.operators import triangulate
 from fiscalis.plans import pages
 
-SQL = catalogue.oracle_sql()
-CUTS = {
-    "l_orderkey % 20 = 0": ("geo_iou_pairs", "det_eval", "det_micro"), "l_orderkey % 10 = 0": ("text_row_parser", "geo_grid_cells", "slot_fill", "score_strict", "qa_totals"),
-    "l_orderkey % 5 = 0": ("geo_clamp_plausible", "geo_gap_cluster", "geo_upper_median", "det_stabilise", "page_quality"), "l_orderkey % 3 = 0": ("text_hierarchy", "validate_cells", "citizen_strip"),
-    "l_orderkey % 2 = 0": ("geo_words_in_cell",), "o_orderkey % 50 = 0": ("county_projects_nested",), "embedding[1:8]": ("link_continuations",),
-}
-
-
-@pytest.mark.parametrize("cut, name", [(cut, name) for cut, names in CUTS.items() for name in names])
-def test_all_rows(spark, data, cut, name):
-    assert cut in SQL[name]
-    same(spark, catalogue.queries()[f"{name}_all"], SQL[name].replace(cut, "embedding" if "embedding" in cut else "true"), data)
-
-
 def test_kept_boxes_of_all_pages(spark, data):
     of = {}
-    for r in pages._boxes(lambda name: spark.read.parquet(f"{data}/{name}.parquet"), "true").collect():
+    for r in pages._boxes(lambda name: spark.read.parquet(f"{data}/{name}.parquet")).collect():
         of.setdefault(r.page, []).append(((r.y1 + r.y2) / 2, r.idx, r.x1, r.y1, r.x2, r.y2, float(r.score)))
     want = set()
     for page, boxes in of.items():
@@ -36,11 +19,11 @@ def test_kept_boxes_of_all_pages(spark, data):
             elif b[6] > a[6]:
                 kept[-1] = b
         want |= {(page, k[1]) for k in kept}
-    assert {(r.page, r.idx) for r in catalogue.queries()["geo_box_dedupe_all"](spark, data).collect()} == want
+    assert {(r.page, r.idx) for r in catalogue.queries()["geo_box_dedupe"](spark, data).collect()} == want
 
 
 def test_greedy_match_of_all_pages(spark, data):
-    rows = catalogue.queries()["geo_iou_pairs_all"](spark, data).collect()
+    rows = catalogue.queries()["geo_iou_pairs"](spark, data).collect()
     want, used = set(), set()
     for r in sorted(rows, key=lambda r: (-r.iou, r.idx, r.b_idx)):
         if not used & {(r.page, "a", r.idx), (r.page, "b", r.b_idx)}:
