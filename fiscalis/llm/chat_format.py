@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fiscalis.llm.common import pick, table, text_of
+from fiscalis.llm.common import before_each, pick, table, text_of
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 #: What may follow what: state and role give the next state; any other role is an error, from which no turn leads back.
@@ -89,23 +89,31 @@ def format_chats(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
         return F.array(*(F.struct(put.get(s, F.lit(s)).alias("part"), counts(s).alias("loss")) for s in template.segments))
 
     d = turns.select("conv", "turns", F.flatten(F.transform("turns", parts)).alias("parts"))
-    length = F.transform("parts", lambda p: F.struct(F.length(p["part"]).alias("length"), p["loss"].alias("loss")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int,loss:boolean>>").alias("out"))
-    step = lambda s, p: F.struct(
-        (s["at"] + p["length"]).alias("at"), F.concat(s["out"], F.array(F.struct(s["at"].alias("start"), p["length"].alias("length"), p["loss"].alias("loss")))).alias("out")
-    )
+    before = before_each(F.col("parts"), lambda p: F.length(p["part"]))
+    segments = F.zip_with("parts", before, lambda p, at: F.struct(at.alias("start"), F.length(p["part"]).alias("length"), p["loss"].alias("loss")))
     return d.select(
-        "conv", F.array_join(F.transform("parts", lambda p: p["part"]), "").alias("formatted"), F.aggregate(length, start, step, lambda s: s["out"]).alias("segments"),
+        "conv", F.array_join(F.transform("parts", lambda p: p["part"]), "").alias("formatted"), segments.alias("segments"),
         _state("turns", template).isin(*template.final).alias("valid"),
     )
 
 
-def read_chats(formatted: str = "formatted") -> Column:
-    """The turns, as (role, text), that a formatted text of the standard template holds."""
-    pieces = F.split(F.col(formatted), r"\Q<|im_end|>\E\n")
-    pieces = F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), lambda p: F.substring(p, F.lit(len(START) + 1), F.length(p)))
-    cut = lambda p: F.instr(p, F.lit("\n"))
-    return F.transform(pieces, lambda p: F.struct(_role_in(F.substring(p, F.lit(1), cut(p) - 1)).alias("role"), unescaped(F.substring(p, cut(p) + 1, F.length(p))).alias("text")))
+def read_chats(formatted: str = "formatted", template: Template = TEMPLATE) -> Column:
+    """The turns, as (role, text), that a formatted text of a template holds.
+
+    A template can be read back if each turn has its role, then its text, and what stands between them and behind the text
+    can't occur in either: between them a line feed or a control string comes first, behind the text a control string.
+    """
+    whole = "".join(template.segments)
+    if whole.count("{role}") != 1 or whole.count("{text}") != 1 or whole.index("{role}") > whole.index("{text}"):
+        raise ValueError("a template that can be read has one role and then one text")
+    front, rest = whole.split("{role}")
+    between, behind = rest.split("{text}")
+    if not between.startswith(("\n", "<|")) or not behind.startswith("<|"):
+        raise ValueError("a template that can be read has control strings between role and text and behind the text")
+    pieces = F.split(F.col(formatted), rf"\Q{behind}\E")
+    pieces = F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), lambda p: F.substring(p, F.lit(len(front) + 1), F.length(p)))
+    cut = lambda p: F.instr(p, F.lit(between))
+    return F.transform(pieces, lambda p: F.struct(_role_in(F.substring(p, F.lit(1), cut(p) - 1)).alias("role"), unescaped(F.substring(p, cut(p) + len(between), F.length(p))).alias("text")))
 
 
 def loss_text(formatted: str = "formatted", segments: str = "segments") -> Column:

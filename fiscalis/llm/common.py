@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,6 +90,20 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[df[f"`{old}`"].alias(new) for new, old in columns.items()])
 
 
+def before_each(items: Column, size: Callable[[Column], Column], block: int = 256) -> Column:
+    """For an array, an array of the sums of all sizes (ints) before each item.
+
+    A fold that lengthens an array copies it at each step; here a block at a time is folded, then the blocks' sums.
+    """
+    none = F.array().cast("array<int>")
+    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    add = lambda s, n: F.struct((s["at"] + n).cast("int").alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))
+    places = F.sequence(F.lit(0), F.greatest(F.floor((F.size(items) - 1) / block).cast("int"), F.lit(0)))
+    blocks = F.transform(places, lambda i: F.aggregate(F.slice(items, i * block + 1, F.lit(block)), start, lambda s, x: add(s, size(x))))
+    bases = F.aggregate(blocks, start, lambda s, b: add(s, b["at"]), lambda s: s["out"])
+    return F.flatten(F.zip_with(blocks, bases, lambda b, base: F.transform(b["out"], lambda x: x + base)))
+
+
 def broadcast_if(df: DataFrame, rows: int, most: int) -> DataFrame:
     """A broadcast hint, given only where the counted rows stay within the bound; otherwise Spark shuffles both sides."""
     return F.broadcast(df) if rows <= most else df

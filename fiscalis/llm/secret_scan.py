@@ -14,7 +14,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fiscalis.llm.common import table
+from fiscalis.llm.common import before_each, table
 
 #: The kinds, in the order in which equal starts are listed, with pattern, group that is measured and its least length.
 KINDS = {
@@ -136,15 +136,14 @@ def _spans(text: Column, kind: str, rank: int, pattern: str, group: int, least:
     gaps = F.split(text, pattern, -1)
     match = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
     value = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(group + 1))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_EMPTY).alias("out"))
+    parts = F.arrays_zip(gaps.alias("gap"), match.alias("match"), value.alias("value"))
+    before = before_each(parts, lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["match"]), F.lit(0)))
 
-    def step(s: Column, x: Column) -> Column:
-        begin = s["at"] + F.length(x["gap"])
-        end = begin + F.length(x["match"])
-        span = F.struct(begin.alias("start"), F.lit(rank).alias("kind"), end.alias("end"), x["value"].alias("value"))
-        return F.struct(end.alias("at"), F.when(F.length(x["value"]) >= least, F.concat(s["out"], F.array(span))).otherwise(s["out"]).alias("out"))
+    def span(x: Column, at: Column) -> Column:
+        begin = at + F.length(x["gap"])
+        return F.struct(begin.alias("start"), F.lit(rank).alias("kind"), (begin + F.length(x["match"])).alias("end"), x["value"].alias("value"))
 
-    found = F.aggregate(F.arrays_zip(gaps.alias("gap"), match.alias("match"), value.alias("value")), start, step, lambda s: s["out"])
+    found = F.filter(F.zip_with(parts, before, span), lambda x: F.length(x["value"]) >= least)  # the last gap has no match
     return F.when(text.rlike(HINTS[kind]), found).otherwise(F.array().cast(_EMPTY))
 
 
@@ -174,13 +173,13 @@ def listed(spans: str) -> Column:
 
 def redacted(text: str, spans: str, mark: str = "[SECRET]") -> Column:
     """The text with each maximal run of overlapping spans replaced by a mark."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(s: Column, x: Column) -> Column:
-        fresh = F.concat(s["out"], F.substring(F.col(text), s["at"] + 1, F.greatest(x["start"] - s["at"], F.lit(0))), F.lit(mark))
+        fresh = F.concat(s["out"], F.array(F.substring(F.col(text), s["at"] + 1, F.greatest(x["start"] - s["at"], F.lit(0))), F.lit(mark)))
         return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when((x["start"] >= s["at"]) & (x["end"] > s["at"]), fresh).otherwise(s["out"]).alias("out"))
 
-    return F.aggregate(spans, start, step, lambda s: F.concat(s["out"], F.substring(F.col(text), s["at"] + 1, F.length(text))))
+    return F.aggregate(spans, start, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(F.col(text), s["at"] + 1, F.length(text))))
 
 
 def op4_secret_scan(spark, sf_dir: str) -> DataFrame:

@@ -101,3 +101,28 @@ def test_suffixes_of_one_letter():
     assert suffixes.repeats(np.full(1_000_000, 97, np.uint32), 40)[1] == 999_999
     text = np.full(50_000, 97, np.uint8)
     assert induced.permuted_lcp(text, induced.suffix_array(text)).max() == 49_999
+
+
+def test_other_templates_are_read_back(spark):
+    template = chat_format.Template(segments=("<|turn|>", "{role}", "<|says|>", "{text}", "<|done|>"))
+    rows = [(1, 0, "user", "<|says|> a <|done|>\n"), (1, 1, "assistant", "")]
+    d = chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), template=template)
+    assert [tuple(x) for x in d.select(chat_format.read_chats(template=template).alias("t")).first().t] == [r[2:] for r in rows]
+    with pytest.raises(ValueError):
+        chat_format.read_chats(template=chat_format.Template(segments=("{text}", "{role}")))
+
+
+def test_many_turns_and_secrets(spark):
+    """Arrays of many thousand items, whose places are summed in blocks."""
+    n = 3000
+    rows = [(1, k, ("user", "assistant")[k % 2], "x" * (k % 7)) for k in range(n)]
+    d = chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).first()
+    at = 0
+    for s in d.segments:
+        assert s.start == at
+        at += s.length
+    assert at == len(d.formatted) and len(d.segments) == 5 * n
+    text = " é ".join(f"AKIA{k:016d}" for k in range(n))
+    found = secret_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).select("base", secret_scan.redacted("text", "found").alias("r")).first()
+    assert [(s.start, s.end) for s in found.base] == [(23 * k, 23 * k + 20) for k in range(n)]
+    assert found.r == " é ".join(["[SECRET]"] * n)
