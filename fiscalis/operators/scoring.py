@@ -123,10 +123,11 @@ def structure(truth: DataFrame, found: DataFrame, keys: list[str], strict: bool
 
     Strict: topology is F1 of equal owners over slots, location the mean IoU over the truth's slots. Else: topology is F1 of
     borders, location the sum of greedily matched IoUs over the larger number of boxes. Content is F1 of equal texts over
-    slots in both; slots that are empty on both sides don't count.
+    slots in both; slots that are empty on both sides don't count. Cells without boxes overlap nothing.
     """
     both = truth.select(*keys).distinct().join(found.select(*keys).distinct(), keys, "left_semi")
-    truth, found = (d.join(both, keys, "left_semi") for d in (truth, found))
+    unknown = {c: F.lit(None).cast("double") for c in ("x1", "y1", "x2", "y2")}
+    truth, found = ((d if "x1" in d.columns else d.withColumns(unknown)).join(both, keys, "left_semi") for d in (truth, found))
     a, b = (slots(d, keys).select(*keys, "r", "c", *(F.col(x).alias(f"{side}_{x}") for x in ("owner", "text", "box"))) for d, side in ((truth, "a"), (found, "b")))
     part = lambda side: tuple(F.col(f"{side}_box")[x] for x in ("x1", "y1", "x2", "y2"))
     filled = lambda side: F.count_if(F.col(f"{side}_text") != "")
