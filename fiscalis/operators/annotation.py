@@ -84,3 +84,15 @@ def compliance(tasks: DataFrame, boxes_: DataFrame, splits: DataFrame) -> DataFr
         fits = fits & (F.abs(F.coalesce(F.col(part) / F.nullif(total, F.lit(0)), F.lit(0.0)) - share) <= TOLERANCE)
     d = d.withColumn("pages_ok", F.col("tasks") >= PAGES).withColumn("boxes_ok", F.col("boxes").between(FEWEST_BOXES, MOST_BOXES)).withColumn("split_ok", fits)
     return d.withColumn("compliant", F.col("pages_ok") & F.col("boxes_ok") & F.col("split_ok"))
+
+
+def shared(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """One row: how many different keys two splits share."""
+    return a.select(key).intersect(b.select(key)).agg(F.count("*").alias("shared"))
+
+
+def same_name(a: DataFrame, b: DataFrame, left: str = "name", right: str = "file") -> DataFrame:
+    """Each name of a with a file of b: the equal one, else the first, by name, that holds it or is held by it. b is a folder's listing, small enough to be compared with every name of its folder (column folder on both sides)."""
+    fits = (F.col(left) == F.col(right)) | F.contains(F.col(right), F.col(left)) | F.contains(F.col(left), F.col(right))
+    best = F.min(F.struct((F.col(left) != F.col(right)).alias("unlike"), F.col(right).alias("file"))).alias("b")
+    return a.join(b, "folder").where(fits).groupBy("folder", left).agg(best).select("folder", left, F.col("b.file").alias("file"))

@@ -99,3 +99,17 @@ def findings(entities: DataFrame, keys: list[str], shortest: int = 40) -> DataFr
     return found.where("project_name is not null or risk").select(
         *keys, "project_name", amounts.alias("amounts"), F.when(F.col("risk"), "FLAGGED_BY_MODEL").otherwise("GENERAL_FINDING").alias("kind"), "sentence"
     )
+
+
+def triage(pages: DataFrame, key: str, page: str = "page", text_col: str = "text", first: int = 3) -> DataFrame:
+    """Whether each file is digital: one of its first pages (counted from 1) has text."""
+    has = F.length(F.trim(F.coalesce(text_col, F.lit("")))) > 0
+    return pages.groupBy(key).agg(F.coalesce(F.bool_or(has & (F.col(page) <= first)), F.lit(False)).alias("is_digital"))
+
+
+def report_text(pages: DataFrame, key: str, page: str = "page", text_col: str = "text") -> DataFrame:
+    """One text per file: its pages in order, each under a heading with its number."""
+    from fiscalis.functions.text import page_heading
+
+    each = F.sort_array(F.collect_list(F.struct(F.col(page).alias("p"), F.coalesce(text_col, F.lit("")).alias("t"))))
+    return pages.groupBy(key).agg(F.array_join(F.transform(each, lambda x: page_heading(x["p"], x["t"])), "\n\n").alias("text"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fiscalis.functions.geometry import box, overlap
 from fiscalis.functions.text import cell_id
-from fiscalis.operators.tables import grid
+from fiscalis.operators.quality import cell_levels
+from fiscalis.operators.tables import grid, words_in_cells
 
 HIT = 0.25
 
@@ -56,3 +57,53 @@ def preferred_text(*sources: tuple[str, Column]) -> Column:
 
 def with_ids(found: DataFrame, page: str = "page_number", table: str = "table_idx") -> DataFrame:
     return found.withColumn("cell_id", cell_id(F.col(page), F.col(table), F.col("row_idx"), F.col("col_idx")))
+
+
+def build(tables: DataFrame, rows: DataFrame, columns: DataFrame, spans: DataFrame, words: DataFrame, read: DataFrame, keys: list[str], page: str = "page_number", table: str = "table_idx") -> DataFrame:
+    """The cells of detected tables with ids, text, levels: grid with spans, the page's own words (20 % of the smaller area) before read ones (15 %).
+
+    tables: keys, page, table (number on the page), box; rows, columns, spans: keys and boxes from the table's corner;
+    words, read: page, word_idx, text, box on the page.
+    """
+    corner = tables.select(*keys, page, table, F.col("x1").alias("_x"), F.col("y1").alias("_y"))
+    d = cells(rows, columns, spans, keys).join(corner, keys)
+    d = d.select(*keys, page, table, "row_idx", "col_idx", "row_span", "col_span", "cell_type", "confidence", *((F.col(c) + F.col(o)).alias(c) for c, o in (("x1", "_x"), ("y1", "_y"), ("x2", "_x"), ("y2", "_y"))))
+    d = with_ids(d, page, table)
+    native = words_in_cells(words, d, [page], "cell_id").select("cell_id", F.col("text").alias("_native"))
+    seen = words_in_cells(read, d, [page], "cell_id", 0.15).select("cell_id", F.col("text").alias("_read"))
+    d = d.join(native, "cell_id", "left").join(seen, "cell_id", "left").withColumn("_t", preferred_text(("pdf_text", F.col("_native")), ("ocr", F.col("_read"))))
+    return cell_levels(d.select("*", "_t.*").drop("_t", "_native", "_read"), keys)
+
+
+def in_page_order(pages: DataFrame, page: str = "page_number", tables: str = "tables") -> DataFrame:
+    """One row: the tables of all pages of a document in the order of pages. pages: document_id, page, tables."""
+    each = F.sort_array(F.collect_list(F.struct(page, F.col(tables).alias("t"))))
+    return pages.groupBy("document_id").agg(F.flatten(F.transform(each, lambda x: x["t"])).alias(tables))
+
+
+def word_hull(words: DataFrame, keys: list[str], margin: int = 12) -> DataFrame:
+    """The box around the words of each key with a margin, not below 0."""
+    low = lambda c: F.greatest(F.min(c) - margin, F.lit(0)).alias(c)
+    return words.groupBy(*keys).agg(low("x1"), low("y1"), (F.max("x2") + margin).alias("x2"), (F.max("y2") + margin).alias("y2"))
+
+
+def with_errors(found: DataFrame, kind: str, keys: list[str]) -> DataFrame:
+    """Cells with errors of one kind put in by rule: missing (every fourth by a hash), moved (boxes up to 10 units by a hash), text (every other marked), merged (every fifth but the last over two rows), uncertain (confidence 0.5); none leaves them."""
+    at = F.row_number().over(Window.partitionBy(*keys).orderBy("cell_idx")) - 1
+    n = F.count("*").over(Window.partitionBy(*keys))
+    d = found.withColumn("_at", at).withColumn("_n", n)
+    if kind == "missing":
+        order = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("cell_idx"), "cell_idx"))
+        d = d.withColumn("_k", order).where(F.col("_k") > F.greatest(F.floor(F.col("_n") / 4), F.lit(1))).drop("_k")
+    elif kind == "moved":
+        for k, c in enumerate(("x1", "y1", "x2", "y2")):
+            d = d.withColumn(c, F.col(c) + F.pmod(F.xxhash64("cell_idx", F.lit(k)), F.lit(2001)) / 100 - 10)
+    elif kind == "text":
+        d = d.withColumn("text", F.when(F.col("_at") % 2 == 0, F.concat(F.lit("CORRUPTED_"), "text")).otherwise(F.col("text")))
+    elif kind == "merged":
+        d = d.withColumn("row_span", F.when((F.col("_at") % 5 == 0) & (F.col("_at") < F.col("_n") - 1), 2).otherwise(F.col("row_span")))
+    elif kind == "uncertain":
+        d = d.withColumn("confidence", F.lit(0.5))
+    elif kind != "none":
+        raise ValueError("kind is one of missing, moved, text, merged, uncertain, none")
+    return d.drop("_at", "_n")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fiscalis.functions.text import county_key
 from fiscalis.operators.finance import first_of, last_of
 
 #: Verdicts in the order in which they are tried.
@@ -119,3 +120,19 @@ def list_finances(finances: DataFrame, county: str | None = None, skip: int = 0,
 def capped(rows: DataFrame, key: str, most: int = 1000) -> DataFrame:
     """What a client sees that asks for so many rows at most."""
     return page(rows, key, 0, most)
+
+
+def feed(posts: DataFrame, likes: str, *order: str, n: int = 100) -> DataFrame:
+    """The posts with the most likes, of equals the newest."""
+    return posts.orderBy(F.desc(likes), *map(F.desc, order)).limit(n)
+
+
+def post_id(ts: Column) -> Column:
+    """Milliseconds from 1970 to a time without a zone."""
+    return F.timestamp_diff("MILLISECOND", F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")), ts)
+
+
+def on_map(features: DataFrame, rows: DataFrame, key: str = "county") -> DataFrame:
+    """Map features with the rows of their county, whichever of its names both use."""
+    right = rows.withColumn("_key", county_key(F.col(key))).drop(key)
+    return features.withColumn("_key", county_key(F.col(key))).join(right, "_key", "left").drop("_key")

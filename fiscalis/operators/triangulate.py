@@ -85,6 +85,11 @@ def links(projects: DataFrame, findings: DataFrame, key: str = "county", least:
     return p.join(alike, [key, "_p"]).join(f, [key, "_f", "_s"]).drop("_p", "_f", "_s")
 
 
+def unlinked(findings: DataFrame, found: DataFrame, key: str = "county") -> DataFrame:
+    """The named findings that no project is linked to."""
+    return findings.where("coalesce(finding_name, '') <> ''").join(found.select(key, "finding_idx").distinct(), [key, "finding_idx"], "left_anti")
+
+
 def triangulated(projects: DataFrame, findings: DataFrame, key: str = "county", least: float = LEAST) -> DataFrame:
     """Each project with its verdict, risks, findings and the score of its first match; then the named findings that no project matched."""
     found = links(projects, findings, key, least)
@@ -94,7 +99,7 @@ def triangulated(projects: DataFrame, findings: DataFrame, key: str = "county",
     d = projects.join(per, [key, "project_idx"], "left")
     severe = F.coalesce(F.arrays_overlap("risks", F.array(*map(F.lit, SEVERE))), F.lit(False))
     listed = d.select(key, "project_idx", "project_name", "risks", "findings", "match_confidence", verdict(F.col("risks").isNotNull(), severe, absorption(F.col("implementation_pct"))).alias("verdict"))
-    only = findings.join(found.select(key, "finding_idx").distinct(), [key, "finding_idx"], "left_anti").where("coalesce(finding_name, '') <> ''").select(
+    only = unlinked(findings, found, key).select(
         key, F.lit(None).cast("long").alias("project_idx"), F.col("finding_name").alias("project_name"), F.array("kind").alias("risks"), F.array("finding_idx").alias("findings"),
         F.lit(None).cast("double").alias("match_confidence"), F.lit("OAG_ONLY_PROJECT_FLAG").alias("verdict"),
     )

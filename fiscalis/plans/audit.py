@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from fiscalis.functions import geometry as G
 from fiscalis.functions import text as T
-from fiscalis.operators import citizen, detections, handoff, mart, reports
+from fiscalis.operators import annotation, citizen, detections, handoff, mart, reports
+from fiscalis.operators import documents as D
 from fiscalis.operators import tables as tables_
 from fiscalis.plans.registry import query
 
@@ -151,3 +152,48 @@ def run_append(t):
     runs = t("nation").groupBy("n_regionkey").agg(F.count("*").alias("total_counties")).select((F.col("n_regionkey") + 1).cast("long").alias("run_id"), F.concat(F.lit("run "), F.col("n_regionkey").cast("string")).alias("pipeline"), "total_counties")
     new = reports.run_row(reports.dev_signal(t("nation").select(F.col("n_name").alias("county"), F.lit(1).alias("total_records"))), "2024-05-01T10:00:00", "audit")
     return mart.list_runs(mart.append_run(runs, new.select("pipeline", "total_counties")))
+
+
+@query("""SELECT source, bool_or(doc_id % 10 < 3 AND length(trim(text)) > 900) AS is_digital FROM documents GROUP BY 1""")
+def triage_digital(t):
+    text = F.when(F.length(F.trim("text")) > 900, F.col("text")).otherwise("  ")
+    return D.triage(t("documents").select("source", (F.col("doc_id") % 10 + 1).alias("page"), text.alias("text")), "source")
+
+
+@query("""SELECT o_custkey, md5(string_agg('## PAGE ' || o_orderkey || chr(10) || chr(10) || o_orderpriority, chr(10) || chr(10) ORDER BY o_orderkey)) AS text FROM orders GROUP BY 1""")
+def report_pages(t):
+    d = D.report_text(t("orders").select("o_custkey", F.col("o_orderkey").alias("page"), F.col("o_orderpriority").alias("text")), "o_custkey")
+    return d.withColumn("text", F.md5(F.col("text").cast("binary")))
+
+
+@query("""SELECT l_orderkey, greatest(min(l_partkey % 500) - 12, 0) AS x1, greatest(min(l_suppkey % 300) - 12, 0) AS y1, max(l_partkey % 500 + 20) + 12 AS x2, max(l_suppkey % 300 + 10) + 12 AS y2 FROM lineitem GROUP BY 1""")
+def word_hulls(t):
+    x, y = F.col("l_partkey") % 500, F.col("l_suppkey") % 300
+    return handoff.word_hull(t("lineitem").select("l_orderkey", x.alias("x1"), y.alias("y1"), (x + 20).alias("x2"), (y + 10).alias("y2")), ["l_orderkey"])
+
+
+@query("""WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS k, count(*) OVER (PARTITION BY l_orderkey) AS n FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem))
+ SELECT l_orderkey, count(*) FILTER (k % 5 = 0 AND k < n - 1) AS merged, count(*) FILTER (k % 2 = 0) AS marked, any_value(n) - greatest(any_value(n) // 4, 1) AS left_over FROM c GROUP BY 1""")
+def score_errors(t):
+    idx = F.col("l_linenumber").cast("long") * 1000000000 + F.col("l_partkey") * 1000 + F.col("l_suppkey")
+    c = t("lineitem").select("l_orderkey", idx.alias("cell_idx"), F.lit(1).alias("row_span"), F.lit("x").alias("text")).distinct()
+    n = lambda kind, what, name: handoff.with_errors(c, kind, ["l_orderkey"]).groupBy("l_orderkey").agg(F.count_if(what).alias(name))
+    d = n("merged", F.col("row_span") == 2, "merged").join(n("text", F.col("text") != "x", "marked"), "l_orderkey").join(n("missing", F.lit(True), "left_over"), "l_orderkey", "left")
+    return d.withColumn("left_over", F.coalesce("left_over", F.lit(0)))
+
+
+@query("""SELECT count(*) AS shared FROM (SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels)""")
+def split_shared(t):
+    return annotation.shared(t("documents"), t("labels"), "doc_id")
+
+
+@query("""SELECT event_id, epoch_us(ts) // 1000 AS post_id FROM events""")
+def post_ids(t):
+    return t("events").select("event_id", mart.post_id(F.col("ts")).alias("post_id"))
+
+
+@query("""WITH c AS (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1) SELECT n_nationkey, coalesce(n, 0) AS n FROM nation LEFT JOIN c ON c_nationkey = n_nationkey AND n_nationkey % 2 = 0""")
+def map_counties(t):
+    features = t("nation").select("n_nationkey", F.concat(F.initcap("n_name"), F.lit("  County")).alias("county"))
+    rows = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).where("n_nationkey % 2 = 0").groupBy(F.col("n_name").alias("county")).agg(F.count("*").alias("n"))
+    return mart.on_map(features, rows).select("n_nationkey", F.coalesce("n", F.lit(0)).alias("n"))

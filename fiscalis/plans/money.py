@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fiscalis.functions import text as T
-from fiscalis.operators import finance, mart
+from fiscalis.operators import finance, mart, reports
 from fiscalis.plans.registry import query
 
 MONEY = "decimal(18,2)"
@@ -167,11 +167,13 @@ def county_stats(t):
     return mart.county_stats(_projects(t))
 
 
-@query(f"WITH {PROJECTS}, s AS (SELECT county, avg(contract_sum::DOUBLE) AS a FROM p GROUP BY 1) SELECT count(*) AS counties, string_agg(county, ',' ORDER BY county) FILTER (a < 150000) AS breached FROM s")
+@query("""WITH c AS (SELECT n_name AS county, count(c_custkey) AS records, (n_nationkey * 7) % 60 AS pct FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name, n_nationkey)
+ SELECT count(*) AS counties, coalesce(string_agg(county, ',' ORDER BY county) FILTER (pct < 30), '') AS breached, sum(records)::BIGINT AS records FROM c""")
 def run_summary(t):
-    s = _projects(t).groupBy("county").agg(F.avg(F.col("contract_sum").cast("double")).alias("a"))
-    listed = F.array_join(F.sort_array(F.collect_list(F.when(F.col("a") < 150000, F.col("county")))), ",")
-    return s.agg(F.count("*").alias("counties"), F.nullif(listed, F.lit("")).alias("breached"))
+    n = t("customer").groupBy("c_nationkey").agg(F.count("*").alias("n"))
+    c = t("nation").join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left").select(F.col("n_name").alias("county"), F.coalesce("n", F.lit(0)).alias("total_records"), ((F.col("n_nationkey") * 7) % 60).alias("pct"))
+    row = reports.run_row(reports.dev_signal(c, F.col("pct")), "2024-05-01T10:00:00", "audit")
+    return row.select(F.col("total_counties").alias("counties"), F.array_join("counties_below_dev_threshold", ",").alias("breached"), F.col("total_records").cast("long").alias("records"))
 
 
 @query("""WITH o AS (SELECT c_nationkey, o_orderkey, o_orderstatus FROM orders JOIN customer ON o_custkey = c_custkey)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fiscalis.functions import geometry as G
 from fiscalis.functions import text as T
 from fiscalis.operators import documents as D
-from fiscalis.operators import annotation, citizen, detections, quality, scoring, tables, triangulate
+from fiscalis.operators import annotation, citizen, detections, mart, quality, scoring, tables, triangulate
 from fiscalis.operators.mart import absorption
 from fiscalis.plans.registry import query
 
@@ -123,7 +123,7 @@ def text_entities(t):
 
 @query("SELECT conv_id, turn, length(text)::INT AS likes FROM conversations WHERE role = 'user' ORDER BY length(text) DESC, conv_id DESC, turn DESC LIMIT 100")
 def posts_feed(t):
-    return t("conversations").where("role = 'user'").select("conv_id", "turn", F.length("text").alias("likes")).orderBy(F.desc("likes"), F.desc("conv_id"), F.desc("turn")).limit(100)
+    return mart.feed(t("conversations").where("role = 'user'").select("conv_id", "turn", F.length("text").alias("likes")), "likes", "conv_id", "turn")
 
 
 def _boxes(t, side: str = "true") -> DataFrame:
@@ -402,7 +402,9 @@ def tri_verdicts(t):
 def tri_oag_only(t):
     p = t("part")
     keys = ["p_brand", "p_name", "p_type"]
-    return p.where("p_partkey % 3 = 1").join(p.where("p_partkey % 3 <> 1").select(*keys), keys, "left_anti").select(F.col("p_partkey").alias("finding"), F.col("p_brand").alias("county"))
+    findings = p.where("p_partkey % 3 = 1").select(*keys, F.col("p_brand").alias("county"), F.col("p_partkey").alias("finding_idx"), F.col("p_name").alias("finding_name"))
+    found = findings.join(p.where("p_partkey % 3 <> 1").select(*keys).distinct(), keys).select("county", "finding_idx")  # equal names stand in for alike ones
+    return triangulate.unlinked(findings, found).select(F.col("finding_idx").alias("finding"), "county")
 
 
 @query("SELECT p_partkey, CASE WHEN p_size = 0 THEN 'UNKNOWN' WHEN p_size < 30 THEN 'LOW' ELSE 'NORMAL' END AS status FROM part")
@@ -522,7 +524,9 @@ def name_contains(t):
     keyed = b.where("n >= 5").select("item_id", "inner", three(F.col("w"), F.floor(F.col("n") / 2).cast("int") - 1).alias("key"))
     d = t("documents").select("doc_id", "text", words("text").alias("w"))
     starts = F.when(F.size("w") >= 3, F.sequence(F.lit(0), F.size("w") - 3)).otherwise(F.array().cast("array<int>"))
-    keys = d.select("doc_id", "text", F.explode(F.array_distinct(F.transform(starts, lambda i: three(F.col("w"), i)))).alias("key"))
-    found = keys.join(keyed, "key").where(F.contains("text", "inner")).select("item_id", "doc_id")
+    d = d.withColumn("row", F.xxhash64("doc_id", "text"))
+    keys = d.select("doc_id", "row", F.explode(F.array_distinct(F.transform(starts, lambda i: three(F.col("w"), i)))).alias("key"))  # the text itself goes to pairs only
+    pairs = keys.join(keyed, "key").groupBy(F.col("doc_id").alias("of"), F.col("row").alias("at"), "item_id", "inner").agg(F.count("*").alias("n"))
+    found = d.join(pairs, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("row") == F.col("at"))).where(F.contains("text", "inner")).select("item_id", "doc_id")
     short = t("documents").join(F.broadcast(b.where("n < 5").select("item_id", "inner")), F.contains("text", "inner")).select("item_id", "doc_id")
     return found.unionByName(short)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from fiscalis.functions import geometry as G
 from fiscalis.functions import text as T
-from fiscalis.operators import annotation, citizen, detections, documents, finance, handoff, quality, reports, scoring, tables, triangulate
+from fiscalis.operators import annotation, citizen, detections, documents, finance, handoff, loading, mart, quality, reports, scoring, tables, triangulate
 from fiscalis.sources import files
 
 CELLS = "table_id string, cell_idx long, row_idx int, col_idx int, row_span int, col_span int, text string, x1 double, y1 double, x2 double, y2 double"
@@ -243,3 +243,60 @@ def test_spans_in_grids(spark):
     spans = spark.createDataFrame([(1, 0, 100, 10, 300, 30), (1, 1, 900, 900, 950, 950)], "tid int, span_idx int, x1 int, y1 int, x2 int, y2 int")
     got = {(r.row_idx, r.col_idx): (r.row_span, r.col_span, r.cell_type, r.confidence) for r in handoff.cells(rows, cols, spans, ["tid"]).collect()}
     assert got == {(0, c): (1, 1, "column_header", 0.8) for c in range(3)} | {(1, 0): (1, 1, "data", 0.8), (2, 0): (1, 1, "data", 0.8), (1, 1): (2, 2, "header", 0.8)}
+
+
+def test_mart_is_loaded(spark, tmp_path):
+    project = {"project_id": "a-1", "county": "A", "project_name": "first", "contract_sum_kshs": 5.0}
+    doc = {"pipeline": "p", "financial_year": "2023/2024", "generated_at": "2024-05-01T10:00:00", "counties": [{"county": "A", "oag_matched": True, "stats": {"total_records": 2}, "projects": [project, {**project, "project_name": "second"}]}]}
+    (tmp_path / "a.json").write_text(json.dumps(doc))
+    tables_ = loading.empty_mart(spark)
+    for _ in range(2):
+        tables_ = loading.load_audit(tables_, files.audits(spark, str(tmp_path / "a.json")))
+    assert [r.project_name for r in tables_["projects"].collect()] == ["first"]
+    assert [(r.county, r.total_records) for r in tables_["counties"].collect()] == [("A", 2)]
+    assert sorted(r.run_id for r in mart.list_runs(tables_["audit_runs"]).collect()) == [1, 2]
+    bundle = {"metadata": {"fiscal_year": "2023-2024"}, "financial_data": {"budget_summary": {"data": [{"county": "A County", "total_budget_kshs": "1,500"}, {"county": "A County", "total_budget_kshs": "2,500"}]}, "own_source_revenue": {"data": [{"county": "B County", "achievement_pct": "70%"}]}}}
+    (tmp_path / "f.json").write_text(json.dumps(bundle))
+    for _ in range(2):
+        tables_ = loading.load_finance(tables_, spark, str(tmp_path / "f.json"))
+    got = {r.county: (float(r.total_budget) if r.total_budget is not None else None, r.achievement_pct) for r in mart.list_finances(tables_["county_finances"]).collect()}
+    assert got == {"A County": (2500.0, None), "B County": (None, "70%")}
+    assert [r.county for r in mart.list_finances(tables_["county_finances"], "B County").collect()] == ["B County"]
+    path = str(tmp_path / "projects")
+    loading.write_whole(tables_["projects"], path)
+    loading.write_whole(spark.read.parquet(path).limit(0), path)
+    assert spark.read.parquet(path).count() == 0 and {p.name for p in tmp_path.iterdir()} == {"a.json", "f.json", "projects"}
+
+
+def test_handoff_is_built(spark):
+    seg = "tid int, idx int, x1 int, y1 int, x2 int, y2 int, score double"
+    tables_ = spark.createDataFrame([(1, 2, 0, 50, 100)], "tid int, page_number int, table_idx int, x1 int, y1 int")
+    rows = spark.createDataFrame([(1, i, 0, i * 20, 200, i * 20 + 20, 0.9) for i in range(2)], seg)
+    cols = spark.createDataFrame([(1, i, i * 100, 0, i * 100 + 100, 40, 0.7) for i in range(2)], seg)
+    spans = spark.createDataFrame([], "tid int, span_idx int, x1 int, y1 int, x2 int, y2 int")
+    word = "page_number int, word_idx int, text string, x1 int, y1 int, x2 int, y2 int"
+    words = spark.createDataFrame([(2, 0, "two", 90, 105, 110, 115), (2, 1, "one", 60, 105, 80, 115), (2, 2, "A. Roads", 60, 125, 90, 135)], word)
+    read = spark.createDataFrame([(2, 0, "seen", 160, 105, 180, 115), (2, 1, "not taken", 60, 105, 80, 115)], word)
+    got = {r.cell_id: (r.text, r.text_source, r.hierarchy_level, r.x1, r.y1) for r in handoff.build(tables_, rows, cols, spans, words, read, ["tid"]).collect()}
+    assert got == {
+        "page_002_table_00_r0_c0": ("one two", "pdf_text", None, 50, 100), "page_002_table_00_r0_c1": ("seen", "ocr", None, 150, 100),
+        "page_002_table_00_r1_c0": ("A. Roads", "pdf_text", 1, 50, 120), "page_002_table_00_r1_c1": ("", "none", None, 150, 120),
+    }
+    pages = spark.createDataFrame([("d", 2, ["b"]), ("d", 1, ["a", "c"])], "document_id string, page_number int, tables array<string>")
+    assert handoff.in_page_order(pages).first().tables == ["a", "c", "b"]
+
+
+def test_names_of_files(spark):
+    a = spark.createDataFrame([("f", "x.png"), ("f", "y.png"), ("f", "z.png")], "folder string, name string")
+    b = spark.createDataFrame([("f", "1-x.png"), ("f", "x.png"), ("f", "b-y.png"), ("f", "a-y.png")], "folder string, file string")
+    assert sorted((r.name, r.file) for r in annotation.same_name(a, b).collect()) == [("x.png", "x.png"), ("y.png", "a-y.png")]
+
+
+def test_errors_lower_scores(spark):
+    cells = spark.createDataFrame(table(), CELLS).withColumn("confidence", F.lit(1.0))
+    want = {"none": 1.0, "text": 0.8333, "merged": 0.8778, "uncertain": 1.0}
+    for kind, total in want.items():
+        assert scoring.structure(cells, handoff.with_errors(cells, kind, ["table_id"]), ["table_id"], strict=False).first().total == total
+    r = scoring.structure(cells, handoff.with_errors(cells, "missing", ["table_id"]), ["table_id"], strict=False).first()
+    assert (r.con, r.loc) == (0.8571, 0.75)
+    assert 0.5 < scoring.structure(cells, handoff.with_errors(cells, "moved", ["table_id"]), ["table_id"], strict=False).first().loc < 1
