@@ -116,7 +116,7 @@ def text_sentences(t):
 
 
 @query("""WITH s AS (SELECT s_suppkey, (s_suppkey % 130) / 10.0::DOUBLE - 6 AS lat, 30 + (s_suppkey % 150) / 10.0::DOUBLE AS lon FROM supplier)
- SELECT s_suppkey, lat BETWEEN -4.9::DOUBLE AND 5.5::DOUBLE AND lon BETWEEN 33.8::DOUBLE AND 41.9::DOUBLE AS on_map, round(radians(lon), 6) AS x, round(ln(tan(pi() / 4 + radians(lat) / 2)), 6) AS y, round(s_suppkey * 300 / 72.0::DOUBLE, 6) AS px FROM s""")
+ SELECT s_suppkey, lat BETWEEN -4.9::DOUBLE AND 5.5::DOUBLE AND lon BETWEEN 33.8::DOUBLE AND 41.9::DOUBLE AS on_map, round(radians(lon), 6) AS x, round(ln(tan(pi() / 4 + radians(lat) / 2)), 6) + 0 AS y, round(s_suppkey * 300 / 72.0::DOUBLE, 6) AS px FROM s""")
 def map_places(t):
     k = F.col("s_suppkey")
     lat, lon = (k % 130) / F.lit(10.0) - 6, 30 + (k % 150) / F.lit(10.0)
@@ -147,7 +147,7 @@ def finance_page(t):
     return mart.list_finances(d, skip=5, limit=10)
 
 
-@query("""WITH r AS (SELECT n_regionkey + 1 AS run_id, 'run ' || n_regionkey AS pipeline, count(*) AS total_counties FROM nation GROUP BY ALL) SELECT * FROM r UNION ALL SELECT max(run_id) + 1, 'audit', (SELECT count(*) FROM nation) FROM r""")
+@query("""WITH r AS (SELECT (n_regionkey + 1)::BIGINT AS run_id, 'run ' || n_regionkey AS pipeline, count(*) AS total_counties FROM nation GROUP BY ALL) SELECT * FROM r UNION ALL SELECT max(run_id) + 1, 'audit', (SELECT count(*) FROM nation) FROM r""")
 def run_append(t):
     runs = t("nation").groupBy("n_regionkey").agg(F.count("*").alias("total_counties")).select((F.col("n_regionkey") + 1).cast("long").alias("run_id"), F.concat(F.lit("run "), F.col("n_regionkey").cast("string")).alias("pipeline"), "total_counties")
     new = reports.run_row(reports.dev_signal(t("nation").select(F.col("n_name").alias("county"), F.lit(1).alias("total_records"))), "2024-05-01T10:00:00", "audit")

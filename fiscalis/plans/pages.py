@@ -437,10 +437,10 @@ QUALITY = """ (SELECT o_orderkey AS page, coalesce((0.8::DOUBLE * (max((x2 - x1)
    FROM orders LEFT JOIN {} ON page = o_orderkey GROUP BY 1)"""
 
 
-@query(SMALL + " SELECT page, n, round(quality, 8) AS quality, plausible FROM" + QUALITY.format("d"))
+@query(SMALL + " SELECT page, n, round(quality, 12) AS quality, plausible FROM" + QUALITY.format("d"))
 def det_quality(t):
     first = detections.stabilised(_found(t)[0], _found(t)[1].where(F.lit(False)), ["page"], 600, 800)
-    return quality.detection_quality(first, ["page"], 480000, t("orders").select(F.col("o_orderkey").alias("page"))).withColumn("n", F.col("n").cast("long")).withColumn("quality", F.round("quality", 8))
+    return quality.detection_quality(first, ["page"], 480000, t("orders").select(F.col("o_orderkey").alias("page"))).withColumn("n", F.col("n").cast("long")).withColumn("quality", F.round("quality", 12))
 
 
 @query(SMALL + ", qa AS" + QUALITY.format("d") + ", qb AS" + QUALITY.format("e") + """, u AS (SELECT qa.page, NOT qa.plausible AND qb.quality > qa.quality AS second FROM qa JOIN qb USING (page)),
