@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,19 +55,26 @@ def micro(per_page: DataFrame) -> DataFrame:
 def greedy_pairs(candidates: DataFrame, keys: list[str]) -> DataFrame:
     """One-to-one pairs per key by falling IoU, equals by a's, then b's index: each is taken if neither side is yet. candidates: keys, a long, b long, iou double.
 
-    A page's candidates meet in one task; a page has at most a few hundred boxes.
+    Candidates are sorted by key in each task, which passes over them once and holds the boxes that one page has used.
     """
-
-    def take(group: pd.DataFrame) -> pd.DataFrame:
-        used_a, used_b, keep = set(), set(), []
-        for row in group.sort_values(["iou", "a", "b"], ascending=[False, True, True], kind="stable").itertuples():
-            if row.a not in used_a and row.b not in used_b:
-                used_a.add(row.a)
-                used_b.add(row.b)
-                keep.append(row.Index)
-        return group.loc[keep]
-
-    return candidates.groupBy(*keys).applyInPandas(take, candidates.schema)
+    dealt = candidates.repartition(*keys).sortWithinPartitions(*keys, F.desc("iou"), "a", "b")
+    at = [candidates.columns.index(c) for c in (*keys, "a", "b")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, used_a, used_b = None, set(), set()
+        for batch in batches:
+            keep = []
+            for *key, x, y in zip(*(batch.column(i).to_pylist() for i in at)):
+                if key != now:
+                    now, used_a, used_b = key, set(), set()
+                free = x not in used_a and y not in used_b
+                if free:
+                    used_a.add(x)
+                    used_b.add(y)
+                keep.append(free)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return dealt.mapInArrow(run, candidates.schema)
 
 
 def _span(name: str) -> Column:
