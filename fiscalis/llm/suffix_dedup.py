@@ -311,11 +311,13 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, la
     shared = strips.where("known").select("id", "sub", place)
     # of an anchor, each task has at most one strip here
     shared = shared.unionByName(strips.where("not known").join(counts.select("h"), "h", "left_semi").select("id", "sub", place))
+    shared = materialize(shared, "suffix-shared")
+    release(strips)
+    release(counts)
     of_doc = shared.groupBy("id", "sub").agg(F.collect_list("part").alias("parts"))
     cut = d.join(of_doc, ["id", "sub"]).select("id", "sub", "text", "parts").mapInArrow(_cut(length, chunk, hot), _CUT)
     whole = cut = materialize(cut, "suffix-cut")
-    release(strips)
-    release(counts)
+    release(shared)
     if hot.any():
         split = cut.where("hot and strip is not null")
         cores = split.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > largest)
