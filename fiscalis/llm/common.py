@@ -5,8 +5,11 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,6 +83,16 @@ def materialize(df: DataFrame, name: str, level: int = 3) -> DataFrame:
     return out
 
 
+def parts(b: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in parts of about that many bytes of text, at least one row each."""
+    size = pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = (np.cumsum(size) - size) // most
+    cut = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows]
+    for low, high in zip(cut[:-1], cut[1:]):
+        if high > low:
+            yield b.slice(low, high - low)
+
+
 def text_of(col: str) -> Column:
     """The text, empty where it is null."""
     return F.coalesce(F.col(col), F.lit(""))

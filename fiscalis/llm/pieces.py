@@ -14,11 +14,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fiscalis.llm.common import pick, table, text_of
+from fiscalis.llm.common import parts, pick, table, text_of
 from fiscalis.llm.tokenizers import default_path, sentencepiece
 
 MODEL = "piece_bpe_32k.model"
@@ -186,20 +185,11 @@ def library_spans(text: bytes, path: str) -> tuple[np.ndarray, np.ndarray]:
     return np.array([p.begin for p in pieces], np.int64), np.array([p.end for p in pieces], np.int64)
 
 
-def _parts(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The rows of a batch in parts of about PART_BYTES of text, at least one row each."""
-    size = pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    part = (np.cumsum(size) - size) // PART_BYTES
-    cut = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows]
-    for low, high in zip(cut[:-1], cut[1:]):
-        yield b.slice(low, high - low)
-
-
 def _batches(path: str, spans: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = sentencepiece(path)
         for b in batches:
-            for part in _parts(b):
+            for part in parts(b, PART_BYTES):
                 ids, starts, ends, decoded, offsets = [], [], [], [], [0]
                 for cell in part.column("text").cast(pa.large_binary()):
                     i, s, e = encode(cell.as_buffer().to_pybytes(), path)

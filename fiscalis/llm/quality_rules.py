@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fiscalis.llm.common import table
+from fiscalis.llm.common import parts, table
 from fiscalis.llm.suffixes import repeats
 
 #: Fixed values of the rules.
@@ -23,6 +23,8 @@ BLANKS = " \t\n\x0b\x0c\r"
 FEWEST_WORDS = 50
 REPEAT_PERCENT = 50
 WINDOW = 3
+#: Text that is measured into one Arrow batch.
+PART_BYTES = 4 << 20
 #: Limits of the repetition verdict: a repeat counts from so many code points on; a text is rejected if repeats cover more than this part of it, or if one repeat has more code points than the longest one allowed.
 SHORTEST_REPEAT = 40
 MOST_COVERED = 0.4
@@ -49,7 +51,7 @@ def base(text: str) -> tuple[int, int, int, int, int]:
 
 def _batches(shortest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for batch in batches for part in parts(batch, PART_BYTES)):
             rows, starts, ends, offsets = [], [], [], [0]
             for text in b.column("text").to_pylist():
                 text = text or ""
