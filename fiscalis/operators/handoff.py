@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fiscalis.functions.geometry import box, overlap
+from fiscalis.functions.geometry import box, holds_centre, overlap
 from fiscalis.functions.text import cell_id
 from fiscalis.operators.quality import cell_levels
-from fiscalis.operators.tables import grid, words_in_cells
+from fiscalis.operators.tables import gap_clusters, grid, hulls, upper_median, words_in_cells
 
 HIT = 0.25
 
@@ -75,6 +75,29 @@ def build(tables: DataFrame, rows: DataFrame, columns: DataFrame, spans: DataFra
     return cell_levels(d.select("*", "_t.*").drop("_t", "_native", "_read"), keys)
 
 
+def segments_of_words(words: DataFrame, tables: DataFrame, keys: list[str], down: bool, page: str = "page_number") -> DataFrame:
+    """Rows (down) or columns of tables from the words whose centres lie in them: clusters of centres with gaps of at most 1.7 median heights (6 at least), or 2.5 median widths (30 at least), each as wide or as high as its table.
+
+    words: page, word_idx, text, box; tables: keys, page, box. Gives keys, idx, box, score.
+    """
+    sides = ("x1", "y1", "x2", "y2")
+    t = tables.select(*keys, page, *(F.col(c).alias(f"t_{c}") for c in sides))
+    w = words.where(F.coalesce("text", F.lit("")) != "").join(t, page).where(holds_centre(box("t_"), box()))
+    low, high, least, times = ("y1", "y2", 6.0, 1.7) if down else ("x1", "x2", 30.0, 2.5)
+    size = w.groupBy(*keys).agg(F.greatest(F.lit(least), upper_median(F.col(high) - F.col(low)) * times).alias("gap"))
+    w = w.join(size, keys).withColumn("centre", (F.col(low) + F.col(high)) / 2)
+    d = hulls(gap_clusters(w, keys, "centre", F.col("gap"), "word_idx"), keys).join(t, keys)
+    box_ = ("t_x1", "y1", "t_x2", "y2") if down else ("x1", "t_y1", "x2", "t_y2")
+    return d.select(*keys, F.col("cluster").cast("int").alias("idx"), *(F.col(c).alias(n) for c, n in zip(box_, sides)), "score")
+
+
+def enough(found: DataFrame, inferred: DataFrame, keys: list[str]) -> DataFrame:
+    """The segments that a model found; for tables with fewer than two of them the inferred ones, where these are more. Both: keys, idx, box, score."""
+    count = lambda d, name: d.groupBy(*keys).agg(F.count("*").alias(name))
+    n = count(found, "_f").join(count(inferred, "_i"), keys, "full_outer").select(*keys, (F.coalesce("_f", F.lit(0)) < F.least(F.lit(2), F.coalesce("_i", F.lit(0)))).alias("_use"))
+    return found.join(n.where("not _use"), keys, "left_semi").unionByName(inferred.join(n.where("_use"), keys, "left_semi"))
+
+
 def in_page_order(pages: DataFrame, page: str = "page_number", tables: str = "tables") -> DataFrame:
     """One row: the tables of all pages of a document in the order of pages. pages: document_id, page, tables."""
     each = F.sort_array(F.collect_list(F.struct(page, F.col(tables).alias("t"))))

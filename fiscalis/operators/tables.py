@@ -42,7 +42,7 @@ def hulls(items: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def upper_median(column: str) -> Column:
+def upper_median(column: str | Column) -> Column:
     """Of n values in order, the one at n / 2, counted from 0."""
     values = F.sort_array(F.collect_list(column))
     return F.element_at(values, F.floor(F.size(values) / 2).cast("int") + 1)

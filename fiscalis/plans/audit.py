@@ -197,3 +197,16 @@ def map_counties(t):
     features = t("nation").select("n_nationkey", F.concat(F.initcap("n_name"), F.lit("  County")).alias("county"))
     rows = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).where("n_nationkey % 2 = 0").groupBy(F.col("n_name").alias("county")).agg(F.count("*").alias("n"))
     return mart.on_map(features, rows).select("n_nationkey", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("""WITH w AS (SELECT l_orderkey AS tid, l_linenumber::BIGINT * 1000000000 + l_partkey * 1000 + l_suppkey AS word_idx, l_suppkey % 900 AS y1, l_suppkey % 900 + 8 + l_partkey % 5 AS y2 FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem)),
+ i AS (SELECT *, (y1 + y2) / 2 AS c FROM w WHERE (y1 + y2) / 2 <= 800), m AS (SELECT tid, greatest(6, 1.7::DOUBLE * list_sort(list(y2 - y1))[count(*) // 2 + 1]) AS gap FROM i GROUP BY 1),
+ g AS (SELECT i.*, coalesce((c - lag(c) OVER (PARTITION BY tid ORDER BY c, word_idx) > gap)::INT, 0) AS new FROM i JOIN m USING (tid)), k AS (SELECT *, sum(new) OVER (PARTITION BY tid ORDER BY c, word_idx ROWS UNBOUNDED PRECEDING) AS idx FROM g)
+ SELECT tid, idx::INT AS idx, min(y1) AS y1, max(y2) AS y2, least(1, 0.5::DOUBLE + count(*) / 20) AS score FROM k GROUP BY 1, 2""")
+def handoff_segments(t):
+    p, s, n = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
+    words = t("lineitem").select("l_orderkey", n, p, s).distinct().select(
+        F.col("l_orderkey").alias("page_number"), (n.cast("long") * 1000000000 + p * 1000 + s).alias("word_idx"), F.lit("x").alias("text"), (n * 10).alias("x1"), (s % 900).alias("y1"), (n * 10 + 8).alias("x2"), (s % 900 + 8 + p % 5).alias("y2")
+    )
+    places = t("orders").select(F.col("o_orderkey").alias("tid"), F.col("o_orderkey").alias("page_number"), F.lit(0).alias("x1"), F.lit(0).alias("y1"), F.lit(500).alias("x2"), F.lit(800).alias("y2"))
+    return handoff.segments_of_words(words, places, ["tid"], True).select("tid", "idx", "y1", "y2", "score")

@@ -300,3 +300,15 @@ def test_errors_lower_scores(spark):
     r = scoring.structure(cells, handoff.with_errors(cells, "missing", ["table_id"]), ["table_id"], strict=False).first()
     assert (r.con, r.loc) == (0.8571, 0.75)
     assert 0.5 < scoring.structure(cells, handoff.with_errors(cells, "moved", ["table_id"]), ["table_id"], strict=False).first().loc < 1
+
+
+def test_segments_of_words(spark):
+    words = spark.createDataFrame(
+        [(1, 0, "a", 10, 10, 30, 20), (1, 1, "b", 200, 11, 230, 21), (1, 2, "c", 12, 60, 40, 70), (1, 3, "", 0, 90, 9, 99), (1, 4, "out", 900, 10, 950, 20)], "page_number int, word_idx int, text string, x1 int, y1 int, x2 int, y2 int"
+    )
+    t = spark.createDataFrame([(7, 1, 0, 0, 300, 100)], "tid int, page_number int, x1 int, y1 int, x2 int, y2 int")
+    rows, cols = (handoff.segments_of_words(words, t, ["tid"], down) for down in (True, False))
+    assert sorted(tuple(r) for r in rows.collect()) == [(7, 0, 0, 10, 300, 21, 0.6), (7, 1, 0, 60, 300, 70, 0.55)]
+    assert sorted(tuple(r) for r in cols.collect()) == [(7, 0, 10, 0, 40, 100, 0.6), (7, 1, 200, 0, 230, 100, 0.55)]
+    one = spark.createDataFrame([(7, 0, 0, 0, 300, 100, 0.9), (8, 0, 0, 0, 1, 1, 0.9)], rows.schema)
+    assert sorted((r.tid, r.idx, r.score) for r in handoff.enough(one, rows, ["tid"]).collect()) == [(7, 0, 0.6), (7, 1, 0.55), (8, 0, 0.9)]
