@@ -108,10 +108,10 @@ def placed(docs: DataFrame, path: str) -> tuple[DataFrame, DataFrame, int]:
     reads a range counts on from there.
     """
     width = end_mark(path)[1]
-    made = materialize(docs.mapInArrow(_tokens(path), "id long, sub long, tokens binary").withColumn("row", F.monotonically_increasing_id()), "order-tokens")
+    made = materialize(docs.mapInArrow(_tokens(path), "id long, sub long, tokens binary").withColumn("row", F.monotonically_increasing_id()), "order-tokens", level=1)
     order = F.col("id").asc_nulls_last(), F.col("sub"), F.col("row")  # row: so that equal rows can be dealt to several tasks
     dealt = made.repartitionByRange(*order).sortWithinPartitions(*order)
-    run = materialize(dealt.select(F.spark_partition_id().alias("part"), "id", (F.octet_length("tokens") / width).cast("long").alias("n"), "tokens"), "order-places", level=6)
+    run = materialize(dealt.select(F.spark_partition_id().alias("part"), "id", (F.octet_length("tokens") / width).cast("long").alias("n"), "tokens"), "order-places", level=1)
     release(made)
     parts = run.groupBy("part").agg(F.sum("n").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     total = parts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
