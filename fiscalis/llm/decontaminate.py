@@ -85,23 +85,29 @@ def candidates(hashes: DataFrame, sketch: DataFrame, rows: int) -> DataFrame:
     return counted.select("id", "sub", "item", (F.col("n") / F.col("size")).alias("estimate"))
 
 
-def contained(
-    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    containment: float = CONTAINMENT, width: int = WIDTH,
-) -> DataFrame:
+def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
     """One row (id, item, containment, n_shingles, n_found) for each document and item with at least that part of the item's distinct word shingles in the document.
 
     Items of fewer than `width` words are one shingle; items without a word (null texts too) are in no document. Documents
     without words contain nothing. Repeated rows give one result; rows that share an id but not the text are taken one by
     one, and the largest containment is given. Items that share an id count as one item with the shingles of all its rows.
-    Null ids of documents or items are kept as ids. Empty tables give an empty result.
+    Null ids of documents or items are kept as ids. Empty tables give an empty result. more: as for contained_by_text.
     """
+    best = contained_by_text(docs, items, id_col, text_col, **more).groupBy("id", "item").agg(F.max("n_found").alias("n_found"), F.max("n_shingles").alias("n_shingles"))
+    return best.select("id", "item", (F.col("n_found") / F.col("n_shingles")).alias("containment"), "n_shingles", "n_found")
+
+
+def contained_by_text(
+    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+    containment: float = CONTAINMENT, width: int = WIDTH,
+) -> DataFrame:
+    """The same before texts that share an id are put together: (id, sub, item, n_shingles, n_found), sub a hash of the text."""
     shingles = materialize(item_shingles(pick(items, item=item_col, text=item_text_col), width), "items")
     sketch = materialize(sketches(shingles, containment), "sketches")
     widths = sorted(r[0] for r in sketch.select("width").distinct().collect())  # at most `width` values
     d = pick(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), text_of("text").alias("text"))
     if not widths:
-        return d.select("id").where(F.lit(False)).selectExpr("id", "cast(null as bigint) item", "cast(null as double) containment", "cast(null as bigint) n_shingles", "cast(null as bigint) n_found")
+        return d.select("id").where(F.lit(False)).selectExpr("id", "cast(null as bigint) sub", "cast(null as bigint) item", "cast(null as bigint) n_shingles", "cast(null as bigint) n_found")
 
     d = d.withColumn("sub", F.xxhash64("text"))
     each = _hashed(d.select("id", "sub", words(F.col("text")).alias("w")), widths)
@@ -115,14 +121,14 @@ def contained(
     n_bytes = shingles.agg(F.coalesce(F.sum(F.octet_length("shingle") + 64), F.lit(0))).first()[0]
     want = of_pair.join(broadcast_if(shingles.select("item", "shingle", "q"), n_bytes, BROADCAST_BYTES), F.col("of").eqNullSafe(F.col("item"))).select("i", "s", "item", "q", "shingle")
     counted = own.join(want, one & (F.col("own") == F.col("shingle"))).groupBy("id", "sub", "item", "q").agg(F.count("*").alias("n_found")).where(F.col("n_found") >= F.col("q") * containment - 1e-9)
-    best = counted.groupBy("id", "item").agg(F.max("n_found").alias("n_found"), F.max("q").alias("n_shingles"))
-    return best.select("id", "item", (F.col("n_found") / F.col("n_shingles")).alias("containment"), "n_shingles", "n_found")
+    return counted.select("id", "sub", "item", F.col("q").alias("n_shingles"), "n_found")
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
-    """The rows of docs whose id is not that of a document with an item in it."""
-    leaked = contained(docs, items, id_col, text_col, **more).select(F.col("id").alias("_leaked")).distinct()
-    return docs.join(leaked.hint("merge"), docs[f"`{id_col}`"].cast("long").eqNullSafe(F.col("_leaked")), "left_anti")
+    """The rows of docs without an item in their text. Each row is judged by its own text: other rows with its id, null ones included, stay or go by theirs."""
+    leaked = contained_by_text(docs, items, id_col, text_col, **more).select(F.col("id").alias("__leaked_id"), F.col("sub").alias("__leaked_sub")).distinct()
+    own_id, own_sub = docs[f"`{id_col}`"].cast("long"), F.xxhash64(F.coalesce(docs[f"`{text_col}`"], F.lit("")))
+    return docs.join(leaked.hint("merge"), own_id.eqNullSafe(F.col("__leaked_id")) & (own_sub == F.col("__leaked_sub")), "left_anti")
 
 
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -30,6 +30,17 @@ def test_items_without_an_id(spark):
     assert [r.doc_id for r in decontaminate.clean(docs, items).collect()] == [2]
 
 
+def test_clean_rows_stay_beside_leaked_ones_of_their_id(spark):
+    item = " ".join(f"item{i}" for i in range(20))
+    rows = [(None, "lead " + item), (None, "a clean text of its own"), (3, item + " tail"), (3, "another clean text"), (3, item + " tail"), (4, "clean"), (4, "clean"), (5, None), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("sub", F.lit(1)).withColumn("item", F.lit(2))
+    out = decontaminate.clean(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert out.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted((r for r in rows if item not in (r[1] or "")), key=str)
+    nothing = spark.createDataFrame([], "item_id long, text string")
+    assert decontaminate.clean(docs, nothing).count() == len(rows) and decontaminate.contained(docs, nothing).count() == 0
+
+
 def test_spans_leave_the_pipeline(spark, data):
     texts = [(1, "  two  blanks é\U0001f600あx"), (2, ""), (3, None), (4, "word " * 100000), (5, "the end")]
     out = corpus_pipeline.encode(spark, spark.createDataFrame(texts, "doc_id long, text string").coalesce(1), data)
