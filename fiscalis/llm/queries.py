@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from fiscalis.llm import chat_format, decontaminate, pieces, quality_knn, quality_rules, secret_scan, simhash, suffix_dedup, token_counts, training_order
+from fiscalis.llm import chat_format, decontaminate, merkle, pieces, quality_knn, quality_rules, secret_scan, simhash, suffix_dedup, superkmers, token_counts, training_order, vector_codes
 
 
 def queries() -> dict:
     found = (
         token_counts.op1_token_counts, quality_rules.op2_quality_rules, quality_knn.op3_quality_knn, secret_scan.op4_secret_scan, pieces.op5_sentencepiece,
         decontaminate.op6_decontaminate, suffix_dedup.op7_suffix_dedup, simhash.op8_simhash, training_order.op9_training_order, chat_format.op10_chat_format,
+        vector_codes.op11_vector_codes, merkle.op12_merkle_manifest, superkmers.op13_superkmer_dedup,
     )
     return {f.__name__: f for f in found}
 
