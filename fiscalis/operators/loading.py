@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fiscalis.functions.text import money
-from fiscalis.operators import finance, mart
+from fiscalis.operators import finance, mart, store
 from fiscalis.sources import files
 
 MONEY = "decimal(20,2)"
@@ -36,7 +36,7 @@ def _shaped(rows: DataFrame, table: str) -> DataFrame:
 
 
 def load_audit(mart_tables: dict[str, DataFrame], docs: DataFrame) -> dict[str, DataFrame]:
-    """The mart with audit documents (as files.audits() reads them) loaded: a run each behind the log, counties replaced, projects kept where their id is new (the first of a document's own)."""
+    """The mart with audit documents (as files.audits() reads them) loaded: a run each behind the log, by time and pipeline, counties replaced, projects kept where their id is new (the first of a document's own)."""
     county = docs.select(F.posexplode("counties").alias("at", "c")).select(
         "at", F.col("c.county").alias("county"), F.col("c.oag_matched").alias("oag_matched"), F.col("c.dev_signal.status").alias("dev_status"), F.col("c.dev_signal.dev_pct").alias("dev_pct"),
         F.col("c.stats.cob_projects").alias("cob_projects"), F.col("c.stats.oag_findings").alias("oag_findings"), F.col("c.stats.total_records").alias("total_records"),
@@ -62,7 +62,7 @@ def load_finance(mart_tables: dict[str, DataFrame], spark: SparkSession, path: s
 
 
 def write_whole(df: DataFrame, path: str) -> None:
-    """Replaces a Parquet table as a whole: written beside it, then renamed, so that readers see the old or the new one and a failed write leaves the old."""
+    """Replaces one Parquet table: written beside it, then put in its place by two renames, each of which is checked; if one fails, the old table is put back. Between the two, readers find no table: where that matters, or several tables belong together, use operators/store."""
     spark = df.sparkSession
     fresh = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
     df.write.parquet(fresh)
@@ -70,7 +70,30 @@ def write_whole(df: DataFrame, path: str) -> None:
     at, new = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, fresh))
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     old = jvm.org.apache.hadoop.fs.Path(f"{fresh}-old")
-    if fs.exists(at):
-        fs.rename(at, old)
-    fs.rename(new, at)
-    fs.delete(old, True)
+    had = fs.exists(at)
+    if had and not fs.rename(at, old):
+        raise OSError(f"{path} could not be moved; the new rows are in {fresh}")
+    if not fs.rename(new, at):
+        if had:
+            fs.rename(old, at)
+        raise OSError(f"{fresh} could not be moved to {path}")
+    if had:
+        fs.delete(old, True)
+
+
+def load_stored(spark: SparkSession, root: str, audits: str | None = None, finances: str | None = None) -> int:
+    """Loads audit documents, a finance bundle, or both into the stored mart below root, all tables by one commit, and returns its version. A mart that isn't there yet is made."""
+    if not store.version(spark, root):
+        store.commit(spark, root, {name: store.Change(rows, KEYS[name]) for name, rows in empty_mart(spark).items()})
+
+    def changes(number: int) -> dict[str, store.Change]:
+        none, out = empty_mart(spark), {}
+        if audits:
+            found = load_audit(none, files.audits(spark, audits))
+            runs = mart.new_runs(store.read(spark, root, "audit_runs", number), found["audit_runs"])
+            out = {"counties": store.Change(found["counties"], KEYS["counties"], "last"), "projects": store.Change(found["projects"], KEYS["projects"], "first"), "audit_runs": store.Change(runs, KEYS["audit_runs"], "last")}
+        if finances:
+            out["county_finances"] = store.Change(load_finance(none, spark, finances)["county_finances"], KEYS["county_finances"], "last")
+        return out
+
+    return store.commit(spark, root, changes)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fiscalis.functions.text import county_key
 from fiscalis.operators.finance import first_of, last_of
+from fiscalis.operators.lineage import numbered
 
 #: Verdicts in the order in which they are tried.
 RISK, NOTED, LOW, CLEAN = "CORROBORATED_PROJECT_RISK", "OAG_NOTED", "COB_LOW_ABSORPTION", "COB_LISTED_CLEAN"
@@ -99,10 +100,16 @@ def county_stats(projects: DataFrame) -> DataFrame:
     )
 
 
+def new_runs(runs: DataFrame, new: DataFrame, key: str = "run_id", order: tuple[str, ...] = ("generated_at", "pipeline")) -> DataFrame:
+    """New runs, numbered on from the last of the log in the order of the given columns (those that new has; all of its columns where it has none of them)."""
+    last = runs.agg(F.coalesce(F.max(key), F.lit(0)).cast("long")).first()[0]
+    new = new.drop(key)
+    return numbered(new, [c for c in order if c in new.columns] or new.columns, "_place").withColumn(key, F.lit(last) + F.col("_place")).select(runs.columns)
+
+
 def append_run(runs: DataFrame, new: DataFrame, key: str = "run_id") -> DataFrame:
-    """The log with one more run behind it, numbered on from the last."""
-    last = runs.agg(F.coalesce(F.max(key), F.lit(0)).cast("long").alias("_last"))
-    return runs.unionByName(new.join(last).withColumn(key, F.col("_last") + 1).select(runs.columns))  # one row each
+    """The log with new runs behind it."""
+    return runs.unionByName(new_runs(runs, new, key))
 
 
 def list_runs(runs: DataFrame, skip: int = 0, limit: int = 100, key: str = "run_id") -> DataFrame:

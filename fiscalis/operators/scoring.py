@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fiscalis.functions.geometry import iou
 from fiscalis.functions.text import plain
+from fiscalis.operators.lineage import cut
 from fiscalis.operators.tables import pairs
 
 
@@ -30,11 +28,10 @@ def detections(found: DataFrame, truth: DataFrame, keys: list[str], least: float
     """TP, FP, FN, precision, recall and F1 per page.
 
     Each detection looks at the truth that it overlaps most only; of those that look at one, the highest score takes it if
-    its IoU suffices. Both sides empty: all 1, no truth: 0, 1, 0, no detection: 1, 0, 0. found: keys, idx, score, box.
+    its IoU suffices (which is over 0). Both sides empty: all 1, no truth: 0, 1, 0, no detection: 1, 0, 0. found: keys, idx, score, box.
     """
-    every = pairs(found, truth, keys, 0.0)
     own = Window.partitionBy(*keys, "idx").orderBy(F.desc("iou"), "b_idx")
-    best = every.withColumn("_n", F.row_number().over(own)).where("_n = 1").where(F.col("iou") >= least)
+    best = pairs(found, truth, keys, least).withColumn("_n", F.row_number().over(own)).where("_n = 1")  # one that is under least is no detection's best if another one isn't
     taken = Window.partitionBy(*keys, "b_idx").orderBy(F.desc("score"), "idx")
     tp = best.withColumn("_n", F.row_number().over(taken)).where("_n = 1").groupBy(*keys).agg(F.count("*").alias("tp"))
     d = found.groupBy(*keys).agg(F.count("*").alias("nd")).join(truth.groupBy(*keys).agg(F.count("*").alias("ng")), keys, "full_outer").join(tp, keys, "left")
@@ -52,29 +49,64 @@ def micro(per_page: DataFrame) -> DataFrame:
     return s.withColumn("f1", f1(F.col("precision"), F.col("recall")))
 
 
-def greedy_pairs(candidates: DataFrame, keys: list[str]) -> DataFrame:
-    """One-to-one pairs per key by falling IoU, equals by a's, then b's index: each is taken if neither side is yet. candidates: keys, a long, b long, iou double.
+#: Candidates of a page that one row holds at most; pages with more are matched in rounds.
+FOLDED = 256
+
+
+def greedy_pairs(candidates: DataFrame, keys: list[str], folded: int = FOLDED) -> DataFrame:
+    """One-to-one pairs per key by falling IoU, equals by a's, then b's index: each is taken if neither side is yet. candidates: keys, a long, b long, iou double; keys may be null, equal candidates count once.
 
-    Candidates are sorted by key in each task, which passes over them once and holds the boxes that one page has used.
+    A page of few candidates is one row, over whose sorted candidates a fold passes. A page of more is matched in rounds,
+    all of which deal its candidates by box: a pair that comes first among the candidates of both its boxes is taken, the
+    other candidates of these boxes go, until none is left. That takes the same pairs, since no candidate that is left
+    could come before such a pair. Rounds are as many as the longest chain of pairs that wait for each other.
     """
-    dealt = candidates.repartition(*keys).sortWithinPartitions(*keys, F.desc("iou"), "a", "b")
-    at = [candidates.columns.index(c) for c in (*keys, "a", "b")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, used_a, used_b = None, set(), set()
-        for batch in batches:
-            keep = []
-            for *key, x, y in zip(*(batch.column(i).to_pylist() for i in at)):
-                if key != now:
-                    now, used_a, used_b = key, set(), set()
-                free = x not in used_a and y not in used_b
-                if free:
-                    used_a.add(x)
-                    used_b.add(y)
-                keep.append(free)
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return dealt.mapInArrow(run, candidates.schema)
+    each = cut(candidates.select(*keys, "a", "b", "iou"))
+    size = each.groupBy(*keys).agg(F.count("*").alias("_n"))
+    large = size.where(F.col("_n") > folded)
+    if large.isEmpty():
+        return _folded(each, keys)
+    told = each.join(size.withColumnsRenamed({k: f"_k_{k}" for k in keys}), _equal(keys, "_k_")).drop(*(f"_k_{k}" for k in keys))
+    return _folded(told.where(F.col("_n") <= folded).drop("_n"), keys).unionByName(in_rounds(told.where(F.col("_n") > folded).drop("_n"), keys))
+
+
+def _equal(keys: list[str], prefix: str) -> Column:
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"{prefix}{k}"))
+    return on
+
+
+def _folded(candidates: DataFrame, keys: list[str]) -> DataFrame:
+    item = F.struct((-F.col("iou")).alias("o"), "a", "b", "iou")
+    rows = candidates.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("c"))
+    kind = rows.schema["c"].dataType
+    start = F.struct(F.array().cast("array<bigint>").alias("a"), F.array().cast("array<bigint>").alias("b"), F.array().cast(kind).alias("out"))
+    more = lambda s, x: F.struct(F.concat(s["a"], F.array(x["a"])).alias("a"), F.concat(s["b"], F.array(x["b"])).alias("b"), F.concat(s["out"], F.array(x)).alias("out"))
+    taken = F.aggregate("c", start, lambda s, x: F.when(F.array_contains(s["a"], x["a"]) | F.array_contains(s["b"], x["b"]), s).otherwise(more(s, x)), lambda s: s["out"])
+    return rows.select(*keys, F.inline(taken)).select(*keys, "a", "b", "iou")
+
+
+def in_rounds(candidates: DataFrame, keys: list[str]) -> DataFrame:
+    """Greedy pairs by rounds of those that come first for both boxes, as aggregates and joins by box."""
+    left, found = candidates, []
+    rank = F.struct((-F.col("iou")).alias("o"), "a", "b")
+    while True:
+        of_a = left.groupBy(*keys, "a").agg(F.min(rank).alias("m"))
+        of_b = left.groupBy(*keys, "b").agg(F.min(rank).alias("_m")).withColumnsRenamed({**{k: f"_k_{k}" for k in keys}, "b": "_b"})
+        both = of_a.join(of_b, _equal(keys, "_k_") & (F.col("m.b") == F.col("_b")) & (F.col("m") == F.col("_m")))
+        taken = cut(both.select(*keys, "m.a", "m.b", (-F.col("m.o")).alias("iou")))
+        if taken.isEmpty():
+            break
+        found.append(taken)
+        for side in ("a", "b"):
+            used = taken.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col(side).alias("_used"))
+            left = left.join(used, _equal(keys, "_k_") & (F.col(side) == F.col("_used")), "left_anti")
+        left = cut(left)
+    out = found[0] if found else candidates.select(*keys, "a", "b", "iou").limit(0)
+    for d in found[1:]:
+        out = out.unionByName(d)
+    return out
 
 
 def _span(name: str) -> Column:

@@ -10,21 +10,69 @@ from fiscalis.functions.geometry import box, iou, overlap
 LINK = 0.82
 
 
-def pairs(a: DataFrame, b: DataFrame, keys: list[str], least: float) -> DataFrame:
-    """Boxes of a and b on one page with at least that IoU: a's rows and b's (prefixed b_), joined on the page first. keys may be null on both sides."""
-    right = b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns])
-    on = F.lit(True)
+#: Pairs of a page up to which it is one tile, and tiles of a page along one side at most.
+FEW_PAIRS = 4096
+MOST_TILES = 1024
+SIDES = ("x1", "y1", "x2", "y2")
+
+
+def _page_tiles(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Per page with boxes on both sides its corner, the number of tiles along a side and their width and height; a page has about one tile for every four boxes of its larger side."""
+    side = lambda d, mine: d.select(*keys, *SIDES, F.lit(mine).alias("_mine"))
+    found = side(a, True).unionByName(side(b, False)).groupBy(*keys).agg(
+        F.count_if("_mine").alias("_a"), F.count_if(~F.col("_mine")).alias("_b"), F.min("x1").alias("_x"), F.min("y1").alias("_y"), (F.max("x2") - F.min("x1")).alias("_w"), (F.max("y2") - F.min("y1")).alias("_h")
+    )
+    many = F.least(F.lit(MOST_TILES), F.ceil(F.sqrt(F.greatest("_a", "_b")) / 2))
+    found = found.where("_a > 0 and _b > 0").withColumn("_g", F.when(F.col("_a") * F.col("_b") <= FEW_PAIRS, 1).otherwise(many).cast("int"))
+    return found.select(*(F.col(k).alias(f"_k_{k}") for k in keys), "_x", "_y", "_g", (F.col("_w") / F.col("_g")).alias("_w"), (F.col("_h") / F.col("_g")).alias("_h"))
+
+
+def _tile(at: Column, start: str, step: str) -> Column:
+    return F.least(F.floor((at - F.col(start)) / F.col(step)).cast("int"), F.col("_g") - 1)
+
+
+def meeting(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """The pairs of boxes of a and b on one page that share some area: a's columns and b's, prefixed b_. keys may be null on both sides; boxes without area, or with a null side, meet none.
+
+    A page with many boxes is cut into tiles. A box goes to all tiles that it touches, boxes meet within a tile, and a pair
+    is given out by the tile that holds the upper left corner of what it shares, so once. A dense page is dealt to many tasks.
+    """
+    solid = lambda d: d.where((F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")))
+    a, b = solid(a), solid(b)
+    page = _page_tiles(a, b, keys)
+
+    def dealt(d: DataFrame, x: str, y: str) -> DataFrame:
+        on = F.lit(True)
+        for k in keys:
+            on = on & d[k].eqNullSafe(F.col(f"_k_{k}"))
+        reach = lambda low, high, start, step: F.explode(F.sequence(_tile(F.col(low), start, step), _tile(F.col(high), start, step)))
+        d = d.join(page, on).withColumn(x, reach("x1", "x2", "_x", "_w")).withColumn(y, reach("y1", "y2", "_y", "_h"))
+        return d.drop(*(f"_k_{k}" for k in keys))
+
+    left = dealt(a, "_tx", "_ty")
+    right = dealt(b, "_bx", "_by").select("_bx", "_by", *(F.col(c).alias(f"b_{c}") for c in b.columns))
+    on = (F.col("_tx") == F.col("_bx")) & (F.col("_ty") == F.col("_by"))
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"b_{k}"))
-    return a.join(right, on).withColumn("iou", iou(box(), box("b_"))).where(F.col("iou") >= least)
+    for low, high in (("x1", "x2"), ("y1", "y2")):
+        on = on & (F.col(low) < F.col(f"b_{high}")) & (F.col(f"b_{low}") < F.col(high))
+    own = (_tile(F.greatest("x1", "b_x1"), "_x", "_w") == F.col("_tx")) & (_tile(F.greatest("y1", "b_y1"), "_y", "_h") == F.col("_ty"))
+    return left.join(right, on & own).select(*a.columns, *(f"b_{c}" for c in b.columns))
+
+
+def pairs(a: DataFrame, b: DataFrame, keys: list[str], least: float) -> DataFrame:
+    """Boxes of a and b on one page with at least that IoU (over 0): a's rows and b's (prefixed b_), and iou."""
+    if least <= 0:
+        raise ValueError("least must be over 0")
+    return meeting(a, b, keys).withColumn("iou", iou(box(), box("b_"))).where(F.col("iou") >= least)
 
 
 def words_in_cells(words: DataFrame, cells: DataFrame, keys: list[str], cell_id: str, least: float = 0.2) -> DataFrame:
-    """The text of each cell: the words that lie in it by at least that part of the smaller area, in rows from top to bottom, then from the left; blank words are left out."""
-    right = cells.select(*keys, cell_id, *[F.col(c).alias(f"c_{c}") for c in ("x1", "y1", "x2", "y2")])
-    hit = words.where(F.trim(F.coalesce("text", F.lit(""))) != "").join(right, keys).where(overlap(box(), box("c_")) >= least)
+    """The text of each cell: the words that lie in it by at least that part (over 0) of the smaller area, in rows from top to bottom, then from the left; blank words are left out."""
+    told = words.where(F.trim(F.coalesce("text", F.lit(""))) != "").select(*keys, "word_idx", "text", *SIDES)
+    hit = meeting(told, cells.select(*keys, cell_id, *SIDES), keys).where(overlap(box(), box("b_")) >= least)
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.round("y1", 1).alias("y"), "x1", "word_idx", "text"))), lambda w: w["text"]), " ")
-    return hit.groupBy(*keys, cell_id).agg(F.count("*").alias("n_words"), text.alias("text"))
+    return hit.groupBy(*keys, F.col(f"b_{cell_id}").alias(cell_id)).agg(F.count("*").alias("n_words"), text.alias("text"))
 
 
 def gap_clusters(items: DataFrame, keys: list[str], centre: str, threshold: Column, order: str) -> DataFrame:
@@ -58,20 +106,39 @@ def grid(rows: DataFrame, columns: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def kept_boxes(boxes: DataFrame, keys: list[str], centre: str, order: str, most: float = 0.7) -> DataFrame:
-    """Boxes in the order of their centres; one that overlaps the last kept by `most` takes its place if its score is higher, else goes."""
-    item = F.struct(F.col(centre).alias("c"), F.col(order).alias("o"), "x1", "y1", "x2", "y2", F.col("score").cast("double").alias("score"))
-    each = boxes.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("b"))
-    side = lambda s: tuple(s[k] for k in ("x1", "y1", "x2", "y2"))
+#: Boxes that are folded at once.
+BLOCK = 256
 
-    def step(kept: Column, x: Column) -> Column:
-        last = F.get(kept, F.size(kept) - 1)
-        clash = (F.size(kept) > 0) & (overlap(side(last), side(x)) >= most)
-        swapped = F.concat(F.slice(kept, F.lit(1), F.size(kept) - 1), F.array(x))
-        return F.when(clash & (x["score"] > last["score"]), swapped).when(clash, kept).otherwise(F.concat(kept, F.array(x)))
 
-    empty = F.array().cast(each.schema["b"].dataType)
-    return each.select(*keys, F.inline(F.aggregate("b", empty, step))).withColumnsRenamed({"c": centre, "o": order})
+def kept_boxes(boxes: DataFrame, keys: list[str], centre: str, order: str, most: float = 0.7) -> DataFrame:
+    """Boxes in the order of their centres; one that overlaps the last kept by `most` takes its place if its score is higher, else goes.
+
+    The fold holds the last kept box alone and says of each box whether it goes, stays or takes the last one's place, a
+    block of boxes at a time; a box is kept if it stays and the next one that stays doesn't take its place.
+    """
+    item = F.struct(F.col(centre).alias("c"), F.col(order).alias("o"), *SIDES, F.col("score").cast("double").alias("score"))
+    each = boxes.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("b"))
+    kind = each.schema["b"].dataType.elementType
+    side = lambda s: tuple(s[k] for k in SIDES)
+    none, said = F.lit(None).cast(kind), F.array().cast("array<int>")
+    GOES, STAYS, REPLACES = 0, 1, 2
+
+    def step(s: Column, x: Column) -> Column:
+        last = s["last"]
+        clash = last.isNotNull() & (overlap(side(last), side(x)) >= most)
+        what = F.when(clash & (x["score"] > last["score"]), REPLACES).when(clash, GOES).otherwise(STAYS)
+        return F.struct(F.when(what == GOES, last).otherwise(x).alias("last"), F.concat(s["said"], F.array(what)).alias("said"))
+
+    def block(s: Column, i: Column) -> Column:
+        found = F.aggregate(F.slice("b", i * BLOCK + 1, F.lit(BLOCK)), F.struct(s["last"].alias("last"), said.alias("said")), step)
+        return F.get(F.transform(F.array(found), lambda f: F.struct(f["last"].alias("last"), F.concat(s["said"], F.array(f["said"])).alias("said"))), F.lit(0))  # found is made once
+
+    blocks = F.sequence(F.lit(0), F.floor((F.size("b") - 1) / BLOCK).cast("int"))
+    folded = F.aggregate(blocks, F.struct(none.alias("last"), F.array().cast("array<array<int>>").alias("said")), block, lambda s: F.flatten(s["said"]))
+    d = each.withColumn("_said", folded)
+    d = d.select(*keys, F.filter(F.zip_with("b", "_said", lambda x, what: F.struct(x.alias("x"), what.alias("what"))), lambda p: p["what"] != GOES).alias("p"))
+    kept = F.filter("p", lambda x, i: F.coalesce(F.get("p", i + 1)["what"], F.lit(STAYS)) != REPLACES)
+    return d.select(*keys, F.inline(F.transform(kept, lambda p: p["x"]))).withColumnsRenamed({"c": centre, "o": order})
 
 
 def resampled(v: Column, n: Column | int) -> Column:

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from fiscalis.operators.mart import absorption, verdict
 
 LEAST = 65.0
-#: Parts into which the names of a county's projects are dealt.
-SALTS = 8
+#: Characters of a project's name that are looked for in a sentence.
+HEAD = 60
+#: Pairs of names of one county that a task looks at, about.
+PAIRS = 1_000_000
 #: Risks that make a match severe.
 SEVERE = ("FLAGGED_BY_MODEL", "INCOMPLETE_PROJECT", "UNSUPPORTED_PAYMENT", "PROCUREMENT_BREACH", "DUPLICATE_PAYMENT")
 
@@ -55,33 +60,141 @@ def part_likeness(a: str, b: str) -> float:
 
 
 def score(project: str, finding: str, sentence: str) -> float:
-    """Of names if the finding has one, else of the project's first 60 characters and the sentence."""
-    if finding:
-        a, b = project.lower(), finding.lower()
-        return max(sorted_likeness(a, b), part_likeness(a, b))
-    return part_likeness(project.lower()[:60], sentence.lower())
+    """Of names if the finding has one, else of the project's first 60 characters and the sentence; case doesn't matter."""
+    project, finding, sentence = project.lower(), finding.lower(), sentence.lower()
+    return max(sorted_likeness(project, finding), part_likeness(project, finding)) if finding else part_likeness(project[:HEAD], sentence)
+
+
+#: Kinds of characters that are counted (by the last bits of their code), bits for the count of each, characters of the shorter text that fit into one number, and stretches that are looked at at once.
+KINDS, EACH, WORD, AT_ONCE = 32, 6, 64, 1_000_000
+
+
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
+    """All characters of the texts as small numbers, where each text begins, and how many numbers there are."""
+    values, codes = np.unique(np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)
+    return codes, np.cumsum([0, *map(len, texts)])[:-1], len(values)
+
+
+def best_common(short: list[str], long_: list[str], whole: bool) -> tuple[np.ndarray, np.ndarray]:
+    """For each pair of texts the best likeness of the short one (of 1 to 64 characters) to any stretch of the long one of its length, or, with whole, to all of it.
+
+    Stretches of all pairs go side by side: each keeps the row of the common subsequence as the bits of one number, and all
+    rows take their next character at once. Stretches that end early lie last, so those that go on are a slice.
+    """
+    n = len(short)
+    codes, begin, kinds = _codes([*short, *long_])
+    m, size = np.array([len(x) for x in short]), np.array([len(x) for x in long_])
+    places = np.zeros(n * kinds, np.uint64)
+    of = np.repeat(np.arange(n), m)
+    at = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+    np.bitwise_or.at(places, of * kinds + codes[: m.sum()], np.uint64(1) << at.astype(np.uint64))
+    begin = begin[n:]
+    if whole:
+        pair, low, length = np.arange(n), begin, size
+    else:
+        count = size + m - 1
+        pair = np.repeat(np.arange(n), count)
+        start = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + 1 - m[pair]
+        low = np.maximum(start, 0)
+        length = np.minimum(start + m[pair], size[pair]) - low
+        low = low + begin[pair]
+    order = np.argsort(-length, kind="stable")
+    pair, low, length = pair[order], low[order], length[order]
+    full = np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - m.astype(np.uint64))
+    row, table = full[pair], pair * kinds
+    going = np.searchsorted(-length, -np.arange(length[0] if len(length) else 0), side="left")  # how many stretches are longer than j
+    for j, k in enumerate(going.tolist()):
+        hit = row[:k] & places[table[:k] + codes[low[:k] + j]]
+        row[:k] = (row[:k] + hit) | (row[:k] - hit)
+    common = m[pair] - np.bitwise_count(row & full[pair]).astype(np.int64)
+    out = np.zeros(n)
+    np.maximum.at(out, pair, 200.0 * common / (m[pair] + length))
+    return out, m
+
+
+def scores(project: list[str], finding: list[str], sentence: list[str]) -> np.ndarray:
+    """score() of many rows in lower case; rows whose shorter text is empty or over 64 characters are scored one by one."""
+    out = np.full(len(project), -1.0)
+    looked = [(p, f) if f else (p[:HEAD], s) for p, f, s in zip(project, finding, sentence)]
+    part = [(a, b) if len(a) <= len(b) else (b, a) for a, b in looked]
+    words = lambda x: " ".join(sorted(x.split()))
+    turned = [tuple(sorted(map(words, x), key=len)) if f else ("", "") for x, f in zip(looked, finding)]
+    for texts, whole in ((part, False), (turned, True)):
+        fits = [i for i, (a, _) in enumerate(texts) if 0 < len(a) <= WORD]
+        held, size = [], 0
+        for k, i in enumerate(fits):
+            held.append(i)
+            size += 1 if whole else len(texts[i][0]) + len(texts[i][1])
+            if size >= AT_ONCE or len(held) >= 20_000 or k + 1 == len(fits):
+                best, _ = best_common([texts[j][0] for j in held], [texts[j][1] for j in held], whole)
+                out[held] = np.maximum(out[held], best)
+                held, size = [], 0
+        for i, (a, b) in enumerate(texts):
+            if len(a) > WORD or not a and (not whole or finding[i]):
+                out[i] = max(out[i], sorted_likeness(*looked[i]) if whole else part_likeness(*looked[i]))
+    return out
 
 
 @F.pandas_udf(DoubleType())
 def _scores(project: pd.Series, finding: pd.Series, sentence: pd.Series) -> pd.Series:
-    return pd.Series([score(*names) for names in zip(project, finding, sentence)], dtype=float)
+    return pd.Series(scores(project.tolist(), finding.tolist(), sentence.tolist()))
 
 
 _scores = _scores.asNondeterministic()  # else the optimiser has the scores made once for the filter and once more for the result
 
 
+COUNTED = StructType([StructField(c, LongType()) for c in ("c0", "c1", "c2", "over", "size", "wide")])
+
+
+@F.pandas_udf(COUNTED)
+def _counted(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """The characters of a text, counted by kind: as many bits as there are characters of a kind, 6 at most, packed into three numbers; the rest as their number; the text's length, and that of its words with one blank between."""
+    for batch in texts:
+        rows = []
+        for x in batch:
+            n = np.bincount(np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) % KINDS, minlength=KINDS)
+            bits = sum(((1 << min(int(c), EACH)) - 1) << EACH * k for k, c in enumerate(n.tolist()))
+            cut = [(bits >> 64 * k & (1 << 64) - 1) for k in range(3)]
+            rows.append((*(v - (1 << 64) if v >> 63 else v for v in cut), int(np.maximum(n - EACH, 0).sum()), len(x), len(" ".join(x.split()))))
+        yield pd.DataFrame(rows, columns=["c0", "c1", "c2", "over", "size", "wide"])
+
+
+def most_likely(a: str, b: str, named: Column) -> Column:
+    """What score() can't be over, from counts of characters alone: a common subsequence has no more of a kind than either text. a, b: columns as _counted() makes them."""
+    x, y = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
+    shared = F.least(x("over"), y("over"))
+    for k in ("c0", "c1", "c2"):
+        shared = shared + F.bit_count(x(k).bitwiseAND(y(k)))
+    m = F.least(x("size"), y("size"), F.when(named, x("size")).otherwise(HEAD))
+    shared = shared.cast("double")
+    part = F.when(m == 0, 100.0).otherwise(200 * F.least(shared, m) / (m + F.least(shared, m)))  # a stretch that is cut off by an edge is as long as what it shares
+    return F.when(named, F.greatest(part, F.when(x("wide") + y("wide") > 0, 200 * shared / (x("wide") + y("wide"))).otherwise(100.0))).otherwise(part)
+
+
+def candidates(projects: DataFrame, findings: DataFrame, key: str = "county", least: float = LEAST) -> DataFrame:
+    """(key, _p, _f, _s): the different names that meet in a county and could reach `least`. A county's names are dealt to as many tasks as its pairs ask for, and only pairs that may be alike leave the join."""
+    p = projects.select(key, F.lower(F.coalesce("project_name", F.lit(""))).alias("_p")).distinct().where(F.col(key).isNotNull())
+    named = F.lower(F.coalesce("finding_name", F.lit("")))
+    f = findings.select(key, named.alias("_f"), F.when(named != "", "").otherwise(F.lower(F.coalesce("sentence", F.lit("")))).alias("_s")).distinct().where(F.col(key).isNotNull())  # a named finding is scored by its name alone
+    count = lambda d, name: d.groupBy(key).agg(F.count("*").alias(name))
+    salts = count(p, "_np").join(count(f, "_nf"), key).select(key, F.least(F.col("_np"), F.ceil(F.col("_np") * F.col("_nf") / PAIRS)).cast("int").alias("_n"))
+    left = p.join(salts, key).select(key, "_p", F.pmod(F.xxhash64("_p"), F.col("_n")).cast("int").alias("_salt"), _counted("_p").alias("_x"))
+    right = f.select(key, "_f", "_s", _counted(F.when(F.col("_f") != "", F.col("_f")).otherwise(F.col("_s"))).alias("_y")).join(salts, key)
+    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n").withColumnRenamed(key, "_key")
+    near = most_likely("_x", "_y", F.col("_f") != "") >= least - 1e-3
+    return left.join(right, (F.col(key) == F.col("_key")) & (left["_salt"] == right["_salt"]) & near).select(key, "_p", "_f", "_s")
+
+
 def links(projects: DataFrame, findings: DataFrame, key: str = "county", least: float = LEAST) -> DataFrame:
-    """All pairs of one county whose names are alike enough; each pair of names is scored once, wherever it occurs. projects: key, project_idx, project_name; findings: key, finding_idx, finding_name, sentence, kind."""
-    empty = lambda c: F.coalesce(c, F.lit(""))
-    p = projects.withColumn("_p", empty("project_name"))
-    f = findings.withColumn("_f", empty("finding_name")).withColumn("_s", F.when(F.col("_f") != "", "").otherwise(empty("sentence")))  # a named finding is scored by its name alone
+    """All pairs of one county whose names are alike enough; each pair of different names that may be is scored once, wherever it occurs. projects: key, project_idx, project_name; findings: key, finding_idx, finding_name, sentence, kind. Names are compared in lower case; rows without a county have no links."""
+    lower = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    p = projects.withColumn("_p", lower("project_name"))
+    f = findings.withColumn("_f", lower("finding_name")).withColumn("_s", F.when(F.col("_f") != "", "").otherwise(lower("sentence")))
     tasks = int(projects.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but much work: not to be coalesced
-    # different names meet once per county; a county's names are dealt to many tasks by the project's name
-    salt = F.pmod(F.xxhash64("_p"), F.lit(SALTS)).cast("int")
-    right = f.select(key, "_f", "_s").distinct().withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    names = p.select(key, "_p").distinct().withColumn("_salt", salt).join(right, [key, "_salt"]).drop("_salt")
+    names = candidates(projects, findings, key, least)
     scored = names.select("_p", "_f", "_s").distinct().repartition(tasks, "_p", "_f", "_s").withColumn("score", F.round(_scores("_p", "_f", "_s"), 4)).where(F.col("score") >= least)
-    alike = names.join(scored, ["_p", "_f", "_s"])
+    # a county's rows of one name are many where its names are few: they meet the scored names, not each other's counties
+    alike = p.select(key, "_p").distinct().join(scored, "_p").join(f.select(key, "_f", "_s").distinct(), [key, "_f", "_s"])
     return p.join(alike, [key, "_p"]).join(f, [key, "_f", "_s"]).drop("_p", "_f", "_s")
 
 
