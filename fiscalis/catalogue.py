@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fiscalis.plans import audit, money, pages, registry  # noqa: F401  the modules register their queries
+from fiscalis.plans import audit, money, pages, registry, stored  # noqa: F401  the modules register their queries
 
 
 def queries() -> dict:

@@ -156,7 +156,19 @@ def geo_iou_pairs(t):
     return tables.pairs(*_sides(t), ["page"], 0.3).select("page", "idx", "b_idx", F.round("iou", 6).alias("iou"))
 
 
-@query()
+def _sql_greedy(name: str, pairs: str, key: str) -> str:
+    """Pairs taken one by one in the order of their ranks, with what each page has used so far."""
+    return f"""r{name} AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY iou DESC, a, b) AS k FROM {pairs}),
+ w{name} AS (SELECT {key}, 0::BIGINT AS k, []::BIGINT[] AS ua, []::BIGINT[] AS ub, NULL::BIGINT AS a, NULL::BIGINT AS b, NULL::DOUBLE AS iou, false AS took FROM (SELECT DISTINCT {key} FROM r{name})
+  UNION ALL SELECT r.{key}, r.k, CASE WHEN list_contains(ua, r.a) OR list_contains(ub, r.b) THEN ua ELSE list_append(ua, r.a) END, CASE WHEN list_contains(ua, r.a) OR list_contains(ub, r.b) THEN ub ELSE list_append(ub, r.b) END,
+   r.a, r.b, r.iou, NOT (list_contains(ua, r.a) OR list_contains(ub, r.b)) FROM w{name} w JOIN r{name} r ON r.{key} = w.{key} AND r.k = w.k + 1),
+ {name} AS (SELECT {key}, a, b, iou FROM w{name} WHERE took)"""
+
+
+GREEDY = _sql_greedy("g", "(SELECT page, idx AS a, b_idx AS b, iou::DOUBLE AS iou FROM p WHERE iou >= 0.3)", "page")
+
+
+@query(f"{BOTH.replace('WITH', 'WITH RECURSIVE', 1)}, {IOU}, {GREEDY} SELECT * FROM g")
 def geo_greedy_match(t):
     found = tables.pairs(*_sides(t), ["page"], 0.3).select("page", F.col("idx").alias("a"), F.col("b_idx").alias("b"), "iou")
     return scoring.greedy_pairs(found, ["page"])
@@ -203,7 +215,12 @@ def geo_upper_median(t):
     return d.groupBy("page").agg(tables.upper_median("w").alias("median_width"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_sql_boxes('a')}, o AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY (y1 + y2) / 2, idx) AS k FROM a),
+ f AS (SELECT page, k, idx, x1, y1, x2, y2, score, 1 AS said FROM o WHERE k = 1
+  UNION ALL SELECT o.page, o.k, CASE WHEN said = 0 THEN l.idx ELSE o.idx END, CASE WHEN said = 0 THEN l.x1 ELSE o.x1 END, CASE WHEN said = 0 THEN l.y1 ELSE o.y1 END, CASE WHEN said = 0 THEN l.x2 ELSE o.x2 END, CASE WHEN said = 0 THEN l.y2 ELSE o.y2 END, CASE WHEN said = 0 THEN l.score ELSE o.score END, said
+   FROM (SELECT f.page, f.k, f.idx, f.x1, f.y1, f.x2, f.y2, f.score, CASE WHEN greatest(least(f.x2, o.x2) - greatest(f.x1, o.x1), 0) * greatest(least(f.y2, o.y2) - greatest(f.y1, o.y1), 0) < 0.7 * least((f.x2 - f.x1) * (f.y2 - f.y1), (o.x2 - o.x1) * (o.y2 - o.y1)) THEN 1 WHEN o.score > f.score THEN 2 ELSE 0 END AS said FROM f JOIN o ON o.page = f.page AND o.k = f.k + 1) l JOIN o ON o.page = l.page AND o.k = l.k + 1),
+ s AS (SELECT page, k, idx, said, lead(said) OVER (PARTITION BY page ORDER BY k) AS next FROM f WHERE said > 0), e AS (SELECT page, idx FROM s WHERE coalesce(next, 1) <> 2)
+ SELECT a.page, (a.y1 + a.y2) / 2 AS c, a.idx, a.x1, a.y1, a.x2, a.y2, a.score::DOUBLE AS score FROM e JOIN a ON a.page = e.page AND a.idx = e.idx""")
 def geo_box_dedupe(t):
     return tables.kept_boxes(_boxes(t).withColumn("c", (F.col("y1") + F.col("y2")) / 2), ["page"], "c", "idx", 0.7)
 
@@ -282,7 +299,17 @@ def score_strict(t):
     return scoring.structure(_cells(t, 0), _cells(t, 1), ["table_id"]).withColumn("weight", F.col("weight").cast("int"))
 
 
-@query()
+DEFAULT = f"""WITH RECURSIVE {_sql_slots('a', 0)}, {_sql_slots('b', 1)}, {_sql_edges('a')}, {_sql_edges('b')},
+ ne AS (SELECT table_id, count(ea.one) AS na, count(eb.one) AS nb, count(*) FILTER (ea.one IS NOT NULL AND eb.one IS NOT NULL) AS hits FROM ea FULL JOIN eb USING (table_id, way, r, c) GROUP BY 1),
+ nt AS (SELECT table_id, count(*) FILTER (a.text <> '') AS ta, count(*) FILTER (b.text <> '') AS tb, count(*) FILTER (a.text = b.text AND a.text <> '') AS texts FROM a FULL JOIN b USING (table_id, r, c) GROUP BY 1),
+ q AS (SELECT table_id, a, b, i / (areas - i)::DOUBLE AS iou FROM (SELECT ca.table_id, ca.cell_idx AS a, cb.cell_idx AS b, (ca.x2 - ca.x1) * (ca.y2 - ca.y1) + (cb.x2 - cb.x1) * (cb.y2 - cb.y1) AS areas,
+   greatest(least(ca.x2, cb.x2) - greatest(ca.x1, cb.x1), 0) * greatest(least(ca.y2, cb.y2) - greatest(ca.y1, cb.y1), 0) AS i FROM ca JOIN cb ON ca.table_id = cb.table_id) WHERE i > 0),
+ {_sql_greedy('g', 'q', 'table_id')}, t AS (SELECT table_id, sum(iou) AS total FROM g GROUP BY 1), m AS (SELECT table_id, count(*) AS n FROM ca GROUP BY 1),
+ s AS (SELECT ha.table_id, CASE WHEN coalesce(na + nb, 0) = 0 THEN 1 ELSE 2 * hits / (na + nb) END AS top, CASE WHEN ta + tb = 0 THEN 1 ELSE 2 * texts / (ta + tb) END AS con, coalesce(total, 0) / n AS loc, n_rows * n_cols AS weight
+  FROM ha LEFT JOIN ne USING (table_id) JOIN nt USING (table_id) LEFT JOIN t USING (table_id) JOIN m USING (table_id))"""
+
+
+@query(DEFAULT + " SELECT table_id, round(top, 4) AS top, round(con, 4) AS con, round(loc, 4) AS loc, round((top + con + loc) / 3, 4) AS total, weight::BIGINT AS weight FROM s")
 def score_default(t):
     return scoring.structure(_cells(t, 0), _cells(t, 1), ["table_id"], strict=False)
 
@@ -392,6 +419,15 @@ def tri_fuzzy_link(t):
     return triangulate.links(*_named(t)).select("county", "project_idx", "finding_idx", "score")
 
 
+@query()
+def tri_pair_counts(t):
+    """Per county: pairs of a project and a finding, pairs of different names that counts of characters leave, and links. The pairs that are scored are those of `looked_at`, each once for all counties."""
+    p, f = _named(t)
+    count = lambda d, name: d.groupBy("county").agg(F.count("*").alias(name))
+    every = count(p, "np").join(count(f, "nf"), "county").select("county", (F.col("np") * F.col("nf")).alias("pairs"))
+    return every.join(count(triangulate.candidates(p, f), "looked_at"), "county", "left").join(count(triangulate.links(p, f), "links"), "county", "left").fillna(0)
+
+
 @query()
 def tri_verdicts(t):
     d = triangulate.triangulated(*_named(t))
