@@ -37,9 +37,9 @@ from fiscalis.llm.suffix_dedup import _STRIPS, COUNTED, ROUTES, _batch, _bits, _
 LENGTH = 35
 GRAM = 8
 #: Bytes of text that are looked at, or packed, at once, strings of a minimiser that still go into one bucket, windows that are sorted at once, and bytes of a task's buckets.
-TEXT_BYTES = 4 << 20
-COMBINED_BYTES = 48 << 20
-LARGEST = 8_000
+TEXT_BYTES = 1 << 20
+COMBINED_BYTES = 16 << 20
+LARGEST = 2_000
 SORTED = 200_000
 TASK_BYTES = 16 << 20
 
