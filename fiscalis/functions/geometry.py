@@ -91,6 +91,27 @@ def mercator(lat: Column, lon: Column) -> tuple[Column, Column]:
     return F.radians(lon), F.ln(F.tan(F.lit(0.7853981633974483) + F.radians(lat) / 2))
 
 
+POLYGON = "array<array<array<double>>>"
+
+
+def polygons(kind: Column, coordinates: Column) -> Column:
+    """The polygons of a GeoJSON geometry, given as text: arrays of rings of points (x, y); null for other kinds and texts that aren't coordinates. The first ring of a polygon is its border, the others are holes."""
+    many = F.when(kind == "Polygon", F.array(F.from_json(coordinates, POLYGON))).when(kind == "MultiPolygon", F.from_json(coordinates, f"array<{POLYGON}>"))
+    return F.transform(many, lambda p: F.transform(p, lambda ring: F.transform(ring, lambda at: F.struct(F.get(at, F.lit(0)).alias("x"), F.get(at, F.lit(1)).alias("y")))))
+
+
+def ring_sums(ring: Column) -> Column:
+    """Of a ring of points: its signed area by the shoelace rule, and the area times the centre's place; the last point is joined to the first."""
+    start = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("sx"), F.lit(0.0).alias("sy"))
+
+    def step(s: Column, i: Column) -> Column:
+        p, q = F.get(ring, i), F.get(ring, (i + 1) % F.size(ring))
+        z = p["x"] * q["y"] - q["x"] * p["y"]
+        return F.struct((s["a"] + z / 2).alias("a"), (s["sx"] + (p["x"] + q["x"]) * z / 6).alias("sx"), (s["sy"] + (p["y"] + q["y"]) * z / 6).alias("sy"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.size(ring) - 1), start, step)
+
+
 def padded(b: Box, pad: int, width: Column, height: Column) -> Box:
     return F.greatest(b[0] - pad, F.lit(0)), F.greatest(b[1] - pad, F.lit(0)), F.least(b[2] + pad, width), F.least(b[3] + pad, height)
 

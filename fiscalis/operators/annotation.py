@@ -91,8 +91,41 @@ def shared(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return a.select(key).intersect(b.select(key)).agg(F.count("*").alias("shared"))
 
 
+#: Characters of the grams by which names are looked up.
+GRAM = 3
+
+
+def _grams(name: Column, all_sizes: bool) -> Column:
+    """The different grams of a name: those of GRAM characters, and with all_sizes the shorter ones as well; of a name that is shorter, the name."""
+    of = lambda k: F.when(F.length(name) >= k, F.transform(F.sequence(F.lit(1), F.length(name) - (k - 1)), lambda i: F.substring(name, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    if all_sizes:
+        return F.array_distinct(F.flatten(F.array(*map(of, range(1, GRAM + 1)))))
+    return F.when(F.length(name) < GRAM, F.filter(F.array(name), lambda x: x != "")).otherwise(F.array_distinct(of(GRAM)))
+
+
+def held_in(inner: DataFrame, outer: DataFrame, inner_col: str, outer_col: str, key: str = "folder") -> DataFrame:
+    """(key, inner, outer) of the different texts of one key of which the first is held in the second; empty texts are held in none.
+
+    A text that holds another holds all of its grams, so each inner text is looked up by one, that which fewest outer texts
+    of the key have, and compared with those texts alone.
+    """
+    a = inner.select(key, F.col(inner_col).alias("_in")).where("_in <> ''").distinct()
+    b = outer.select(key, F.col(outer_col).alias("_out")).where("_out <> ''").distinct()
+    index = b.select(F.col(key).alias("_key"), "_out", F.explode(_grams(F.col("_out"), True)).alias("_gram"))
+    often = index.groupBy("_key", "_gram").agg(F.count("*").alias("_n"))
+    asked = a.select(key, "_in", F.explode(_grams(F.col("_in"), False)).alias("g"))
+    # a gram that no outer text has rules the inner one out: it is the rarest
+    rare = asked.join(often, (F.col(key) == F.col("_key")) & (F.col("g") == F.col("_gram")), "left").groupBy(key, "_in").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "g")).alias("m")).where("m.n > 0")
+    near = rare.join(index, (F.col(key) == F.col("_key")) & (F.col("m.g") == F.col("_gram")))
+    return near.where(F.contains("_out", "_in")).select(key, F.col("_in").alias("inner"), F.col("_out").alias("outer"))
+
+
 def same_name(a: DataFrame, b: DataFrame, left: str = "name", right: str = "file") -> DataFrame:
-    """Each name of a with a file of b: the equal one, else the first, by name, that holds it or is held by it. b is a folder's listing, small enough to be compared with every name of its folder (column folder on both sides)."""
-    fits = (F.col(left) == F.col(right)) | F.contains(F.col(right), F.col(left)) | F.contains(F.col(left), F.col(right))
-    best = F.min(F.struct((F.col(left) != F.col(right)).alias("unlike"), F.col(right).alias("file"))).alias("b")
-    return a.join(b, "folder").where(fits).groupBy("folder", left).agg(best).select("folder", left, F.col("b.file").alias("file"))
+    """Each name of a with a file of b of its folder (column folder on both sides): the equal one, else the first, by name, that holds it or is held by it. An empty name takes the folder's first file, an empty file is held by every name; null names and folders have none."""
+    names, files_ = a.select("folder", F.col(left).alias("name")).distinct(), b.select("folder", F.col(right).alias("file")).distinct()
+    up = held_in(names, files_, "name", "file").select("folder", F.col("inner").alias("name"), F.col("outer").alias("file"))
+    down = held_in(files_, names, "file", "name").select("folder", F.col("outer").alias("name"), F.col("inner").alias("file"))
+    first = files_.groupBy("folder").agg(F.min("file").alias("file"))
+    blank = names.where("name = ''").join(first, "folder").unionByName(names.where("name is not null").join(files_.where("file = ''"), "folder"))
+    best = F.min(F.struct((F.col("name") != F.col("file")).alias("unlike"), "file")).alias("b")
+    return up.unionByName(down).unionByName(blank).groupBy("folder", "name").agg(best).select("folder", F.col("name").alias(left), F.col("b.file").alias("file"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fiscalis.functions.geometry import area, box, centre_distance, clamped, iou, plausible, tiny
+from fiscalis.functions.text import cell_id
 from fiscalis.operators.quality import backup, detection_quality
+from fiscalis.operators.tables import SIDES
 
 #: Score of a box that no detector gave, and the least part of the page that a table has.
 INJECTED = 0.55
@@ -49,14 +51,14 @@ def final(pages: DataFrame, first: DataFrame, second: DataFrame, keys: list[str]
     return d.where(keep).drop("raw_x1", "raw_y1", "raw_x2", "raw_y2")
 
 
-def only_detected(found: DataFrame, page: str = "page_number", order: str = "idx") -> DataFrame:
-    """Table entries of a page whose structure isn't known: no cells, and three fixed warnings."""
-    from pyspark.sql import Window
+#: Warnings of a table of which only the box is known.
+ONLY_DETECTED = ("structure_recognition_not_run", "cell_extraction_not_run", "post_processing_not_run")
 
-    from fiscalis.functions.text import cell_id
 
-    at = F.row_number().over(Window.partitionBy(page).orderBy(order)) - 1
+def only_detected(found: DataFrame, page: str = "page_number", order: str = "idx", doc: str = "document_id") -> DataFrame:
+    """Table entries of pages whose structure isn't known: no cells, and three fixed warnings. Tables are numbered on their page, pages of several documents (column doc) apart."""
+    on_page = [doc, page] if doc in found.columns else [page]
+    at = F.row_number().over(Window.partitionBy(*on_page).orderBy(order)) - 1
     return found.withColumn("table_id", cell_id(F.col(page), at)).select(
-        "table_id", page, "label", "score", "x1", "y1", "x2", "y2", F.lit(0).alias("n_rows"), F.lit(0).alias("n_cols"), F.lit(False).alias("is_valid"),
-        F.lit("structure_recognition_not_run,cell_extraction_not_run,post_processing_not_run").alias("warnings"),
+        *on_page[:-1], "table_id", page, "label", "score", *SIDES, F.lit(0).alias("n_rows"), F.lit(0).alias("n_cols"), F.lit(False).alias("is_valid"), F.array(*map(F.lit, ONLY_DETECTED)).alias("warnings")
     )

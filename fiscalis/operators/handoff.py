@@ -7,16 +7,20 @@ from pyspark.sql import functions as F
 
 from fiscalis.functions.geometry import box, holds_centre, overlap
 from fiscalis.functions.text import cell_id
-from fiscalis.operators.quality import cell_levels
-from fiscalis.operators.tables import gap_clusters, grid, hulls, upper_median, words_in_cells
+from fiscalis.operators.lineage import cut
+from fiscalis.operators.quality import cell_levels, checked
+from fiscalis.operators.tables import SIDES, continuations, gap_clusters, grid, hulls, kept_boxes, meeting, profile, upper_median, words_in_cells
 
 HIT = 0.25
+#: Checks and warnings of a table without a cell.
+BARE_CHECKS = ("merged_cell_postprocessing", "continuation_linking", "bounded_boxes")
+BARE_WARNINGS = ("empty_grid", "no_cell_text_extracted", "no_merged_cells_detected", "no_header_hierarchy_detected")
 
 
 def hits(segments: DataFrame, spans: DataFrame, keys: list[str], least: float = HIT) -> DataFrame:
     """(keys, span_idx, idx): the rows (or columns) of a table that a spanning box overlaps by at least that part of the smaller area. Both: keys, box; segments: idx, spans: span_idx."""
-    right = spans.select(*keys, "span_idx", *[F.col(c).alias(f"s_{c}") for c in ("x1", "y1", "x2", "y2")])
-    return segments.join(right, keys).where(overlap(box(), box("s_")) >= least).select(*keys, "span_idx", "idx")
+    met = meeting(segments.select(*keys, "idx", *SIDES), spans.select(*keys, "span_idx", *SIDES), keys)
+    return met.where(overlap(box(), box("b_")) >= least).select(*keys, F.col("b_span_idx").alias("span_idx"), "idx")
 
 
 def merged(rows: DataFrame, columns: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
@@ -59,36 +63,51 @@ def with_ids(found: DataFrame, page: str = "page_number", table: str = "table_id
     return found.withColumn("cell_id", cell_id(F.col(page), F.col(table), F.col("row_idx"), F.col("col_idx")))
 
 
-def build(tables: DataFrame, rows: DataFrame, columns: DataFrame, spans: DataFrame, words: DataFrame, read: DataFrame, keys: list[str], page: str = "page_number", table: str = "table_idx") -> DataFrame:
+def page_keys(tables: DataFrame, page: str = "page_number", doc: str = "document_id") -> list[str]:
+    """What tells a page: its number, and its document where tables have one."""
+    return [doc, page] if doc in tables.columns else [page]
+
+
+def build(tables: DataFrame, rows: DataFrame, columns: DataFrame, spans: DataFrame, words: DataFrame, read: DataFrame, keys: list[str], page: str = "page_number", table: str = "table_idx", doc: str = "document_id") -> DataFrame:
     """The cells of detected tables with ids, text, levels: grid with spans, the page's own words (20 % of the smaller area) before read ones (15 %).
 
-    tables: keys, page, table (number on the page), box; rows, columns, spans: keys and boxes from the table's corner;
-    words, read: page, word_idx, text, box on the page.
+    tables: keys, page, table (number on the page), box, and doc, where they are of several documents; rows, columns,
+    spans: keys and boxes from the table's corner; words, read: doc, page, word_idx, text, box on the page. keys tell a
+    table from those of all documents.
     """
-    corner = tables.select(*keys, page, table, F.col("x1").alias("_x"), F.col("y1").alias("_y"))
+    on_page = page_keys(tables, page, doc)
+    own = [*keys, *(c for c in (*on_page, table) if c not in keys)]
+    corner = tables.select(*own, F.col("x1").alias("_x"), F.col("y1").alias("_y"))
     d = cells(rows, columns, spans, keys).join(corner, keys)
-    d = d.select(*keys, page, table, "row_idx", "col_idx", "row_span", "col_span", "cell_type", "confidence", *((F.col(c) + F.col(o)).alias(c) for c, o in (("x1", "_x"), ("y1", "_y"), ("x2", "_x"), ("y2", "_y"))))
-    d = with_ids(d, page, table)
-    native = words_in_cells(words, d, [page], "cell_id").select("cell_id", F.col("text").alias("_native"))
-    seen = words_in_cells(read, d, [page], "cell_id", 0.15).select("cell_id", F.col("text").alias("_read"))
-    d = d.join(native, "cell_id", "left").join(seen, "cell_id", "left").withColumn("_t", preferred_text(("pdf_text", F.col("_native")), ("ocr", F.col("_read"))))
-    return cell_levels(d.select("*", "_t.*").drop("_t", "_native", "_read"), keys)
+    d = d.select(*own, "row_idx", "col_idx", "row_span", "col_span", "cell_type", "confidence", *((F.col(c) + F.col(o)).alias(c) for c, o in (("x1", "_x"), ("y1", "_y"), ("x2", "_x"), ("y2", "_y"))))
+    d = cut(with_ids(d, page, table))  # read several times below
+    texts = lambda w, name, least: words_in_cells(w, d, on_page, "cell_id", least).select(*on_page, "cell_id", F.col("text").alias(name))
+    for found in (texts(words, "_native", 0.2), texts(read, "_read", 0.15)):
+        d = d.join(found, [*on_page, "cell_id"], "left")
+    d = d.withColumn("_t", preferred_text(("pdf_text", F.col("_native")), ("ocr", F.col("_read"))))
+    return cell_levels(d.select(*own, *(c for c in d.columns if c not in own and not c.startswith("_")), "_t.*"), keys)
 
 
-def segments_of_words(words: DataFrame, tables: DataFrame, keys: list[str], down: bool, page: str = "page_number") -> DataFrame:
+def segments_of_words(words: DataFrame, tables: DataFrame, keys: list[str], down: bool, page: str = "page_number", doc: str = "document_id") -> DataFrame:
     """Rows (down) or columns of tables from the words whose centres lie in them: clusters of centres with gaps of at most 1.7 median heights (6 at least), or 2.5 median widths (30 at least), each as wide or as high as its table.
 
-    words: page, word_idx, text, box; tables: keys, page, box. Gives keys, idx, box, score.
+    words: page, word_idx, text, box; tables: keys, page, box; both with doc, where they are of several documents. Gives
+    keys, idx, box, score. A page's words meet its tables by tiles, as do other boxes.
     """
-    sides = ("x1", "y1", "x2", "y2")
-    t = tables.select(*keys, page, *(F.col(c).alias(f"t_{c}") for c in sides))
-    w = words.where(F.coalesce("text", F.lit("")) != "").join(t, page).where(holds_centre(box("t_"), box()))
+    on_page = page_keys(tables, page, doc)
+    t = tables.select(*keys, *(c for c in on_page if c not in keys), *SIDES)
+    w = words.where(F.coalesce("text", F.lit("")) != "")
+    # a word whose centre is in a table meets it, unless it has no area or only touches: so its centre is looked for, as a very small box
+    wide, high = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2
+    dots = w.select(*on_page, "word_idx", *(F.col(c).alias(f"w_{c}") for c in SIDES), (wide - 1e-6).alias("x1"), (high - 1e-6).alias("y1"), (wide + 1e-6).alias("x2"), (high + 1e-6).alias("y2"))
+    w = meeting(dots, t, on_page).where(holds_centre(box("b_"), box("w_")))
+    w = w.select(*(F.col(f"b_{k}").alias(k) for k in keys), "word_idx", *(F.col(f"w_{c}").alias(c) for c in SIDES), *(F.col(f"b_{c}").alias(f"t_{c}") for c in SIDES))
     low, high, least, times = ("y1", "y2", 6.0, 1.7) if down else ("x1", "x2", 30.0, 2.5)
     size = w.groupBy(*keys).agg(F.greatest(F.lit(least), upper_median(F.col(high) - F.col(low)) * times).alias("gap"))
     w = w.join(size, keys).withColumn("centre", (F.col(low) + F.col(high)) / 2)
-    d = hulls(gap_clusters(w, keys, "centre", F.col("gap"), "word_idx"), keys).join(t, keys)
+    d = hulls(gap_clusters(w, keys, "centre", F.col("gap"), "word_idx"), keys).join(t.select(*keys, *(F.col(c).alias(f"t_{c}") for c in SIDES)), keys)
     box_ = ("t_x1", "y1", "t_x2", "y2") if down else ("x1", "t_y1", "x2", "t_y2")
-    return d.select(*keys, F.col("cluster").cast("int").alias("idx"), *(F.col(c).alias(n) for c, n in zip(box_, sides)), "score")
+    return d.select(*keys, F.col("cluster").cast("int").alias("idx"), *(F.col(c).alias(n) for c, n in zip(box_, SIDES)), "score")
 
 
 def enough(found: DataFrame, inferred: DataFrame, keys: list[str]) -> DataFrame:
@@ -98,6 +117,78 @@ def enough(found: DataFrame, inferred: DataFrame, keys: list[str]) -> DataFrame:
     return found.join(n.where("not _use"), keys, "left_semi").unionByName(inferred.join(n.where("_use"), keys, "left_semi"))
 
 
+def whole(found: DataFrame, tables: DataFrame, keys: list[str]) -> DataFrame:
+    """The segments, and for tables without any one that is the whole table, of score 0. found: keys, idx, box from the table's corner, score."""
+    zero, wide, high = F.lit(0.0), F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    bare = tables.join(found.select(*keys).distinct(), keys, "left_anti").select(*keys, F.lit(0).alias("idx"), zero.alias("x1"), zero.alias("y1"), wide.cast("double").alias("x2"), high.cast("double").alias("y2"), zero.alias("score"))
+    return found.select(*keys, "idx", *(F.col(c).cast("double").alias(c) for c in (*SIDES, "score"))).unionByName(bare)
+
+
+def segments(found: DataFrame, words: DataFrame, tables: DataFrame, keys: list[str], down: bool) -> DataFrame:
+    """The rows (down) or columns of tables, numbered from 0 in their order: the model's without those that overlap others, the words' where that leaves fewer than two, else the whole table. found: keys, idx, box from the table's corner, score."""
+    low, high = ("y1", "y2") if down else ("x1", "x2")
+    centred = lambda d: d.withColumn("_c", (F.col(low) + F.col(high)) / 2)
+    own = kept_boxes(centred(found), keys, "_c", "idx").drop("_c")
+    corner = tables.select(*keys, F.col("x1").alias("_x"), F.col("y1").alias("_y"))
+    inferred = segments_of_words(words, tables, keys, down).join(corner, keys)
+    inferred = inferred.select(*keys, "idx", *((F.col(c) - F.col(o)).alias(c) for c, o in zip(SIDES, ("_x", "_y", "_x", "_y"))), "score")
+    double = lambda d: d.select(*keys, F.col("idx").cast("int").alias("idx"), *(F.col(c).cast("double").alias(c) for c in (*SIDES, "score")))
+    d = whole(cut(enough(cut(double(own)), cut(double(inferred)), keys)), tables, keys)
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("_c", "idx")) - 1
+    return cut(centred(d).withColumn("idx", place).drop("_c"))
+
+
+DOC_KEYS = ["document_id", "page_number", "table_idx"]
+
+
+def documents(docs: DataFrame, tables: DataFrame, rows: DataFrame, columns: DataFrame, spans: DataFrame, words: DataFrame, read: DataFrame) -> DataFrame:
+    """Hand-off documents, from detections in one call, as files.handoffs() reads them: tables in the order of pages with their cells by row and column, links to the pages before and behind, checks.
+
+    docs: document_id, source_file, page_count, processed_at, model_version; tables: document_id, page_number, table_idx,
+    label, score, box; rows, columns, spans (span_idx): the table's keys, idx, box from its corner, score; words, read:
+    document_id, page_number, word_idx, text, box. Documents never mix, whatever pages and tables they have; one without
+    tables has an empty array. A table's cells are one array, and a document's tables: nothing larger is gathered.
+    """
+    keys = DOC_KEYS
+    r, c = segments(rows, words, tables, keys, True), segments(columns, words, tables, keys, False)
+    found = cut(build(tables, r, c, spans, words, read, keys).withColumnRenamed("text", "raw_text"))
+    box_ = F.struct(*(F.col(a).cast("double").alias(b) for a, b in zip(SIDES, ("xmin", "ymin", "xmax", "ymax"))))
+    cell = F.struct(
+        "cell_id", "row_idx", "col_idx", "row_span", "col_span", "cell_type", "hierarchy_level", box_.alias("bbox"), "raw_text", "text_source", F.lit(None).cast("string").alias("image_b64"), F.col("confidence").cast("double").alias("confidence")
+    )
+    order = F.struct("row_idx", "col_idx", cell.alias("cell"))
+    listed = found.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(order)), lambda x: x["cell"]).alias("cells"))
+    size = lambda d, name: d.groupBy(*keys).agg(F.count("*").cast("int").alias(name))
+    cols = F.sort_array(F.collect_list(F.struct("idx", "x1", "x2")))
+    widths = c.groupBy(*keys).agg(profile(F.transform(cols, lambda x: x["x1"]), F.transform(cols, lambda x: x["x2"])).alias("profile"))
+    t = tables.join(widths, keys, "left").withColumn("profile", F.coalesce("profile", F.array().cast("array<double>")))
+    linked = continuations(t.select("document_id", F.col("page_number").alias("page"), F.col("table_idx").alias("idx"), "profile", (F.col("x2") - F.col("x1")).alias("width"), F.col("x1").alias("x")), ["document_id"])
+    linked = linked.withColumnsRenamed({"page": "page_number", "idx": "table_idx"})
+    meets = lambda side, other: (F.col(f"t_{other}") > F.col(side)) if side.endswith("1") else (F.col(side) > F.col(f"t_{other}"))
+    bounds = tables.select(*keys, *(F.col(x).alias(f"t_{x}") for x in SIDES))
+    inside = meets("x1", "x2") & meets("x2", "x1") & meets("y1", "y2") & meets("y2", "y1")
+    judged = checked(found.join(bounds, keys).select(*keys, "row_idx", "col_idx", "row_span", "col_span", F.col("raw_text").alias("text"), "text_source", F.col("hierarchy_level").alias("level"), inside.alias("inside")), keys)
+
+    own_id = lambda page, idx: F.when(idx.isNotNull(), cell_id(page, idx))
+    page, at = F.col("page_number"), F.col("table_idx")
+    bare_checks, bare_warnings = F.array(*map(F.lit, BARE_CHECKS)), F.array(*map(F.lit, BARE_WARNINGS))
+    links = F.struct(
+        F.col("continues_from").isNotNull().alias("is_continuation"), own_id(page - 1, F.col("continues_from")).alias("continues_from"), F.col("linked").isNotNull().alias("continues_on_next_page"),
+        own_id(page + 1, F.col("linked")).alias("linked_table_id"), "match_score",
+    )
+    table = F.struct(
+        cell_id(page, at).alias("table_id"), "page_number", box_.alias("bbox"), F.col("score").cast("double").alias("confidence"), F.coalesce("label", F.lit("table")).alias("label"),
+        F.struct(F.coalesce("_r", F.lit(0)).alias("rows"), F.coalesce("_c", F.lit(0)).alias("cols")).alias("grid"), links.alias("continuation"), F.coalesce("cells", F.array().cast(listed.schema["cells"].dataType)).alias("cells"),
+        F.struct(F.coalesce("is_valid", F.lit(False)).alias("is_valid"), F.coalesce("checks", bare_checks).alias("checks_performed"), F.coalesce("warnings", bare_warnings).alias("warnings")).alias("validation"),
+    )
+    full = tables
+    for d in (listed, size(r, "_r"), size(c, "_c"), linked, judged):
+        full = full.join(d, keys, "left")
+    each = full.groupBy("document_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("page_number", "table_idx", table.alias("t")))), lambda x: x["t"]).alias("tables"))
+    d = docs.join(each, "document_id", "left")
+    return d.select("document_id", "source_file", "page_count", "processed_at", "model_version", F.coalesce("tables", F.array().cast(each.schema["tables"].dataType)).alias("tables"))
+
+
 def in_page_order(pages: DataFrame, page: str = "page_number", tables: str = "tables") -> DataFrame:
     """One row: the tables of all pages of a document in the order of pages. pages: document_id, page, tables."""
     each = F.sort_array(F.collect_list(F.struct(page, F.col(tables).alias("t"))))

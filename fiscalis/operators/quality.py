@@ -33,8 +33,10 @@ def backup(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
     return first.join(b, keys, "left").select(*keys, (~F.col("plausible") & better).alias("use_backup"))
 
 
-def page_quality(found: DataFrame, keys: list[str], page_area: int) -> DataFrame:
-    """12 for each table, 8 for its confidence, 30 for its share of the page."""
+def page_quality(found: DataFrame, keys: list[str], page_area: int, labels: tuple[str, ...] | None = None) -> DataFrame:
+    """12 for each table, 8 for its confidence, 30 for its share of the page; of the given labels only, where found has a label."""
+    if labels is not None:
+        found = found.where(F.col("label").isin(*labels))
     d = found.groupBy(*keys).agg(F.count("*").alias("n_tables"), F.sum("score").alias("confidence_sum"), F.sum(area(box())).alias("covered"))
     d = d.withColumn("share_sum", F.col("covered") / page_area).drop("covered")
     return d.withColumn("model_score", F.round(12 * F.col("n_tables") + 8 * F.col("confidence_sum") + 30 * F.col("share_sum"), 8))
@@ -53,7 +55,7 @@ def row_levels(cells: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def checked(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Checks and warnings per table, in a fixed order, joined by commas; a table without warnings is valid.
+    """Checks and warnings per table, arrays in a fixed order; a table without warnings is valid.
 
     cells: keys, row_idx, col_idx, row_span, col_span, text, text_source, level, inside (whether the cell's box meets the
     table's). The ratio is taken from the first row that has two plain numbers and a percentage: second to first number
@@ -87,8 +89,8 @@ def checked(cells: DataFrame, keys: list[str]) -> DataFrame:
         (~F.col("filled"), F.lit("no_cell_text_extracted")), (~F.col("merged"), F.lit("no_merged_cells_detected")), (~F.col("levels"), F.lit("no_header_hierarchy_detected")), (off, mismatch),
         (F.col("outside") > 0, F.concat(F.col("outside").cast("string"), F.lit("_cell_boxes_outside_table"))),
     ]
-    listed = lambda rules: F.concat_ws(",", *(F.when(c, x) for c, x in rules))
-    return t.select(*keys, listed(checks).alias("checks"), listed(warnings).alias("warnings")).withColumn("is_valid", F.col("warnings") == "")
+    listed = lambda rules: F.array_compact(F.array(*(F.when(c, x) for c, x in rules)))
+    return t.select(*keys, listed(checks).alias("checks"), listed(warnings).alias("warnings")).withColumn("is_valid", F.size("warnings") == 0)
 
 
 def cell_levels(cells: DataFrame, keys: list[str]) -> DataFrame:
@@ -101,3 +103,47 @@ def cell_levels(cells: DataFrame, keys: list[str]) -> DataFrame:
     own = low & (F.col("col_idx") == F.col("_first")) & (text != "") & ((F.col("cell_type") == "header") | (F.col("_first") > 0) | text.rlike(ENUMERATED))
     value = F.when(low & (F.col("row_span") > 1) & (text != ""), 1).when(own, F.col("_level"))
     return d.withColumn("hierarchy_level", value.cast("int")).drop("_first", "_level")
+
+
+#: The fields that a hand-off document and each of its tables have.
+ROOT_FIELDS = ("document_id", "source_file", "page_count", "processed_at", "model_version", "tables")
+TABLE_FIELDS = ("table_id", "page_number", "bbox", "grid", "continuation", "cells", "validation")
+
+
+def document_report(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """The checks of hand-off documents as they come, whose fields may be missing: (key, totals, warnings, errors, checks, ready_for_nlp) for each.
+
+    Documents are parsed as variants, so a missing field differs from a null one. Errors: missing fields of the document in
+    a fixed order, then those of its tables in their order with the table's id (unknown if it has none), then that there is
+    no cell. Warnings: over 40 % of the cells without text, over 30 % of a confidence under 0.5. What a cell doesn't state
+    counts as no text, spans of 1 and a confidence of 1. A text that is no object lacks all fields. Cells are counted in
+    their table, tables by rows of their own, so no document is one row of cells.
+    """
+    v = F.try_parse_json(F.col(text))
+    d = texts.select(key, v.alias("v"))
+    lacks = lambda of, fields, error: F.filter(F.array(*(F.when(F.try_variant_get(of, f"$.{f}", "variant").isNull(), error(f)) for f in fields)), lambda e: e.isNotNull())
+    told = lambda of, path, kind: F.try_variant_get(of, f"$.{path}", kind)
+    root = d.select(key, lacks(F.col("v"), ROOT_FIELDS, lambda f: F.lit(f"missing_root_field:{f}")).alias("_root"), told(F.col("v"), "tables", "array<variant>").alias("_tables"))
+    t = root.select(key, F.posexplode("_tables").alias("_at", "t"))
+    t = t.withColumn("_cells", F.coalesce(told(F.col("t"), "cells", "array<variant>"), F.array().cast("array<variant>")))
+    name = F.coalesce(told(F.col("t"), "table_id", "string"), F.lit("unknown"))
+    n = lambda test: F.size(F.filter("_cells", test)).cast("long")
+    over = lambda c, span: F.coalesce(told(c, span, "double"), F.lit(1.0)) > 1
+    yes = lambda path: F.coalesce(told(F.col("t"), f"continuation.{path}", "boolean"), F.lit(False))
+    t = t.select(
+        key, "_at", lacks(F.col("t"), TABLE_FIELDS, lambda f: F.concat(name, F.lit(f":missing_table_field:{f}"))).alias("_errors"), F.size("_cells").cast("long").alias("cells"),
+        n(lambda c: F.trim(F.coalesce(told(c, "raw_text", "string"), F.lit(""))) == "").alias("empty_text_cells"), n(lambda c: F.coalesce(told(c, "text_source", "string") == "ocr", F.lit(False))).alias("ocr_cells"),
+        (yes("is_continuation") | yes("continues_on_next_page")).cast("long").alias("continuation_tables"), n(lambda c: over(c, "row_span") | over(c, "col_span")).alias("merged_cells"),
+        n(lambda c: F.coalesce(told(c, "confidence", "double"), F.lit(1.0)) < 0.5).alias("low_conf_cells"),
+    )
+    counted = ("cells", "empty_text_cells", "ocr_cells", "continuation_tables", "merged_cells", "low_conf_cells")
+    ordered = F.flatten(F.transform(F.sort_array(F.collect_list(F.when(F.size("_errors") > 0, F.struct("_at", "_errors")))), lambda e: e["_errors"]))
+    per = t.groupBy(F.col(key).alias("_of")).agg(F.count("*").alias("tables"), *(F.sum(c).alias(c) for c in counted), ordered.alias("_errors"))
+    d = root.join(per, F.col(key).eqNullSafe(F.col("_of")), "left").select(key, "_root", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("tables", *counted)), F.coalesce("_errors", F.array().cast("array<string>")).alias("_errors"))
+    some = F.col("cells") > 0
+    blank, unsure = (some & (F.col(c) / F.col("cells") > part) for c, part in (("empty_text_cells", 0.4), ("low_conf_cells", 0.3)))
+    errors = F.concat("_root", "_errors", F.when(some, F.array().cast("array<string>")).otherwise(F.array(F.lit("no_cells_found"))))
+    return d.select(
+        key, F.struct("tables", *counted).alias("totals"), F.array_compact(F.array(F.when(blank, F.lit("high_empty_text_ratio")), F.when(unsure, F.lit("high_low_confidence_cell_ratio")))).alias("warnings"), errors.alias("errors"),
+        F.struct((F.size("_root") == 0).alias("has_root_fields"), some.alias("has_cells"), (~blank).alias("text_coverage_ok"), (~unsure).alias("confidence_coverage_ok")).alias("checks"), (F.size(errors) == 0).alias("ready_for_nlp"),
+    )

@@ -197,18 +197,13 @@ def profile(starts: Column, ends: Column) -> Column:
     return F.transform(wide, lambda x: F.round(x / total, 6))
 
 
-#: The fields that a hand-off document and each of its tables have.
-ROOT_FIELDS = ("document_id", "source_file", "page_count", "processed_at", "model_version", "tables")
-TABLE_FIELDS = ("table_id", "page_number", "bbox", "grid", "continuation", "cells", "validation")
-
-
-def missing_fields(json: Column, required: tuple[str, ...] = ROOT_FIELDS) -> Column:
+def missing_fields(json: Column, required: tuple[str, ...]) -> Column:
     """The required keys that a JSON object lacks, in their order."""
     return F.array_except(F.array(*map(F.lit, required)), F.coalesce(F.json_object_keys(json), F.array().cast("array<string>")))
 
 
 def quality_totals(cells: DataFrame, tables: DataFrame | None = None, errors: int = 0) -> DataFrame:
-    """Counts over all cells and whether too many are empty (over 40 %) or uncertain (over 30 % under 0.5; a missing confidence is 1). cells: table_id, raw_text, text_source, row_span, col_span, confidence; tables: table_id, is_continuation, continues_on_next_page."""
+    """Counts over all cells of one document (of several: quality.document_report) and whether too many are empty (over 40 %) or uncertain (over 30 % under 0.5; a missing confidence is 1). cells: table_id, raw_text, text_source, row_span, col_span, confidence; tables: table_id, is_continuation, continues_on_next_page."""
     found = cells.agg(
         F.count_distinct("table_id").alias("tables"), F.count("*").alias("cells"), F.count_if(F.trim(F.coalesce("raw_text", F.lit(""))) == "").alias("empty_text"), F.count_if(F.col("text_source") == "ocr").alias("ocr"),
         F.count_if((F.col("row_span") > 1) | (F.col("col_span") > 1)).alias("merged"), F.count_if(F.coalesce("confidence", F.lit(1.0)) < 0.5).alias("low_confidence"),

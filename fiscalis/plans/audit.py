@@ -83,7 +83,7 @@ def handoff_text(t):
 @query("""WITH l AS (SELECT DISTINCT l_orderkey AS page_number, l_linenumber AS idx FROM lineitem) SELECT page_number, printf('page_%03d_table_%02d', page_number, row_number() OVER (PARTITION BY page_number ORDER BY idx) - 1) AS table_id, false AS is_valid, 3 AS n_warnings FROM l""")
 def handoff_only_detected(t):
     d = t("lineitem").select(F.col("l_orderkey").alias("page_number"), F.col("l_linenumber").alias("idx")).distinct().select("*", F.lit("table").alias("label"), F.lit(0.9).alias("score"), *(F.lit(1.0).alias(c) for c in ("x1", "y1", "x2", "y2")))
-    return detections.only_detected(d).select("page_number", "table_id", "is_valid", F.size(F.split("warnings", ",")).alias("n_warnings"))
+    return detections.only_detected(d).select("page_number", "table_id", "is_valid", F.size("warnings").alias("n_warnings"))
 
 
 @query("""WITH w AS (SELECT o_custkey, list(greatest(o_orderkey % 60, 1)::DOUBLE ORDER BY o_orderkey) AS w FROM orders GROUP BY 1) SELECT o_custkey, array_to_string(list_transform(w, lambda x: printf('%.6f', round(x / list_sum(w), 6))), ' ') AS profile FROM w""")

@@ -335,7 +335,7 @@ def qa_missing_fields(t):
     a, b = F.col("event_id") % 3, F.col("event_id") % 5
     key = lambda name, there: F.when(there, F.lit(f'"{name}":1')).otherwise(F.lit(None))
     text = F.concat(F.lit("{"), F.concat_ws(",", key("document_id", F.lit(True)), key("source_file", a != 0), key("page_count", b <= 1), key("processed_at", F.lit(True)), key("model_version", F.lit(True)), key("tables", a != 1)), F.lit("}"))
-    return t("events").select("event_id", F.array_join(tables.missing_fields(text), ",").alias("missing"))
+    return t("events").select("event_id", F.array_join(tables.missing_fields(text, quality.ROOT_FIELDS), ",").alias("missing"))
 
 
 VEC = """v AS (SELECT vec_id, vec_id // 4 AS page, (vec_id % 4)::INT AS idx, CASE WHEN vec_id % 2 = 0 THEN list_transform(embedding, lambda x: abs(x::DOUBLE) + 0.05) ELSE list_transform(range(1, 33), lambda i: abs(embedding[2 * i - 1]::DOUBLE) + abs(embedding[2 * i]::DOUBLE) + 0.1) END AS p, 300 + vec_id % 90 AS width, vec_id % 70 AS x FROM embeddings)"""
@@ -527,11 +527,11 @@ def cell_hierarchy(t):
  g AS (SELECT table_id, row_idx, plain[2] * 100 / nullif(plain[1], 0) AS expected, stated FROM r WHERE len(plain) >= 2 AND stated IS NOT NULL QUALIFY row_number() OVER (PARTITION BY table_id ORDER BY row_idx) = 1),
  a AS (SELECT table_id, bool_or(trim(text) <> '') AS filled, bool_or(text_source = 'pdf_text') AS native, bool_or(text_source = 'ocr') AS ocr, bool_or(row_span > 1 OR col_span > 1) AS merged, bool_or(level IS NOT NULL) AS levels, count(*) FILTER (NOT inside) AS outside FROM x GROUP BY 1),
  w AS (SELECT *, expected IS NOT NULL AS taken, coalesce(abs(expected - stated) > 2, false) AS off FROM a LEFT JOIN g USING (table_id))
- SELECT table_id, concat_ws(',', 'grid_reconstruction', CASE WHEN filled AND native THEN 'pdf_text_fill' END, CASE WHEN filled AND ocr THEN 'ocr_fallback' END, 'merged_cell_postprocessing', CASE WHEN levels THEN 'hierarchy_assignment' END, 'continuation_linking', CASE WHEN taken THEN 'numeric_ratio_check' END, CASE WHEN outside = 0 THEN 'bounded_boxes' END) AS checks,
-  concat_ws(',', CASE WHEN NOT filled THEN 'no_cell_text_extracted' END, CASE WHEN NOT merged THEN 'no_merged_cells_detected' END, CASE WHEN NOT levels THEN 'no_header_hierarchy_detected' END, CASE WHEN off THEN 'numeric_ratio_mismatch_row_' || row_idx END, CASE WHEN outside > 0 THEN outside || '_cell_boxes_outside_table' END) AS warnings,
+ SELECT table_id, concat_ws('|', 'grid_reconstruction', CASE WHEN filled AND native THEN 'pdf_text_fill' END, CASE WHEN filled AND ocr THEN 'ocr_fallback' END, 'merged_cell_postprocessing', CASE WHEN levels THEN 'hierarchy_assignment' END, 'continuation_linking', CASE WHEN taken THEN 'numeric_ratio_check' END, CASE WHEN outside = 0 THEN 'bounded_boxes' END) AS checks,
+  concat_ws('|', CASE WHEN NOT filled THEN 'no_cell_text_extracted' END, CASE WHEN NOT merged THEN 'no_merged_cells_detected' END, CASE WHEN NOT levels THEN 'no_header_hierarchy_detected' END, CASE WHEN off THEN 'numeric_ratio_mismatch_row_' || row_idx || ': expected ' || printf('%.1f', expected) || ' vs reported ' || printf('%.1f', stated) END, CASE WHEN outside > 0 THEN outside || '_cell_boxes_outside_table' END) AS warnings,
   filled AND merged AND levels AND NOT off AND outside = 0 AS is_valid FROM w""")
 def validate_cells(t):
-    return quality.checked(_texts(t), ["table_id"]).withColumn("warnings", F.regexp_replace("warnings", r": expected -?[\d.]+ vs reported -?[\d.]+", ""))
+    return quality.checked(_texts(t), ["table_id"]).select("table_id", F.array_join("checks", "|").alias("checks"), F.array_join("warnings", "|").alias("warnings"), "is_valid")
 
 
 @query("""WITH o AS (SELECT c_nationkey AS n, o_orderstatus AS status, o_orderkey AS seq FROM orders JOIN customer ON o_custkey = c_custkey), l AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY n ORDER BY seq DESC) = 1)

@@ -89,10 +89,13 @@ def images(spark: SparkSession, path: str) -> DataFrame:
 
 
 def map_features(spark: SparkSession, path: str, name: str = "NAME_1") -> DataFrame:
-    """One row per polygon feature: its name, its type and its rings as text."""
+    """One row per polygon feature: its name, its type, its coordinates as text and its polygons (arrays of rings of points)."""
+    from fiscalis.functions.geometry import polygons
+
     schema = f"features array<struct<properties:struct<{name}:string>,geometry:struct<type:string,coordinates:string>>>"
     d = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("features").alias("f"))
-    return d.select(F.col(f"f.properties.{name}").alias("county"), F.col("f.geometry.type").alias("type"), F.col("f.geometry.coordinates").alias("coordinates"))
+    kind, at = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
+    return d.select(F.col(f"f.properties.{name}").alias("county"), kind.alias("type"), at.alias("coordinates"), polygons(kind, at).alias("polygons"))
 
 
 def finance_list(spark: SparkSession, path: str, section: str) -> DataFrame:
@@ -118,6 +121,17 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_documents(docs: DataFrame, path: str) -> None:
+    """One JSON file for each document, nulls written out; files.handoffs() reads hand-off documents back."""
+    docs.write.mode("overwrite").option("maxRecordsPerFile", 1).option("ignoreNullFields", False).json(path)
+
+
+def document_texts(spark: SparkSession, path: str) -> DataFrame:
+    """JSON files as they are: file and text, for documents whose fields vary."""
+    d = spark.read.text(path, wholetext=True, pathGlobFilter="*.json")
+    return d.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), F.col("value").alias("text"))
+
+
 def write_lines(df: DataFrame, column: str, path: str) -> None:
     """Text files, one value to a line."""
     df.select(F.col(column).cast("string")).write.mode("overwrite").text(path)
