@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fiscalis.operators.annotation import held_in
+
 WINDOW, STRIDE = 512, 461
 NATIVE = 150
 #: What counts as a number of a financial table, and the words of one.
@@ -12,6 +14,8 @@ NUMBER = r"\b\d{1,3}(?:,\d{3})+(?:\.\d+)?\b|\b\d+\.\d+\b|\b\d+%\b"
 KEYWORDS = "budget|actual|variance|total|expenditure|revenue|county|ksh|audit|statement|summary|amount|approved|collection"
 SPLIT_THOUSANDS = r"(?<=\d),\s+(?=\d)"
 AMOUNT = r"[\d,]{5,}(?:\.\d+)?"
+#: What stands for a number, and what is cut off a line's ends.
+MARK, BLANKS = "\x01", " \t\x0b\f\r"
 HEADER = r"(?i)^(Sector|Project|Location|Contract|Amount|No\.|S/N|Budget)"
 
 
@@ -32,20 +36,17 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", longe
     return d.select(id_col, "line_no", F.trim("line").alias("line")).where(F.length("line") > longer_than)
 
 
-def sections(docs: DataFrame, heading: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Texts from one heading to the next; what stands before the first is left out."""
-    pieces = F.posexplode(F.split(F.coalesce(text_col, F.lit("")), f"(?={heading})"))
-    return docs.select(id_col, pieces.alias("piece", "section")).where(F.col("section").rlike(f"^{heading}"))
-
-
 def page_features(pages: DataFrame, id_cols: list[str], text_col: str = "text") -> DataFrame:
     """Counts per page and their weighted score: 1.2 numbers, 0.8 keywords, 5 lines of three or more numbers, 0.2 lines over 80 characters."""
-    lines_ = F.filter(F.transform(F.split(F.coalesce(text_col, F.lit("")), "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
-    each = F.transform(lines_, lambda x: F.struct(F.regexp_count(x, F.lit(NUMBER)).alias("n"), F.length(x).alias("size")))  # no number goes over a line's end
-    d = pages.select(*id_cols, each.alias("l"), F.regexp_count(F.coalesce(text_col, F.lit("")), F.lit(f"(?i){KEYWORDS}")).alias("keyword_hits"))
+    text = F.coalesce(text_col, F.lit(""))
+    marks = lambda x: F.octet_length(x) - F.octet_length(F.replace(x, F.lit(MARK), F.lit("")))
+    # the whole text is searched once and each number, none of which goes over a line's end, becomes a mark
+    marked = F.regexp_replace(F.replace(text, F.lit(MARK), F.lit(" ")), NUMBER, MARK)
+    sizes = F.filter(F.transform(F.split(text, "\n"), lambda x: F.length(F.btrim(x, F.lit(BLANKS)))), lambda n: n > 0)
+    d = pages.select(*id_cols, marked.alias("m"), sizes.alias("l"), F.regexp_count(text, F.lit(f"(?i){KEYWORDS}")).alias("keyword_hits"))
     d = d.select(
-        *id_cols, F.size("l").alias("line_count"), F.aggregate("l", F.lit(0), lambda s, x: s + x["n"]).alias("num_hits"), "keyword_hits",
-        F.size(F.filter("l", lambda x: x["n"] >= 3)).alias("dense_lines"), F.size(F.filter("l", lambda x: x["size"] > 80)).alias("long_lines"),
+        *id_cols, F.size("l").alias("line_count"), marks(F.col("m")).alias("num_hits"), "keyword_hits", F.size(F.filter(F.split("m", "\n"), lambda x: marks(x) >= 3)).alias("dense_lines"),
+        F.size(F.filter("l", lambda n: n > 80)).alias("long_lines"),
     )
     return d.withColumn("score", F.round(1.2 * F.col("num_hits") + 0.8 * F.col("keyword_hits") + 5 * F.col("dense_lines") + 0.2 * F.col("long_lines"), 3))
 
@@ -113,3 +114,55 @@ def report_text(pages: DataFrame, key: str, page: str = "page", text_col: str =
 
     each = F.sort_array(F.collect_list(F.struct(F.col(page).alias("p"), F.coalesce(text_col, F.lit("")).alias("t"))))
     return pages.groupBy(key).agg(F.array_join(F.transform(each, lambda x: page_heading(x["p"], x["t"])), "\n\n").alias("text"))
+
+
+def _runs(w: Column, k: int) -> Column:
+    """Where runs of k words begin."""
+    return F.when(F.size(w) >= k, F.sequence(F.lit(0), F.size(w) - k)).otherwise(F.array().cast("array<int>"))
+
+
+def holding(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(item, doc) for each row of items whose text is held in the text of a row of docs; null texts hold nothing and are held in none, an empty one is held in all.
+
+    Words stand between blanks and line feeds; all but an item's first and last are whole words of every text that holds
+    it. So an item of three or more words is looked up by up to three from its middle, and one of fewer in the different
+    words, or pairs of words, of all texts, through an index of grams. What is found is compared as text. Each different
+    text is looked up once; repeated rows are repeated in the result.
+    """
+    words = lambda c: F.split(c, r"[ \n]")
+    b = items.select(F.col(text_col).alias("inner")).where("inner <> ''").distinct().withColumn("w", words("inner")).withColumn("n", F.size("w"))
+    sizes = {r[0] for r in b.select(F.least("n", F.lit(5))).distinct().collect()}  # at most five values
+    d = docs.select(F.col(doc_col).alias("doc"), F.col(text_col).alias("text")).where("text is not null").withColumn("row", F.xxhash64("doc", "text"))
+    w = d.select("row", words("text").alias("w"))
+    hits = None
+
+    def add(found: DataFrame) -> None:
+        nonlocal hits
+        hits = found if hits is None else hits.unionByName(found)
+
+    def looked_up(k: int) -> DataFrame:
+        """Items of k + 2 words (or more, for three) by their k middle ones."""
+        key = lambda of, i: F.xxhash64(*(F.get(of, i + j) for j in range(k)))
+        keys = w.select("row", F.explode(F.array_distinct(F.transform(_runs(F.col("w"), k), lambda i: key(F.col("w"), i)))).alias("key"))
+        own = b.where(F.col("n") == k + 2 if k < 3 else F.col("n") >= k + 2)
+        return keys.join(own.select("inner", key(F.col("w"), F.floor((F.col("n") - k) / 2).cast("int")).alias("key")), "key").select("row", "inner")
+
+    def within(k: int) -> DataFrame:
+        """Items of k words in runs of k words, with blanks for all that parts words."""
+        run = lambda i: F.array_join(F.slice("w", i + 1, F.lit(k)), " ")
+        each = w.select("row", F.explode(F.array_distinct(F.transform(_runs(F.col("w"), k), run))).alias("part"))
+        one = F.lit(0).alias("folder")
+        own = b.where(F.col("n") == k).select("inner", F.translate("inner", "\n", " ").alias("plain"))
+        near = held_in(own.select(one, "plain"), each.select(one, "part"), "plain", "part")
+        near = near.select(F.col("outer").alias("part"), F.col("inner").alias("plain")).join(own, "plain")
+        return each.join(near, "part").select("row", "inner")
+
+    for n in sorted(sizes):
+        add(within(n) if n < 3 else looked_up(n - 2))
+    told = items.select(F.col(item_col).alias("item"), F.col(text_col).alias("inner"))
+    empty = told.where("inner = ''").agg(F.collect_list("item").alias("items"))  # one row
+    out = d.join(F.broadcast(empty)).select(F.explode("items").alias("item"), "doc")
+    if hits is None:
+        return out
+    held = d.join(hits.distinct(), "row").where(F.contains("text", "inner")).select("doc", "inner")
+    return out.unionByName(held.join(told, "inner").select("item", "doc"))

@@ -31,7 +31,7 @@ def detections(found: DataFrame, truth: DataFrame, keys: list[str], least: float
     its IoU suffices (which is over 0). Both sides empty: all 1, no truth: 0, 1, 0, no detection: 1, 0, 0. found: keys, idx, score, box.
     """
     own = Window.partitionBy(*keys, "idx").orderBy(F.desc("iou"), "b_idx")
-    best = pairs(found, truth, keys, least).withColumn("_n", F.row_number().over(own)).where("_n = 1")  # one that is under least is no detection's best if another one isn't
+    best = pairs(found, truth, keys, least, dense=False).withColumn("_n", F.row_number().over(own)).where("_n = 1")  # one that is under least is no detection's best if another one isn't
     taken = Window.partitionBy(*keys, "b_idx").orderBy(F.desc("score"), "idx")
     tp = best.withColumn("_n", F.row_number().over(taken)).where("_n = 1").groupBy(*keys).agg(F.count("*").alias("tp"))
     d = found.groupBy(*keys).agg(F.count("*").alias("nd")).join(truth.groupBy(*keys).agg(F.count("*").alias("ng")), keys, "full_outer").join(tp, keys, "left")
@@ -157,28 +157,57 @@ def border_f1(truth: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
     return d.select(*keys, edge_f1(zero("both"), zero("na"), zero("nb")).alias("top"))
 
 
-def structure(truth: DataFrame, found: DataFrame, keys: list[str], strict: bool = True) -> DataFrame:
-    """Topology, content, location, their mean and the weight (slots of the truth) of each table that both sides have; cells as in slots(), with boxes.
+def _measured(truth: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """Per table that both sides have: slots of each (na, nb), those of equal owners (same), with texts (ta, tb), with equal ones (texts), sum of IoUs (overlap), rows and columns of the truth's grid.
+
+    Cells of both sides are dealt by table once; everything after that, owners' texts, slots, both sides of a slot, counts,
+    is grouped within what one task has.
+    """
+    sides = ("x1", "y1", "x2", "y2")
+
+    def side(d: DataFrame, name: str) -> DataFrame:
+        told = lambda c, kind: (F.col(c) if c in d.columns else F.lit(None)).cast(kind).alias(c)
+        known = F.lit(True)
+        for k in keys:
+            known = known & F.col(k).isNotNull()
+        return d.where(known).select(*keys, F.lit(name).alias("side"), "cell_idx", "row_idx", "col_idx", "row_span", "col_span", "text", *(told(c, "double") for c in sides), *(told(c, "int") for c in ("n_rows", "n_cols")))
+
+    every = side(truth, "a").unionByName(side(found, "b")).repartition(*keys)
+    reach = lambda at, span: F.sequence(F.coalesce(at, F.lit(0)), F.coalesce(at, F.lit(0)) + _span(span) - 1)
+    far = lambda at, span, told: F.when(F.col("side") == "a", F.greatest(F.coalesce(at, F.lit(0)) + _span(span), F.coalesce(told, F.lit(0))))
+    d = every.select(*keys, "side", "cell_idx", cell_key().alias("owner"), plain(F.col("text")).alias("text"), F.struct(*sides).alias("box"), reach("row_idx", "row_span").alias("rs"), reach("col_idx", "col_span").alias("cs"),
+        far("row_idx", "row_span", "n_rows").alias("rows"), far("col_idx", "col_span", "n_cols").alias("cols"))
+    d = d.withColumn("text", F.max_by("text", "cell_idx").over(Window.partitionBy(*keys, "side", "owner")))
+    most = [F.max(c).alias(c) for c in ("rows", "cols")]
+    d = d.withColumn("r", F.explode("rs")).withColumn("c", F.explode("cs")).groupBy(*keys, "side", "r", "c").agg(
+        F.min_by(F.struct("owner", "text"), "cell_idx").alias("o"), F.max_by("box", F.when(F.col("box.x1").isNotNull(), F.col("cell_idx"))).alias("box"), *most
+    )
+    of = lambda name, value: F.first(F.when(F.col("side") == name, value), ignorenulls=True)
+    d = d.groupBy(*keys, "r", "c").agg(*(of(name, F.col(c)).alias(f"{name}_{c}") for name in "ab" for c in ("o", "box")), *most)
+    part = lambda name: tuple(F.col(f"{name}_box")[x] for x in sides)
+    filled = lambda name: F.count_if(F.col(f"{name}_o.text") != "")
+    n = d.groupBy(*keys).agg(
+        F.count("a_o").alias("na"), F.count("b_o").alias("nb"), F.count_if(F.col("a_o.owner") == F.col("b_o.owner")).alias("same"), filled("a").alias("ta"), filled("b").alias("tb"),
+        F.count_if((F.col("a_o.text") == F.col("b_o.text")) & (F.col("a_o.text") != "")).alias("texts"),
+        F.sum(F.when(F.col("a_box.x1").isNotNull() & F.col("b_box.x1").isNotNull(), iou(part("a"), part("b"))).otherwise(0.0)).alias("overlap"), *most,
+    )
+    return n.where("na > 0 and nb > 0")
+
+
+def structure(truth: DataFrame, found: DataFrame, keys: list[str], strict: bool = True, digits: int | None = 4) -> DataFrame:
+    """Topology, content, location, their mean and the weight (slots of the truth) of each table that both sides have, rounded unless digits is None; cells as in slots(), with boxes.
 
     Strict: topology is F1 of equal owners over slots, location the mean IoU over the truth's slots. Else: topology is F1 of
     borders, location the sum of greedily matched IoUs over the larger number of boxes. Content is F1 of equal texts over
     slots in both; slots that are empty on both sides don't count. Cells without boxes overlap nothing.
     """
-    both = truth.select(*keys).distinct().join(found.select(*keys).distinct(), keys, "left_semi")
-    unknown = {c: F.lit(None).cast("double") for c in ("x1", "y1", "x2", "y2")}
-    truth, found = ((d if "x1" in d.columns else d.withColumns(unknown)).join(both, keys, "left_semi") for d in (truth, found))
-    a, b = (slots(d, keys).select(*keys, "r", "c", *(F.col(x).alias(f"{side}_{x}") for x in ("owner", "text", "box"))) for d, side in ((truth, "a"), (found, "b")))
-    part = lambda side: tuple(F.col(f"{side}_box")[x] for x in ("x1", "y1", "x2", "y2"))
-    filled = lambda side: F.count_if(F.col(f"{side}_text") != "")
-    n = a.join(b, [*keys, "r", "c"], "full_outer").groupBy(*keys).agg(
-        F.count("a_owner").alias("na"), F.count("b_owner").alias("nb"), F.count_if(F.col("a_owner") == F.col("b_owner")).alias("same"), filled("a").alias("ta"), filled("b").alias("tb"),
-        F.count_if((F.col("a_text") == F.col("b_text")) & (F.col("a_text") != "")).alias("texts"),
-        F.sum(F.when(F.col("a_box").isNotNull() & F.col("b_box").isNotNull(), iou(part("a"), part("b"))).otherwise(0.0)).alias("overlap"),
-    )
-    n = n.withColumn("con", edge_f1(F.col("texts"), F.col("ta"), F.col("tb")))
+    n = _measured(truth, found, keys).withColumn("con", edge_f1(F.col("texts"), F.col("ta"), F.col("tb")))
     if strict:
-        d = n.withColumn("top", edge_f1(F.col("same"), F.col("na"), F.col("nb"))).withColumn("loc", F.when(F.col("na") > 0, F.col("overlap") / F.col("na")).otherwise(1.0))
+        d = n.withColumn("top", edge_f1(F.col("same"), F.col("na"), F.col("nb"))).withColumn("loc", F.col("overlap") / F.col("na"))
     else:
+        both = truth.select(*keys).distinct().join(found.select(*keys).distinct(), keys, "left_semi")
+        unknown = {c: F.lit(None).cast("double") for c in ("x1", "y1", "x2", "y2")}
+        truth, found = ((d if "x1" in d.columns else d.withColumns(unknown)).join(both, keys, "left_semi") for d in (truth, found))
         boxes = lambda d: d.where("x1 is not null").select(*keys, F.col("cell_idx").alias("idx"), "x1", "y1", "x2", "y2")
         touching = pairs(boxes(truth), boxes(found), keys, 1e-12).select(*keys, F.col("idx").cast("long").alias("a"), F.col("b_idx").cast("long").alias("b"), F.col("iou").cast("double").alias("iou"))
         total = greedy_pairs(touching, keys).groupBy(*keys).agg(F.sum("iou").alias("total"))
@@ -186,23 +215,57 @@ def structure(truth: DataFrame, found: DataFrame, keys: list[str], strict: bool
         most = F.greatest(F.coalesce("ba", F.lit(0)), F.coalesce("bb", F.lit(0)))
         loc = F.when(most > 0, F.coalesce("total", F.lit(0.0)) / most).otherwise(1.0)
         d = n.join(border_f1(truth, found, keys), keys).join(count(truth, "ba"), keys, "left").join(count(found, "bb"), keys, "left").join(total, keys, "left").withColumn("loc", loc)
-    d = d.join(shape(truth, keys), keys).withColumn("total", (F.col("top") + F.col("con") + F.col("loc")) / 3)
-    return d.select(*keys, *(F.round(c, 4).alias(c) for c in ("top", "con", "loc", "total")), F.greatest(F.lit(1), F.col("rows") * F.col("cols")).alias("weight"))
+    d = d.withColumn("total", (F.col("top") + F.col("con") + F.col("loc")) / 3)
+    value = lambda c: F.col(c) if digits is None else F.round(c, digits).alias(c)
+    return d.select(*keys, *map(value, ("top", "con", "loc", "total")), F.greatest(F.lit(1), F.col("rows") * F.col("cols")).alias("weight"))
 
 
-def same_tables(truth: DataFrame, found: DataFrame, least: float | None = None) -> DataFrame:
-    """Pairs (a, b, score, method) of tables: by their id, or, given a least IoU, by boxes on one page, best first. Tables: table_id, idx, page_number and x1 to y2; of found tables that share an id the last counts."""
+def same_tables(truth: DataFrame, found: DataFrame, least: float | None = None, doc: str = "document_id") -> DataFrame:
+    """Pairs (doc, a, b, score, method) of tables: by their id, or, given a least IoU, by boxes on one page, best first. Tables: table_id, idx, page_number and x1 to y2, and doc, where they are of several documents, which then never mix; of found tables that share an id the last counts."""
+    of = [doc] if doc in truth.columns else []
     if least is None:
-        last = found.where("coalesce(table_id, '') <> ''").groupBy("table_id").agg(F.max("idx").alias("b"))
-        d = truth.where("coalesce(table_id, '') <> ''").select("table_id", F.col("idx").alias("a")).join(last, "table_id")
-        return d.select("a", "b", F.lit(1.0).alias("score"), F.lit("table_id").alias("method"))
-    near = pairs(truth, found, ["page_number"], least).select("page_number", F.col("idx").cast("long").alias("a"), F.col("b_idx").cast("long").alias("b"), F.col("iou").cast("double").alias("iou"))
-    return greedy_pairs(near, ["page_number"]).select("a", "b", F.col("iou").alias("score"), F.lit("bbox").alias("method"))
+        last = found.where("coalesce(table_id, '') <> ''").groupBy(*of, "table_id").agg(F.max("idx").alias("b"))
+        d = truth.where("coalesce(table_id, '') <> ''").select(*of, "table_id", F.col("idx").alias("a")).join(last, [*of, "table_id"])
+        return d.select(*of, "a", "b", F.lit(1.0).alias("score"), F.lit("table_id").alias("method"))
+    page = [*of, "page_number"]
+    near = pairs(truth, found, page, least, dense=False).select(*page, F.col("idx").cast("long").alias("a"), F.col("b_idx").cast("long").alias("b"), F.col("iou").cast("double").alias("iou"))
+    return greedy_pairs(near, page).select(*of, "a", "b", F.col("iou").alias("score"), F.lit("bbox").alias("method"))
+
+
+def unmatched(tables: DataFrame, matched: DataFrame, side: str, doc: str = "document_id") -> DataFrame:
+    """The tables whose index (and document, where they have one) is on no pair's side a or b."""
+    of = [doc] if doc in tables.columns else []
+    return tables.join(matched.select(*of, F.col(side).alias("idx")).distinct(), [*of, "idx"], "left_anti")
 
 
-def unmatched(tables: DataFrame, matched: DataFrame, side: str) -> DataFrame:
-    """The tables whose index is on no pair's side a or b."""
-    return tables.join(matched.select(F.col(side).alias("idx")).distinct(), "idx", "left_anti")
+def report(truth: DataFrame, found: DataFrame, truth_cells: DataFrame, found_cells: DataFrame, strict: bool = False, least: float | None = None, doc: str = "document_id") -> tuple[DataFrame, DataFrame]:
+    """The scores of matched tables, and one row per document: counts of tables, matched and unmatched ones, means weighted by cells (0 without a match), and the ids of unmatched tables in their order.
+
+    Tables as same_tables() takes them, with doc; cells: doc, idx (of their table), and as structure() takes them. Documents
+    of either side have a row. A document's unmatched ids are one array, bounded by its tables.
+    """
+    pairs_ = cut(same_tables(truth, found, least, doc))
+    keys = [doc, "truth_idx", "found_idx"]
+    own = pairs_.withColumnsRenamed({"a": "truth_idx", "b": "found_idx"})
+    side = lambda cells, name: cells.withColumnRenamed("idx", name).join(own.select(keys), [doc, name])
+    scored = structure(side(truth_cells, "truth_idx"), side(found_cells, "found_idx"), keys, strict, digits=None)
+    ids = lambda d, name, *more: d.select(doc, F.col("idx").alias(f"{name}_idx"), F.col("table_id").alias(f"{name}_id"), *more)
+    zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
+    per = own.join(scored, keys, "left").join(ids(truth, "truth", "page_number"), [doc, "truth_idx"]).join(ids(found, "found"), [doc, "found_idx"])
+    per = per.select(doc, "truth_id", "found_id", "page_number", "method", F.round("score", 4).alias("score"), F.coalesce("weight", F.lit(1)).alias("weight"), *map(zero, ("top", "con", "loc", "total")))
+    per = cut(per)
+    listed = lambda d, name: d.groupBy(doc).agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", "table_id"))), lambda x: x["table_id"]).alias(name))
+    n = lambda d, name: d.groupBy(doc).agg(F.count("*").alias(name))
+    mean = lambda c: F.round(F.sum(F.col(c) * F.col("weight")) / F.sum("weight"), 4).alias(c)
+    d = n(truth, "truth_tables").join(n(found, "found_tables"), doc, "full_outer").join(per.groupBy(doc).agg(F.count("*").alias("matched"), *map(mean, ("top", "con", "loc", "total"))), doc, "left")
+    d = d.join(listed(unmatched(truth, pairs_, "a"), "truth_unmatched"), doc, "left").join(listed(unmatched(found, pairs_, "b"), "found_unmatched"), doc, "left")
+    none = F.array().cast("array<string>")
+    four = lambda c: F.round(c, 4).alias(c)
+    per = per.select(*(four(c) if c in ("top", "con", "loc", "total") else c for c in per.columns))
+    whole = d.select(
+        doc, *(F.coalesce(c, F.lit(0)).alias(c) for c in ("truth_tables", "found_tables", "matched")), *map(zero, ("top", "con", "loc", "total")), *(F.coalesce(c, none).alias(c) for c in ("truth_unmatched", "found_unmatched"))
+    )
+    return per, whole
 
 
 def weighted(per_table: DataFrame, columns: list[str], weight: str, digits: int = 4) -> DataFrame:

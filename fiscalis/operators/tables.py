@@ -10,7 +10,7 @@ from fiscalis.functions.geometry import box, iou, overlap
 LINK = 0.82
 
 
-#: Pairs of a page up to which it is one tile, and tiles of a page along one side at most.
+#: Pairs of a page up to which it isn't cut into tiles, and tiles of a page along one side at most.
 FEW_PAIRS = 4096
 MOST_TILES = 1024
 SIDES = ("x1", "y1", "x2", "y2")
@@ -27,44 +27,55 @@ def _page_tiles(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return found.select(*(F.col(k).alias(f"_k_{k}") for k in keys), "_x", "_y", "_g", (F.col("_w") / F.col("_g")).alias("_w"), (F.col("_h") / F.col("_g")).alias("_h"))
 
 
+def _dense(a: DataFrame, b: DataFrame, keys: list[str]) -> bool:
+    """Whether some page has more than FEW_PAIRS pairs."""
+    side = lambda d, mine: d.select(*keys, F.lit(mine).alias("_mine"))
+    n = side(a, True).unionByName(side(b, False)).groupBy(*keys).agg(F.count_if("_mine").alias("_a"), F.count_if(~F.col("_mine")).alias("_b"))
+    return (n.agg(F.max(F.col("_a") * F.col("_b"))).first()[0] or 0) > FEW_PAIRS
+
+
 def _tile(at: Column, start: str, step: str) -> Column:
     return F.least(F.floor((at - F.col(start)) / F.col(step)).cast("int"), F.col("_g") - 1)
 
 
-def meeting(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+def meeting(a: DataFrame, b: DataFrame, keys: list[str], dense: bool | None = None) -> DataFrame:
     """The pairs of boxes of a and b on one page that share some area: a's columns and b's, prefixed b_. keys may be null on both sides; boxes without area, or with a null side, meet none.
 
-    A page with many boxes is cut into tiles. A box goes to all tiles that it touches, boxes meet within a tile, and a pair
+    dense says whether pages may have many boxes; None: they are counted first. If not, boxes are joined by page alone. Else each page with many boxes is cut into tiles. A box goes to all tiles that it touches, boxes meet within a tile, and a pair
     is given out by the tile that holds the upper left corner of what it shares, so once. A dense page is dealt to many tasks.
     """
     solid = lambda d: d.where((F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")))
     a, b = solid(a), solid(b)
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"b_{k}"))
+    for low, high in (("x1", "x2"), ("y1", "y2")):
+        on = on & (F.col(low) < F.col(f"b_{high}")) & (F.col(f"b_{low}") < F.col(high))
+    named = [F.col(c).alias(f"b_{c}") for c in b.columns]
+    if not (_dense(a, b, keys) if dense is None else dense):
+        return a.join(b.select(*named), on)
     page = _page_tiles(a, b, keys)
 
     def dealt(d: DataFrame, x: str, y: str) -> DataFrame:
-        on = F.lit(True)
+        at = F.lit(True)
         for k in keys:
-            on = on & d[k].eqNullSafe(F.col(f"_k_{k}"))
+            at = at & d[k].eqNullSafe(F.col(f"_k_{k}"))
         reach = lambda low, high, start, step: F.explode(F.sequence(_tile(F.col(low), start, step), _tile(F.col(high), start, step)))
-        d = d.join(page, on).withColumn(x, reach("x1", "x2", "_x", "_w")).withColumn(y, reach("y1", "y2", "_y", "_h"))
+        d = d.join(page, at).withColumn(x, reach("x1", "x2", "_x", "_w")).withColumn(y, reach("y1", "y2", "_y", "_h"))
         return d.drop(*(f"_k_{k}" for k in keys))
 
     left = dealt(a, "_tx", "_ty")
-    right = dealt(b, "_bx", "_by").select("_bx", "_by", *(F.col(c).alias(f"b_{c}") for c in b.columns))
-    on = (F.col("_tx") == F.col("_bx")) & (F.col("_ty") == F.col("_by"))
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"b_{k}"))
-    for low, high in (("x1", "x2"), ("y1", "y2")):
-        on = on & (F.col(low) < F.col(f"b_{high}")) & (F.col(f"b_{low}") < F.col(high))
+    right = dealt(b, "_bx", "_by").select("_bx", "_by", *named)
+    on = on & (F.col("_tx") == F.col("_bx")) & (F.col("_ty") == F.col("_by"))
     own = (_tile(F.greatest("x1", "b_x1"), "_x", "_w") == F.col("_tx")) & (_tile(F.greatest("y1", "b_y1"), "_y", "_h") == F.col("_ty"))
     return left.join(right, on & own).select(*a.columns, *(f"b_{c}" for c in b.columns))
 
 
-def pairs(a: DataFrame, b: DataFrame, keys: list[str], least: float) -> DataFrame:
-    """Boxes of a and b on one page with at least that IoU (over 0): a's rows and b's (prefixed b_), and iou."""
+def pairs(a: DataFrame, b: DataFrame, keys: list[str], least: float, dense: bool | None = None) -> DataFrame:
+    """Boxes of a and b on one page with at least that IoU (over 0): a's rows and b's (prefixed b_), and iou; dense as in meeting()."""
     if least <= 0:
         raise ValueError("least must be over 0")
-    return meeting(a, b, keys).withColumn("iou", iou(box(), box("b_"))).where(F.col("iou") >= least)
+    return meeting(a, b, keys, dense).withColumn("iou", iou(box(), box("b_"))).where(F.col("iou") >= least)
 
 
 def words_in_cells(words: DataFrame, cells: DataFrame, keys: list[str], cell_id: str, least: float = 0.2) -> DataFrame:

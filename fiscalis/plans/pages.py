@@ -121,9 +121,9 @@ def text_entities(t):
     return d.select("sent", "project_name", "amounts", "kind", F.length("sentence").alias("n_chars"))
 
 
-@query("SELECT conv_id, turn, length(text)::INT AS likes FROM conversations WHERE role = 'user' ORDER BY length(text) DESC, conv_id DESC, turn DESC LIMIT 100")
+@query("SELECT conv_id, turn, length(text)::INT AS likes FROM conversations ORDER BY length(text) DESC, conv_id DESC, turn DESC LIMIT 100")
 def posts_feed(t):
-    return mart.feed(t("conversations").where("role = 'user'").select("conv_id", "turn", F.length("text").alias("likes")), "likes", "conv_id", "turn")
+    return mart.feed(t("conversations").select("conv_id", "turn", F.length("text").alias("likes")), "likes", "conv_id", "turn")
 
 
 def _boxes(t, side: str = "true") -> DataFrame:
@@ -153,7 +153,7 @@ IOU = """p AS (SELECT *, CASE WHEN u > 0 THEN i / u ELSE 0.0::DOUBLE END AS iou
 
 @query(f"{BOTH}, {IOU} SELECT page, idx, b_idx, round(iou, 6) AS iou FROM p WHERE iou >= 0.3")
 def geo_iou_pairs(t):
-    return tables.pairs(*_sides(t), ["page"], 0.3).select("page", "idx", "b_idx", F.round("iou", 6).alias("iou"))
+    return tables.pairs(*_sides(t), ["page"], 0.3, dense=False).select("page", "idx", "b_idx", F.round("iou", 6).alias("iou"))
 
 
 def _sql_greedy(name: str, pairs: str, key: str) -> str:
@@ -170,7 +170,7 @@ GREEDY = _sql_greedy("g", "(SELECT page, idx AS a, b_idx AS b, iou::DOUBLE AS io
 
 @query(f"{BOTH.replace('WITH', 'WITH RECURSIVE', 1)}, {IOU}, {GREEDY} SELECT * FROM g")
 def geo_greedy_match(t):
-    found = tables.pairs(*_sides(t), ["page"], 0.3).select("page", F.col("idx").alias("a"), F.col("b_idx").alias("b"), "iou")
+    found = tables.pairs(*_sides(t), ["page"], 0.3, dense=False).select("page", F.col("idx").alias("a"), F.col("b_idx").alias("b"), "iou")
     return scoring.greedy_pairs(found, ["page"])
 
 
@@ -314,6 +314,25 @@ def score_default(t):
     return scoring.structure(_cells(t, 0), _cells(t, 1), ["table_id"], strict=False)
 
 
+@query(f"""WITH t AS (SELECT DISTINCT o_custkey AS doc, o_orderkey AS tid, o_orderkey % 7 AS s FROM orders), a AS (SELECT * FROM t WHERE s > 0), b AS (SELECT * FROM t WHERE s <> 3), m AS (SELECT a.doc, a.tid, a.tid % 4 + 1 AS w, CASE WHEN a.s = 5 THEN 0 ELSE 1 END AS con FROM a JOIN b ON a.doc = b.doc AND a.tid = b.tid),
+ n AS (SELECT doc, count(*) AS matched, round(sum(w * con) / sum(w), 4) AS con, round(sum(w * (2 + con) / 3) / sum(w), 4) AS total FROM m GROUP BY 1), d AS (SELECT DISTINCT doc FROM t WHERE s > 0 OR s <> 3)
+ SELECT d.doc AS document_id, (SELECT count(*) FROM a WHERE a.doc = d.doc) AS truth_tables, (SELECT count(*) FROM b WHERE b.doc = d.doc) AS found_tables, coalesce(matched, 0) AS matched, coalesce(con, 0) AS con, coalesce(total, 0) AS total,
+  coalesce((SELECT string_agg('t' || tid, ',' ORDER BY tid) FROM a WHERE a.doc = d.doc AND s = 3), '') AS truth_unmatched, coalesce((SELECT string_agg('t' || tid, ',' ORDER BY tid) FROM b WHERE b.doc = d.doc AND s = 0), '') AS found_unmatched FROM d LEFT JOIN n ON n.doc = d.doc""")
+def score_report(t):
+    """Customers as documents, orders as tables of up to four cells in a row; some are missing on one side, some have other texts."""
+    o = t("orders").select(F.col("o_custkey").alias("document_id"), F.col("o_orderkey").alias("idx"), F.concat(F.lit("t"), F.col("o_orderkey").cast("string")).alias("table_id"), F.lit(1).alias("page_number"), (F.col("o_orderkey") % 7).alias("s"))
+    o = o.select("*", *(F.lit(x).alias(c) for c, x in (("x1", 0.0), ("y1", 0.0), ("x2", 9.0), ("y2", 9.0))))
+    k = F.col("c").cast("double")
+
+    def cells(d: DataFrame, text) -> DataFrame:
+        d = d.withColumn("c", F.explode(F.sequence(F.lit(0), (F.col("idx") % 4).cast("int"))))
+        return d.select("document_id", "idx", F.col("c").alias("cell_idx"), F.lit(0).alias("row_idx"), F.col("c").alias("col_idx"), F.lit(1).alias("row_span"), F.lit(1).alias("col_span"), text.alias("text"), k.alias("x1"), F.lit(0.0).alias("y1"), (k + 1).alias("x2"), F.lit(1.0).alias("y2"))
+
+    a, b = o.where("s > 0"), o.where("s <> 3")
+    _, whole = scoring.report(a, b, cells(a, F.lit("x")), cells(b, F.when(F.col("s") == 5, "y").otherwise("x")))
+    return whole.select("document_id", "truth_tables", "found_tables", "matched", "con", "total", F.array_join("truth_unmatched", ",").alias("truth_unmatched"), F.array_join("found_unmatched", ",").alias("found_unmatched"))
+
+
 @query(STRICT + """, r AS (SELECT round(top, 4) AS top, round(con, 4) AS con, round(loc, 4) AS loc, round((top + con + loc) / 3, 4) AS total, weight FROM m)
  SELECT round(sum(top * weight) / sum(weight), 3) AS top, round(sum(con * weight) / sum(weight), 3) AS con, round(sum(loc * weight) / sum(weight), 3) AS loc, round(sum(total * weight) / sum(weight), 3) AS total FROM r""")
 def score_overall(t):
@@ -552,17 +571,4 @@ def citizen_strip(t):
 
 @query("""SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)""")
 def name_contains(t):
-    """Items inside documents, each pair of rows once: joined on three words from the middle of the item and verified. Words stand between blanks and line feeds;
-    all but an item's first and last are whole words of every text that holds it. Items of fewer words are compared with every document."""
-    words = lambda c: F.split(c, r"[ \n]")
-    three = lambda w, i: F.xxhash64(*(F.get(w, i + k) for k in range(3)))
-    b = t("benchmark").select("item_id", F.col("text").alias("inner"), words("text").alias("w")).withColumn("n", F.size("w"))
-    keyed = b.where("n >= 5").select("item_id", "inner", three(F.col("w"), F.floor(F.col("n") / 2).cast("int") - 1).alias("key"))
-    d = t("documents").select("doc_id", "text", words("text").alias("w"))
-    starts = F.when(F.size("w") >= 3, F.sequence(F.lit(0), F.size("w") - 3)).otherwise(F.array().cast("array<int>"))
-    d = d.withColumn("row", F.xxhash64("doc_id", "text"))
-    keys = d.select("doc_id", "row", F.explode(F.array_distinct(F.transform(starts, lambda i: three(F.col("w"), i)))).alias("key"))  # the text itself goes to pairs only
-    pairs = keys.join(keyed, "key").groupBy(F.col("doc_id").alias("of"), F.col("row").alias("at"), "item_id", "inner").agg(F.count("*").alias("n"))
-    found = d.join(pairs, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("row") == F.col("at"))).where(F.contains("text", "inner")).select("item_id", "doc_id")
-    short = t("documents").join(F.broadcast(b.where("n < 5").select("item_id", "inner")), F.contains("text", "inner")).select("item_id", "doc_id")
-    return found.unionByName(short)
+    return D.holding(t("documents"), t("benchmark")).select(F.col("item").alias("item_id"), F.col("doc").alias("doc_id"))

@@ -96,4 +96,22 @@ def test_streaming_sessions(spark, data, tmp_path):
     out = sessions(stream).writeStream.format("memory").queryName("found").outputMode("append").option("checkpointLocation", str(tmp_path)).trigger(availableNow=True).start()
     out.awaitTermination()
     batch = {tuple(r) for r in sessions(events).collect()}
-    assert {tuple(r) for r in spark.table("found").collect()} <= batch
+    from datetime import timedelta
+
+    got = {tuple(r) for r in spark.table("found").collect()}
+    assert got <= batch
+    # what the watermark has passed is given out: all sessions that ended, gap included, over an hour before the last event
+    last = max(r.ts for r in events.select("ts").collect())
+    of: dict = {}
+    for r in events.orderBy("ts").collect():
+        of.setdefault(r.user_id, []).append(r.ts)
+    closed = set()
+    for user, times in of.items():
+        start, n = times[0], 0
+        for at, after in zip(times, [*times[1:], None]):
+            n += 1
+            if after is None or after - at >= timedelta(minutes=30):
+                if at + timedelta(minutes=30) < last - timedelta(hours=1):
+                    closed.add((user, start, n))
+                start, n = after, 0
+    assert closed and closed <= got
