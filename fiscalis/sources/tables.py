@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df, as read from files. Where these have fewer splits than the application has cores (a small table in one file), its rows are dealt anew to all of them; larger inputs stay as they are read, without a shuffle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
+    """df, as read from files. Where these are too small to be split for all cores of the application (each split has openCostInBytes at least), rows are dealt anew to all of them; larger inputs stay as they are read, without a shuffle."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    least = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.openCostInBytes"))
+    return df if int(str(size)) >= cores * least else df.repartition(2 * cores)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
