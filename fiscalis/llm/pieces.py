@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from fiscalis.llm.common import parts, pick, table, text_of
 from fiscalis.llm.tokenizers import default_path, sentencepiece
+from fiscalis.sources.tables import spread
 
 MODEL = "piece_bpe_32k.model"
 BLANK = "▁".encode()
@@ -226,4 +227,4 @@ def digests(found: DataFrame) -> DataFrame:
 
 
 def op5_sentencepiece(spark, sf_dir: str) -> DataFrame:
-    return digests(encode_pieces(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+    return digests(encode_pieces(spread(table(spark, sf_dir, "documents")))).withColumnRenamed("id", "doc_id")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from fiscalis.llm.common import parts, table
 from fiscalis.llm.suffixes import repeats
+from fiscalis.sources.tables import spread
 
 #: Fixed values of the rules.
 SYMBOLS = "#*$%&|<>"
@@ -93,7 +94,7 @@ def verdicts(found: DataFrame, most_covered: float = MOST_COVERED, longest_repea
 
 
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:
-    found = verdicts(measures(table(spark, sf_dir, "documents")))
+    found = verdicts(measures(spread(table(spark, sf_dir, "documents"))))
     return found.select(
         F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         "covered_chars", "longest_repeat", F.size("spans").cast("long").alias("n_spans"),

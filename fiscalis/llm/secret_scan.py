@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fiscalis.llm.common import before_each, table
+from fiscalis.sources.tables import spread
 
 #: The kinds, in the order in which equal starts are listed, with pattern, group that is measured and its least length.
 KINDS = {
@@ -183,7 +184,7 @@ def redacted(text: str, spans: str, mark: str = "[SECRET]") -> Column:
 
 
 def op4_secret_scan(spark, sf_dir: str) -> DataFrame:
-    found = scan(table(spark, sf_dir, "documents"))
+    found = scan(spread(table(spark, sf_dir, "documents")))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     return found.select(
         F.col("id").alias("doc_id"), *(count(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)),

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from fiscalis.llm.common import pick, table, text_of
 from fiscalis.llm.tokenizers import byte_bpe, byte_ids, default_path
+from fiscalis.sources.tables import spread
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 SCHEMA = "id long, n_tokens long, sections array<struct<section: int, start: int, end: int, n_tokens: double, n_crossing: int>>"
@@ -110,7 +111,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op1_token_counts(spark, sf_dir: str) -> DataFrame:
-    found = count_tokens(table(spark, sf_dir, "documents"))
+    found = count_tokens(spread(table(spark, sf_dir, "documents")))
     return found.select(F.col("id").alias("doc_id"), F.col("n_tokens").alias("doc_tokens"), F.inline_outer("sections")).select(
         "doc_id", "doc_tokens", "section", F.col("start").alias("char_start"), F.col("end").alias("char_end"), F.col("n_tokens").cast("long").alias("n_tokens"), "n_crossing"
     )
