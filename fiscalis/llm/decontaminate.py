@@ -132,6 +132,7 @@ def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 
 
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:
+    """All pairs of a document and a benchmark item that it contains."""
     found = contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.withColumnsRenamed({"id": "doc_id", "item": "item_id"})
 

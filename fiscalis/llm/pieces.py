@@ -227,4 +227,5 @@ def digests(found: DataFrame) -> DataFrame:
 
 
 def op5_sentencepiece(spark, sf_dir: str) -> DataFrame:
+    """The ids of all documents, and digests of these, the decoded texts and the spans."""
     return digests(encode_pieces(spread(table(spark, sf_dir, "documents")))).withColumnRenamed("id", "doc_id")

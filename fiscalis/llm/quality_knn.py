@@ -3,7 +3,9 @@
 Terms are hashed 3-byte strings and a few counted events (a word said again, a shouted word, a symbol, ...). Weights by
 inverse document frequency and the leading right singular vectors of the labelled rows give each text a latent vector.
 The vectors of a bounded sample of labelled rows are broadcast; each document's exact cosines with all of them are
-products of blocks, and the nearest ones vote for their labels, weighted by their similarity.
+products of blocks, and the nearest ones vote for their labels, weighted by a power (SHARPNESS) of their similarity.
+Cosines are double-precision products, rounded, and of equals the earlier sample row is nearer, so a score doesn't depend
+on which documents share its block.
 
 Only the labelled sample is bounded (MOST_LABELLED): the broadcast then has the same size for any input. Every document
 is scored, whole, in one pass without a shuffle of text.
@@ -29,6 +31,9 @@ LATENT = 64
 NEIGHBOURS = 25
 BLOCK = 512
 THRESHOLD = 0.3
+#: The power of a cosine that is a neighbour's weight, and decimals of cosines and scores.
+SHARPNESS = 8
+DECIMALS = 9
 #: Times that each counted event is weighted beside a hashed term.
 EVENT_WEIGHT = 3.0
 
@@ -67,21 +72,24 @@ class Model:
     base: float
 
     def latent(self, counts: np.ndarray) -> np.ndarray:
-        x = _weighted(counts, self.idf) @ self.axes
+        x = _weighted(counts, self.idf).astype(np.float64) @ self.axes
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
     def scores(self, counts: np.ndarray) -> np.ndarray:
         """0 to 1 per row; the base rate where a text has no term, or no neighbour is similar at all."""
         empty = ~counts.any(axis=1)
-        cosine = self.latent(counts) @ self.vectors.T
+        cosine = np.round(self.latent(counts) @ self.vectors.T.astype(np.float64), DECIMALS)
         k = min(NEIGHBOURS, cosine.shape[1])
         if not k:
             return np.full(len(counts), self.base)
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0).astype(np.float64) ** 8
+        last = -np.partition(-cosine, k - 1, axis=1)[:, k - 1 : k]
+        nearer, same = cosine > last, cosine == last
+        same &= np.cumsum(same, axis=1) <= k - nearer.sum(axis=1, keepdims=True)
+        near = np.flatnonzero(nearer | same).reshape(len(counts), k) % cosine.shape[1]
+        weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0) ** SHARPNESS
         total = weight.sum(axis=1)
         vote = (weight * self.labels[near]).sum(axis=1) / np.maximum(total, 1e-300)
-        return np.where(empty | (total == 0), self.base, np.clip(vote, 0, 1))
+        return np.round(np.where(empty | (total == 0), self.base, np.clip(vote, 0, 1)), DECIMALS)
 
 
 def fit(counts: np.ndarray, labels: np.ndarray) -> Model:
@@ -123,7 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row (id, score) per row of docs. Null texts count as empty and get the base rate of the labelled rows."""
+    """One row (id, score) per row of docs, however these are dealt. Null texts count as empty and get the base rate of the labelled rows; repeated rows and ids, null ones too, stay rows of their own; very long texts are counted whole; an empty table gives no rows."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,6 +151,7 @@ def held_out(column: str):
 
 
 def op3_quality_knn(spark, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model of the labels that aren't held out."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = train(docs, labels.where(~held_out("doc_id")))
     found = score(docs, model)

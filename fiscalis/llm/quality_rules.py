@@ -94,6 +94,7 @@ def verdicts(found: DataFrame, most_covered: float = MOST_COVERED, longest_repea
 
 
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:
+    """The measures of all documents and whether each is kept."""
     found = verdicts(measures(spread(table(spark, sf_dir, "documents"))))
     return found.select(
         F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",

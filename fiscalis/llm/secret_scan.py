@@ -184,6 +184,7 @@ def redacted(text: str, spans: str, mark: str = "[SECRET]") -> Column:
 
 
 def op4_secret_scan(spark, sf_dir: str) -> DataFrame:
+    """The secrets of all documents, by patterns and by models."""
     found = scan(spread(table(spark, sf_dir, "documents")))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     return found.select(

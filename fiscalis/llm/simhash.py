@@ -135,5 +135,6 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
+    """The fingerprint and the component of every document."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))

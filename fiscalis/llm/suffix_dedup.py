@@ -375,6 +375,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op7_suffix_dedup(spark, sf_dir: str) -> DataFrame:
+    """All documents without the bytes that repeat earlier ones."""
     found = remove_repeats(table(spark, sf_dir, "documents"))
     return found.select(
         F.col("id").alias("doc_id"), "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"),

@@ -111,6 +111,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op1_token_counts(spark, sf_dir: str) -> DataFrame:
+    """The tokens of every line of all documents."""
     found = count_tokens(spread(table(spark, sf_dir, "documents")))
     return found.select(F.col("id").alias("doc_id"), F.col("n_tokens").alias("doc_tokens"), F.inline_outer("sections")).select(
         "doc_id", "doc_tokens", "section", F.col("start").alias("char_start"), F.col("end").alias("char_end"), F.col("n_tokens").cast("long").alias("n_tokens"), "n_crossing"

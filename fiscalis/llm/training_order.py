@@ -230,5 +230,6 @@ def read_shard(path: str, first: int = 0, length: int = LENGTH, width: int = 2)
 
 
 def op9_training_order(spark, sf_dir: str) -> DataFrame:
+    """All documents as token sequences in shards, a row for each sequence."""
     found = write_shards(table(spark, sf_dir, "documents"), new_path(spark, "shards"))
     return found.select("slot", "shard", "byte_offset", "n_tokens", "sha256", F.array_join(F.col("doc_ids").cast("array<string>"), ",", "null").alias("doc_ids"))

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_messy import CLASH, ROWS, SCHEMA
 
-from fiscalis.llm import merkle, superkmers, vector_codes
+from fiscalis.llm import merkle, quality_knn, superkmers, tokenizers, token_counts, training_order, vector_codes
 from fiscalis.llm.queries import queries
 
 
@@ -182,3 +182,43 @@ def test_words_of_messy_rows(spark):
         for length in (5, superkmers.LENGTH):
             assert digests(superkmers.remove_repeated_words(d, length=length, gram=2)) == plain_windows(rows, length)
     assert superkmers.remove_repeated_words(docs.limit(0)).count() == 0
+
+
+def test_scores_dont_depend_on_blocks(spark, data):
+    docs, labels = (spark.read.parquet(f"{data}/{n}.parquet") for n in ("documents", "labels"))
+    model = quality_knn.train(docs, labels)
+    twice = docs.unionByName(docs)
+    want = {(r.id, r.score) for r in quality_knn.score(docs.coalesce(1), model).collect()}
+    for d in (twice.repartition(7), twice.orderBy(F.rand(3)).repartition(3)):
+        assert {(r.id, r.score) for r in quality_knn.score(d, model).collect()} == want
+    one = quality_knn.fit(np.ones((40, quality_knn.TERMS + 8), np.float32), np.arange(40) % 2)  # all cosines are equal: the first rows vote
+    assert one.scores(np.ones((3, quality_knn.TERMS + 8), np.float32)).tolist() == [12 / 25] * 3
+
+
+def test_op1_of_all_documents(spark, data):
+    path = tokenizers.default_path(token_counts.VOCABULARY)
+    encoding, _ = tokenizers.byte_bpe(path)
+    want = {r.doc_id: len(encoding.encode_ordinary(r.text or "")) for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    got = queries()["op1_token_counts"](spark, data).groupBy("doc_id").agg(F.sum("n_tokens").alias("n")).collect()
+    assert {r.doc_id: r.n for r in got} == {k: n for k, n in want.items() if n}
+
+
+def test_op9_query(spark, data):
+    """The rows of the registered query against the stream, laid out by hand."""
+    path = tokenizers.default_path(training_order.VOCABULARY)
+    encoding, _ = tokenizers.byte_bpe(path)
+    stream, owner = [], []
+    for r in sorted(spark.read.parquet(f"{data}/documents.parquet").collect(), key=lambda r: r.doc_id):
+        ids = [*encoding.encode_ordinary(r.text or ""), 50256]
+        stream += ids
+        owner += [r.doc_id] * len(ids)
+    length = training_order.LENGTH
+    n = -(-len(stream) // length)
+    want = set()
+    for k, slot in enumerate(training_order.permute(np.arange(n), n).tolist()):
+        part = stream[k * length : (k + 1) * length]
+        whole = part + [50256] * (length - len(part))
+        ids = ",".join(map(str, dict.fromkeys(owner[k * length : (k + 1) * length])))
+        shard = slot // training_order.PER_SHARD
+        want.add((slot, shard, (slot - shard * training_order.PER_SHARD) * length * 2, len(part), hashlib.sha256(np.array(whole, "<u2").tobytes()).hexdigest(), ids))
+    assert {tuple(r) for r in queries()["op9_training_order"](spark, data).collect()} == want
