@@ -31,6 +31,11 @@ def title_case(text: Column) -> Column:
     return F.array_join(F.transform(runs, lambda x: F.concat(F.upper(F.left(x, F.lit(1))), F.lower(F.substring(x, F.lit(2), F.length(x))))), "")
 
 
+def report_title(stem: Column) -> Column:
+    """A file's name as a title: hyphens as blanks, each word with a capital."""
+    return title_case(F.replace(stem, F.lit("-"), F.lit(" ")))
+
+
 def plain(text: Column) -> Column:
     """Lower case, trimmed, white space as one blank; null as empty."""
     return F.coalesce(F.regexp_replace(F.trim(F.lower(text)), r"\s+", " "), F.lit(""))

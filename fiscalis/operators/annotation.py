@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fiscalis.functions.geometry import of_percent
+from fiscalis.functions.geometry import centred, of_percent
 from fiscalis.functions.text import base_name
 
 #: Labels of each stage; pages, boxes and split that are aimed at.
@@ -27,6 +27,14 @@ def boxes(results: DataFrame, stage: str = "detection") -> DataFrame:
     return d.select(base_name(F.col("image")).alias("filename"), F.col("label").alias("name"), F.col("original_width").alias("image_width"), F.col("original_height").alias("image_height"), *(c.alias(n) for c, n in zip(b, ("xmin", "ymin", "xmax", "ymax"))))
 
 
+def training_boxes(found: DataFrame) -> DataFrame:
+    """Boxes of annotation files as a trainer takes them: per file its size, and centre, width and height of each box as parts of it, with labels in the same order; files without a box have empty arrays. found: filename, width, height, name, xmin to ymax."""
+    b = centred(tuple(F.col(c).cast("double") for c in ("xmin", "ymin", "xmax", "ymax")), F.col("width"), F.col("height"))
+    one = F.when(F.col("name").isNotNull(), F.struct("name", F.array(*b).alias("box")))
+    d = found.groupBy("filename").agg(F.max("height").alias("height"), F.max("width").alias("width"), F.sort_array(F.collect_list(one)).alias("b"))
+    return d.select("filename", F.array("height", "width").alias("orig_size"), F.transform("b", lambda x: x["box"]).alias("boxes"), F.transform("b", lambda x: x["name"]).alias("labels"))
+
+
 def page_of(stem: Column) -> tuple[Column, Column]:
     """The report and the page that a page image's name states: what stands before the last _page_, and the number behind it (0 if none)."""
     report = F.when(stem.contains("_page_"), F.regexp_extract(stem, "^(.*)_page_", 1)).otherwise(stem)

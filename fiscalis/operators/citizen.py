@@ -109,6 +109,14 @@ def narrated(projects: DataFrame, key: str = "county") -> DataFrame:
     return d.select(key, F.concat(head, F.col("lines")).alias("narration"))
 
 
+def preview(projects: DataFrame, line: Column, *order: Column, key: str = "county", n: int = 5) -> DataFrame:
+    """What is read out of each county's first projects, and how many there are."""
+    placed = projects.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(*order))).withColumn("_line", line)
+    d = placed.groupBy(key).agg(F.count("*").alias("_n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("_k") <= n, F.struct("_k", "_line")))), lambda x: x["_line"]), " ").alias("_lines"))
+    said = F.concat(F.col(key), F.lit(" has "), F.col("_n").cast("string"), F.lit(" projects, "), F.least("_n", F.lit(n)).cast("string"), F.lit(" shown. "), F.col("_lines"))
+    return d.select(key, said.alias("narration"))
+
+
 def no_projects(county: Column) -> Column:
     return F.concat(F.lit("There are currently no active project metrics recorded for "), county, F.lit(" County."))
 

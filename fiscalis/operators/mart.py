@@ -90,6 +90,26 @@ def nested(parents: DataFrame, children: DataFrame, key: str, fields: list[str],
     return parents.join(each, key, "left").withColumn(name, F.coalesce(name, F.array().cast(each.schema[name].dataType)))
 
 
+def counties(rows: DataFrame, skip: int = 0, limit: int = 100) -> DataFrame:
+    """A page of the counties, by name."""
+    return page(rows, "county", skip, limit)
+
+
+def county_with_projects(rows: DataFrame, projects: DataFrame, county: str, fields: list[str]) -> DataFrame:
+    """One county with the array of its projects, or no row: both tables are filtered before anything is gathered."""
+    return nested(lookup(rows, "county", county), projects.where(F.col("county") == county), "county", fields)
+
+
+def insights(projects: DataFrame) -> DataFrame:
+    """(insight, project_id) of projects by what is told about them: flagged by the auditor, of low absorption, without a known progress, paid over the contract."""
+    each = {
+        "flagged": flagged(F.col("oag_status"), F.col("verdict")), "low_absorption": absorption(F.col("implementation_pct")) == "LOW", "unknown_progress": absorption(F.col("implementation_pct")) == "UNKNOWN",
+        "overpaid": F.coalesce(F.col("amount_paid") > F.col("contract_sum"), F.lit(False)),
+    }
+    named = F.array_compact(F.array(*(F.when(test, F.lit(name)) for name, test in each.items())))
+    return projects.select(F.explode(named).alias("insight"), "project_id")
+
+
 def verdict_totals(projects: DataFrame, *keys: str) -> DataFrame:
     return projects.groupBy(*keys, "verdict").agg(F.count("*").alias("n"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fiscalis.functions import text as T
-from fiscalis.operators import finance, mart, reports
+from fiscalis.operators import citizen, finance, mart, reports
 from fiscalis.plans.registry import query
 
 MONEY = "decimal(18,2)"
@@ -195,16 +195,10 @@ def project_flat(t):
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)
  SELECT county, county || ' has ' || any_value(n) || ' projects, ' || least(any_value(n), 5) || ' shown. ' || string_agg('Project ' || o_orderkey || ' costs ' || price || ' shillings.', ' ' ORDER BY k) AS narration FROM o WHERE k <= 5 GROUP BY county""")
 def narration(t):
-    from pyspark.sql import Window
-
     of = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("o_custkey"), F.col("n_name").alias("county"))
     o = t("orders").join(of, "o_custkey").withColumn("price", F.col("o_totalprice").cast(MONEY))
-    o = o.withColumn("k", F.row_number().over(Window.partitionBy("county").orderBy(F.desc("o_totalprice"), "o_orderkey")))
-    n = o.groupBy("county").agg(F.count("*").alias("n"))
     line = F.concat(F.lit("Project "), F.col("o_orderkey").cast("string"), F.lit(" costs "), F.col("price").cast("string"), F.lit(" shillings."))
-    top = o.where("k <= 5").groupBy("county").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", line.alias("line")))), lambda x: x["line"]), " ").alias("lines"))
-    said = F.concat(F.col("county"), F.lit(" has "), F.col("n").cast("string"), F.lit(" projects, "), F.least("n", F.lit(5)).cast("string"), F.lit(" shown. "), F.col("lines"))
-    return top.join(n, "county").select("county", said.alias("narration"))
+    return citizen.preview(o, line, F.desc("o_totalprice"), F.asc("o_orderkey"))
 
 
 @query("SELECT user_id, count(*) AS n_events, s::BIGINT AS session FROM (SELECT user_id, sum(g) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS g FROM events)) GROUP BY ALL")

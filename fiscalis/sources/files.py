@@ -110,10 +110,12 @@ def reports(spark: SparkSession, path: str) -> DataFrame:
     return d.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), F.col("value").alias("text"))
 
 
-def annotations(spark: SparkSession, path: str) -> DataFrame:
-    """The boxes of annotation XML files."""
+def annotations(spark: SparkSession, path: str, labels: tuple[str, ...] | None = None) -> DataFrame:
+    """The boxes of annotation XML files; with labels only those, a file without one having a row of nulls in any case."""
     schema = "filename string, size struct<width:int,height:int,depth:int>, object array<struct<name:string,bndbox:struct<xmin:int,ymin:int,xmax:int,ymax:int>>>"
     d = spark.read.schema(schema).option("rowTag", "annotation").xml(path)
+    if labels is not None:
+        d = d.withColumn("object", F.filter("object", lambda o: o["name"].isin(*labels)))
     return d.select("filename", "size.width", "size.height", F.inline_outer("object")).select("filename", "width", "height", "name", "bndbox.*")
 
 
@@ -153,8 +155,10 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_annotations(boxes: DataFrame, path: str) -> None:
-    """One annotation element per file name, of the largest size that its rows state."""
+def write_annotations(boxes: DataFrame, path: str, include_empty: bool = True) -> None:
+    """One annotation element per file name, of the largest size that its rows state; files without a box (a row of nulls) only with include_empty."""
+    if not include_empty:
+        boxes = boxes.where("name is not null")
     item = F.struct(F.col("name"), F.struct("xmin", "ymin", "xmax", "ymax").alias("bndbox"))
     boxes.groupBy("filename").agg(F.max(F.struct("width", "height")).alias("size"), F.sort_array(F.collect_list(F.when(F.col("name").isNotNull(), item))).alias("object")).write.mode("overwrite").option(
         "rowTag", "annotation"

@@ -127,3 +127,27 @@ def test_names_without_comparing_all(spark):
     A, B = spark.createDataFrame(a, "folder string, name string"), spark.createDataFrame(b, "folder string, file string")
     rows = annotation.same_name(A, B).collect()
     assert {(x.folder, x.name): x.file for x in rows} == want and len(rows) == len(want)
+
+
+def test_files_of_annotations_and_tasks(spark, tmp_path):
+    box = "filename string, width int, height int, name string, xmin int, ymin int, xmax int, ymax int"
+    rows = spark.createDataFrame([("a.png", 100, 50, "table", 10, 10, 30, 20), ("a.png", 100, 50, "stamp", 0, 0, 1, 1), ("b.png", 9, 8, None, None, None, None, None)], box)
+    files.write_annotations(rows, str(tmp_path / "all"))
+    files.write_annotations(rows, str(tmp_path / "some"), include_empty=False)
+    assert sorted(r.filename for r in files.annotations(spark, str(tmp_path / "all"), ("table",)).collect()) == ["a.png", "b.png"]
+    assert {r.filename for r in files.annotations(spark, str(tmp_path / "some")).collect()} == {"a.png"}
+    got = {r.filename: r for r in annotation.training_boxes(files.annotations(spark, str(tmp_path / "all"), ("table",))).collect()}
+    assert (got["a.png"].labels, got["a.png"].orig_size, got["b.png"].boxes) == (["table"], [50, 100], []) and got["a.png"].boxes[0] == pytest.approx([0.2, 0.3, 0.2, 0.2])
+    (tmp_path / "pages").mkdir()
+    for name in ("r_page_002.png", "r_page_010.jpg", "other.jpeg", "no.txt"):
+        (tmp_path / "pages" / name).write_bytes(b"x")
+    pages = files.images(spark, str(tmp_path / "pages"))
+    assert sorted((r.file, r.report, r.page) for r in pages.collect()) == [("other.jpeg", "other", 0), ("r_page_002.png", "r", 2), ("r_page_010.jpg", "r", 10)]
+    files.write_tasks(pages, str(tmp_path / "tasks"), "file")
+    tasks = [json.loads(line) for p in (tmp_path / "tasks").glob("*.json") for line in p.read_text().splitlines()]
+    assert {t["data"]["image"]: t["data"]["page"] for t in tasks} == {"r_page_002.png": 2, "r_page_010.jpg": 10, "other.jpeg": 0}
+    files.write_csv(pages.select("file", "page"), str(tmp_path / "csv"))
+    back = spark.read.option("header", True).csv(str(tmp_path / "csv"))
+    assert back.columns == ["file", "page"] and back.count() == 3
+    files.write_json(pages, str(tmp_path / "json"))
+    assert spark.read.json(str(tmp_path / "json")).count() == 3
