@@ -315,8 +315,8 @@ def score_default(t):
 
 
 @query(f"""WITH t AS (SELECT DISTINCT o_custkey AS doc, o_orderkey AS tid, o_orderkey % 7 AS s FROM orders), a AS (SELECT * FROM t WHERE s > 0), b AS (SELECT * FROM t WHERE s <> 3), m AS (SELECT a.doc, a.tid, a.tid % 4 + 1 AS w, CASE WHEN a.s = 5 THEN 0 ELSE 1 END AS con FROM a JOIN b ON a.doc = b.doc AND a.tid = b.tid),
- n AS (SELECT doc, count(*) AS matched, round(sum(w * con) / sum(w), 4) AS con, round(sum(w * (2 + con) / 3) / sum(w), 4) AS total FROM m GROUP BY 1), d AS (SELECT DISTINCT doc FROM t WHERE s > 0 OR s <> 3)
- SELECT d.doc AS document_id, (SELECT count(*) FROM a WHERE a.doc = d.doc) AS truth_tables, (SELECT count(*) FROM b WHERE b.doc = d.doc) AS found_tables, coalesce(matched, 0) AS matched, coalesce(con, 0) AS con, coalesce(total, 0) AS total,
+ n AS (SELECT doc, count(*) AS matched, round(sum(w * con) / sum(w), 4) AS con FROM m GROUP BY 1), d AS (SELECT DISTINCT doc FROM t WHERE s > 0 OR s <> 3)
+ SELECT d.doc AS document_id, (SELECT count(*) FROM a WHERE a.doc = d.doc) AS truth_tables, (SELECT count(*) FROM b WHERE b.doc = d.doc) AS found_tables, coalesce(matched, 0) AS matched, coalesce(con, 0)::DOUBLE AS con, CASE WHEN matched > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS top, CASE WHEN matched > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS loc,
   coalesce((SELECT string_agg('t' || tid, ',' ORDER BY tid) FROM a WHERE a.doc = d.doc AND s = 3), '') AS truth_unmatched, coalesce((SELECT string_agg('t' || tid, ',' ORDER BY tid) FROM b WHERE b.doc = d.doc AND s = 0), '') AS found_unmatched FROM d LEFT JOIN n ON n.doc = d.doc""")
 def score_report(t):
     """Customers as documents, orders as tables of up to four cells in a row; some are missing on one side, some have other texts."""
@@ -330,7 +330,7 @@ def score_report(t):
 
     a, b = o.where("s > 0"), o.where("s <> 3")
     _, whole = scoring.report(a, b, cells(a, F.lit("x")), cells(b, F.when(F.col("s") == 5, "y").otherwise("x")))
-    return whole.select("document_id", "truth_tables", "found_tables", "matched", "con", "total", F.array_join("truth_unmatched", ",").alias("truth_unmatched"), F.array_join("found_unmatched", ",").alias("found_unmatched"))
+    return whole.select("document_id", "truth_tables", "found_tables", "matched", "con", "top", "loc", F.array_join("truth_unmatched", ",").alias("truth_unmatched"), F.array_join("found_unmatched", ",").alias("found_unmatched"))
 
 
 @query(STRICT + """, r AS (SELECT round(top, 4) AS top, round(con, 4) AS con, round(loc, 4) AS loc, round((top + con + loc) / 3, 4) AS total, weight FROM m)
