@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fiscalis.llm.common import broadcast_if, materialize, pick, table, text_of
+from fiscalis.sources.tables import spread
 
 WIDTH = 5
 CONTAINMENT = 0.8
@@ -133,7 +134,7 @@ def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:
     """All pairs of a document and a benchmark item that it contains."""
-    found = contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = contained(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
     return found.withColumnsRenamed({"id": "doc_id", "item": "item_id"})
 
 

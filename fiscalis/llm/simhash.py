@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from fiscalis.llm.common import materialize, pick, table, text_of
 from fiscalis.llm.components import connected_components
+from fiscalis.sources.tables import spread
 
 SHINGLE = 3
 SEED = 42
@@ -136,5 +137,5 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
     """The fingerprint and the component of every document."""
-    found = near_duplicates(table(spark, sf_dir, "documents"))
+    found = near_duplicates(spread(table(spark, sf_dir, "documents")))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
