@@ -4,13 +4,17 @@ The suffixes are classified as smaller (S) or larger (L) than their right neighb
 suffixes are sorted by inducing, named, and, where names repeat, sorted by a recursive call on the string of names. The
 sorted leftmost S suffixes then induce the L suffixes in one scan upwards and the S suffixes in one scan downwards.
 
-Bytes (level 0) are scanned a bucket at a time in numpy: what a bucket induces goes to its buckets in one stable step,
-and a bucket feeds itself in as many steps as its longest run is long. The strings of names have too many buckets for
-that: there each run of L (or S) suffixes is ordered by its symbols up to the sorted suffix that it runs into.
+A scan looks at each suffix once, at every level of the recursion, a batch of consecutive buckets at a time: buckets of
+which none hands anything to another one of the batch. What a batch hands out goes to its buckets in one stable step. The
+suffixes that a bucket hands to itself are runs of one symbol, and come in the order of their distance to the run's end.
+A string of a million bytes takes some thousand batches in all; at worst a bucket is a batch.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from itertools import pairwise
+
 import numpy as np
 
 #: A byte that UTF-8 never has; it ends each text of a shard.
@@ -19,20 +23,10 @@ END = 0xFF
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """The suffix array of a byte array, the empty suffix left out. A suffix that is a prefix of another sorts before it."""
-    n = len(text)
-    if n == 0:
-        return np.zeros(0, np.int64)
-    s = np.zeros(n + 1, np.int64)  # 0 at the end is smaller than all else
-    s[:n] = text
-    s[:n] += 1
-    small = _classify(s)
-    lms = np.nonzero(small[1:] & ~small[:-1])[0] + 1
-    order = _induce_bytes(s, small, _by_bucket(s, lms))
-    lms_sorted = order[_flag(lms, n + 1)[order]]
-    names, distinct = _named(s, small, lms, lms_sorted)
-    if distinct < len(lms):
-        lms_sorted = lms[_names_sorted(names[lms])]  # the last name, the end, is the smallest
-    return _induce_bytes(s, small, lms_sorted)[1:]
+    s = np.zeros(len(text) + 1, np.int32)  # 0 at the end is smaller than all else
+    s[:-1] = text
+    s[:-1] += 1
+    return _sorted(s)[1:]
 
 
 def permuted_lcp(symbols: np.ndarray, sa: np.ndarray) -> np.ndarray:
@@ -101,64 +95,6 @@ def _classify(s: np.ndarray) -> np.ndarray:
     return small
 
 
-def _by_bucket(s: np.ndarray, lms: np.ndarray) -> np.ndarray:
-    return lms[np.argsort(s[lms], kind="stable")]
-
-
-def _induce_bytes(s: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
-    """The suffix array that the given order of the leftmost S suffixes induces."""
-    n, top = len(s), int(s.max()) + 1
-    counts = np.bincount(s, minlength=top)
-    begin = np.concatenate([[0], np.cumsum(counts)])
-    lms_of = np.searchsorted(s[lms], np.arange(top + 1))  # lms is ordered by its first symbol
-    head = begin[:-1].copy()
-    sa = np.full(n, -1, np.int64)
-    pieces: list[list[np.ndarray]] = [[] for _ in range(top)]
-    larges: list[np.ndarray] = [np.zeros(0, np.int64)] * top
-
-    def hand_out(found: np.ndarray, want_small: bool, c: int) -> np.ndarray:
-        """Gives the left neighbours of the wanted kind to their buckets, in order; returns those of bucket c itself."""
-        left = found[found > 0] - 1
-        left = left[small[left] == want_small]
-        if not len(left):
-            return left
-        first = s[left]
-        by = np.argsort(first.astype(np.uint16), kind="stable")
-        left, first = left[by], first[by]
-        cut = np.nonzero(np.diff(first))[0] + 1
-        own = left[:0]
-        for part, b in zip(np.split(left, cut), first[np.concatenate([[0], cut])].tolist()):
-            if b == c:
-                own = part
-            else:
-                pieces[b].append(part)
-        return own
-
-    for c in range(top):  # L suffixes, upwards: a bucket's L part comes before its S part
-        now = np.concatenate(pieces[c]) if pieces[c] else sa[:0]
-        grown = [now]
-        while len(now):
-            now = hand_out(now, False, c)
-            grown.append(now)
-        larges[c] = np.concatenate(grown)
-        pieces[c] = []
-        hand_out(lms[lms_of[c] : lms_of[c + 1]], False, -1)
-        sa[head[c] : head[c] + len(larges[c])] = larges[c]
-    for c in range(top - 1, -1, -1):  # S suffixes, downwards: everything is handed out from the largest on
-        now = np.concatenate(pieces[c]) if pieces[c] else sa[:0]
-        grown = [now]
-        while len(now):
-            now = hand_out(now, True, c)
-            grown.append(now)
-        smalls = np.concatenate(grown)
-        pieces[c] = []
-        if len(smalls):
-            sa[begin[c + 1] - len(smalls) : begin[c + 1]] = smalls[::-1]
-        hand_out(larges[c][::-1], True, -1)
-    sa[0] = n - 1  # the end, which nothing induces
-    return sa
-
-
 def _named(s: np.ndarray, small: np.ndarray, lms: np.ndarray, lms_sorted: np.ndarray) -> tuple[np.ndarray, int]:
     """Names, in order, of the substrings from one leftmost S suffix to the next, by position; and how many there are."""
     n = len(s)
@@ -174,69 +110,93 @@ def _named(s: np.ndarray, small: np.ndarray, lms: np.ndarray, lms_sorted: np.nda
         unlike[at[differ]] = True
         at = at[~differ & (x < end[a[at]])]
         k += 1
-    names = np.zeros(n, np.int64)
+    names = np.zeros(n, np.int32)
     names[lms_sorted] = np.concatenate([[0], np.cumsum(unlike)])
     return names, int(unlike.sum()) + 1
 
 
-def _names_sorted(s: np.ndarray) -> np.ndarray:
-    """The suffix array of a string of names, whose last one is its only smallest, by the same steps."""
+def _sorted(s: np.ndarray) -> np.ndarray:
+    """The suffix array of a string whose last symbol is its only smallest."""
     n = len(s)
     if n == 1:
         return np.zeros(1, np.int64)
     small = _classify(s)
     lms = np.nonzero(small[1:] & ~small[:-1])[0] + 1
-    order = _induce_names(s, small, _by_bucket(s, lms))
-    lms_sorted = order[_flag(lms, n)[order]]
+    inner = small.copy()
+    inner[n - 1] = False  # nothing induces the end
+    upwards, downwards = _scan(s, ~small), _scan(s.max() - s, inner)
+    smalls = downwards(upwards(lms[np.argsort(s[lms], kind="stable")])[::-1])[::-1]
+    lms_sorted = np.concatenate([lms[-1:], smalls[_flag(lms, n)[smalls]]])
     names, distinct = _named(s, small, lms, lms_sorted)
     if distinct < len(lms):
-        lms_sorted = lms[_names_sorted(names[lms])]
-    return _induce_names(s, small, lms_sorted)
-
-
-def _induce_names(s: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
-    """The suffix array that the given order of the leftmost S suffixes induces: first on the L suffixes, then by these on all S suffixes."""
-    n = len(s)
-    symbol = 2 * s + small  # of suffixes with one first symbol, L come before S
-    place = np.zeros(n, np.int64)
-    larges = _follow(symbol, np.nonzero(~small)[0], lms, _next(small), place)
-    _follow(symbol, np.nonzero(small[:-1])[0], larges, _next(~small), place)
-    sa = np.empty(n, np.int64)
-    sa[0] = n - 1
-    sa[place[:-1] + 1] = np.arange(n - 1)
-    return sa
-
-
-def _next(wanted: np.ndarray) -> np.ndarray:
-    """For each position the first wanted one at or behind it."""
-    at = np.where(wanted, np.arange(len(wanted)), len(wanted))
-    return np.minimum.accumulate(at[::-1])[::-1]
-
+        lms_sorted = lms[_sorted(names[lms])]  # the last name, the end, is the smallest
+    larges = upwards(lms_sorted)
+    smalls = downwards(larges[::-1])[::-1]
+    order = np.empty(n, np.int64)
+    order[0] = n - 1
+    of_larges, of_smalls = s[larges], s[smalls]  # in a bucket, L suffixes come before S suffixes
+    lower = np.concatenate([[0], np.cumsum(np.bincount(of_smalls, minlength=s.max() + 1))])
+    order[np.arange(1, len(larges) + 1) + lower[of_larges]] = larges
+    upto = np.cumsum(np.bincount(of_larges, minlength=s.max() + 1))
+    order[np.arange(1, len(smalls) + 1) + upto[of_smalls]] = smalls
+    return order
 
-def _follow(symbol: np.ndarray, members: np.ndarray, given: np.ndarray, end: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """The members in order, where the given suffixes are in order and each member runs over members up to a given one, at `end`.
 
-    Sets place to the places of all these suffixes among each other. Members are told apart by their first symbol, then
-    by the places of what follows them at distances that double, so a run costs the logarithm of its length.
-    """
-    order = members[np.argsort(symbol[members], kind="stable")]
-    first, theirs = symbol[order], symbol[given]
-    slot = np.arange(len(order)) + np.searchsorted(theirs, first)
-    place[given] = np.arange(len(given)) + np.searchsorted(first, theirs)
-    new = np.ones(len(order) + 1, bool)
-    new[1:-1] = first[1:] != first[:-1]
-    place[order] = slot[np.maximum.accumulate(np.where(new[:-1], np.arange(len(order)), 0))]
-    tied = np.nonzero(~(new[:-1] & new[1:]))[0]
-    most, width = len(symbol) + 1, 1
-    while len(tied):
-        at = order[tied]
-        key = place[at] * np.int64(most) + place[np.minimum(at + width, end[at])]
-        by = np.argsort(key, kind="stable")
-        at, key = at[by], key[by]
-        order[tied] = at
-        new = np.ones(len(tied) + 1, bool)
-        new[1:-1] = key[1:] != key[:-1]
-        place[at] = slot[tied[np.maximum.accumulate(np.where(new[:-1], np.arange(len(tied)), 0))]]
-        tied = tied[~(new[:-1] & new[1:])]
-        width *= 2
-    return order
+def _scan(s: np.ndarray, wanted: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """A function from the given suffixes, in order, to the wanted ones, in order. A wanted suffix has a symbol as large as that of the suffix to its right, or larger, and that one is wanted or given; given ones come last in their bucket."""
+    n, top = len(s), int(s.max()) + 1
+    members = np.nonzero(wanted)[0]
+    to, by = s[members], s[members + 1]
+    apart = to != by
+    left = np.full(n, -1, np.int32)  # the bucket to which a suffix hands its left neighbour
+    left[members[apart] + 1] = to[apart]
+    edge = np.zeros(n, np.int64)
+    edge[1:] = np.where(s[1:] != s[:-1], np.arange(1, n), 0)
+    run = np.arange(n) - np.maximum.accumulate(edge)  # equal symbols to the left, which a wanted suffix hands to its own bucket
+    run[~wanted] = 0
+    own = np.bincount(to, minlength=top)
+    feeds = np.concatenate([[0], np.cumsum(np.bincount(to[~apart], minlength=top))])
+    source = np.full(top, -1, s.dtype)
+    np.maximum.at(source, to[apart].astype(np.intp), by[apart])
+    cuts = [0]
+    for bucket, nearest in enumerate(source.tolist()):  # the nearest bucket that hands something to this one
+        if nearest >= cuts[-1]:
+            cuts.append(bucket)
+    cuts.append(top)
+    narrow = np.uint16 if top <= 1 << 16 else np.int32  # numpy sorts 16 bits by radix
+
+    def induced(given: np.ndarray) -> np.ndarray:
+        theirs = s[given]
+        begin = np.concatenate([[0], np.cumsum(own + np.bincount(theirs, minlength=top))])
+        line = np.empty(begin[-1], np.int64)
+        at = np.arange(len(given)) + np.cumsum(own)[theirs]
+        line[at] = given
+        head = begin[:-1].copy()
+
+        def put(found: np.ndarray, bucket: np.ndarray) -> None:
+            order = np.argsort(bucket.astype(narrow), kind="stable")
+            bucket = bucket[order]
+            new = np.nonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))[0]
+            count = np.diff(np.append(new, len(bucket)))
+            to = bucket[new]
+            line[np.arange(len(bucket)) + np.repeat(head[to] - new, count)] = found[order]
+            head[to] += count
+
+        for c, d in pairwise(cuts):
+            if feeds[d] > feeds[c]:
+                now = np.concatenate([line[begin[b] : head[b]] for b in range(c, d) if feeds[b + 1] > feeds[b]])
+                more = run[now]
+                now, more = now[more > 0], more[more > 0]
+                far = np.arange(1, more.sum() + 1) - np.repeat(np.cumsum(more) - more, more)
+                order = np.argsort(far, kind="stable")
+                found = (np.repeat(now, more) - far)[order]
+                put(found, s[found])
+            now = line[begin[c] : begin[d]]
+            bucket = left[now]
+            handed = bucket >= 0
+            if handed.any():
+                put(now[handed] - 1, bucket[handed])
+        line[at] = -1
+        return line[line >= 0]
+
+    return induced

@@ -242,6 +242,21 @@ def test_induced_sorting():
             assert shared[b] == n
 
 
+def test_induced_sorting_at_every_level():
+    """Strings whose names repeat for many levels, in runs, in ascending and descending chains of buckets."""
+    r = random.Random(4)
+    fib = [b"a", b"ab"]
+    while len(fib[-1]) < 3000:
+        fib.append(fib[-1] + fib[-2])
+    words = [bytes(97 + r.randrange(4) for _ in range(r.randint(1, 9))) for _ in range(30)]
+    passage = b" ".join(r.choice(words) for _ in range(150))
+    steps = b"".join(bytes([97 + i, 122]) * 40 for i in range(20))
+    texts = [fib[-1], passage * 4, b"\xff".join([passage, passage[7:], passage[:400]]), b"abcabd" * 500, steps, steps[::-1], b"ab" * 900 + b"b" * 900 + b"a" * 900, bytes(range(97, 123)) * 80, bytes(range(122, 96, -1)) * 80]
+    for s in texts:
+        x = np.frombuffer(s, np.uint8)
+        assert induced.suffix_array(x).tolist() == sorted(range(len(s)), key=lambda i: s[i:])
+
+
 def test_bytes_decide_not_hashes(spark, monkeypatch):
     """All anchors and cores of one hash: everything meets in one route, and the answer stays."""
     r = random.Random(6)
