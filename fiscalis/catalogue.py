@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fiscalis.plans import audit, exchange, forms, handoffs, money, pages, registry, shapes, stored  # noqa: F401  the modules register their queries
+from fiscalis.plans import audit, exchange, forms, handoffs, money, pages, records, registry, shapes, stored  # noqa: F401  the modules register their queries
 
 
 def queries() -> dict:

@@ -204,8 +204,12 @@ def unlinked(findings: DataFrame, found: DataFrame, key: str = "county") -> Data
 
 
 def triangulated(projects: DataFrame, findings: DataFrame, key: str = "county", least: float = LEAST) -> DataFrame:
-    """Each project with its verdict, risks, findings and the score of its first match; then the named findings that no project matched."""
-    found = links(projects, findings, key, least)
+    """Each project judged by the findings whose names are alike; then the named findings that no project matched."""
+    return judged(projects, findings, links(projects, findings, key, least), key)
+
+
+def judged(projects: DataFrame, findings: DataFrame, found: DataFrame, key: str = "county") -> DataFrame:
+    """Each project with its verdict, risks, findings and the score of its first match, by links as links() finds them (key, project_idx, finding_idx, kind, score); then the named findings that none has."""
     per = found.groupBy(key, "project_idx").agg(
         F.array_sort(F.collect_set("kind")).alias("risks"), F.sort_array(F.collect_list("finding_idx")).alias("findings"), F.min_by("score", "finding_idx").alias("match_confidence")
     )
