@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fiscalis.functions.text import county_words, project_id, title_case
 from fiscalis.operators import mart
 from fiscalis.operators.documents import project_row
+from fiscalis.operators.lineage import cut
 
 #: Headings of county sections in the two kinds of reports, and what encloses a list of projects.
 COB_HEADING = r"3\.\d+\.\s+(?:County Government of\s+([^.\n\r\t]+)|(Nairobi City) County Government)"
@@ -60,7 +61,7 @@ def dev_signal(sections: DataFrame, percent=None) -> DataFrame:
 
 def records(triangulated: DataFrame, found: DataFrame, sentences: DataFrame) -> DataFrame:
     """Flat rows of the mart, 18 columns, from triangulate.triangulated(): found are the projects (county, project_idx and fields), sentences the findings (county, finding_idx, sentence, amounts). A key that many projects share keeps one row when loaded."""
-    listed = triangulated.withColumn("_of", F.monotonically_increasing_id())
+    listed = cut(triangulated.withColumn("_of", F.monotonically_increasing_id()))  # read twice, and a number made anew could go to another row
     one = listed.select("_of", "county", F.posexplode_outer("findings").alias("at", "finding_idx")).join(sentences, ["county", "finding_idx"], "left")
     told = one.groupBy("_of").agg(
         F.transform(F.sort_array(F.collect_list(F.when(F.col("sentence").isNotNull(), F.struct("at", "sentence")))), lambda x: x["sentence"]).alias("sentences"),
