@@ -68,16 +68,20 @@ def cascade(pages: DataFrame, group: str, key: str, few: int = 40, most: int = 1
 def project_row(line: Column) -> Column:
     """The project that a line of a table states, as a struct; null for headers and for lines of fewer than two amounts."""
     joined = F.regexp_replace(F.trim(line), SPLIT_THOUSANDS, ",")
-    amounts = F.regexp_extract_all(joined, F.lit(AMOUNT), F.lit(0))
-    number = lambda x: F.replace(x, F.lit(","), F.lit("")).try_cast("double")
     percent = F.nullif(F.regexp_extract(joined, r"(\d{1,3}(?:\.\d+)?)\s*$", 1), F.lit("")).try_cast("double")
+    found = F.struct(joined.alias("joined"), F.regexp_extract_all(joined, F.lit(AMOUNT), F.lit(0)).alias("amounts"), percent.alias("percent"))
+    return F.get(F.transform(F.array(found), lambda s: _stated(F.trim(line), s["joined"], s["amounts"], s["percent"])), F.lit(0))  # found is made once
+
+
+def _stated(line: Column, joined: Column, amounts: Column, percent: Column) -> Column:
+    number = lambda x: F.replace(x, F.lit(","), F.lit("")).try_cast("double")
     percent = F.when(percent <= 250, percent)
     status = F.when(F.coalesce(percent, F.lit(0.0)) == 0, "UNKNOWN").when(percent < 30, "LOW").otherwise("NORMAL")
     row = F.struct(
         F.substring(F.trim(F.regexp_replace(joined, AMOUNT, "")), 1, 150).alias("name"), number(F.get(amounts, F.lit(0))).alias("contract_sum"),
         number(F.element_at(amounts, -1)).alias("amount_paid"), percent.alias("implementation_pct"), status.alias("absorption"),
     )
-    return F.when(~F.trim(line).rlike(HEADER) & (F.size(amounts) >= 2), row)
+    return F.when(~line.rlike(HEADER) & (F.size(amounts) >= 2), row)
 
 
 def native_text(pages: DataFrame, placeholder: str, text_col: str = "text") -> DataFrame:

@@ -30,3 +30,7 @@ def test_records_of_rows_in_no_fixed_order(spark):
     sentences = found.select("county", "finding_idx", F.concat(F.lit("On "), F.col("finding_idx").cast("string")).alias("sentence"), F.array(F.lit(1).cast("decimal(18,2)")).alias("amounts"))
     rows = reports.records(judged, projects, sentences).collect()
     assert sorted((r["project_name"], r["oag_findings"]) for r in rows) == sorted((f"Project {i}", f'["On {i}"]') for i in range(n))
+
+
+def test_rows_of_items_with_long_numbers(spark, tmp_path):
+    shown(spark, tmp_path, ["text_row_parser"], lineitem=("l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long", [(1, 1, 9999, 5), (1, 2, 10000, 5), (9000000, 3, 1199940, 59940), (7, 4, 99999, 7)]))
