@@ -172,3 +172,18 @@ def compact_money(x: Column) -> Column:
         return F.concat(F.lit("KES "), F.format_number(y, digits), F.lit(mark))
 
     return F.when(x >= 1e9, form(x / 1e9, 1, "B")).when(x >= 1e6, form(x / 1e6, 1, "M")).otherwise(form(F.coalesce(x, F.lit(0)), 0, ""))
+
+
+def one_decimal(x: Column) -> Column:
+    """A number with one decimal, as C prints it: the nearest to the number as it is stored, not to its shortest text, and of two that are as near the even one; from 2^44 on, by its text."""
+    a = F.when(F.abs(x) < 2.0**44, F.abs(x))
+    n = F.floor(a * 10)  # of the product as it is rounded, so perhaps one too high: then a is far below the middle behind it
+    most, more = a * 16, a * 4  # exact; so is their sum, with what it loses
+    total = most + more
+    back = total - most
+    lost = (most - (total - back)) + (more - back)
+    over = (total - (2 * n + 1)) + lost  # 20 a against the middle between n and n + 1 tenths
+    up = n + F.when((over > 0) | ((over == 0) & (n % 2 == 1)), 1).otherwise(0)
+    whole = F.floor(up / 10)
+    told = F.concat(F.when(x.cast("string").startswith("-"), "-").otherwise(""), whole.cast("string"), F.lit("."), (up - whole * 10).cast("string"))
+    return F.when(a.isNotNull(), told).otherwise(F.when(x.isNotNull(), F.format_string("%.1f", x)))

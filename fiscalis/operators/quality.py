@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fiscalis.functions.geometry import area, box
-from fiscalis.functions.text import numeric_cell
+from fiscalis.functions.text import numeric_cell, one_decimal
 
 ENUMERATED = r"^(?:[A-Z]|[IVXLC]+|\d+)[.)]\s+"
 TOLERANCE = 2.0
@@ -83,8 +83,7 @@ def checked(cells: DataFrame, keys: list[str]) -> DataFrame:
         (F.lit(True), F.lit("grid_reconstruction")), (F.col("filled") & F.col("native"), F.lit("pdf_text_fill")), (F.col("filled") & F.col("ocr"), F.lit("ocr_fallback")), (F.lit(True), F.lit("merged_cell_postprocessing")),
         (F.col("levels"), F.lit("hierarchy_assignment")), (F.lit(True), F.lit("continuation_linking")), (taken, F.lit("numeric_ratio_check")), (F.col("outside") == 0, F.lit("bounded_boxes")),
     ]
-    one = lambda x: F.format_string("%.1f", F.bround(x, 1))
-    mismatch = F.concat(F.lit("numeric_ratio_mismatch_row_"), F.col("r.row_idx").cast("string"), F.lit(": expected "), one(F.col("r.expected")), F.lit(" vs reported "), one(F.col("r.stated")))
+    mismatch = F.concat(F.lit("numeric_ratio_mismatch_row_"), F.col("r.row_idx").cast("string"), F.lit(": expected "), one_decimal(F.col("r.expected")), F.lit(" vs reported "), one_decimal(F.col("r.stated")))
     warnings = [
         (~F.col("filled"), F.lit("no_cell_text_extracted")), (~F.col("merged"), F.lit("no_merged_cells_detected")), (~F.col("levels"), F.lit("no_header_hierarchy_detected")), (off, mismatch),
         (F.col("outside") > 0, F.concat(F.col("outside").cast("string"), F.lit("_cell_boxes_outside_table"))),

@@ -34,3 +34,12 @@ def test_records_of_rows_in_no_fixed_order(spark):
 
 def test_rows_of_items_with_long_numbers(spark, tmp_path):
     shown(spark, tmp_path, ["text_row_parser"], lineitem=("l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long", [(1, 1, 9999, 5), (1, 2, 10000, 5), (9000000, 3, 1199940, 59940), (7, 4, 99999, 7)]))
+
+
+@pytest.mark.parametrize("x", [0.25, 0.35, 1.15, 1.25, -0.25, -1.35, 0.05, 2.675, 0.1, 99.95, 1e13 + 0.25, 1e15 + 0.5, 0.0, -0.0, -0.01, 1 / 3, 4503599627370.45])
+def test_one_decimal(spark, x):
+    assert spark.createDataFrame([(x,)], "x double").select(T.one_decimal(F.col("x"))).first()[0] == "%.1f" % x
+
+
+def test_one_decimal_of_nothing(spark):
+    assert spark.createDataFrame([(None,)], "x double").select(T.one_decimal(F.col("x"))).first()[0] is None
