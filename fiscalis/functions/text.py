@@ -187,3 +187,9 @@ def one_decimal(x: Column) -> Column:
     whole = F.floor(up / 10)
     told = F.concat(F.when(x.cast("string").startswith("-"), "-").otherwise(""), whole.cast("string"), F.lit("."), (up - whole * 10).cast("string"))
     return F.when(a.isNotNull(), told).otherwise(F.when(x.isNotNull(), F.format_string("%.1f", x)))
+
+
+def rounded(x: Column, digits: int) -> Column:
+    """x to the nearest multiple of a power of ten, as the scaled number is rounded; F.round() goes by the number's shortest text, which can be just at a half where the number itself is below."""
+    scale = 10.0**digits
+    return F.round(x * scale) / scale

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fiscalis.functions.geometry import box, iou, overlap
+from fiscalis.functions.text import rounded
 
 LINK = 0.82
 
@@ -205,7 +206,7 @@ def profile(starts: Column, ends: Column) -> Column:
     """Each column's part of the width of all, a column one unit wide at least."""
     wide = F.zip_with(starts, ends, lambda a, b: F.greatest(b - a, F.lit(1)).cast("double"))
     total = F.aggregate(wide, F.lit(0.0), lambda s, x: s + x)
-    return F.transform(wide, lambda x: F.round(x / total, 6))
+    return F.transform(wide, lambda x: rounded(x / total, 6))
 
 
 def missing_fields(json: Column, required: tuple[str, ...]) -> Column:

@@ -43,3 +43,8 @@ def test_one_decimal(spark, x):
 
 def test_one_decimal_of_nothing(spark):
     assert spark.createDataFrame([(None,)], "x double").select(T.one_decimal(F.col("x"))).first()[0] is None
+
+
+def test_shares_just_below_a_half(spark):
+    d = spark.createDataFrame([([0.0, 0.0], [41.0, 599.0])], "a array<double>, b array<double>")
+    assert d.select(tables.profile(F.col("a"), F.col("b")).alias("p")).first()["p"][0] == 0.064062
