@@ -14,5 +14,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df if int(str(size)) >= cores * least else df.repartition(2 * cores)
 
 
+#: Bytes of input, as files hold the columns that are read, in one part of what is dealt by key.
+PART = 1 << 19
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df with all rows of a key in one task, in as many parts as its size asks for: what a task holds doesn't grow with the input. Small inputs are left to the session's number of partitions."""
+    parts = -(-int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // PART)
+    return df.repartition(parts, *keys) if parts > 2 * df.sparkSession.sparkContext.defaultParallelism else df.repartition(*keys)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
