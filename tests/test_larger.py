@@ -48,3 +48,30 @@ def test_one_decimal_of_nothing(spark):
 def test_shares_just_below_a_half(spark):
     d = spark.createDataFrame([([0.0, 0.0], [41.0, 599.0])], "a array<double>, b array<double>")
     assert d.select(tables.profile(F.col("a"), F.col("b")).alias("p")).first()["p"][0] == 0.064062
+
+
+def test_scores_move_cells_once(spark, tmp_path):
+    """Cells are dealt by table once: no score moves them between tasks again."""
+    for name, most in (("edge_f1", 2), ("slot_fill", 2), ("score_strict", 2)):
+        plan = catalogue.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") <= most, name
+
+
+def test_parts_grow_with_the_input(spark, tmp_path, monkeypatch):
+    from fiscalis.sources import tables as source
+
+    monkeypatch.setattr(source, "PART", 1000)
+    d = source.dealt(source.table(spark, "/root/testdata/sf0.001", "lineitem").select("l_orderkey", "l_partkey"), "l_orderkey")
+    assert d.rdd.getNumPartitions() > 8 and d.groupBy("l_orderkey").count()._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_crowded_tables_score_as_small_ones(spark, monkeypatch):
+    from fiscalis.operators import scoring
+
+    rows = [(t, i, i // 9, i % 9, 1, 1, "x", 10.0 * (i % 9), 10.0 * (i // 9), 10.0 * (i % 9) + 9 + i % 3, 10.0 * (i // 9) + 9) for t in (1, 2) for i in range(20 * t)]
+    a = spark.createDataFrame(rows, "t int, cell_idx long, row_idx int, col_idx int, row_span int, col_span int, text string, x1 double, y1 double, x2 double, y2 double")
+    b = a.withColumn("x1", F.col("x1") + 2).where("cell_idx % 7 > 0")
+    scored = lambda: sorted(map(tuple, scoring.structure(a, b, ["t"], strict=False, digits=9).collect()))
+    small = scored()
+    monkeypatch.setattr(scoring, "FEW_PAIRS", 600)
+    assert scored() == small
