@@ -33,6 +33,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def joined(a: DataFrame, b: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """a joined to b, which is large whatever its estimate says: rows that an explode makes aren't in it. Neither side is broadcast."""
+    return a.join(b.hint("merge"), on, how)
+
+
+#: Rows in one part of what is dealt by key.
+ROWS = 200_000
+
+
+def parts_of(*dfs: DataFrame) -> int:
+    """Parts that the rows of dfs ask for, ROWS to each, and as many as there are cores at least."""
+    return max(dfs[0].sparkSession.sparkContext.defaultParallelism, -(-sum(d.count() for d in dfs) // ROWS))
+
+
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """df with the place of each row, from 1 on, in the given order (nulls first; rows that are equal in it in any order).
 
