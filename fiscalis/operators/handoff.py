@@ -141,13 +141,12 @@ def segments(found: DataFrame, words: DataFrame, tables: DataFrame, keys: list[s
 DOC_KEYS = ["document_id", "page_number", "table_idx"]
 
 
-def documents(docs: DataFrame, tables: DataFrame, rows: DataFrame, columns: DataFrame, spans: DataFrame, words: DataFrame, read: DataFrame) -> DataFrame:
-    """Hand-off documents, from detections in one call, as files.handoffs() reads them: tables in the order of pages with their cells by row and column, links to the pages before and behind, checks.
+def document_tables(tables: DataFrame, rows: DataFrame, columns: DataFrame, spans: DataFrame, words: DataFrame, read: DataFrame) -> DataFrame:
+    """The tables of hand-off documents, from detections in one call: a row (the table's keys, t) for each, with its cells by row and column, links to the pages before and behind, checks.
 
-    docs: document_id, source_file, page_count, processed_at, model_version; tables: document_id, page_number, table_idx,
-    label, score, box; rows, columns, spans (span_idx): the table's keys, idx, box from its corner, score; words, read:
-    document_id, page_number, word_idx, text, box. Documents never mix, whatever pages and tables they have; one without
-    tables has an empty array. A table's cells are one array, and a document's tables: nothing larger is gathered.
+    tables: document_id, page_number, table_idx, label, score, box; rows, columns, spans (span_idx): the table's keys, idx,
+    box from its corner, score; words, read: document_id, page_number, word_idx, text, box. Documents never mix, whatever
+    pages and tables they have. A table's cells are one array: nothing larger is gathered.
     """
     keys = DOC_KEYS
     r, c = segments(rows, words, tables, keys, True), segments(columns, words, tables, keys, False)
@@ -184,7 +183,17 @@ def documents(docs: DataFrame, tables: DataFrame, rows: DataFrame, columns: Data
     full = tables
     for d in (listed, size(r, "_r"), size(c, "_c"), linked, judged):
         full = full.join(d, keys, "left")
-    each = full.groupBy("document_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("page_number", "table_idx", table.alias("t")))), lambda x: x["t"]).alias("tables"))
+    return full.select(*keys, table.alias("t"))
+
+
+def documents(docs: DataFrame, tables: DataFrame, rows: DataFrame, columns: DataFrame, spans: DataFrame, words: DataFrame, read: DataFrame) -> DataFrame:
+    """Hand-off documents, as files.handoffs() reads them: the tables of document_tables() in the order of pages, one array for each document; one without tables has an empty array.
+
+    docs: document_id, source_file, page_count, processed_at, model_version. A document is one row, so this is for documents
+    as files hold them; where pages have no bound, document_tables() has the same tables as rows.
+    """
+    each = document_tables(tables, rows, columns, spans, words, read)
+    each = each.groupBy("document_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("page_number", "table_idx", "t"))), lambda x: x["t"]).alias("tables"))
     d = docs.join(each, "document_id", "left")
     return d.select("document_id", "source_file", "page_count", "processed_at", "model_version", F.coalesce("tables", F.array().cast(each.schema["tables"].dataType)).alias("tables"))
 

@@ -11,3 +11,10 @@ def plan(df):
 
 def test_reports_broadcast_nothing(spark):
     assert "BroadcastExchange" not in plan(catalogue.queries()["score_report"](spark, SMALL))
+
+
+def test_tables_of_documents_are_rows(spark):
+    """No aggregate has the document alone as its key: one document's tables are never one row."""
+    import re
+
+    assert not re.search(r"Aggregate\(keys=\[document_id#\d+\]", plan(catalogue.queries()["handoff_documents"](spark, SMALL)))
