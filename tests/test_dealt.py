@@ -18,3 +18,18 @@ def test_tables_of_documents_are_rows(spark):
     import re
 
     assert not re.search(r"Aggregate\(keys=\[document_id#\d+\]", plan(catalogue.queries()["handoff_documents"](spark, SMALL)))
+
+
+def named(spark):
+    p = spark.range(40).selectExpr("'Kisumu' county", "id project_idx", "concat('road to ', id % 4) project_name", "40 implementation_pct")
+    f = spark.range(90).selectExpr("'Kisumu' county", "id finding_idx", "if(id % 9 = 0, 'dam', concat('road to ', id % 3)) finding_name", "'' sentence", "'GENERAL_FINDING' kind")
+    return p, f
+
+
+def test_verdicts_make_no_links(spark, monkeypatch):
+    from fiscalis.operators import triangulate
+
+    p, f = named(spark)
+    by_links = sorted(map(str, triangulate.judged(p, f, triangulate.links(p, f)).collect()))
+    monkeypatch.setattr(triangulate, "links", None)
+    assert sorted(map(str, triangulate.triangulated(p, f).collect())) == by_links
