@@ -33,3 +33,14 @@ def test_verdicts_make_no_links(spark, monkeypatch):
     by_links = sorted(map(str, triangulate.judged(p, f, triangulate.links(p, f)).collect()))
     monkeypatch.setattr(triangulate, "links", None)
     assert sorted(map(str, triangulate.triangulated(p, f).collect())) == by_links
+
+
+def test_links_are_dealt_by_their_number(spark, monkeypatch):
+    from fiscalis.operators import triangulate
+
+    p, f = named(spark)
+    few = triangulate.links(p, f)
+    rows = sorted(map(str, few.collect()))
+    monkeypatch.setattr(triangulate, "LINKS", 100)
+    many = triangulate.links(p, f)
+    assert sorted(map(str, many.collect())) == rows and many.rdd.getNumPartitions() > 8
