@@ -115,30 +115,29 @@ def document_report(texts: DataFrame, key: str, text: str = "text") -> DataFrame
     Documents are parsed as variants, so a missing field differs from a null one. Errors: missing fields of the document in
     a fixed order, then those of its tables in their order with the table's id (unknown if it has none), then that there is
     no cell. Warnings: over 40 % of the cells without text, over 30 % of a confidence under 0.5. What a cell doesn't state
-    counts as no text, spans of 1 and a confidence of 1. A text that is no object lacks all fields. Cells are counted in
-    their table, tables by rows of their own, so no document is one row of cells.
+    counts as no text, spans of 1 and a confidence of 1. A text that is no object lacks all fields. A document is counted
+    where its text is, in the one row that holds it anyway: nothing is moved, and nothing parsed twice.
     """
     v = F.try_parse_json(F.col(text))
     d = texts.select(key, v.alias("v"))
     lacks = lambda of, fields, error: F.filter(F.array(*(F.when(F.try_variant_get(of, f"$.{f}", "variant").isNull(), error(f)) for f in fields)), lambda e: e.isNotNull())
     told = lambda of, path, kind: F.try_variant_get(of, f"$.{path}", kind)
-    root = d.select(key, lacks(F.col("v"), ROOT_FIELDS, lambda f: F.lit(f"missing_root_field:{f}")).alias("_root"), told(F.col("v"), "tables", "array<variant>").alias("_tables"))
-    t = root.select(key, F.posexplode("_tables").alias("_at", "t"))
-    t = t.withColumn("_cells", F.coalesce(told(F.col("t"), "cells", "array<variant>"), F.array().cast("array<variant>")))
-    name = F.coalesce(told(F.col("t"), "table_id", "string"), F.lit("unknown"))
-    n = lambda test: F.size(F.filter("_cells", test)).cast("long")
+    root = d.select(key, lacks(F.col("v"), ROOT_FIELDS, lambda f: F.lit(f"missing_root_field:{f}")).alias("_root"), F.coalesce(told(F.col("v"), "tables", "array<variant>"), F.array().cast("array<variant>")).alias("_tables"))
     over = lambda c, span: F.coalesce(told(c, span, "double"), F.lit(1.0)) > 1
-    yes = lambda path: F.coalesce(told(F.col("t"), f"continuation.{path}", "boolean"), F.lit(False))
-    t = t.select(
-        key, "_at", lacks(F.col("t"), TABLE_FIELDS, lambda f: F.concat(name, F.lit(f":missing_table_field:{f}"))).alias("_errors"), F.size("_cells").cast("long").alias("cells"),
-        n(lambda c: F.trim(F.coalesce(told(c, "raw_text", "string"), F.lit(""))) == "").alias("empty_text_cells"), n(lambda c: F.coalesce(told(c, "text_source", "string") == "ocr", F.lit(False))).alias("ocr_cells"),
-        (yes("is_continuation") | yes("continues_on_next_page")).cast("long").alias("continuation_tables"), n(lambda c: over(c, "row_span") | over(c, "col_span")).alias("merged_cells"),
-        n(lambda c: F.coalesce(told(c, "confidence", "double"), F.lit(1.0)) < 0.5).alias("low_conf_cells"),
-    )
+    some_cells = lambda t: F.coalesce(told(t, "cells", "array<variant>"), F.array().cast("array<variant>"))
+    tests = {
+        "empty_text_cells": lambda c: F.trim(F.coalesce(told(c, "raw_text", "string"), F.lit(""))) == "", "ocr_cells": lambda c: F.coalesce(told(c, "text_source", "string") == "ocr", F.lit(False)),
+        "merged_cells": lambda c: over(c, "row_span") | over(c, "col_span"), "low_conf_cells": lambda c: F.coalesce(told(c, "confidence", "double"), F.lit(1.0)) < 0.5,
+    }
     counted = ("cells", "empty_text_cells", "ocr_cells", "continuation_tables", "merged_cells", "low_conf_cells")
-    ordered = F.flatten(F.transform(F.sort_array(F.collect_list(F.when(F.size("_errors") > 0, F.struct("_at", "_errors")))), lambda e: e["_errors"]))
-    per = t.groupBy(F.col(key).alias("_of")).agg(F.count("*").alias("tables"), *(F.sum(c).alias(c) for c in counted), ordered.alias("_errors"))
-    d = root.join(per, F.col(key).eqNullSafe(F.col("_of")), "left").select(key, "_root", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("tables", *counted)), F.coalesce("_errors", F.array().cast("array<string>")).alias("_errors"))
+    flags = F.transform(F.flatten(F.transform("_tables", some_cells)), lambda c: F.struct(*(test(c).alias(name) for name, test in tests.items())))
+    yes = lambda t, path: F.coalesce(told(t, f"continuation.{path}", "boolean"), F.lit(False))
+    name = lambda t: F.coalesce(told(t, "table_id", "string"), F.lit("unknown"))
+    lacking = F.flatten(F.transform("_tables", lambda t: lacks(t, TABLE_FIELDS, lambda f: F.concat(name(t), F.lit(f":missing_table_field:{f}")))))
+    linked = F.filter("_tables", lambda t: yes(t, "is_continuation") | yes(t, "continues_on_next_page"))
+    d = root.select(key, "_root", F.size("_tables").cast("long").alias("tables"), flags.alias("_flags"), F.size(linked).cast("long").alias("continuation_tables"), lacking.alias("_errors"))
+    n = lambda name: F.size(F.filter("_flags", lambda c: c[name])).cast("long").alias(name)
+    d = d.select(key, "_root", "tables", F.size("_flags").cast("long").alias("cells"), "continuation_tables", "_errors", *map(n, tests))
     some = F.col("cells") > 0
     blank, unsure = (some & (F.col(c) / F.col("cells") > part) for c, part in (("empty_text_cells", 0.4), ("low_conf_cells", 0.3)))
     errors = F.concat("_root", "_errors", F.when(some, F.array().cast("array<string>")).otherwise(F.array(F.lit("no_cells_found"))))
