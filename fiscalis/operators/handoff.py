@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from fiscalis.functions.geometry import box, holds_centre, overlap
 from fiscalis.functions.text import cell_id
-from fiscalis.operators.lineage import cut
+from fiscalis.operators.lineage import cut, parts_of
 from fiscalis.operators.quality import cell_levels, checked
-from fiscalis.operators.tables import SIDES, continuations, gap_clusters, grid, hulls, kept_boxes, meeting, profile, upper_median, words_in_cells
+from fiscalis.operators.tables import SIDES, continuations, gap_clusters, grid, hulls, kept_boxes, meeting, profile, words_in_cells
 
 HIT = 0.25
 #: Checks and warnings of a table without a cell.
@@ -103,9 +103,14 @@ def segments_of_words(words: DataFrame, tables: DataFrame, keys: list[str], down
     w = meeting(dots, t, on_page).where(holds_centre(box("b_"), box("w_")))
     w = w.select(*(F.col(f"b_{k}").alias(k) for k in keys), "word_idx", *(F.col(f"w_{c}").alias(c) for c in SIDES), *(F.col(f"b_{c}").alias(f"t_{c}") for c in SIDES))
     low, high, least, times = ("y1", "y2", 6.0, 1.7) if down else ("x1", "x2", 30.0, 2.5)
-    size = w.groupBy(*keys).agg(F.greatest(F.lit(least), upper_median(F.col(high) - F.col(low)) * times).alias("gap"))
-    w = w.join(size, keys).withColumn("centre", (F.col(low) + F.col(high)) / 2)
-    d = hulls(gap_clusters(w, keys, "centre", F.col("gap"), "word_idx"), keys).join(t.select(*keys, *(F.col(c).alias(f"t_{c}") for c in SIDES)), keys)
+    # words are dealt by table once, with the table's box, in as many parts as tables ask for; the median, the clusters and their hulls are made where they are
+    parts = max(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts_of(tables))
+    of = Window.partitionBy(*keys)
+    w = w.dropna(subset=keys).repartition(parts, *keys).withColumn("_size", F.col(high) - F.col(low)).withColumn("_rank", F.row_number().over(of.orderBy("_size"))).withColumn("_n", F.count("*").over(of))
+    median = F.max(F.when(F.col("_rank") == F.floor(F.col("_n") / 2) + 1, F.col("_size"))).over(of)  # the upper one
+    w = w.withColumn("gap", F.greatest(F.lit(least), median * times)).withColumn("centre", (F.col(low) + F.col(high)) / 2)
+    sides = [f"t_{c}" for c in SIDES]
+    d = hulls(gap_clusters(w, keys, "centre", F.col("gap"), "word_idx"), keys, *sides)
     box_ = ("t_x1", "y1", "t_x2", "y2") if down else ("x1", "t_y1", "x2", "t_y2")
     return d.select(*keys, F.col("cluster").cast("int").alias("idx"), *(F.col(c).alias(n) for c, n in zip(box_, SIDES)), "score")
 

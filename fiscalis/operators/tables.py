@@ -94,9 +94,10 @@ def gap_clusters(items: DataFrame, keys: list[str], centre: str, threshold: Colu
     return items.withColumn("_new", new).withColumn("cluster", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
-def hulls(items: DataFrame, keys: list[str]) -> DataFrame:
-    """The box around each cluster and its score by the number of items."""
+def hulls(items: DataFrame, keys: list[str], *kept: str) -> DataFrame:
+    """The box around each cluster and its score by the number of items; kept are columns that have one value per key."""
     return items.groupBy(*keys, "cluster").agg(
+        *(F.max(c).alias(c) for c in kept),
         F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.count("*").alias("n"),
         F.least(F.lit(1.0), 0.5 + F.count("*") / 20).alias("score"),
     )
