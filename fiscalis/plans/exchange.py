@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from fiscalis.operators import annotation, loading
 from fiscalis.operators.lineage import new_folder
-from fiscalis.plans.forms import MADE, _made
+from fiscalis.plans.forms import MADE, _boxes, _made
 from fiscalis.plans.registry import query
 from fiscalis.sources import files
+from fiscalis.sources.tables import dealt
 
 #: Orders in one file.
 STRETCH = 1000
@@ -128,15 +129,20 @@ def file_annotations(t):
  FROM orders LEFT JOIN d ON l_orderkey = o_orderkey""")
 def file_exports(t):
     """Exports of annotations, a JSON list of tasks to a file, to one row per label; a task without labels has a row of nulls."""
-    value = F.struct((F.col("x") / 16).alias("x"), (F.col("y") / 16).alias("y"), (F.col("w") / 4).alias("width"), (F.col("h") / 4).alias("height"), F.array(F.lit("table")).alias("rectanglelabels"))
-    item = F.struct(F.lit("rectanglelabels").alias("type"), F.lit(1000).alias("original_width"), F.lit(800).alias("original_height"), value.alias("value"))
-    d = t("orders").select("o_orderkey").join(_made(t).withColumnRenamed("l_orderkey", "o_orderkey"), "o_orderkey", "left")
-    d = d.groupBy("o_orderkey").agg(F.collect_list(F.when(F.col("x").isNotNull(), item)).alias("result"))
+    value = lambda b: F.struct((b["x"] / 16).alias("x"), (b["y"] / 16).alias("y"), (b["w"] / 4).alias("width"), (b["h"] / 4).alias("height"), F.array(F.lit("table")).alias("rectanglelabels"))
+    item = lambda b: F.struct(F.lit("rectanglelabels").alias("type"), F.lit(1000).alias("original_width"), F.lit(800).alias("original_height"), value(b).alias("value"))
+    # orders and boxes are dealt once, as numbers, by stretch; lists and texts are made in the task that has the stretch
+    numbers = ("l_linenumber", "x", "y", "w", "h")
+    boxes = _boxes(t).select(F.col("l_orderkey").alias("o_orderkey"), *numbers, F.lit(False).alias("asked"))
+    orders = t("orders").select("o_orderkey", *(F.lit(None).cast(boxes.schema[c].dataType).alias(c) for c in numbers), F.lit(True).alias("asked"))
+    d = dealt(orders.unionByName(boxes).withColumn("at", F.floor(F.col("o_orderkey") / STRETCH)), "at")
+    d = d.groupBy("at", "o_orderkey").agg(F.count_if("asked").cast("int").alias("n"), F.collect_set(F.when(~F.col("asked") & F.col("x").isNotNull(), F.struct(*numbers))).alias("b")).where("n > 0")
+    d = d.select("at", "o_orderkey", F.flatten(F.array_repeat(F.transform("b", item), F.col("n"))).alias("result"))
     image = F.concat(_named("http://host/img/p", "o_orderkey"), F.lit(".png"))
     task = F.struct(F.col("o_orderkey").alias("id"), F.struct(image.alias("image")).alias("data"), F.array(F.struct("result")).alias("annotations"))
-    lists = d.groupBy(F.floor(F.col("o_orderkey") / STRETCH).alias("at")).agg(F.to_json(F.collect_list(task)).alias("value"))
+    lists = d.groupBy("at").agg(F.to_json(F.collect_list(task)).alias("value"))
     path = new_folder(d.sparkSession, "exports")
-    lists.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    lists.select("value").write.option("maxRecordsPerFile", 1).option("compression", "gzip").text(path)
     return files.annotation_export(d.sparkSession, path).drop("original_height")
 
 

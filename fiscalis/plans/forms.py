@@ -13,9 +13,13 @@ from fiscalis.plans.registry import query
 MADE = """d AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey % 900 AS x, l_suppkey % 700 AS y, 20 + l_partkey % 80 AS w, 30 + l_suppkey % 60 AS h FROM lineitem)"""
 
 
-def _made(t):
+def _boxes(t):
     p, s = F.col("l_partkey"), F.col("l_suppkey")
-    return t("lineitem").select("l_orderkey", "l_linenumber", (p % 900).alias("x"), (s % 700).alias("y"), (20 + p % 80).alias("w"), (30 + s % 60).alias("h")).distinct()
+    return t("lineitem").select("l_orderkey", "l_linenumber", (p % 900).alias("x"), (s % 700).alias("y"), (20 + p % 80).alias("w"), (30 + s % 60).alias("h"))
+
+
+def _made(t):
+    return _boxes(t).distinct()
 
 
 @query(f"""WITH {MADE} SELECT *, greatest(x - 12, 0) AS x1, greatest(y - 12, 0) AS y1, least(x + w + 12, 960) AS x2, least(y + h + 12, 740) AS y2, round((x + w / 2) / 960, 9) AS cx, round((y + h / 2) / 740, 9) AS cy, round(w / 960, 9) AS part_x, round(h / 740, 9) AS part_y FROM d""")
