@@ -44,3 +44,12 @@ def test_links_are_dealt_by_their_number(spark, monkeypatch):
     monkeypatch.setattr(triangulate, "LINKS", 100)
     many = triangulate.links(p, f)
     assert sorted(map(str, many.collect())) == rows and many.rdd.getNumPartitions() > 8
+
+
+def test_annotation_files_stay_small(spark, tmp_path, monkeypatch):
+    from fiscalis.sources import files
+
+    monkeypatch.setattr(files, "ANNOTATIONS", 10, raising=False)
+    d = spark.range(100).selectExpr("concat('f', id) filename", "1 width", "1 height", "'table' name", "1 xmin", "1 ymin", "2 xmax", "2 ymax").coalesce(1)
+    files.write_annotations(d, str(tmp_path / "a"))
+    assert len(list((tmp_path / "a").glob("part-*"))) >= 10 and files.annotations(spark, str(tmp_path / "a"), ("table",)).count() == 100
