@@ -21,8 +21,8 @@ def test_tables_of_documents_are_rows(spark):
 
 
 def named(spark):
-    p = spark.range(40).selectExpr("'Kisumu' county", "id project_idx", "concat('road to ', id % 4) project_name", "40 implementation_pct")
-    f = spark.range(90).selectExpr("'Kisumu' county", "id finding_idx", "if(id % 9 = 0, 'dam', concat('road to ', id % 3)) finding_name", "'' sentence", "'GENERAL_FINDING' kind")
+    p = spark.range(40).selectExpr("if(id < 0, 'Busia', 'Kisumu') county", "id project_idx", "concat('road to ', id % 4) project_name", "40 implementation_pct")
+    f = spark.range(90).selectExpr("if(id < 0, 'Busia', 'Kisumu') county", "id finding_idx", "if(id % 9 = 0, 'dam', concat('road to ', id % 3)) finding_name", "if(id % 9 = 0, 'a dam', '') sentence", "'GENERAL_FINDING' kind")
     return p, f
 
 
