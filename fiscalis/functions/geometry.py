@@ -29,6 +29,11 @@ def iou(a: Box, b: Box) -> Column:
     return F.when(union > 0, both / union).otherwise(F.lit(0.0))
 
 
+def meets(a: Box, b: Box) -> Column:
+    """Whether two boxes share more than an edge."""
+    return (a[0] < b[2]) & (b[0] < a[2]) & (a[1] < b[3]) & (b[1] < a[3])
+
+
 def overlap(a: Box, b: Box) -> Column:
     """Intersection over the smaller area; 0 if that is none."""
     least = F.least(area(a), area(b))

@@ -54,6 +54,12 @@ def row_levels(cells: DataFrame, keys: list[str]) -> DataFrame:
     return first.select(*keys, "row_idx", level(F.col("c.text"), F.col("c.col_idx"), F.col("c.col_span")).alias("level"))
 
 
+def row_ratio(row_idx: Column, plain: Column, stated: Column) -> Column:
+    """(row_idx, expected, stated) of a row with two plain numbers and a percentage, else null."""
+    expected = F.get(plain, F.lit(1)) * 100 / F.nullif(F.get(plain, F.lit(0)), F.lit(0.0))
+    return F.when((F.size(plain) >= 2) & stated.isNotNull(), F.struct(row_idx.alias("row_idx"), expected.alias("expected"), stated.alias("stated")))
+
+
 def checked(cells: DataFrame, keys: list[str]) -> DataFrame:
     """Checks and warnings per table, arrays in a fixed order; a table without warnings is valid.
 
@@ -70,26 +76,29 @@ def checked(cells: DataFrame, keys: list[str]) -> DataFrame:
         plain.alias("plain"), stated.alias("stated"), F.bool_or("filled").alias("filled"), F.bool_or(F.col("text_source") == "pdf_text").alias("native"), F.bool_or(F.col("text_source") == "ocr").alias("ocr"),
         F.bool_or("merged").alias("merged"), F.bool_or(F.col("level").isNotNull()).alias("levels"), F.count_if(~F.col("inside")).alias("outside"),
     )
-    fit = (F.size("plain") >= 2) & F.col("stated").isNotNull()
-    approved, actual = F.get("plain", F.lit(0)), F.get("plain", F.lit(1))
-    expected = actual * 100 / F.nullif(approved, F.lit(0.0))
-    ratio = F.when(fit, F.struct("row_idx", expected.alias("expected"), F.col("stated")))
+    ratio = row_ratio(F.col("row_idx"), F.col("plain"), F.col("stated"))
     t = rows.groupBy(*keys).agg(
         *(F.coalesce(F.bool_or(c), F.lit(False)).alias(c) for c in ("filled", "native", "ocr", "merged", "levels")), F.sum("outside").alias("outside"), F.min(ratio).alias("r")
     )
-    taken = F.coalesce(F.col("r.expected").isNotNull(), F.lit(False))
-    off = taken & (F.abs(F.col("r.expected") - F.col("r.stated")) > TOLERANCE)
+    checks, warnings = said(*map(F.col, ("filled", "native", "ocr", "merged", "levels", "outside", "r")))
+    return t.select(*keys, checks.alias("checks"), warnings.alias("warnings")).withColumn("is_valid", F.size("warnings") == 0)
+
+
+def said(filled: Column, native: Column, ocr: Column, merged: Column, levels: Column, outside: Column, r: Column) -> tuple[Column, Column]:
+    """The checks and warnings of a table, of what its cells have, of the number outside its box and of the first ratio r (row_idx, expected, stated)."""
+    taken = F.coalesce(r["expected"].isNotNull(), F.lit(False))
+    off = taken & (F.abs(r["expected"] - r["stated"]) > TOLERANCE)
     checks = [
-        (F.lit(True), F.lit("grid_reconstruction")), (F.col("filled") & F.col("native"), F.lit("pdf_text_fill")), (F.col("filled") & F.col("ocr"), F.lit("ocr_fallback")), (F.lit(True), F.lit("merged_cell_postprocessing")),
-        (F.col("levels"), F.lit("hierarchy_assignment")), (F.lit(True), F.lit("continuation_linking")), (taken, F.lit("numeric_ratio_check")), (F.col("outside") == 0, F.lit("bounded_boxes")),
+        (F.lit(True), F.lit("grid_reconstruction")), (filled & native, F.lit("pdf_text_fill")), (filled & ocr, F.lit("ocr_fallback")), (F.lit(True), F.lit("merged_cell_postprocessing")),
+        (levels, F.lit("hierarchy_assignment")), (F.lit(True), F.lit("continuation_linking")), (taken, F.lit("numeric_ratio_check")), (outside == 0, F.lit("bounded_boxes")),
     ]
-    mismatch = F.concat(F.lit("numeric_ratio_mismatch_row_"), F.col("r.row_idx").cast("string"), F.lit(": expected "), one_decimal(F.col("r.expected")), F.lit(" vs reported "), one_decimal(F.col("r.stated")))
+    mismatch = F.concat(F.lit("numeric_ratio_mismatch_row_"), r["row_idx"].cast("string"), F.lit(": expected "), one_decimal(r["expected"]), F.lit(" vs reported "), one_decimal(r["stated"]))
     warnings = [
-        (~F.col("filled"), F.lit("no_cell_text_extracted")), (~F.col("merged"), F.lit("no_merged_cells_detected")), (~F.col("levels"), F.lit("no_header_hierarchy_detected")), (off, mismatch),
-        (F.col("outside") > 0, F.concat(F.col("outside").cast("string"), F.lit("_cell_boxes_outside_table"))),
+        (~filled, F.lit("no_cell_text_extracted")), (~merged, F.lit("no_merged_cells_detected")), (~levels, F.lit("no_header_hierarchy_detected")), (off, mismatch),
+        (outside > 0, F.concat(outside.cast("string"), F.lit("_cell_boxes_outside_table"))),
     ]
     listed = lambda rules: F.array_compact(F.array(*(F.when(c, x) for c, x in rules)))
-    return t.select(*keys, listed(checks).alias("checks"), listed(warnings).alias("warnings")).withColumn("is_valid", F.size("warnings") == 0)
+    return listed(checks), listed(warnings)
 
 
 def cell_levels(cells: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
-from fiscalis.functions.geometry import box, iou, overlap
+from fiscalis.functions.geometry import box, iou, meets, overlap
 from fiscalis.functions.text import rounded
 
 LINK = 0.82
@@ -123,35 +126,46 @@ def grid(rows: DataFrame, columns: DataFrame, keys: list[str]) -> DataFrame:
 BLOCK = 256
 
 
-def kept_boxes(boxes: DataFrame, keys: list[str], centre: str, order: str, most: float = 0.7) -> DataFrame:
-    """Boxes in the order of their centres; one that overlaps the last kept by `most` takes its place if its score is higher, else goes.
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value made once, however often it is read."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def kept(b: Column, kind: str | DataType, most: float = 0.7) -> Column:
+    """Of an array of boxes (c, o, sides, score) in the order of their centres those that stay: one that overlaps the last kept by `most` takes its place if its score is higher, else goes. kind: the type of a box.
 
     The fold holds the last kept box alone and says of each box whether it goes, stays or takes the last one's place, a
     block of boxes at a time; a box is kept if it stays and the next one that stays doesn't take its place.
     """
-    item = F.struct(F.col(centre).alias("c"), F.col(order).alias("o"), *SIDES, F.col("score").cast("double").alias("score"))
-    each = boxes.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("b"))
-    kind = each.schema["b"].dataType.elementType
     side = lambda s: tuple(s[k] for k in SIDES)
     none, said = F.lit(None).cast(kind), F.array().cast("array<int>")
     GOES, STAYS, REPLACES = 0, 1, 2
 
+    clash = lambda a, x: meets(side(a), side(x)) & (overlap(side(a), side(x)) >= most)
+
     def step(s: Column, x: Column) -> Column:
         last = s["last"]
-        clash = last.isNotNull() & (overlap(side(last), side(x)) >= most)
-        what = F.when(clash & (x["score"] > last["score"]), REPLACES).when(clash, GOES).otherwise(STAYS)
-        return F.struct(F.when(what == GOES, last).otherwise(x).alias("last"), F.concat(s["said"], F.array(what)).alias("said"))
+        what = F.when(F.coalesce(last.isNotNull() & clash(last, x), F.lit(False)), F.when(x["score"] > last["score"], REPLACES).otherwise(GOES)).otherwise(STAYS)
+        return once(what, lambda what: F.struct(F.when(what == GOES, last).otherwise(x).alias("last"), F.concat(s["said"], F.array(what)).alias("said")))
 
     def block(s: Column, i: Column) -> Column:
-        found = F.aggregate(F.slice("b", i * BLOCK + 1, F.lit(BLOCK)), F.struct(s["last"].alias("last"), said.alias("said")), step)
-        return F.get(F.transform(F.array(found), lambda f: F.struct(f["last"].alias("last"), F.concat(s["said"], F.array(f["said"])).alias("said"))), F.lit(0))  # found is made once
+        found = F.aggregate(F.slice(b, i * BLOCK + 1, F.lit(BLOCK)), F.struct(s["last"].alias("last"), said.alias("said")), step)
+        return once(found, lambda f: F.struct(f["last"].alias("last"), F.concat(s["said"], F.array(f["said"])).alias("said")))
 
-    blocks = F.sequence(F.lit(0), F.floor((F.size("b") - 1) / BLOCK).cast("int"))
+    blocks = F.sequence(F.lit(0), F.floor((F.size(b) - 1) / BLOCK).cast("int"))
     folded = F.aggregate(blocks, F.struct(none.alias("last"), F.array().cast("array<array<int>>").alias("said")), block, lambda s: F.flatten(s["said"]))
-    d = each.withColumn("_said", folded)
-    d = d.select(*keys, F.filter(F.zip_with("b", "_said", lambda x, what: F.struct(x.alias("x"), what.alias("what"))), lambda p: p["what"] != GOES).alias("p"))
-    kept = F.filter("p", lambda x, i: F.coalesce(F.get("p", i + 1)["what"], F.lit(STAYS)) != REPLACES)
-    return d.select(*keys, F.inline(F.transform(kept, lambda p: p["x"]))).withColumnsRenamed({"c": centre, "o": order})
+    left = F.filter(F.zip_with(b, folded, lambda x, what: F.struct(x.alias("x"), what.alias("what"))), lambda p: p["what"] != GOES)
+    stay = once(left, lambda ps: F.transform(F.filter(ps, lambda p, i: F.coalesce(F.get(ps, i + 1)["what"], F.lit(STAYS)) != REPLACES), lambda p: p["x"]))
+    # boxes of which none clashes with the one before it all stay
+    some = F.exists(F.zip_with(b, F.slice(b, F.lit(2), F.size(b)), lambda a, x: clash(a, x)), lambda c: c)
+    return F.when(F.coalesce(some, F.lit(False)), stay).otherwise(b)
+
+
+def kept_boxes(boxes: DataFrame, keys: list[str], centre: str, order: str, most: float = 0.7) -> DataFrame:
+    """The boxes of each key that stay, by the rule of kept()."""
+    item = F.struct(F.col(centre).alias("c"), F.col(order).alias("o"), *SIDES, F.col("score").cast("double").alias("score"))
+    each = boxes.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("b"))
+    return each.select(*keys, F.inline(kept(F.col("b"), each.schema["b"].dataType.elementType, most))).withColumnsRenamed({"c": centre, "o": order})
 
 
 def resampled(v: Column, n: Column | int) -> Column:
@@ -160,10 +174,10 @@ def resampled(v: Column, n: Column | int) -> Column:
 
     def at(i: Column) -> Column:
         x = F.when(n > 1, i * (F.size(v) - 1) / (n - 1)).otherwise(F.lit(0.0))
-        low = F.floor(x).cast("int")
-        high = F.least(low + 1, F.size(v) - 1)
-        part = x - low
-        return F.coalesce(F.get(v, low).cast("double") * (1 - part) + F.get(v, high).cast("double") * part, F.lit(0.0))
+        return once(x, lambda x: once(F.floor(x).cast("int"), lambda low: once(x - low, lambda part: between(low, part))))
+
+    def between(low: Column, part: Column) -> Column:
+        return F.coalesce(F.get(v, low).cast("double") * (1 - part) + F.get(v, F.least(low + 1, F.size(v) - 1)).cast("double") * part, F.lit(0.0))
 
     return F.transform(F.sequence(F.lit(0), n - 1), at)
 
@@ -172,19 +186,23 @@ def cosine(a: Column, b: Column) -> Column:
     """Cosine of two vectors, the shorter filled with zeros; 0 if one has no length."""
     zero = lambda x: F.coalesce(x.cast("double"), F.lit(0.0))
     total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
-    dot = total(F.zip_with(a, b, lambda x, y: zero(x) * zero(y)))
-    size = F.sqrt(total(F.transform(a, lambda x: zero(x) * zero(x)))) * F.sqrt(total(F.transform(b, lambda x: zero(x) * zero(x))))
-    return F.when(size > 0, dot / size).otherwise(F.lit(0.0))
+    square = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + zero(x) * zero(x))
+
+    def likeness(a: Column, b: Column) -> Column:
+        dot = total(F.zip_with(a, b, lambda x, y: zero(x) * zero(y)))
+        return once(F.sqrt(square(a)) * F.sqrt(square(b)), lambda size: F.when(size > 0, dot / size).otherwise(F.lit(0.0)))
+
+    return once(a, lambda a: once(b, lambda b: likeness(a, b)))
 
 
 def continuation_score(profile: Column, other: Column, width: Column, other_width: Column, x: Column, other_x: Column) -> Column:
     """0.7 likeness of columns, brought to the shorter profile's length (3 at least), 0.2 of widths, 0.1 of left edges."""
-    n = F.greatest(F.lit(3), F.least(F.size(profile), F.size(other)))
-    same = lambda v: F.when(F.size(v) == n, F.transform(v, lambda y: y.cast("double"))).otherwise(resampled(v, n))
+    same = lambda v, n: F.when(F.size(v) == n, F.transform(v, lambda y: y.cast("double"))).otherwise(resampled(v, n))
+    alike = once(F.greatest(F.lit(3), F.least(F.size(profile), F.size(other))), lambda n: cosine(same(profile, n), same(other, n)))
     widest = F.greatest(width, other_width)
     wide = F.greatest(F.lit(0.0), 1 - F.abs(width - other_width) / widest)
     shift = F.greatest(F.lit(0.0), 1 - F.abs(x - other_x) / widest)
-    return 0.7 * cosine(same(profile), same(other)) + 0.2 * wide + 0.1 * shift
+    return 0.7 * alike + 0.2 * wide + 0.1 * shift
 
 
 def continuations(tables: DataFrame, keys: list[str], least: float = LINK) -> DataFrame:
@@ -203,6 +221,25 @@ def continuations(tables: DataFrame, keys: list[str], least: float = LINK) -> Da
     return d.select(*keys, "page", "idx", "continues_from", F.col("c.linked").alias("linked"), F.round(F.coalesce("c.score", "score"), 4).alias("match_score"))
 
 
+def page_links(own: Column, before: Column, behind: Column, least: float = LINK) -> Column:
+    """continuations() for the tables of one page, given with those of the pages before and behind as arrays (idx, profile, width, x): an array (idx, continues_from, linked, match_score)."""
+
+    def best(x: Column, others: Column) -> Column:
+        wide = lambda t: F.greatest(t["width"], F.lit(1.0))
+        score = lambda y: continuation_score(x["profile"], y["profile"], wide(x), wide(y), x["x"], y["x"])
+        met = F.filter(others, lambda y: (F.size(x["profile"]) > 0) & (F.size(y["profile"]) > 0))
+        return once(F.array_max(F.transform(met, lambda y: F.struct(score(y).alias("score"), (-y["idx"]).alias("back")))), lambda b: F.when(b["score"] >= least, b))
+
+    first = F.transform(own, lambda x: F.struct(x["idx"].alias("idx"), best(x, before).alias("b")))
+    claims = F.filter(F.transform(behind, lambda x: F.struct(x["idx"].alias("idx"), best(x, own).alias("b"))), lambda c: c["b"].isNotNull())
+
+    def link(t: Column, claims: Column) -> Column:
+        claimed = F.array_max(F.transform(F.filter(claims, lambda c: c["b"]["back"] == -t["idx"]), lambda c: F.struct(c["idx"].alias("linked"), c["b"]["score"].alias("score"))))
+        return once(claimed, lambda c: F.struct(t["idx"].alias("idx"), (-t["b"]["back"]).alias("continues_from"), c["linked"].alias("linked"), F.round(F.coalesce(c["score"], t["b"]["score"]), 4).alias("match_score")))
+
+    return once(claims, lambda claims: F.transform(first, lambda t: link(t, claims)))
+
+
 def profile(starts: Column, ends: Column) -> Column:
     """Each column's part of the width of all, a column one unit wide at least."""
     wide = F.zip_with(starts, ends, lambda a, b: F.greatest(b - a, F.lit(1)).cast("double"))
