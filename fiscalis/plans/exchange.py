@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fiscalis.operators import annotation, loading
 from fiscalis.operators.lineage import new_folder
-from fiscalis.plans.forms import MADE, _boxes, _made
+from fiscalis.plans.forms import MADE, _boxes
 from fiscalis.plans.registry import query
 from fiscalis.sources import files
 from fiscalis.sources.tables import dealt
@@ -118,10 +118,12 @@ def file_finances(t):
 def file_annotations(t):
     """Boxes through annotation XML and back, of one label; files without it have a row of nulls."""
     right, low = F.col("x") + F.col("w"), F.col("y") + F.col("h")
-    d = _made(t).select(_named("f", "l_orderkey").alias("filename"), F.lit(960).alias("width"), F.lit(740).alias("height"), F.when(F.col("l_linenumber") % 3 == 0, "other").otherwise("table").alias("name"),
+    # boxes are dealt once, as numbers, by their file; what is equal goes, and elements are made, in the task that has the file
+    made = dealt(_boxes(t).withColumn("filename", _named("f", "l_orderkey")).drop("l_orderkey"), "filename").distinct()
+    d = made.select("filename", F.lit(960).alias("width"), F.lit(740).alias("height"), F.when(F.col("l_linenumber") % 3 == 0, "other").otherwise("table").alias("name"),
                         F.col("x").alias("xmin"), F.col("y").alias("ymin"), right.alias("xmax"), low.alias("ymax"))
     path = new_folder(d.sparkSession, "annotations")
-    files.write_annotations(d, path)
+    files.write_annotations(d, path, compression="gzip")
     return files.annotations(d.sparkSession, path, ("table",))
 
 

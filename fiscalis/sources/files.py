@@ -159,11 +159,11 @@ def write_csv(df: DataFrame, path: str) -> None:
 ANNOTATIONS = 10_000
 
 
-def write_annotations(boxes: DataFrame, path: str, include_empty: bool = True) -> None:
-    """One annotation element per file name, of the largest size that its rows state; files without a box (a row of nulls) only with include_empty. XML files grow in number with the boxes, not in size."""
+def write_annotations(boxes: DataFrame, path: str, include_empty: bool = True, compression: str = "none") -> None:
+    """One annotation element per file name, of the largest size that its rows state; files without a box (a row of nulls) only with include_empty. XML files grow in number with the boxes, not in size; compression as Spark's writers name it."""
     if not include_empty:
         boxes = boxes.where("name is not null")
     item = F.struct(F.col("name"), F.struct("xmin", "ymin", "xmax", "ymax").alias("bndbox"))
     boxes.groupBy("filename").agg(F.max(F.struct("width", "height")).alias("size"), F.sort_array(F.collect_list(F.when(F.col("name").isNotNull(), item))).alias("object")).write.mode("overwrite").option(
         "rowTag", "annotation"
-    ).option("rootTag", "annotations").option("maxRecordsPerFile", ANNOTATIONS).xml(path)
+    ).option("rootTag", "annotations").option("maxRecordsPerFile", ANNOTATIONS).option("compression", compression).xml(path)

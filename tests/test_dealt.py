@@ -88,3 +88,15 @@ def test_tables_of_pages_equal_the_steps_alone(spark):
     plain = lambda d: {(x.page_number, x.table_idx): [w for w in x.warnings if "outside" not in w] for x in d.collect()}
     found = plain(got.where("size(t.cells) > 0").select(*keys, F.col("t.validation.warnings").alias("warnings")))
     assert found == plain(judged)
+
+
+def test_annotations_are_dealt_once_and_written_small(spark, tmp_path, monkeypatch):
+    from fiscalis.plans import exchange
+    from fiscalis.sources import files
+
+    boxes, write = [], files.write_annotations
+    monkeypatch.setattr(exchange, "new_folder", lambda spark, name: str(tmp_path / name))
+    monkeypatch.setattr(files, "write_annotations", lambda d, *a, **b: (boxes.append(d), write(d, *a, **b)))
+    assert catalogue.queries()["file_annotations"](spark, SMALL).count() > 0
+    assert plan(boxes[0].groupBy("filename").count()).count("Exchange hashpartitioning") == 1
+    assert sum(f.stat().st_size for f in (tmp_path / "annotations").glob("part-*")) < 40 * boxes[0].count()
