@@ -149,9 +149,10 @@ def capped(rows: DataFrame, key: str, most: int = 1000) -> DataFrame:
     return page(rows, key, 0, most)
 
 
-def feed(posts: DataFrame, likes: str, *order: str, n: int = 100) -> DataFrame:
-    """The posts with the most likes, of equals the newest."""
-    return posts.orderBy(F.desc(likes), *map(F.desc, order)).limit(n)
+def feed(posts: DataFrame, likes: str, *order: str, n: int | None = None) -> DataFrame:
+    """The posts by likes, of equals the newest first; with n only so many."""
+    d = posts.orderBy(F.desc(likes), *map(F.desc, order))
+    return d if n is None else d.limit(n)
 
 
 def post_id(ts: Column) -> Column:

@@ -100,3 +100,10 @@ def test_annotations_are_dealt_once_and_written_small(spark, tmp_path, monkeypat
     assert catalogue.queries()["file_annotations"](spark, SMALL).count() > 0
     assert plan(boxes[0].groupBy("filename").count()).count("Exchange hashpartitioning") == 1
     assert sum(f.stat().st_size for f in (tmp_path / "annotations").glob("part-*")) < 40 * boxes[0].count()
+
+
+def test_feed_has_all_posts(spark):
+    more = SMALL.replace("0.001", "0.01")
+    posts = spark.read.parquet(f"{more}/conversations.parquet")
+    feed = [(r.likes, r.conv_id, r.turn) for r in catalogue.queries()["posts_feed"](spark, more).collect()]
+    assert len(feed) == posts.count() > 100 and feed == sorted(feed, reverse=True)
